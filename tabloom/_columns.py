@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +37,11 @@ def require(df: DataFrame, names: Iterable[str]) -> None:
         raise ValueError(f"unknown column(s): {', '.join(missing)}")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Remove leading and trailing Unicode white space."""
     return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom._columns import strip
 from tabloom.claims.fields import GEO_FIELDS, OCR_FIELDS, RECORD_FIELDS, TYPE_SPECIFIC
-from tabloom.enrich.responses import member
+from tabloom.enrich.responses import get
 from tabloom.functions.evidence import sanitize_box
 
 _EMPTY_JSON = ("null", "[]", '""', "0", "0.0", "false", "{}")
@@ -18,10 +18,14 @@ def _truthy(v: Column) -> Column:
     return v.isNotNull() & ~F.to_json(v).isin(*_EMPTY_JSON)
 
 
-def _entries(json_text: Column) -> Column:
-    """Members of a JSON object as map name -> JSON text; null for anything else."""
-    is_object = F.schema_of_variant(F.try_parse_json(json_text)).startswith("OBJECT")
-    return F.when(is_object, F.from_json(json_text, "map<string,string>"))
+def _members(v: Column) -> Column:
+    """Members of a variant object as map name -> variant; null for anything else."""
+    return v.try_cast("map<string,variant>")
+
+
+def _short_text(v: Column, size: int, default: str = "") -> Column:
+    text = F.coalesce(v.try_cast("string"), F.to_json(v))
+    return F.when(_truthy(v), F.substring(text, 1, size)).otherwise(F.lit(default))
 
 
 def _value_text(v: Column) -> Column:
@@ -43,43 +47,50 @@ def flatten_claims(parsed: DataFrame) -> DataFrame:
     the top level. Unknown fields and entries without value or box are dropped.
     """
     known = list(RECORD_FIELDS)
-    top = _entries(F.col("json"))
-    fields = _entries(F.to_json(member(F.col("json"), "fields")))
-    specific = _entries(F.to_json(member(F.col("json"), "type_specific")))
-    nested = fields.isNotNull() & (F.size(fields) > 0)
-    chosen = F.map_filter(F.when(nested, fields).otherwise(top), lambda k, v: k.isin(*known))
-    plain = parsed.select(
-        "doc_id", F.posexplode(F.map_entries(chosen)).alias("_pos", "_entry")
-    ).select("doc_id", "_pos", F.col("_entry.key").alias("field"), F.col("_entry.value").alias("entry"))
-    name = F.regexp_replace(F.col("_entry.key"), "^ts_", "")
-    free = parsed.select(
-        "doc_id", F.posexplode(F.map_entries(specific)).alias("_pos", "_entry")
-    ).filter(F.col("_entry.key") != "").select(
-        "doc_id", "_pos", F.concat(F.lit(TYPE_SPECIFIC), name).alias("field"),
-        F.col("_entry.value").alias("entry"),
+    # Every stage names what the next one uses more than once.
+    top = parsed.select("doc_id", F.try_parse_json("json").alias("_top"))
+    parts = top.select(
+        "doc_id", "_top",
+        _members(get(F.col("_top"), "fields")).alias("_fields"),
+        _members(get(F.col("_top"), "type_specific")).alias("_free"),
     )
-    rows = plain.unionAll(free)
-    entry = F.try_parse_json("entry")
-    value = member(F.col("entry"), "value")
-    box = member(F.col("entry"), "evidence_bbox")
-    text = member(F.col("entry"), "evidence_text")
-    kind = member(F.col("entry"), "evidence_kind")
-    grounded = rows.filter(
-        F.schema_of_variant(entry).startswith("OBJECT") & value.isNotNull() & _truthy(box)
+    nested = F.coalesce(F.size("_fields") > 0, F.lit(False))
+    fixed = F.map_filter(
+        F.when(nested, F.col("_fields")).otherwise(_members(F.col("_top"))), lambda k, v: k.isin(*known)
     )
-    claim = F.struct(
-        _value_text(value).alias("value"),
-        sanitize_box(box.try_cast("array<double>")).alias("evidence_bbox"),
-        F.substring(F.when(_truthy(text), F.coalesce(text.try_cast("string"), F.to_json(text)))
-                    .otherwise(F.lit("")), 1, 500).alias("evidence_text"),
-        F.when(_truthy(kind), kind.try_cast("string")).otherwise(F.lit("direct_quote"))
-        .alias("evidence_kind"),
+    free = F.transform_keys(
+        F.map_filter("_free", lambda k, v: ~k.startswith("ts_") & (k != "")),
+        lambda k, v: F.concat(F.lit(TYPE_SPECIFIC), k),
     )
-    # A name given twice (with and without prefix) keeps its last entry.
-    return (
-        grounded.select("doc_id", "field", "_pos", claim.alias("_claim"))
-        .groupBy("doc_id", "field").agg(F.max_by("_claim", "_pos").alias("_claim"))
-        .select("doc_id", "field", "_claim.*")
+    # Prefixed names are kept apart: with and without prefix may both occur.
+    prefixed = F.map_filter("_free", lambda k, v: k.startswith("ts_"))
+    sources = [
+        parts.select("doc_id", F.lit(0).alias("_order"), F.explode(fixed).alias("field", "entry")),
+        parts.select("doc_id", F.lit(0).alias("_order"), F.explode(free).alias("field", "entry")),
+        parts.select("doc_id", F.lit(1).alias("_order"), F.explode(prefixed).alias("_name", "entry")).select(
+            "doc_id", "_order",
+            F.concat(F.lit(TYPE_SPECIFIC), F.substring("_name", 4, 1_000_000)).alias("field"), "entry"),
+    ]
+    rows = sources[0].unionAll(sources[1]).unionAll(sources[2])
+    taken = rows.filter(_members(F.col("entry")).isNotNull()).select(
+        "doc_id", "field", "_order",
+        *[get(F.col("entry"), name).alias(f"_{name}") for name in
+          ("value", "evidence_bbox", "evidence_text", "evidence_kind")],
+    ).filter(F.col("_value").isNotNull() & _truthy(F.col("_evidence_bbox")))
+    claims = taken.select(
+        "doc_id", "field", "_order",
+        _value_text(F.col("_value")).alias("value"),
+        F.col("_evidence_bbox").try_cast("array<double>").alias("_box"),
+        _short_text(F.col("_evidence_text"), 500).alias("evidence_text"),
+        _short_text(F.col("_evidence_kind"), 500, "direct_quote").alias("evidence_kind"),
+    ).select(
+        "doc_id", "field", "_order",
+        F.struct("value", sanitize_box(F.col("_box")).alias("evidence_bbox"), "evidence_text", "evidence_kind")
+        .alias("_claim"),
+    )
+    # A name given twice (with and without prefix) keeps one entry.
+    return claims.groupBy("doc_id", "field").agg(F.max_by("_claim", "_order").alias("_claim")).select(
+        "doc_id", "field", "_claim.*"
     )
 
 
@@ -104,25 +115,17 @@ def parse_verdicts(parsed: DataFrame, sent: DataFrame) -> DataFrame:
     ``parsed`` has doc_id and json, and domain when reviewers work per domain; a
     response without JSON gives no verdict.
     """
-    inner = F.to_json(member(F.col("json"), "verdicts"))
-    entries = F.when(member(F.col("json"), "verdicts").isNotNull(), _entries(inner)).otherwise(
-        _entries(F.col("json"))
-    )
     keys = ["doc_id", "domain"] if "domain" in parsed.columns else ["doc_id"]
-    rows = parsed.select(*keys, F.explode(entries).alias("field", "entry")).filter(
-        F.schema_of_variant(F.try_parse_json("entry")).startswith("OBJECT")
+    top = parsed.select(*keys, F.try_parse_json("json").alias("_top"))
+    inner = top.select(*keys, F.coalesce(get(F.col("_top"), "verdicts"), F.col("_top")).alias("_inner"))
+    rows = inner.select(*keys, F.explode(_members(F.col("_inner"))).alias("field", "entry"))
+    taken = rows.filter(_members(F.col("entry")).isNotNull()).select(
+        *keys, "field", *[get(F.col("entry"), n).alias(f"_{n}") for n in ("ok", "issue", "what_you_see")]
     )
-
-    def text(key: str) -> Column:
-        v = member(F.col("entry"), key)
-        return F.substring(
-            F.when(_truthy(v), F.coalesce(v.try_cast("string"), F.to_json(v))).otherwise(F.lit("")), 1, 400
-        )
-
-    ok = member(F.col("entry"), "ok")
-    verdicts = rows.select(
-        *keys, "field", (ok.isNull() | _truthy(ok)).alias("ok"),
-        text("issue").alias("issue"), text("what_you_see").alias("what_you_see"),
+    verdicts = taken.select(
+        *keys, "field", (F.col("_ok").isNull() | _truthy(F.col("_ok"))).alias("ok"),
+        _short_text(F.col("_issue"), 400).alias("issue"),
+        _short_text(F.col("_what_you_see"), 400).alias("what_you_see"),
     )
     sent_keys = route_claims(sent).select(*keys, "field").distinct()
     return verdicts.join(sent_keys, [*keys, "field"], "left_semi").select(

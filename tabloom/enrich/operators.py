@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tabloom._columns import as_list, cell_text, col, require, strip
 from tabloom.enrich.calls import infer
 from tabloom.enrich.requests import pack_requests, render_prompts, row_context
-from tabloom.enrich.responses import map_fields, member, parse_responses, unpack_results, variant_text
+from tabloom.enrich.responses import get, map_fields, parse_responses, unpack_results, variant_text
 from tabloom.functions.text import clean_cell
 from tabloom.operators.columns import template
 from tabloom.operators.routing import has_path, missing_fields
@@ -120,16 +120,22 @@ def gate(
     confidence_threshold: float = 70,
 ) -> DataFrame:
     """Keep the answer at or above the threshold; a failure is '' with confidence 0."""
-    source = F.col(json_column)
-    confidence = json_number(member(source, "confidence"), 0.0)
-    usable = source.isNotNull() & confidence.isNotNull()
-    answer = clean_cell(variant_text(member(source, "answer")))
-    return df.withColumns(
+    df = df.withColumn("_parsed", F.try_parse_json(json_column))
+    df = df.withColumns(
         {
-            output_column: F.when(usable & (confidence >= confidence_threshold), answer).otherwise(F.lit("")),
-            confidence_column: F.when(usable, confidence).otherwise(F.lit(0.0)),
+            "_sure": json_number(get(F.col("_parsed"), "confidence"), 0.0),
+            "_said": get(F.col("_parsed"), "answer"),
         }
     )
+    sure = F.col("_sure")
+    usable = F.col("_parsed").isNotNull() & sure.isNotNull()
+    answer = clean_cell(variant_text(F.col("_said")))
+    return df.withColumns(
+        {
+            output_column: F.when(usable & (sure >= confidence_threshold), answer).otherwise(F.lit("")),
+            confidence_column: F.when(usable, sure).otherwise(F.lit(0.0)),
+        }
+    ).drop("_parsed", "_sure", "_said")
 
 
 def retrieve_context(
@@ -255,22 +261,26 @@ def fill_missing(
     answers = _responses(requests, predict, responses, row_id, **options)
     parsed = parse_responses(answers, "_response").select("_row", F.col("json").alias("_json"))
     joined = _attach(df, row_id, parsed)
-    missing = missing_fields(df, wanted, only_fill_empty)
-    source = F.col("_json")
-    updates = {}
-    for name in wanted:
-        nested, flat = member(source, "fields", name), member(source, name)
-        value = F.when(member(source, "fields").isNotNull(), nested).otherwise(flat)
-        text = clean_cell(variant_text(value))
-        confidence = json_number(member(source, "confidence", name), 100.0)
+    joined = joined.withColumn("_parsed", F.try_parse_json("_json"))
+    joined = joined.withColumn("_fields", F.coalesce(get(F.col("_parsed"), "fields"), F.col("_parsed")))
+    read, updates = {"_missing": missing_fields(df, wanted, only_fill_empty)}, {}
+    for i, name in enumerate(wanted):
+        read[f"_v{i}"] = get(F.col("_fields"), name)
+        read[f"_c{i}"] = json_number(get(F.col("_parsed"), "confidence", name), 100.0)
+    joined = joined.withColumns(read)
+    joined = joined.withColumns(
+        {f"_t{i}": clean_cell(variant_text(F.col(f"_v{i}"))) for i in range(len(wanted))}
+    )
+    for i, name in enumerate(wanted):
         take = (
-            F.array_contains(missing, name) & source.isNotNull() & (text != "")
-            & (confidence >= confidence_threshold)
+            F.array_contains("_missing", name) & (F.col(f"_t{i}") != "")
+            & (F.col(f"_c{i}") >= confidence_threshold)
         )
-        updates[name] = F.when(F.coalesce(take, F.lit(False)), text).otherwise(
+        updates[name] = F.when(F.coalesce(take, F.lit(False)), F.col(f"_t{i}")).otherwise(
             col(name).cast("string")
         )
-    return joined.withColumns(updates).drop("_json")
+    helpers = [f"_{x}{i}" for x in "vct" for i in range(len(wanted))]
+    return joined.withColumns(updates).drop("_json", "_parsed", "_fields", "_missing", *helpers)
 
 
 def enrich_images(

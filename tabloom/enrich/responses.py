@@ -97,7 +97,8 @@ def parse_responses(df: DataFrame, response: str = "response") -> DataFrame:
 
     text = F.coalesce(F.col(response), F.lit(""))
     df = df.withColumn("_clean", clean_response(text))
-    tidy = F.try_parse_json("_clean").isNotNull()
+    # A text that starts with an object counts by its first object.
+    tidy = F.try_parse_json("_clean").isNotNull() & F.col("_clean").startswith("{")
     df = df.withColumn("_tidy", F.coalesce(tidy, F.lit(False)))
     untidy = F.when(~F.col("_tidy") & (F.col("_clean") != ""), F.col("_clean"))
     df = df.withColumn("_fixed", recover(untidy))
@@ -117,10 +118,15 @@ def split_failed(parsed: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def member(json_text: Column, *path: str) -> Column:
-    """A member of a JSON object as variant; null when absent."""
+def get(v: Column, *path: str) -> Column:
+    """A member of a variant object as variant; null when absent."""
     route = "$" + "".join("['" + p.replace("'", "\\'") + "']" for p in path)
-    return F.try_variant_get(F.try_parse_json(json_text), route, "variant")
+    return F.try_variant_get(v, route, "variant")
+
+
+def member(json_text: Column, *path: str) -> Column:
+    """A member of a JSON text as variant; null when absent."""
+    return get(F.try_parse_json(json_text), *path)
 
 
 def _scalar_text(v: Column) -> Column:
@@ -146,10 +152,16 @@ def variant_text(v: Column) -> Column:
 
 
 def map_fields(df: DataFrame, mapping: dict[str, str], json_column: str = "json") -> DataFrame:
-    """Add one clean text column per JSON field; missing fields are empty."""
-    return df.withColumns(
-        {out: clean_cell(variant_text(member(F.col(json_column), key))) for key, out in mapping.items()}
-    )
+    """Add one clean text column per JSON field; missing fields are empty.
+
+    The JSON is parsed once per row, each member is taken out once.
+    """
+    keys = list(mapping)
+    names = [c for c in df.columns if c not in mapping.values()]
+    df = df.withColumn("_parsed", F.try_parse_json(json_column))
+    df = df.select(*[f"`{c}`" for c in names], *[get(F.col("_parsed"), k).alias(f"_m{i}") for i, k in enumerate(keys)])
+    texts = [clean_cell(variant_text(F.col(f"_m{i}"))).alias(mapping[k]) for i, k in enumerate(keys)]
+    return df.select(*[f"`{c}`" for c in names], *texts)
 
 
 def unpack_results(

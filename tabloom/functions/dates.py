@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabloom._columns import strip
+from tabloom._columns import let, strip
 
 # The accepted spellings of a catalogue date, tried in this order.
 NO_DATE = r"^[Nn]\.?\s*[Dd]\.?\s*$"
@@ -36,15 +36,16 @@ def _century(group: Column) -> Column:
     return F.concat(n.cast("string"), ending, F.lit(" century"))
 
 
-def date(c: Column) -> Column:
-    """Year, decade (``1880s``) or century (``20th century``) of a catalogue date."""
-    text = strip(c)
+def _inner(text: Column) -> Column:
+    """Without outer brackets, then without any bracket."""
     outer = F.when(
         text.startswith("[") & text.endswith("]") & (F.length(text) >= 2),
         strip(F.regexp_replace(text, r"^\[|\]$", "")),
     ).otherwise(text)
-    inner = F.regexp_replace(outer, r"[\[\]]", "")
+    return F.regexp_replace(outer, r"[\[\]]", "")
 
+
+def _rules(text: Column, inner: Column) -> Column:
     def group(pattern: str) -> Column:
         return F.regexp_extract(inner, pattern, 1)
 
@@ -57,12 +58,17 @@ def date(c: Column) -> Column:
         .when(inner.rlike(YEAR_RANGE), group(YEAR_RANGE))
         .when(inner.rlike(YEAR), group(YEAR))
         .when(inner.rlike(DECADE), _decade(group(DECADE)))
-        .when(inner.rlike(CENTURY), _century(group(CENTURY)))
+        .when(inner.rlike(CENTURY), let(group(CENTURY), _century))
         .when(inner.rlike(ANY_YEAR), group(ANY_YEAR))
         .otherwise(text)
     )
 
 
+def date(c: Column) -> Column:
+    """Year, decade (``1880s``) or century (``20th century``) of a catalogue date."""
+    return let(strip(c), lambda text: let(_inner(text), lambda inner: _rules(text, inner)))
+
+
 def year(c: Column) -> Column:
     """The leading year of a normalised date as an integer."""
     return F.regexp_extract(date(c), r"^(\d{4})", 1).try_cast("int")

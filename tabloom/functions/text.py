@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabloom._columns import collapse_space, strip, words
+from tabloom._columns import collapse_space, let, strip, words
 
 
 def trim(c: Column) -> Column:
@@ -62,24 +62,33 @@ def clean_cell(c: Column) -> Column:
     return strip(F.regexp_replace(flat, r"  +", " "))
 
 
+def _scale(text: Column) -> Column:
+    digits = strip(F.translate(F.regexp_extract(text, r"1\s*:\s*([\d,\s]+)", 1), ", ", ""))
+
+    def grouped(found: Column) -> Column:
+        plain = F.regexp_replace(found, r"^0+(?=\d)", "")
+        commas = F.regexp_replace(plain, r"(?<=\d)(?=(?:\d{3})+$)", ",")
+        return F.when(found.rlike(r"^\d+$"), F.concat(F.lit("1:"), commas)).otherwise(text)
+
+    return let(digits, grouped)
+
+
 def scale(c: Column) -> Column:
     """``1 : 63,360`` becomes ``1:63,360``; anything else stays."""
-    text = strip(c)
-    digits = strip(F.translate(F.regexp_extract(text, r"1\s*:\s*([\d,\s]+)", 1), ", ", ""))
-    plain = F.regexp_replace(digits, r"^0+(?=\d)", "")
-    grouped = F.regexp_replace(plain, r"(?<=\d)(?=(?:\d{3})+$)", ",")
-    return F.when(digits.rlike(r"^\d+$"), F.concat(F.lit("1:"), grouped)).otherwise(text)
+    return let(strip(c), _scale)
 
 
 def call_number(c: Column) -> Column:
     """The first two white-space tokens; a single token stays as it is."""
-    parts = words(c)
-    return F.when(F.size(parts) >= 2, F.array_join(F.slice(parts, 1, 2), " ")).otherwise(strip(c))
+    return let(
+        words(c),
+        lambda parts: F.when(
+            F.size(parts) >= 2, F.array_join(F.slice(parts, 1, 2), " ")
+        ).otherwise(F.array_join(parts, " ")),
+    )
 
 
-def description_isbd(c: Column) -> Column:
-    """``n map(s) ; col.|b&w ; WxH cm`` from a free-text description."""
-    text = strip(c)
+def _isbd(text: Column) -> Column:
     found = F.regexp_extract(text, r"^(\d+)\s+maps?", 1)
     count = F.when(found == "", F.lit("1")).otherwise(found)
     plural = F.when(F.coalesce(count.try_cast("decimal(38,0)") > 1, F.lit(True)), F.lit("s"))
@@ -90,6 +99,11 @@ def description_isbd(c: Column) -> Column:
     return F.when(text == "", F.lit("")).otherwise(joined)
 
 
+def description_isbd(c: Column) -> Column:
+    """``n map(s) ; col.|b&w ; WxH cm`` from a free-text description."""
+    return let(strip(c), _isbd)
+
+
 def list_text(c: Column, separator: str = ", ") -> Column:
     """Join a text that holds a list literal, e.g. ``['a', 'b']`` becomes ``a, b``."""
     text = strip(c)

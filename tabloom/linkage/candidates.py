@@ -123,7 +123,7 @@ def _combine(query_ids, matrix, top_k: int):
                     continue
                 for hit in hits:
                     keyword[position[hit["query_id"]], column] = hit["share"]
-            total = W_VECTOR * cosine + W_KEYWORD * keyword
+            total = (W_VECTOR * cosine + W_KEYWORD * keyword).round(bm25.TIE_DIGITS)
             ids = batch["left_id"].to_numpy()
             rows = []
             for i, line in enumerate(total):

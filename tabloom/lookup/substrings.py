@@ -89,11 +89,17 @@ def hits(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
         cuts = texts.select(digest).limit(0)
         return cuts.crossJoin(keys.select("key", "value", "ord").limit(0))
     widths = F.array(*[F.lit(int(w)) for w in sorted(shape["w"])])
-    start = F.explode(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))).alias("start")
+    # Every position with the characters that follow it, in one pass over the text.
+    windows = F.regexp_extract_all(
+        F.col("text"), F.lit(rf"(?s)(?=(.{{1,{int(shape['m'])}}}))"), F.lit(1)
+    )
+    # Cutting multiplies the rows about a hundredfold, so spread the texts first.
+    spark = texts.sparkSession
+    width = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
     cuts = (
-        texts.select(digest, "text", start)
-        .select("digest", F.expr(f"substring(text, start, {int(shape['m'])})").alias("tail"))
-        .distinct()
+        texts.repartition(width).select(digest, F.explode(F.array_distinct(windows)).alias("tail"))
         .select("digest", "tail", F.explode(widths).alias("width"))
         .filter(F.length("tail") >= F.col("width"))
         .withColumn("seed", F.expr("substring(tail, 1, width)"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom._columns import (
-    as_list, cell_number, cell_text, is_blank, require, strip, to_number,
+    as_list, cell_number, cell_text, is_blank, require, strip,
 )
 
 ROUTES = ("route_1", "route_2", "route_3", "route_4", "default")
@@ -86,7 +86,7 @@ def condition(df: DataFrame, rule: dict) -> Column:
         return text.rlike(value)
     bound = _as_float(value)
     if operator in _ORDERING and bound is not None:
-        return F.coalesce(_ORDERING[operator](to_number(strip(text)), F.lit(bound)), F.lit(False))
+        return F.coalesce(_ORDERING[operator](cell_number(df, column), F.lit(bound)), F.lit(False))
     return F.lit(False)
 
 

@@ -95,9 +95,15 @@ def scores(queries: DataFrame, index: Bm25Index, block_rows: int = SMALL_ROWS) -
     return result.select("query_id", "doc_id", "score")
 
 
+# Scores that differ only by the order of summation count as equal.
+TIE_DIGITS = 10
+
+
 def keep_top(scored: DataFrame, top_k: int) -> DataFrame:
     """Rank by score, ties by document id; cut at top_k, then drop scores <= 0."""
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
+    order = Window.partitionBy("query_id").orderBy(
+        F.round("score", TIE_DIGITS).desc(), F.col("doc_id")
+    )
     return (
         scored.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= top_k).filter(F.col("score") > 0)

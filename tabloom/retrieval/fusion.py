@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom._columns import strip
+from tabloom.retrieval.bm25 import TIE_DIGITS
 
 NO_RESULTS = "(No search results found)"
 
@@ -57,7 +58,7 @@ def fuse(lists: list[DataFrame], k: int = 60, top_k: int = 10) -> DataFrame:
         )
     )
     order = Window.partitionBy("query_id").orderBy(
-        F.col("score").desc(), F.col("_first._list"), F.col("_first.rank")
+        F.round("score", TIE_DIGITS).desc(), F.col("_first._list"), F.col("_first.rank")
     )
     return (
         fused.withColumn("rank", F.row_number().over(order))

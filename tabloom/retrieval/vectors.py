@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.retrieval.bm25 import keep_top
+from tabloom.retrieval.bm25 import TIE_DIGITS, keep_top
 from tabloom.session import small_rows
 
 DIMENSIONS = 384
@@ -67,7 +67,7 @@ def _matrix(values) -> np.ndarray:
 def _local_top(query_ids, query_matrix, doc_ids, doc_matrix, top_k: int) -> pd.DataFrame:
     """Best documents of one block for each query, ties by document id."""
     order = np.argsort(doc_ids, kind="stable")
-    doc_ids, product = doc_ids[order], query_matrix @ doc_matrix[order].T
+    doc_ids, product = doc_ids[order], (query_matrix @ doc_matrix[order].T).round(TIE_DIGITS)
     out_query, out_doc, out_score = [], [], []
     for row, line in enumerate(product):
         chosen = np.arange(len(line))
