@@ -1,3 +1,311 @@
-from queries.common import registry
+"""Record linkage: parts as catalogue, customers as scans; passages against documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from queries.common import registry, sql_words, table, with_port
+from queries.retrieval import BM25_SQL, _HASHED_SQL
+from tabloom.linkage import candidates as cand
+from tabloom.linkage import keys, ports
+from tabloom.linkage.scoring import block_candidates
+from tabloom.retrieval import bm25, vectors
+from tabloom.session import checkpointed
 
 QUERIES, SQL, register = registry()
+
+# ── Keys out of names ────────────────────────────────────────────────────────
+
+_NAMES = """
+    SELECT c_custkey, CASE c_custkey % 6
+        WHEN 0 THEN (100 + c_nationkey) || ' ac ' || (1800 + c_custkey % 150) || ' ' || c_mktsegment || ' sheet.tif'
+        WHEN 1 THEN (100 + c_nationkey) || '.3a ' || (1800 + c_custkey % 150) || ' ' || c_mktsegment || '.v2.JPG'
+        WHEN 2 THEN (100 + c_nationkey) || '.11 n.d. ' || c_mktsegment || '...jpg'
+        WHEN 3 THEN (100 + c_nationkey) || ' a ' || (1800 + c_custkey % 150) || '-93.  ' || c_mktsegment
+        WHEN 4 THEN c_mktsegment || ' ' || c_nationkey || '.png' ELSE '.' || c_nationkey || ' Ab 19?? x' END AS filename
+    FROM customer
+"""
+_BASE = r"CASE WHEN regexp_matches(filename, '^(?s:(?:.*/)?\.*[^./][^/]*)\.[^./]*$') THEN regexp_replace(filename, '\.[^./]*$', '') ELSE filename END"
+_RAW_KEY = rf"""coalesce(nullif(regexp_extract(base, '^([\d.]+\s+[a-zA-Z]+\s+[\w.?-]+)', 1), ''),
+    nullif(regexp_extract(base, '^([\d.]+\s+[a-zA-Z]+[.\s]+[\w.?-]+)', 1), ''),
+    nullif(regexp_extract(base, '^([\d.]+[a-zA-Z]+\s+[\w.?-]+)', 1), ''))"""
+
+
+def _sql_norm(x: str) -> str:
+    text = f"regexp_replace(replace(lower(trim({x})), 'n.d.', 'nd'), '([0-9])([a-z])', '\\1 \\2', 'g')"
+    text = f"regexp_replace({text}, '\\.([a-z])', '. \\1', 'g')"
+    return f"nullif(trim(regexp_replace(regexp_replace({text}, '[.?\\- ]+$', ''), '\\s+', ' ', 'g')), '')"
+
+
+@register(
+    "link_keys",
+    f"""
+    WITH b AS (SELECT c_custkey, {_BASE} AS base FROM ({_NAMES})), k AS (SELECT *, {_RAW_KEY} AS raw_key FROM b)
+    SELECT c_custkey, raw_key, {_sql_norm('raw_key')} AS norm_key,
+           CASE WHEN raw_key IS NULL THEN base ELSE trim(substr(base, length(raw_key) + 1)) END AS title FROM k
+    """,
+)
+def link_keys(spark, sf):
+    table(spark, sf, "customer").createOrReplaceTempView("_link_customer")
+    df = spark.sql(_NAMES.replace("FROM customer", "FROM _link_customer"))
+    key = keys.key_from_name(F.col("filename"))
+    return df.select(
+        "c_custkey", key.alias("raw_key"), keys.normalize_key(key).alias("norm_key"),
+        keys.title_from_name(F.col("filename"), key).alias("title"))
+
+
+def _catalogue(spark, sf):
+    """Parts as catalogue rows; about half of the keys are shared by several rows."""
+    part = table(spark, sf, "part")
+    number = 100 + F.col("p_partkey") % 301
+    return part.select(
+        "p_partkey", F.concat_ws(" ", "p_name", "p_type", F.concat(F.lit("sheet "), F.col("p_size") + 100)).alias("TITLE"),
+        F.concat(number, F.lit(" a "), 1900 + F.col("p_partkey") % 3).alias("Call Number"),
+        F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("by "), "p_brand")).alias("Description "))
+
+
+def _scans(spark, sf):
+    """Customers as scans named after a catalogue row, some without a usable key."""
+    customer = table(spark, sf, "customer")
+    number = 100 + F.col("c_custkey") % 301
+    kind = F.element_at(F.array(*[F.lit(w) for w in ("red", "small", "blue", "large")]), F.col("c_nationkey") % 4 + 1)
+    title = F.concat_ws(" ", kind, F.lit("widget"), F.concat(F.lit("sheet "), F.col("c_nationkey") + 100))
+    return customer.select(
+        "c_custkey",
+        F.when(F.col("c_custkey") % 5 == 0, F.concat(title, F.lit(".jpg"))).otherwise(
+            F.concat(number, F.lit("a "), 1900 + F.col("c_custkey") % 4, F.lit(" "), title, F.lit(".tif"))).alias("filename"),
+        F.concat(F.lit("/scans/"), "c_custkey").alias("file_path"),
+        F.when(F.col("c_custkey") % 2 == 0, F.concat(title, F.lit(", Brand#3"))).alias("text_visible"),
+        F.col("c_mktsegment").alias("visual_description"))
+
+
+@register(
+    "link_key_sizes",
+    """
+    SELECT (100 + p_partkey % 301) || ' a ' || (1900 + p_partkey % 3) AS key, count(*) AS size, min(p_partkey) AS one_left,
+           CASE WHEN count(DISTINCT substr(lower(p_name || ' ' || p_type || ' sheet ' || (p_size + 100)), 1, 50)) <= 1 THEN 1 ELSE 0 END
+               AS same_title
+    FROM part GROUP BY 1
+    """,
+)
+def link_key_sizes(spark, sf):
+    lefts = cand.prepare_left(_catalogue(spark, sf), "p_partkey", ["TITLE"], vectors.hashed_embedder)
+    return cand.key_sizes(lefts).withColumn("same_title", F.col("same_title").cast("int"))
+
+
+@register(
+    "link_unique_keys",
+    """
+    WITH l AS (SELECT (100 + p_partkey % 301) || ' a ' || (1900 + p_partkey % 3) AS key, count(*) AS n, min(p_partkey) AS p FROM part GROUP BY 1),
+    r AS (SELECT c_custkey, (100 + c_custkey % 301) || ' a ' || (1900 + c_custkey % 4) AS key FROM customer WHERE c_custkey % 5 <> 0)
+    SELECT c_custkey AS right_id, p AS left_id, 0.95::DOUBLE AS score FROM r JOIN l USING (key) WHERE n = 1
+    """,
+)
+def link_unique_keys(spark, sf):
+    lefts, rights = _prepared(spark, sf)
+    found = cand.by_key(lefts, rights, 0.3)
+    return found.filter(F.col("reason").startswith("Call Number match")).select("right_id", "left_id", "score")
+
+
+def _prepared(spark, sf):
+    lefts = cand.prepare_left(_catalogue(spark, sf), "p_partkey", ["TITLE", "Description "], vectors.hashed_embedder)
+    rights = cand.prepare_right(_scans(spark, sf), "c_custkey", ["filename", "text_visible"], vectors.hashed_embedder)
+    return checkpointed(lefts), checkpointed(rights)
+
+
+@register("link_block_scores")
+def link_block_scores(spark, sf):
+    """Scores inside shared keys (difflib has no SQL form; checked by brute force in the tests)."""
+    lefts, rights = _prepared(spark, sf)
+    found = block_candidates(lefts.filter("key is not null"), rights.filter("key is not null"), 0.3)
+    return found.select("right_id", "left_id", F.round("score", 6).alias("score"), "reason", "cut")
+
+
+_STOP = ", ".join(f"'{w}'" for w in cand.QUERY_STOP_WORDS)
+_FALLBACK_BM25 = BM25_SQL.replace("{k}", "10").replace(
+    f"(SELECT item_id, unnest({sql_words('lower(text)')}) AS term FROM benchmark)",
+    f"(SELECT item_id, unnest({sql_words('lower(text)')}) AS term FROM benchmark) "
+    f"WHERE term NOT IN ({_STOP}) AND length(term) >= 2")
+
+
+@register(
+    "link_fallback",
+    f"""
+    WITH {_FALLBACK_BM25}, {_HASHED_SQL.replace("{k}", "5")},
+    share AS (SELECT query_id, doc_id, score / nullif(greatest(max(score) OVER (PARTITION BY query_id), 0), 0) AS share FROM bm),
+    total AS (SELECT query_id, doc_id, 0.7 * coalesce(near.score, 0) + 0.3 * coalesce(share, 0) AS score
+              FROM near FULL JOIN share USING (query_id, doc_id))
+    SELECT query_id AS right_id, doc_id AS left_id, round(score, 6) AS score FROM total WHERE score > 0
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, doc_id) <= 5
+    """,
+)
+def link_fallback(spark, sf):
+    """Combined keyword and vector search over all documents for every passage."""
+    documents = table(spark, sf, "documents").select(F.col("doc_id").alias("left_id"), "text")
+    passages = table(spark, sf, "benchmark").select(F.col("item_id").alias("right_id"), "text")
+    lefts = documents.withColumn("vector", vectors.embed(F.col("text")))
+    rights = passages.withColumn("vector", vectors.embed(F.col("text")))
+    found = cand.fallback(lefts, rights, 5)
+    return found.select("right_id", "left_id", F.round("score", 6).alias("score"))
+
+
+# ── Decisions on scaled BM25 candidates ──────────────────────────────────────
+
+_CANDIDATES = f"""
+    {BM25_SQL.replace("{k}", "5")},
+    c AS (SELECT query_id AS right_id, doc_id AS left_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS share,
+                 query_id % 5 AS weak FROM bm_top),
+    candidates AS (SELECT right_id, left_id, share * CASE WHEN weak = 4 THEN 0.5 ELSE 1.0 END AS score FROM c),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY score DESC, left_id) AS rk FROM candidates),
+    decided AS (SELECT item_id AS right_id, t.left_id, t.score, coalesce(s.score, 0) AS second,
+        CASE WHEN t.score IS NULL OR t.score < 0.7 THEN 'unmatched_right'
+             WHEN t.score - coalesce(s.score, 0) >= 0.15 THEN 'matched' ELSE 'ambiguous' END AS status
+        FROM benchmark LEFT JOIN ranked t ON t.right_id = item_id AND t.rk = 1
+        LEFT JOIN ranked s ON s.right_id = item_id AND s.rk = 2)
+"""
+
+
+def _passages_and_documents(spark, sf):
+    right = table(spark, sf, "benchmark").select(
+        "item_id", F.concat(F.lit("item "), "item_id", F.lit(".txt")).alias("filename"), F.col("text").alias("passage"))
+    left = table(spark, sf, "documents").select("doc_id", "lang", "source", F.md5("text").alias("digest"))
+    return left, right
+
+
+def _candidates(spark, sf):
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    corpus = table(spark, sf, "documents").select("doc_id", "text")
+    hits = bm25.search(queries, corpus, 5)
+    best = hits.groupBy("query_id").agg(F.max("score").alias("_max"))
+    share = F.round(F.col("score") / F.col("_max"), 6)
+    weak = F.when(F.col("query_id") % 5 == 4, 0.5).otherwise(1.0)
+    return checkpointed(hits.join(best, "query_id").select(
+        F.col("query_id").alias("right_id"), F.col("doc_id").alias("left_id"), (share * weak).alias("score"),
+        F.lit("keyword").alias("reason"), F.lit(False).alias("cut")))
+
+
+def _decisions(spark, sf):
+    rights = table(spark, sf, "benchmark").select(F.col("item_id").alias("right_id"))
+    found = _candidates(spark, sf)
+    return found, ports.decide(found, rights)
+
+
+@register(
+    "link_decisions",
+    f"WITH {_CANDIDATES} SELECT right_id, left_id, round(score, 6) AS score, round(second, 6) AS second, status FROM decided",
+)
+def link_decisions(spark, sf):
+    _, decided = _decisions(spark, sf)
+    return decided.select(
+        "right_id", "left_id", F.round("score", 6).alias("score"),
+        F.round(F.coalesce("second", F.lit(0.0)), 6).alias("second"), "status")
+
+
+@register(
+    "link_claim_conflicts",
+    f"""
+    WITH {_CANDIDATES}, folded AS (SELECT *, left_id % 7 AS target FROM decided)
+    SELECT right_id, target AS left_id, CASE WHEN status = 'matched' AND count(*) FILTER (status = 'matched')
+        OVER (PARTITION BY target) > 1 THEN 'ambiguous' ELSE status END AS status FROM folded
+    """,
+)
+def link_claim_conflicts(spark, sf):
+    _, decided = _decisions(spark, sf)
+    folded = decided.withColumn("left_id", F.col("left_id") % 7)
+    return ports.claim_conflicts(folded).select("right_id", "left_id", "status")
+
+
+@register("link_coverage", "SELECT item_id AS right_id FROM benchmark WHERE item_id % 2 = 1")
+def link_coverage(spark, sf):
+    """Rows without a decision when decisions of odd rows are withheld."""
+    _, decided = _decisions(spark, sf)
+    rights = table(spark, sf, "benchmark").select(F.col("item_id").alias("right_id"))
+    return ports.uncovered(decided.filter(F.col("right_id") % 2 == 0), rights)
+
+
+@register(
+    "merge_pages",
+    """
+    WITH m AS (SELECT c_custkey, c_nationkey, 'scan ' || c_mktsegment || ' ' || c_custkey AS filename,
+                      round(0.7 + (c_custkey % 30) / 100.0, 2) AS score FROM customer WHERE c_custkey % 3 <> 0)
+    SELECT n_nationkey, n_name, string_agg(filename, ' || ' ORDER BY filename, c_custkey) AS filename,
+           arg_min(c_custkey * 10, filename) AS size, max(score) AS _match_confidence,
+           CASE WHEN count(*) > 1 THEN 'c' || arg_min(c_custkey, -score * 1000000 + c_custkey / 1000000.0) || ' (' || count(*) || ' pages merged)'
+                ELSE 'c' || max(c_custkey) END AS _match_reason, 0 AS _match_part
+    FROM nation JOIN m ON c_nationkey = n_nationkey GROUP BY 1, 2
+    """,
+)
+def merge_pages(spark, sf):
+    left = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    right = table(spark, sf, "customer").select(
+        "c_custkey", F.concat_ws(" ", F.lit("scan"), "c_mktsegment", "c_custkey").alias("filename"),
+        (F.col("c_custkey") * 10).alias("size"))
+    matches = table(spark, sf, "customer").filter("c_custkey % 3 <> 0").select(
+        F.col("c_custkey").alias("right_id"), F.col("c_nationkey").alias("left_id"),
+        F.round(0.7 + F.col("c_custkey") % 30 / 100.0, 2).alias("score"),
+        F.concat(F.lit("c"), "c_custkey").alias("reason"))
+    merged = ports.merge_pages(left, right, "n_nationkey", "c_custkey", matches)
+    return merged.drop("_matched_image", "c_custkey")
+
+
+def _ports(spark, sf):
+    left, right = _passages_and_documents(spark, sf)
+    found, decided = _decisions(spark, sf)
+    return ports.ports(left, right, "doc_id", "item_id", found, checkpointed(decided), 0.7, 0.15)
+
+
+@register(
+    "link_matched",
+    f"""
+    WITH {_CANDIDATES}, m AS (SELECT left_id, count(*) AS n, max(score) AS best FROM decided WHERE status = 'matched' GROUP BY 1)
+    SELECT left_id AS doc_id, n AS pages, round(best, 6) AS confidence FROM m
+    """,
+)
+def link_matched(spark, sf):
+    """Rows matched at once; promotions follow the order of rows and are checked in the tests."""
+    matched = _ports(spark, sf)["matched"].filter(~F.col("_match_reason").endswith("(promoted)"))
+    pages = F.size(F.split("filename", r" \|\| ")).cast("bigint")
+    return matched.select("doc_id", pages.alias("pages"), F.round("_match_confidence", 6).alias("confidence"))
+
+
+@register("link_ports")
+def link_ports(spark, sf):
+    """All four ports of the passage matching, labelled."""
+    found = _ports(spark, sf)
+    slim = {name: df.select(*[c for c in ("doc_id", "item_id", "_match_rank", "_match_reason") if c in df.columns])
+            for name, df in found.items()}
+    slim["ambiguous"] = slim["ambiguous"].withColumn("item_id", F.col("item_id").try_cast("bigint"))
+    return with_port(slim)
+
+
+@register("cross_match_hybrid")
+def cross_match_hybrid(spark, sf):
+    """Catalogue and scans through keys, scores within keys, and fallback search."""
+    found = ports.cross_match(
+        _catalogue(spark, sf), _scans(spark, sf), "p_partkey", "c_custkey",
+        "TITLE, Description ", "filename, text_visible")
+    counts = {
+        name: df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("port"), "rows")
+        for name, df in found.items()}
+    return with_port(counts)
+
+
+@register(
+    "link_judged",
+    f"""
+    WITH {BM25_SQL.replace("{k}", "3")}
+    SELECT query_id AS right_id, doc_id AS left_id, CASE rank WHEN 1 THEN 0.9 ELSE 0.4 END::DOUBLE AS score, 'r' || rank AS reason
+    FROM bm_top WHERE rank <= 2 AND query_id % 4 <> 3
+    """,
+)
+def link_judged(spark, sf):
+    left = table(spark, sf, "documents").select("doc_id", "text")
+    right = table(spark, sf, "benchmark").select("item_id", "text")
+    answer = (
+        '{"matches": [{"candidate_index": 1, "confidence": 0.4, "reason": "r2"}, '
+        '{"candidate_index": "0", "confidence": 0.9, "reason": "r1"}, {"candidate_index": 9, "confidence": 1.0}]}')
+    responses = right.select(
+        F.col("item_id").alias("row_id"),
+        F.when(F.col("item_id") % 4 == 3, "I cannot tell").otherwise(answer).alias("response"))
+    found = cand.judged(left, right, "doc_id", "item_id", ["text"], ["text"], 3, responses=responses)
+    return found.drop("cut")

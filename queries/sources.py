@@ -1,3 +1,163 @@
-from queries.common import registry
+"""Sources and sinks on the given tables, and whole pipelines."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from queries.common import registry, table
+from tabloom.plans import templates
+from tabloom.plans.compose import run_pipeline
+from tabloom.sources import files, sinks
 
 QUERIES, SQL, register = registry()
+
+
+def shared_folder(spark) -> str:
+    """A new folder below the cluster's checkpoint folder; local only where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        return tempfile.mkdtemp(prefix="spark-tabloom-")
+    return os.path.join(root, f"tabloom-{uuid.uuid4().hex}")
+
+
+@register("payload_rows", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def payload_rows(spark, sf):
+    return files.flatten_payloads(table(spark, sf, "events"), "props", keep=["event_id"])
+
+
+@register(
+    "payload_path_rows",
+    "SELECT o_orderkey, l_linenumber AS line, l_quantity AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey "
+    "WHERE l_linenumber <= 2",
+)
+def payload_path_rows(spark, sf):
+    lines = table(spark, sf, "lineitem").filter("l_linenumber <= 2").groupBy("l_orderkey").agg(
+        F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"))).alias("items"))
+    payloads = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        "o_orderkey", F.to_json(F.struct(F.array(F.struct("items")).alias("data"))).alias("payload"))
+    return files.flatten_payloads(payloads, "payload", "data.0.items", "records", keep=["o_orderkey"])
+
+
+@register(
+    "payload_columns",
+    "SELECT c_nationkey, c_custkey AS id, c_acctbal AS balance FROM customer",
+)
+def payload_columns(spark, sf):
+    packed = table(spark, sf, "customer").groupBy("c_nationkey").agg(
+        F.collect_list(F.struct("c_custkey", "c_acctbal")).alias("r"))
+    payloads = packed.select("c_nationkey", F.to_json(F.struct(
+        F.col("r.c_custkey").alias("id"), F.col("r.c_acctbal").alias("balance"))).alias("payload"))
+    return files.flatten_payloads(payloads, "payload", orient="columns", keep=["c_nationkey"])
+
+
+@register(
+    "csv_round_trip",
+    """
+    SELECT item_id, text, CASE WHEN item_id % 3 = 0 THEN NULL ELSE CAST(item_id * 1.5 AS DOUBLE) END AS amount,
+           CASE WHEN item_id % 2 = 0 THEN 'say "hi"; ok' END AS note FROM benchmark
+    """,
+)
+def csv_round_trip(spark, sf):
+    """Line breaks, quotes and missing cells survive writing and reading."""
+    path = shared_folder(spark)
+    df = table(spark, sf, "benchmark").select(
+        "item_id", "text", F.when(F.col("item_id") % 3 != 0, F.col("item_id") * 1.5).alias("amount"),
+        F.when(F.col("item_id") % 2 == 0, 'say "hi"; ok').alias("note"))
+    sinks.write_csv(df, path, "utf-8-sig", ";")
+    return files.read_csv(spark, path, "utf-8-sig", ";")
+
+
+@register("json_round_trip", "SELECT conv_id, turn, role, text FROM conversations")
+def json_round_trip(spark, sf):
+    path = shared_folder(spark)
+    sinks.write_json(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), path)
+    return files.read_json(spark, path, json_lines=True)
+
+
+@register("export_columns", "SELECT n_name AS \"Nation name\", n_nationkey FROM nation")
+def export_columns(spark, sf):
+    return sinks.export_columns(table(spark, sf, "nation"), [
+        {"source": "n_name", "label": "Nation name"}, {"source": "missing", "label": "x"}, {"source": "n_nationkey"}])
+
+
+@register(
+    "csv_cleanup",
+    """
+    SELECT event_id, user_id, kind FROM (SELECT event_id, user_id, upper(event_type) AS kind FROM events)
+    QUALIFY row_number() OVER (PARTITION BY user_id, kind ORDER BY event_id) = 1
+    """,
+)
+def cleanup(spark, sf):
+    spec = templates.csv_cleanup([{"column": "kind", "function": "uppercase"}], "user_id,kind", "event_id")
+    source = table(spark, sf, "events").select("event_id", "user_id", F.col("event_type").alias("kind"))
+    return run_pipeline(spark, spec, {"read": source})[("write", "input")]
+
+
+@register(
+    "two_table_merge",
+    "SELECT s_suppkey, s_nationkey, n_name FROM supplier JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON s_nationkey = n_nationkey",
+)
+def two_table_merge(spark, sf):
+    spec = templates.data_merge("s_nationkey", "s_nationkey", "inner")
+    result = run_pipeline(spark, spec, {
+        "left": table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"),
+        "right": table(spark, sf, "nation").filter("n_regionkey < 3").select(
+            F.col("n_nationkey").alias("s_nationkey"), "n_name")})
+    return result[("write", "input")]
+
+
+def _length_label(request):
+    return "long" if len(request["prompt"]) > 400 else "SHORT"
+
+
+@register(
+    "classification",
+    "SELECT conv_id * 1000 + turn AS row_id, CASE WHEN length(text) > 400 THEN 'Long' ELSE 'short' END AS classification "
+    "FROM conversations",
+)
+def classification(spark, sf):
+    spec = templates.classification("row_id", "{text}", "Long, Other", predict=_length_label)
+    source = table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
+    return run_pipeline(spark, spec, {"read": source})[("write", "input")].drop("text")
+
+
+def _place_model(request):
+    """Answers packed items: the first word of the title is the city, all in South Australia."""
+    import json
+    import re
+
+    blocks = re.split(r"(?:^|\n\n)=== Item (\d+) ===\n", request["prompt"])[1:]
+    results = [
+        {"index": int(i), "city": body.removeprefix("Title: ").split(" ", 1)[0], "state": "South Australia",
+         "country": "Australia", "theme": "mining"}
+        for i, body in zip(blocks[::2], blocks[1::2])]
+    return json.dumps({"results": results})
+
+
+@register(
+    "catalogue_enrichment",
+    """
+    WITH t AS (SELECT p_partkey, p_name, p_size % 3 = 0 AS listed, split_part(p_name, ' ', 1) AS city FROM part)
+    SELECT p_partkey, '1:' || (p_partkey + 1000) // 1000 || ',' || right(CAST(p_partkey % 1000 + 1000 AS VARCHAR), 3) AS scale_clean,
+           '814' AS bl_area_matched, city || ' (S. Aust.) -- Maps; ' || city || ' (S. Aust.) -- Mines and mineral resources -- Maps; '
+           || 'South Australia -- Maps; Australia -- Maps' AS subject_lcsh
+    FROM t JOIN part USING (p_partkey) WHERE NOT listed
+    """,
+)
+def catalogue_enrichment(spark, sf):
+    part = table(spark, sf, "part")
+    number = F.concat((F.floor(F.col("p_partkey") / 1000) + 1), F.lit(","), F.substring((F.col("p_partkey") % 1000 + 1000).cast("string"), 2, 3))
+    source = part.select(
+        "p_partkey", F.col("p_name").alias("TITLE"), F.lit("[1886?]").alias("Date Published "), F.col("p_brand").alias("Publisher"),
+        F.concat(F.lit("1 : "), number).alias("Scale"), F.when(F.col("p_size") % 2 == 0, "x").alias("Subject"),
+        F.lit("814 a 1886.").alias("Call Number"), F.lit("").alias("Author"), F.lit(None).cast("string").alias("Format"),
+        F.lit("Adelaide").alias("Place of Publication"), F.lit("1 map").alias("Description "),
+        F.when(F.col("p_size") % 3 == 0, "Series A").alias("Series (if known)"), F.lit("no").alias("Listed on current Catalogue"))
+    spec = templates.catalogue_enrichment("p_partkey", predict=_place_model)
+    result = run_pipeline(spark, spec, {"read": source})[("write", "input")]
+    return result.select("p_partkey", "scale_clean", "bl_area_matched", "subject_lcsh")

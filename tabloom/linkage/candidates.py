@@ -127,7 +127,7 @@ def _combine(query_ids, matrix, top_k: int):
             ids = batch["left_id"].to_numpy()
             rows = []
             for i, line in enumerate(total):
-                order = np.argsort(-line, kind="stable")[:top_k]
+                order = vectors.top_positions(line, top_k)
                 rows.extend(
                     (query_ids[i], ids[j], float(line[j]),
                      f"Fallback (sem={cosine[i, j]:.2f}, bm25={keyword[i, j]:.2f})")

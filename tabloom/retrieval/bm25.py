@@ -38,18 +38,17 @@ def build_index(corpus: DataFrame) -> Bm25Index:
         placed.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
         .groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
-    totals = placed.agg(
-        F.count(F.lit(1)).alias("docs"),
-        (F.sum(F.size("tokens")) / F.count(F.lit(1))).alias("mean_length"),
+    totals = corpus.select(F.size(tokens).alias("n")).agg(
+        F.count(F.lit(1)).alias("docs"), (F.sum("n") / F.count(F.lit(1))).alias("mean_length")
     )
     seen = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = seen.join(F.broadcast(totals)).select(
-        "term", "df",
-        (F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"),
+    docs = totals.select("docs").scalar()
+    raw = seen.select(
+        "term", "df", (F.log(docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")
     )
-    mean = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
-    terms = raw.join(F.broadcast(mean)).select(
-        "term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf")
+    floor = raw.agg(F.avg("raw") * EPSILON).scalar()
+    terms = raw.select(
+        "term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf")
     )
     return Bm25Index(counts, terms, totals)
 
@@ -71,11 +70,10 @@ def scores(queries: DataFrame, index: Bm25Index, block_rows: int = SMALL_ROWS) -
     Query terms are shipped to the documents in blocks of a measured size; a
     query table of any length just takes more blocks.
     """
-    norm = F.lit(K1) * (1 - B + B * F.col("length") / F.col("mean_length"))
+    mean_length = index.totals.select("mean_length").scalar()
+    norm = F.lit(K1) * (1 - B + B * F.col("length") / mean_length)
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    postings = index.counts.join(F.broadcast(index.totals)).select(
-        "doc_id", "term", impact.alias("impact")
-    )
+    postings = index.counts.select("doc_id", "term", impact.alias("impact"))
     weights = query_weights(queries, index)
     size = queries.agg(
         F.sum(F.size(words(F.lower(F.coalesce("query", F.lit("")))))).alias("n")

@@ -64,17 +64,22 @@ def _matrix(values) -> np.ndarray:
     return np.array([np.asarray(v, dtype=float) for v in values])
 
 
+def top_positions(line: np.ndarray, top_k: int) -> np.ndarray:
+    """Positions of the highest values, ties by position."""
+    chosen = np.arange(len(line))
+    if len(line) > top_k:
+        limit = np.partition(line, len(line) - top_k)[len(line) - top_k]
+        chosen = np.flatnonzero(line >= limit)
+    return chosen[np.argsort(-line[chosen], kind="stable")][:top_k]
+
+
 def _local_top(query_ids, query_matrix, doc_ids, doc_matrix, top_k: int) -> pd.DataFrame:
     """Best documents of one block for each query, ties by document id."""
     order = np.argsort(doc_ids, kind="stable")
     doc_ids, product = doc_ids[order], (query_matrix @ doc_matrix[order].T).round(TIE_DIGITS)
     out_query, out_doc, out_score = [], [], []
     for row, line in enumerate(product):
-        chosen = np.arange(len(line))
-        if len(line) > top_k:
-            limit = np.partition(line, len(line) - top_k)[len(line) - top_k]
-            chosen = np.flatnonzero(line >= limit)
-        chosen = chosen[np.argsort(-line[chosen], kind="stable")][:top_k]
+        chosen = top_positions(line, top_k)
         out_query.extend([query_ids[row]] * len(chosen))
         out_doc.extend(doc_ids[chosen])
         out_score.extend(line[chosen])
