@@ -101,7 +101,7 @@ def sanitize_box(box: Column) -> Column:
 
 def pad_box(box: Column, margin: float = 6.0) -> Column:
     """Grow a box on all sides without leaving the page."""
-    x, y, w, h = (F.element_at(box, i) for i in (1, 2, 3, 4))
+    x, y, w, h = (F.try_element_at(box, F.lit(i)) for i in (1, 2, 3, 4))
     left, top = F.greatest(F.lit(0.0), x - margin), F.greatest(F.lit(0.0), y - margin)
     width = F.least(F.lit(100.0) - left, w + 2 * margin)
     height = F.least(F.lit(100.0) - top, h + 2 * margin)

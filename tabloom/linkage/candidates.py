@@ -138,7 +138,7 @@ def _combine(query_ids, matrix, top_k: int):
     return run
 
 
-def fallback(lefts: DataFrame, rights: DataFrame, top_k: int = 5, block_rows: int = 512) -> DataFrame:
+def fallback(lefts: DataFrame, rights: DataFrame, top_k: int = 5, block_rows: int = 1024) -> DataFrame:
     """Best left rows over the whole table by 0.70 cosine + 0.30 scaled BM25.
 
     Left rows stay where their words were counted; queries travel to them in

@@ -36,10 +36,14 @@ def block_pairs(
     def every(blocks: int):
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
+    # Both sides may come from one table; new column identities keep them apart.
+    right = right.toDF(*[f"_r_{c}" for c in right.columns])
+    names = [c[3:] for c in right.columns]
+    right_key = f"_r_{right_key}"
     one = left.withColumn("_lb", own(left_key, left_blocks)).withColumn("_rb", every(right_blocks))
     two = right.withColumn("_rb", own(right_key, right_blocks)).withColumn("_lb", every(left_blocks))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return score(a.drop(columns=["_lb", "_rb"]), b.drop(columns=["_lb", "_rb"]))
+        return score(a.drop(columns=["_lb", "_rb"]), b.drop(columns=["_lb", "_rb"]).set_axis(names, axis=1))
 
     return one.groupBy("_lb", "_rb").cogroup(two.groupBy("_lb", "_rb")).applyInPandas(run, schema)
