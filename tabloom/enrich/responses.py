@@ -120,7 +120,10 @@ def split_failed(parsed: DataFrame) -> dict[str, DataFrame]:
 
 def get(v: Column, *path: str) -> Column:
     """A member of a variant object as variant; null when absent."""
-    route = "$" + "".join("['" + p.replace("'", "\\'") + "']" for p in path)
+    route = "$"
+    for name in path:
+        quote = '"' if "'" in name else "'"
+        route += f"[{quote}{name}{quote}]"
     return F.try_variant_get(v, route, "variant")
 
 

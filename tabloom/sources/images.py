@@ -57,7 +57,9 @@ def add_dimensions(
         .option("recursiveFileLookup", str(bool(scan_subfolders)).lower()).load(folder)
     )
     sizes = images.select(
-        F.regexp_replace("image.origin", "^file:(//)?", "").alias("_origin"),
+        # The origin is URL-encoded, where a plus sign stands for itself.
+        F.url_decode(F.replace(F.regexp_replace("image.origin", "^file:(//)?", ""), F.lit("+"), F.lit("%2B")))
+        .alias("_origin"),
         F.col("image.width").alias("width"), F.col("image.height").alias("height"),
     )
     return listed.join(sizes, F.col("file_path") == F.col("_origin"), "left").drop("_origin")

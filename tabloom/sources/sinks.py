@@ -54,9 +54,11 @@ def write_json(df: DataFrame, path: str, orient: str = "records", mode: str = "o
         F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct("*").alias("r")))), lambda x: x["r"]
     )
     packed = df.agg(rows.alias("rows"))
-    packed.select(
-        *[F.transform("rows", lambda r, c=c: r.getField(c)).alias(c) for c in df.columns]
-    ).write.mode(mode).option("ignoreNullFields", False).json(path)
+
+    def cells(name: str):
+        return F.transform("rows", lambda r: r.getField(name)).alias(name)
+
+    packed.select(*[cells(c) for c in df.columns]).write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def export_columns(df: DataFrame, columns=None) -> DataFrame:
