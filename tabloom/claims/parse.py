@@ -40,6 +40,15 @@ def _value_text(v: Column) -> Column:
     )
 
 
+def _free_entry(e: Column) -> Column:
+    prefixed = e["key"].startswith("ts_")
+    name = F.when(prefixed, F.substring(e["key"], 4, 1_000_000)).otherwise(e["key"])
+    return F.struct(
+        prefixed.cast("int").alias("rank"), F.concat(F.lit(TYPE_SPECIFIC), name).alias("field"),
+        e["value"].alias("entry"),
+    )
+
+
 def flatten_claims(parsed: DataFrame) -> DataFrame:
     """One row per grounded claim of a response.
 
@@ -58,20 +67,17 @@ def flatten_claims(parsed: DataFrame) -> DataFrame:
     fixed = F.map_filter(
         F.when(nested, F.col("_fields")).otherwise(_members(F.col("_top"))), lambda k, v: k.isin(*known)
     )
-    free = F.transform_keys(
-        F.map_filter("_free", lambda k, v: ~k.startswith("ts_") & (k != "")),
-        lambda k, v: F.concat(F.lit(TYPE_SPECIFIC), k),
+    # A name with the prefix ranks after the same name without it.
+    entries = F.concat(
+        F.transform(
+            F.map_entries(fixed),
+            lambda e: F.struct(F.lit(0).alias("rank"), e["key"].alias("field"), e["value"].alias("entry")),
+        ),
+        F.coalesce(F.transform(F.map_entries("_free"), _free_entry), F.array()),
+    )
+    rows = parts.select("doc_id", F.inline(entries).alias("_order", "field", "entry")).filter(
+        F.col("field") != TYPE_SPECIFIC
     )
-    # Prefixed names are kept apart: with and without prefix may both occur.
-    prefixed = F.map_filter("_free", lambda k, v: k.startswith("ts_"))
-    sources = [
-        parts.select("doc_id", F.lit(0).alias("_order"), F.explode(fixed).alias("field", "entry")),
-        parts.select("doc_id", F.lit(0).alias("_order"), F.explode(free).alias("field", "entry")),
-        parts.select("doc_id", F.lit(1).alias("_order"), F.explode(prefixed).alias("_name", "entry")).select(
-            "doc_id", "_order",
-            F.concat(F.lit(TYPE_SPECIFIC), F.substring("_name", 4, 1_000_000)).alias("field"), "entry"),
-    ]
-    rows = sources[0].unionAll(sources[1]).unionAll(sources[2])
     taken = rows.filter(_members(F.col("entry")).isNotNull()).select(
         "doc_id", "field", "_order",
         *[get(F.col("entry"), name).alias(f"_{name}") for name in

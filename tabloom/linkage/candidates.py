@@ -22,7 +22,7 @@ from tabloom.linkage.keys import (
 from tabloom.linkage.scoring import block_candidates
 from tabloom.retrieval import bm25, vectors
 from tabloom.retrieval.corpus import build_corpus
-from tabloom.session import small_rows
+from tabloom.session import small_rows, work_partitions
 
 UNIQUE_KEY_SCORE = 0.95
 W_VECTOR, W_KEYWORD = 0.70, 0.30
@@ -153,7 +153,7 @@ def fallback(lefts: DataFrame, rights: DataFrame, top_k: int = 5, block_rows: in
     )
     total = queries.count()
     blocks = max(1, -(-total // block_rows))
-    documents = lefts.select("left_id", "vector").repartition("left_id")
+    documents = lefts.select("left_id", "vector").repartition(work_partitions(lefts.sparkSession), "left_id")
     kinds = (
         rights.schema["right_id"].dataType.simpleString(),
         lefts.schema["left_id"].dataType.simpleString(),

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.session import work_partitions
+
 FEW_KEYS = 64
 SEED = 6
 
@@ -94,10 +96,7 @@ def hits(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
         F.col("text"), F.lit(rf"(?s)(?=(.{{1,{int(shape['m'])}}}))"), F.lit(1)
     )
     # Cutting multiplies the rows about a hundredfold, so spread the texts first.
-    spark = texts.sparkSession
-    width = max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
+    width = work_partitions(texts.sparkSession)
     cuts = (
         texts.repartition(width).select(digest, F.explode(F.array_distinct(windows)).alias("tail"))
         .select("digest", "tail", F.explode(widths).alias("width"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom._columns import col
+from tabloom.session import work_partitions
 
 
 def block_pairs(
@@ -46,4 +47,7 @@ def block_pairs(
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return score(a.drop(columns=["_lb", "_rb"]), b.drop(columns=["_lb", "_rb"]).set_axis(names, axis=1))
 
+    # A fixed partition count: merging by input size would starve this step of tasks.
+    tasks = work_partitions(left.sparkSession)
+    one, two = (side.repartition(tasks, "_lb", "_rb") for side in (one, two))
     return one.groupBy("_lb", "_rb").cogroup(two.groupBy("_lb", "_rb")).applyInPandas(run, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom._columns import words
-from tabloom.session import SMALL_ROWS
+from tabloom.session import SMALL_ROWS, checkpointed, work_partitions
 
 # Parameters of the Okapi formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -23,7 +23,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 class Bm25Index:
     """Term counts per document and weights per term.
 
-    Both can be written to parquet and read again instead of being rebuilt.
+    The vocabulary and the totals are written once while building; the counts
+    are computed where they are used, or can be written to parquet as well.
     """
 
     counts: DataFrame  # doc_id, length, term, tf; placed by doc_id
@@ -32,18 +33,20 @@ class Bm25Index:
 
 
 def build_index(corpus: DataFrame) -> Bm25Index:
-    tokens = words(F.lower(F.coalesce("text", F.lit(""))))
-    placed = corpus.select("doc_id", tokens.alias("tokens")).repartition("doc_id")
+    # Texts are placed first and cut into words there, by all tasks.
+    placed = corpus.select("doc_id", "text").repartition(work_partitions(corpus.sparkSession), "doc_id")
+    placed = placed.select("doc_id", words(F.lower(F.coalesce("text", F.lit("")))).alias("tokens"))
     counts = (
         placed.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
         .groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
-    totals = corpus.select(F.size(tokens).alias("n")).agg(
+    totals = placed.select("doc_id", F.size("tokens").alias("n")).agg(
         F.count(F.lit(1)).alias("docs"), (F.sum("n") / F.count(F.lit(1))).alias("mean_length")
     )
+    totals = checkpointed(totals)
     seen = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     docs = totals.select("docs").scalar()
-    raw = seen.select(
+    raw = checkpointed(seen).select(
         "term", "df", (F.log(docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")
     )
     floor = raw.agg(F.avg("raw") * EPSILON).scalar()

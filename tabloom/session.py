@@ -32,6 +32,14 @@ def build_session(app_name: str = "tabloom", master: str | None = None, **conf)
     return builder.getOrCreate()
 
 
+def work_partitions(spark: SparkSession) -> int:
+    """Partitions for steps that multiply their input; adaptive merging by input
+    size would leave such steps with too few tasks."""
+    return max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 

@@ -69,7 +69,7 @@ def main(argv):
     folder = f"/root/testdata/{argv[0] if argv else 'sf0.01'}"
     wanted = argv[1:]
     spark = build_session("check", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false"})
+        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(folder), []
     statements = queries.all_sql()
