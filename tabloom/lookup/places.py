@@ -74,8 +74,8 @@ def _match_large(
         F.md5("text").alias("digest"), F.lit(STAGE_EXACT).alias("stage"), F.length("text").alias("n"), "value"
     )
     parts = cells.select(
-        F.md5("text").alias("digest"), F.explode(F.split("text", PART_SEPARATORS)).alias("part")
-    ).select("digest", strip(F.col("part")).alias("key"))
+        F.md5("text").alias("digest"), F.split("text", PART_SEPARATORS).alias("parts")
+    ).select("digest", F.explode("parts").alias("part")).select("digest", strip(F.col("part")).alias("key"))
     part = parts.join(known, "key").select(
         "digest", F.lit(STAGE_PART).alias("stage"), F.length("key").alias("n"), "value"
     )

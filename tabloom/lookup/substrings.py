@@ -98,7 +98,9 @@ def hits(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     # Cutting multiplies the rows about a hundredfold, so spread the texts first.
     width = work_partitions(texts.sparkSession)
     cuts = (
-        texts.repartition(width).select(digest, F.explode(F.array_distinct(windows)).alias("tail"))
+        texts.repartition(width)
+        .select(digest, "text")
+        .select("digest", F.explode(F.array_distinct(windows)).alias("tail"))
         .select("digest", "tail", F.explode(widths).alias("width"))
         .filter(F.length("tail") >= F.col("width"))
         .withColumn("seed", F.expr("substring(tail, 1, width)"))

@@ -33,15 +33,17 @@ class Bm25Index:
 
 
 def build_index(corpus: DataFrame) -> Bm25Index:
-    # Texts are placed first and cut into words there, by all tasks.
+    # Texts are placed first and cut into words there, by all tasks. The length
+    # is a column of its own before the words are spread, so it is computed once.
+    tokens = words(F.lower(F.coalesce("text", F.lit(""))))
     placed = corpus.select("doc_id", "text").repartition(work_partitions(corpus.sparkSession), "doc_id")
-    placed = placed.select("doc_id", words(F.lower(F.coalesce("text", F.lit("")))).alias("tokens"))
+    sized = placed.select("doc_id", F.size(tokens).alias("length"), "text")
     counts = (
-        placed.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+        sized.select("doc_id", "length", F.explode(tokens).alias("term"))
         .groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
-    totals = placed.select("doc_id", F.size("tokens").alias("n")).agg(
-        F.count(F.lit(1)).alias("docs"), (F.sum("n") / F.count(F.lit(1))).alias("mean_length")
+    totals = sized.agg(
+        F.count(F.lit(1)).alias("docs"), (F.sum("length") / F.count(F.lit(1))).alias("mean_length")
     )
     totals = checkpointed(totals)
     seen = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
