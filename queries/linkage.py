@@ -60,7 +60,8 @@ def _catalogue(spark, sf):
     number = 100 + F.col("p_partkey") % 301
     return part.select(
         "p_partkey", F.concat_ws(" ", "p_name", "p_type", F.concat(F.lit("sheet "), F.col("p_size") + 100)).alias("TITLE"),
-        F.concat(number, F.lit(" a "), 1900 + F.col("p_partkey") % 3).alias("Call Number"),
+        F.concat(number, F.when(F.col("p_size") % 5 == 0, " b ").otherwise(" a "), 1900 + F.col("p_partkey") % 3)
+        .alias("Call Number"),
         F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("by "), "p_brand")).alias("Description "))
 
 
@@ -73,7 +74,7 @@ def _scans(spark, sf):
     return customer.select(
         "c_custkey",
         F.when(F.col("c_custkey") % 5 == 0, F.concat(title, F.lit(".jpg"))).otherwise(
-            F.concat(number, F.lit("a "), 1900 + F.col("c_custkey") % 4, F.lit(" "), title, F.lit(".tif"))).alias("filename"),
+            F.concat(number, F.when(F.col("c_custkey") % 7 == 0, "b ").otherwise("a "), 1900 + F.col("c_custkey") % 4, F.lit(" "), title, F.lit(".tif"))).alias("filename"),
         F.concat(F.lit("/scans/"), "c_custkey").alias("file_path"),
         F.when(F.col("c_custkey") % 2 == 0, F.concat(title, F.lit(", Brand#3"))).alias("text_visible"),
         F.col("c_mktsegment").alias("visual_description"))
@@ -82,7 +83,7 @@ def _scans(spark, sf):
 @register(
     "link_key_sizes",
     """
-    SELECT (100 + p_partkey % 301) || ' a ' || (1900 + p_partkey % 3) AS key, count(*) AS size, min(p_partkey) AS one_left,
+    SELECT (100 + p_partkey % 301) || CASE WHEN p_size % 5 = 0 THEN ' b ' ELSE ' a ' END || (1900 + p_partkey % 3) AS key, count(*) AS size, min(p_partkey) AS one_left,
            CASE WHEN count(DISTINCT substr(lower(p_name || ' ' || p_type || ' sheet ' || (p_size + 100)), 1, 50)) <= 1 THEN 1 ELSE 0 END
                AS same_title
     FROM part GROUP BY 1
@@ -96,8 +97,8 @@ def link_key_sizes(spark, sf):
 @register(
     "link_unique_keys",
     """
-    WITH l AS (SELECT (100 + p_partkey % 301) || ' a ' || (1900 + p_partkey % 3) AS key, count(*) AS n, min(p_partkey) AS p FROM part GROUP BY 1),
-    r AS (SELECT c_custkey, (100 + c_custkey % 301) || ' a ' || (1900 + c_custkey % 4) AS key FROM customer WHERE c_custkey % 5 <> 0)
+    WITH l AS (SELECT (100 + p_partkey % 301) || CASE WHEN p_size % 5 = 0 THEN ' b ' ELSE ' a ' END || (1900 + p_partkey % 3) AS key, count(*) AS n, min(p_partkey) AS p FROM part GROUP BY 1),
+    r AS (SELECT c_custkey, (100 + c_custkey % 301) || CASE WHEN c_custkey % 7 = 0 THEN ' b ' ELSE ' a ' END || (1900 + c_custkey % 4) AS key FROM customer WHERE c_custkey % 5 <> 0)
     SELECT c_custkey AS right_id, p AS left_id, 0.95::DOUBLE AS score FROM r JOIN l USING (key) WHERE n = 1
     """,
 )

@@ -56,7 +56,7 @@ def match_area(
         hit = F.coalesce(
             F.try_element_at(known, text), part, substrings.longest_hit(text, long_names)
         )
-        chosen = F.when((text != "") & hit.isNotNull(), hit).otherwise(chosen)
+        chosen = F.coalesce(F.when(text != "", hit), chosen)
     return df.withColumn(output_column, chosen)
 
 
