@@ -23,13 +23,14 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 class Bm25Index:
     """Term counts per document and weights per term.
 
-    The vocabulary and the totals are written once while building; the counts
+    The vocabulary is written once while building, the totals are one row; the counts
     are computed where they are used, or can be written to parquet as well.
     """
 
     counts: DataFrame  # doc_id, length, term, tf; placed by doc_id
     terms: DataFrame  # term, df, idf
-    totals: DataFrame  # one row: docs, mean_length
+    docs: int
+    mean_length: float
 
 
 def build_index(corpus: DataFrame) -> Bm25Index:
@@ -42,20 +43,17 @@ def build_index(corpus: DataFrame) -> Bm25Index:
         sized.select("doc_id", "length", F.explode(tokens).alias("term"))
         .groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
-    totals = sized.agg(
-        F.count(F.lit(1)).alias("docs"), (F.sum("length") / F.count(F.lit(1))).alias("mean_length")
-    )
-    totals = checkpointed(totals)
+    totals = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length")).first()
+    docs, mean_length = totals["docs"], totals["mean_length"] or 1.0
     seen = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    docs = totals.select("docs").scalar()
     raw = checkpointed(seen).select(
-        "term", "df", (F.log(docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")
+        "term", "df", (F.log(F.lit(docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")
     )
     floor = raw.agg(F.avg("raw") * EPSILON).scalar()
     terms = raw.select(
         "term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf")
     )
-    return Bm25Index(counts, terms, totals)
+    return Bm25Index(counts, terms, docs, mean_length)
 
 
 def query_weights(queries: DataFrame, index: Bm25Index) -> DataFrame:
@@ -75,8 +73,7 @@ def scores(queries: DataFrame, index: Bm25Index, block_rows: int = SMALL_ROWS) -
     Query terms are shipped to the documents in blocks of a measured size; a
     query table of any length just takes more blocks.
     """
-    mean_length = index.totals.select("mean_length").scalar()
-    norm = F.lit(K1) * (1 - B + B * F.col("length") / mean_length)
+    norm = F.lit(K1) * (1 - B + B * F.col("length") / F.lit(index.mean_length))
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     postings = index.counts.select("doc_id", "term", impact.alias("impact"))
     weights = query_weights(queries, index)
