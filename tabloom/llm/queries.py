@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import mixing
+from tabloom.llm import mixing, packing
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,3 +27,8 @@ def _register(name: str, statement: str | None = None):
 @_register("op9_mix_sources", mixing.SQL)
 def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents")).drop("copies")
+
+
+@_register("op6_pack_best_fit")
+def op6_pack_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed_documents(_table(spark, folder, "documents"))
