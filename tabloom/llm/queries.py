@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import mixing, packing
+from tabloom.llm import line_dedup, mixing, packing
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,3 +32,8 @@ def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op6_pack_best_fit")
 def op6_pack_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(_table(spark, folder, "documents"))
+
+
+@_register("op8_line_dedup", line_dedup.SQL)
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, folder, "documents")).drop("kept_text")
