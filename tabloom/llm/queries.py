@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import line_dedup, mixing, packing
+from tabloom.llm import line_dedup, minhash, mixing, packing
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,3 +37,8 @@ def op6_pack_best_fit(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op8_line_dedup", line_dedup.SQL)
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, folder, "documents")).drop("kept_text")
+
+
+@_register("op1_minhash_near_dedup")
+def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"), k=3, num=85, den=100)
