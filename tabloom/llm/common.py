@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +44,38 @@ def word_count(text: Column) -> Column:
 def spread(n_rows: int, per_group: int) -> int:
     """How many groups ``n_rows`` are dealt to so that each stays near ``per_group`` rows."""
     return max(1, -(-n_rows // per_group))
+
+
+def runs(batches, keys: int):
+    """Cut sorted record batches into tables of equal values in the first ``keys`` columns; a run may cross batches."""
+    open_parts: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            key = tuple(c[a] for c in columns)
+            if key != last and open_parts:
+                yield pa.Table.from_batches(open_parts)
+                open_parts = []
+            open_parts.append(batch.slice(a, b - a))
+            last = key
+    if open_parts:
+        yield pa.Table.from_batches(open_parts)
+
+
+def sound_vector(vector: Column) -> Column:
+    """Neither null nor zero nor with a null, NaN or infinite component."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
+def vector_matrix(column) -> np.ndarray:
+    """Rows of a list column, all of one length and without nulls, in double precision."""
+    flat = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)

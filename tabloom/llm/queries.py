@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import line_dedup, minhash, mixing, packing
+from tabloom.llm import lattice, line_dedup, minhash, mixing, packing
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -42,3 +42,8 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op1_minhash_near_dedup")
 def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"), k=3, num=85, den=100)
+
+
+@_register("op3_lattice_near_dedup")
+def op3_lattice_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.near_vectors(_table(spark, folder, "embeddings"), threshold=0.9)
