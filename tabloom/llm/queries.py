@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import lattice, line_dedup, minhash, mixing, packing
+from tabloom.llm import lattice, line_dedup, minhash, mixing, multi_index, packing
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -47,3 +47,8 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op3_lattice_near_dedup")
 def op3_lattice_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lattice.near_vectors(_table(spark, folder, "embeddings"), threshold=0.9)
+
+
+@_register("op5_multi_index_search")
+def op5_multi_index_search(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.search(_table(spark, folder, "embeddings"), every=20, k=20)
