@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import lattice, line_dedup, minhash, mixing, multi_index, packing
+from tabloom.llm import lattice, line_dedup, minhash, mixing, multi_index, packing, subword_lm
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -52,3 +52,8 @@ def op3_lattice_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op5_multi_index_search")
 def op5_multi_index_search(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.search(_table(spark, folder, "embeddings"), every=20, k=20)
+
+
+@_register("op7_subword_lattice_score")
+def op7_subword_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
+    return subword_lm.score(_table(spark, folder, "documents"))
