@@ -1,7 +1,8 @@
 """Language-model scores of texts from a subword lattice, learned from the corpus.
 
 The units are the pieces of an existing vocabulary. Their weights start from the scores that come with it
-and are set by how often each piece occurs in the words of all training documents. A word's probability
+and are set by how many different words of the training documents hold each piece: the lattice is
+there for words that training has not seen, and those resemble its distinct words. A word's probability
 is the sum over all its segmentations, by a forward recursion in log space; words that training holds have an
 arc of their own across the lattice, discounted by the share that training leaves to new words.
 A document's probability is the marginal over the documents' own word distributions around these (a
@@ -32,7 +33,7 @@ from tabloom.llm.common import stored
 #: Words sent to every task with their counts.
 FREQUENT = 300_000
 #: Weight of the corpus-wide distribution against the words a text has used before, in words.
-PRIOR = 400.0
+PRIOR = 1000.0
 #: Weight of the vocabulary's own scores against the pieces counted, in pieces.
 SCORE_WEIGHT = 1000.0
 _HELD = 500_000
@@ -131,7 +132,7 @@ def word_counts(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
 
 
 def piece_counts(counts: DataFrame, path: str) -> np.ndarray:
-    """How often each piece occurs in the training words, cut by the existing vocabulary; one number per piece."""
+    """How often each piece occurs in the distinct training words, cut by the existing vocabulary; one number per piece."""
     schema = pa.schema([("piece", pa.int32()), ("n", pa.float64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,13 +141,12 @@ def piece_counts(counts: DataFrame, path: str) -> np.ndarray:
         for batch in batches:
             words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
             ids = sp.encode(words, num_threads=1)
-            weights = np.repeat(batch.column(1).to_numpy(), [len(i) for i in ids])
-            flat = np.fromiter((i for own in ids for i in own), np.int64, len(weights))
-            total += np.bincount(flat, weights, minlength=len(total))
+            flat = np.fromiter((i for own in ids for i in own), np.int64)
+            total += np.bincount(flat, minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], schema=schema)
 
-    rows = counts.select("word", "c").mapInArrow(cut, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+    rows = counts.select("word").mapInArrow(cut, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
     out = np.zeros(len(_pieces(path)[0]))
     for r in rows.collect():
         out[r["piece"]] = round(r["n"])
