@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import lattice, line_dedup, minhash, mixing, multi_index, packing, subword_lm
+from tabloom.llm import lattice, line_dedup, minhash, mixing, multi_index, packing, quality, subword_lm
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -57,3 +57,8 @@ def op5_multi_index_search(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op7_subword_lattice_score")
 def op7_subword_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
     return subword_lm.score(_table(spark, folder, "documents"))
+
+
+@_register("op2_quality_posterior")
+def op2_quality_posterior(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
