@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import lattice, line_dedup, minhash, mixing, multi_index, packing, quality, subword_lm
+from tabloom.llm import html_text, lattice, line_dedup, minhash, mixing, multi_index, packing, quality, subword_lm
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -62,3 +62,8 @@ def op7_subword_lattice_score(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op2_quality_posterior")
 def op2_quality_posterior(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_register("op10_html_text")
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(_table(spark, folder, "pages"))
