@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import html_text, lattice, line_dedup, minhash, mixing, multi_index, packing, quality, subword_lm
+from tabloom.llm import html_text, lattice, line_dedup, minhash, mixing, multi_index, packing, quality, repeats, subword_lm
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -67,3 +67,8 @@ def op2_quality_posterior(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op10_html_text")
 def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(_table(spark, folder, "pages"))
+
+
+@_register("op4_repeated_passages")
+def op4_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, folder, "documents"))
