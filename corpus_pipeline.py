@@ -1,18 +1,49 @@
-"""The corpus pipeline: five stages over ``documents``, each written and read again by ``run``."""
+"""The corpus pipeline: from ``documents`` to packed training sequences in five stages.
+
+Each stage is one operator of ``tabloom.llm``; its result is written and read again as the next one's input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import mixing
+from tabloom.llm import line_dedup, minhash, mixing, packing, quality
 from tabloom.llm.common import stored
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on ``labels``, does not reject."""
+    return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents without the lines that a smaller document has too."""
+    return line_dedup.deduplicated(docs)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    return minhash.representatives(docs, k=5, num=80, den=100)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("mix sources", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document: its place in a sequence of at most 1024 tokens."""
+    return packing.packed_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("line dedup", drop_repeated_lines),
+    ("near-duplicates", keep_one_of_near_copies),
+    ("mix sources", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+#: The classifier, shingles and tokens have no SQL form; the tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 

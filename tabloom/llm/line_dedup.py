@@ -21,9 +21,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom._columns import col
 from tabloom.llm import cuckoo
 from tabloom.llm.common import spread, stored
 
@@ -217,10 +218,10 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     )
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``documents`` with the remaining texts; n_chars is counted anew, other columns stay."""
-    drops = LineIndex.of(docs).drops().withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(drops, _doc_id(docs) == F.col("_doc"), "left")
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``documents`` with the remaining texts; n_chars is counted anew, other columns stay. A null text stays null."""
+    drops = LineIndex.of(docs).drops()
+    whole = docs.select(F.struct(*map(col, docs.columns)).alias("own"), _doc_id(docs))
 
     @F.pandas_udf("string")
     def keep(text: pd.Series, keys: pd.Series) -> pd.Series:
@@ -232,10 +233,11 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    with_text = joined.withColumn("text", keep("text", "keys"))
+    joined = whole.join(drops, "doc_id", "left").select("own", keep("own.text", "keys").alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        with_text = with_text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return with_text.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[new.get(c, F.col("own").getField(c)).alias(c) for c in docs.columns])
 
 
 SQL = """

@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom._columns import col
 from tabloom.llm.common import stored, word_count
 from tabloom.session import broadcast_if_small
 
@@ -141,11 +142,11 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: i
 
     Rows of one id take the same number of copies, the largest found for the id.
     """
-    taken = mix(docs, weights, most).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
-        *[docs[c] for c in docs.columns]
-    )
+    taken = mix(docs, weights, most).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    whole = docs.select(F.struct(*map(col, docs.columns)).alias("own"), F.col("doc_id").alias("own_id"))
+    joined = whole.join(taken, F.col("own_id").eqNullSafe(F.col("doc_id")))
+    copied = joined.select("own", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return copied.select(*[F.col("own").getField(c).alias(c) for c in docs.columns])
 
 
 #: The same mix in SQL over ``documents``; the sample is drawn with plain windows.
