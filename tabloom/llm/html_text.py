@@ -290,7 +290,9 @@ class Page:
             self.unseen -= 1
             return
         if name in ("pre", "textarea", "xmp"):
-            self._keep_line()
+            if self.flows[-1].inline != [""]:
+                self._keep_line()
+            self.flows[-1].inline = []
             self.preformatted -= 1
         elif name == "li":
             own = self.flows.pop()

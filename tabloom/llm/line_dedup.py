@@ -92,7 +92,7 @@ def _load(row) -> cuckoo.CuckooFilter:
 
 
 def build_filters(keys: DataFrame, shards: int) -> DataFrame:
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         f = cuckoo.CuckooFilter()
         f.insert(pdf["high"].to_numpy(), pdf["low"].to_numpy())
         return _filter_row(key[0], f)
@@ -103,7 +103,7 @@ def build_filters(keys: DataFrame, shards: int) -> DataFrame:
 def adjust_filters(filters: DataFrame, became: DataFrame, ceased: DataFrame, shards: int) -> DataFrame:
     """Insert keys that became repeated and delete those that ceased to be, shard by shard."""
 
-    def adjust(key, old: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
+    def adjust(key: tuple, old: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
         f = _load(old.iloc[0]) if len(old) else cuckoo.CuckooFilter()
         gone, new = changes[~changes["add"]], changes[changes["add"]]
         f.delete(gone["high"].to_numpy(), gone["low"].to_numpy())

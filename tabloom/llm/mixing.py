@@ -3,8 +3,9 @@
 A source with target T and S words gets ``whole = floor(T / S)`` certain copies of every
 document. The rest of the target is a sample of fixed size: with inclusion probability
 ``p`` and a uniform number ``u`` from the document's id, documents are ranked by
-``(u / (1 - u)) / (p / (1 - p))`` and taken in that order until the rest is full; what the
-last documents leave open is topped up by the largest further documents that fit.
+``(u / (1 - u)) / (p / (1 - p))`` and taken in that order while they fit. A document too large for
+what is left is passed over and the draw goes on behind it, a few times; what then is left open is topped up
+by the largest documents that fit.
 
 The order is cut into buckets. Sums per (source, bucket) are taken first, and only the one
 bucket of a source in which its sample ends is ordered row by row, so that a source with a
@@ -23,7 +24,8 @@ from tabloom.llm.common import stored, word_count
 from tabloom.session import broadcast_if_small
 
 BUCKETS = 4096
-TOP_UPS = 4
+DRAWS = 3
+TOP_UPS = 3
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -63,6 +65,30 @@ def _uniform(key: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(2**52)
 
 
+def _gaps(drawn: DataFrame) -> DataFrame:
+    """What is left of each source's sample."""
+    gap = F.max("rest") - F.sum(F.col("size") * F.col("extra"))
+    return drawn.where("q IS NOT NULL").groupBy("sid").agg(gap.alias("gap"))
+
+
+def _draw(drawn: DataFrame) -> DataFrame:
+    """Take documents that fit into the gap of their source in the order of their rank, until one does not."""
+    known = drawn.join(broadcast_if_small(_gaps(drawn)), "sid", "left")
+    fits = (F.col("extra") == 0) & F.col("q").isNotNull() & (F.col("size") <= F.col("gap"))
+    known = known.withColumn("fits", F.coalesce(fits, F.lit(False)))
+    free = known.where("fits")
+    order = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = free.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
+    placed = free.join(sums.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0))), ["sid", "bucket"])
+    inside = F.col("before") + F.col("words") <= F.col("gap")
+    within = Window.partitionBy("sid", "bucket").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    edge = placed.where(~inside & (F.col("before") <= F.col("gap")))
+    edge = edge.withColumn("extra", (F.col("before") + F.sum("size").over(within) <= F.col("gap")).cast("int"))
+    others = placed.where(inside | (F.col("before") > F.col("gap"))).withColumn("extra", inside.cast("int"))
+    parts = [edge, others, known.where("NOT fits")]
+    return parts[0].select(drawn.columns).unionByName(parts[1].select(drawn.columns)).unionByName(parts[2].select(drawn.columns))
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[int] = (1, 2, 3),
@@ -98,30 +124,12 @@ def mix(
         .withColumn("bucket", F.floor(F.col("q") / (1 + F.col("q")) * BUCKETS))
         .drop("ratio")
     )
-    in_play = ranked.where(F.col("q").isNotNull())
-    sums = in_play.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0)))
-    placed = in_play.join(sums, ["sid", "bucket"])
-    inside = F.col("before") + F.col("words") <= F.col("rest")
-    edge = placed.where(~inside & (F.col("before") <= F.col("rest")))
-    in_edge = Window.partitionBy("sid", "bucket").orderBy("q", "doc_id", "size").rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    edge = edge.withColumn("extra", (F.col("before") + F.sum("size").over(in_edge) <= F.col("rest")).cast("int"))
-    others = placed.where(inside | (F.col("before") > F.col("rest"))).withColumn("extra", inside.cast("int"))
-    columns = ["sid", "doc_id", "size", "source_size", "target", "whole", "rest", "q", "extra"]
-    drawn = stored(
-        edge.select(columns).unionByName(others.select(columns)).unionByName(
-            ranked.where(F.col("q").isNull()).withColumn("extra", F.lit(0)).select(columns)
-        )
-    )
+    drawn = ranked.withColumn("extra", F.lit(0))
+    for _ in range(DRAWS):
+        drawn = stored(_draw(drawn))
     copies = F.col("whole") + F.col("extra")
     for _ in range(TOP_UPS):
-        gaps = drawn.where("q is not null").groupBy("sid").agg(
-            (F.max("rest") - F.sum(F.col("size") * F.col("extra"))).alias("gap")
-        )
-        gaps = broadcast_if_small(gaps)
+        gaps = broadcast_if_small(_gaps(drawn))
         free = drawn.where((F.col("extra") == 0) & F.col("q").isNotNull())
         best = (
             free.join(gaps, "sid").where(F.col("size") <= F.col("gap")).groupBy("sid")
@@ -165,21 +173,28 @@ r1 AS (SELECT sid, doc_id, size, source_size, target, CASE WHEN source_size > 0
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
 r2 AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS share, target - floor(ratio) * source_size AS rest FROM r1),
 r3 AS (SELECT *, CASE WHEN size > 0 AND share > 0 AND share < 1 THEN u / (1 - u) / (share / (1 - share)) END AS q FROM r2),
-x0 AS MATERIALIZED (SELECT *, CASE WHEN q IS NOT NULL AND sum(size) OVER (PARTITION BY sid ORDER BY q NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS extra FROM r3)
+x0 AS (SELECT *, 0 AS extra FROM r3)
 """
 
 
 def _sql() -> str:
     steps = [SQL_HEAD.rstrip()]
-    for i in range(TOP_UPS):
+    for i in range(DRAWS + TOP_UPS):
+        steps.append(f"g{i} AS (SELECT sid, max(rest) - sum(size * extra) AS gap FROM x{i} WHERE q IS NOT NULL GROUP BY sid)")
+        fits = "extra = 0 AND q IS NOT NULL AND size <= gap"
+        if i < DRAWS:
+            take = f"""{fits} AND sum(CASE WHEN {fits} THEN size ELSE 0 END) OVER
+  (PARTITION BY sid ORDER BY q NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) <= gap"""
+            steps.append(f"""x{i + 1} AS MATERIALIZED (SELECT * EXCLUDE gap REPLACE (CASE WHEN {take} THEN 1 ELSE extra END AS extra)
+  FROM x{i} LEFT JOIN g{i} USING (sid))""")
+            continue
         steps.append(
-            f"""g{i} AS (SELECT sid, max(rest) - sum(size * extra) AS gap FROM x{i} WHERE q IS NOT NULL GROUP BY sid),
-b{i} AS (SELECT sid, doc_id FROM x{i} JOIN g{i} USING (sid) WHERE extra = 0 AND q IS NOT NULL AND size <= gap
+            f"""b{i} AS (SELECT sid, doc_id FROM x{i} JOIN g{i} USING (sid) WHERE {fits}
   QUALIFY row_number() OVER (PARTITION BY sid ORDER BY size DESC, q, doc_id) = 1),
 x{i + 1} AS MATERIALIZED (SELECT x.* REPLACE (CASE WHEN b.doc_id IS NULL THEN extra ELSE 1 END AS extra) FROM x{i} x LEFT JOIN b{i} b ON x.sid = b.sid AND x.doc_id = b.doc_id)"""
         )
     return ",\n".join(steps) + (
-        f"\nSELECT doc_id, size, source_size, target, ((whole + extra) * size)::BIGINT AS taken FROM x{TOP_UPS}"
+        f"\nSELECT doc_id, size, source_size, target, ((whole + extra) * size)::BIGINT AS taken FROM x{DRAWS + TOP_UPS}"
     )
 
 
