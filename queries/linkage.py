@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from queries.common import registry, sql_words, table, with_port
 from queries.retrieval import BM25_SQL, _HASHED_SQL
 from tabloom.linkage import candidates as cand
 from tabloom.linkage import keys, ports
-from tabloom.linkage.scoring import block_candidates
+from tabloom.linkage.scoring import STOP_WORDS, block_candidates
 from tabloom.retrieval import bm25, vectors
 from tabloom.session import checkpointed
 
@@ -114,12 +115,87 @@ def _prepared(spark, sf):
     return checkpointed(lefts), checkpointed(rights)
 
 
-@register("link_block_scores")
+# Scans named after their key alone have no title, so the difflib part is 0 and the score is plain arithmetic:
+# 0.40 + (cosine * 0.35 + shared words * 0.25) + shared numbers * 0.15.
+_SHEETS = """
+    WITH l AS (SELECT p_partkey AS left_id, (100 + p_partkey % 97) || CASE WHEN p_size % 5 = 0 THEN ' b ' ELSE ' a ' END || (1900 + p_partkey % 3) AS key,
+               p_name || ' ' || p_type || ' sheet ' || (p_size + 100) AS title, CASE WHEN p_size % 2 = 0 THEN 'by ' || p_brand ELSE '' END AS note FROM part),
+    r AS (SELECT p_partkey AS right_id, l.key AS key, CASE WHEN p_partkey % 4 = 3 THEN '' ELSE p_name || ' ' || p_brand || ', sheet ' || (p_size + 100 + p_partkey % 2) END AS seen
+          FROM part JOIN l ON p_partkey = left_id),
+    lt AS (SELECT *, {words_l} AS toks, list_distinct(regexp_extract_all(title, '\\b(\\d{{2,4}})\\b', 1)) AS nums FROM l),
+    rt AS (SELECT *, {words_r} AS toks,
+           list_filter(list_distinct(regexp_extract_all(seen, '\\b(\\d{{2,4}})\\b', 1)), lambda n: NOT regexp_full_match(n, '(18|19|20)\\d{{2}}')) AS nums FROM r),
+    parts AS (SELECT right_id, left_id, lt.key, {near} AS near,
+              CASE WHEN len(rt.toks) > 0 THEN len(list_intersect(rt.toks, lt.toks))::DOUBLE / len(rt.toks) ELSE 0 END AS txt,
+              CASE WHEN len(rt.nums) > 0 THEN 0.15::DOUBLE * len(list_intersect(rt.nums, lt.nums)) / len(rt.nums) ELSE 0 END AS bonus
+              FROM rt JOIN lt USING (key)),
+    scored AS (SELECT right_id, left_id, key, 0.40::DOUBLE + (near * 0.35::DOUBLE + txt * 0.25::DOUBLE) + bonus AS score,
+               printf('CN+disambig (sem=%.2f, txt=%.2f', near, txt) || CASE WHEN bonus > 0 THEN printf(', id=%.3f)', bonus) ELSE ')' END AS reason FROM parts),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY score DESC, left_id) AS place,
+               max(score) OVER (PARTITION BY right_id) AS top FROM scored),
+    kept AS (SELECT * FROM placed WHERE place <= 2 OR top - score <= 0.3::DOUBLE)
+"""
+_TITLE_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({x}), '[\\s,;:.()]+'), lambda w: length(w) >= 2 AND w NOT IN ({stop})))"
+_TITLE_STOP = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
+
+
+def _sheets_sql(near: str) -> str:
+    words = lambda x: _TITLE_WORDS.format(x=x, stop=_TITLE_STOP)
+    return _SHEETS.format(words_l=words("title || ' ' || note"), words_r=words("seen"), near=near)
+
+
+def _sheets(spark, sf):
+    """Catalogue rows that share call numbers, and a scan for each that is named after it."""
+    part = table(spark, sf, "part")
+    key = F.concat(
+        100 + F.col("p_partkey") % 97, F.when(F.col("p_size") % 5 == 0, " b ").otherwise(" a "), 1900 + F.col("p_partkey") % 3)
+    left = part.select(
+        "p_partkey", F.concat_ws(" ", "p_name", "p_type", F.concat(F.lit("sheet "), F.col("p_size") + 100)).alias("TITLE"),
+        key.alias("Call Number"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("by "), "p_brand")).alias("Description "))
+    seen = F.concat(
+        F.concat_ws(" ", "p_name", "p_brand"), F.lit(", sheet "), (F.col("p_size") + 100 + F.col("p_partkey") % 2).cast("string"))
+    right = part.select(
+        F.col("p_partkey").alias("scan"), F.concat(key, F.lit(".tif")).alias("filename"),
+        F.when(F.col("p_partkey") % 4 != 3, seen).alias("text_visible"))
+    return left, right
+
+
+@register(
+    "link_block_scores",
+    _sheets_sql("CASE WHEN left_id % 2 = right_id % 2 THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END")
+    + """SELECT right_id, left_id, round(score, 6) AS score, reason,
+         (count(*) OVER (PARTITION BY right_id) < (SELECT count(*) FROM scored s WHERE s.right_id = kept.right_id))::INT AS cut FROM kept""",
+)
 def link_block_scores(spark, sf):
-    """Scores inside shared keys (difflib has no SQL form; checked by brute force in the tests)."""
-    lefts, rights = _prepared(spark, sf)
-    found = block_candidates(lefts.filter("key is not null"), rights.filter("key is not null"), 0.3)
-    return found.select("right_id", "left_id", F.round("score", 6).alias("score"), "reason", "cut")
+    """Scores of all pairs within shared keys."""
+    left, right = _sheets(spark, sf)
+    lefts = cand.prepare_left(left, "p_partkey", ["TITLE"], vectors.hashed_embedder)
+    rights = cand.prepare_right(right, "scan", ["text_visible"], vectors.hashed_embedder)
+    turn = lambda c: F.when(F.col(c) % 2 == 0, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.6), F.lit(0.8)))
+    found = block_candidates(lefts.withColumn("vector", turn("left_id")), rights.withColumn("vector", turn("right_id")), 0.3)
+    return found.select("right_id", "left_id", F.round("score", 6).alias("score"), "reason", F.col("cut").cast("int").alias("cut"))
+
+
+def _walk(candidates: str) -> str:
+    """The second look at ambiguous rows, one after the other in the order of their ids. ``candidates`` names a table with
+    all candidates (right_id, left_id, score, reason), ``decided`` the decisions (right_id, left_id, score, status)."""
+    return f"""
+    settled AS (SELECT right_id, left_id, score FROM decided WHERE status = 'matched'),
+    amb AS (SELECT right_id, score AS top, row_number() OVER (ORDER BY right_id) AS i FROM decided WHERE status = 'ambiguous'),
+    cl AS MATERIALIZED (SELECT a.i, a.right_id, a.top, list(struct_pack(l := c.left_id, s := c.score, r := c.reason) ORDER BY c.score DESC, c.left_id)
+           FILTER (c.left_id IS NOT NULL) AS cs FROM amb a LEFT JOIN (SELECT * FROM {candidates} WHERE left_id NOT IN (SELECT left_id FROM settled)) c
+           USING (right_id) GROUP BY a.i, a.right_id, a.top),
+    walk(i, right_id, taken, near, ok) AS (
+        SELECT 0::BIGINT, NULL::BIGINT, []::BIGINT[], NULL::STRUCT(l BIGINT, s DOUBLE, r VARCHAR)[], false
+        UNION ALL
+        SELECT i, right_id, CASE WHEN ok THEN list_append(taken, near[1].l) ELSE taken END, near, ok FROM (
+            SELECT *, coalesce(near[1].s >= 0.7::DOUBLE AND near[1].s - coalesce(near[2].s, 0) >= 0.15::DOUBLE, false) AS ok FROM (
+                SELECT i, right_id, taken, list_filter(open, lambda c: top - c.s <= 0.3::DOUBLE OR c.l = open[1].l) AS near FROM (
+                    SELECT a.i, a.right_id, a.top, w.taken, list_filter(coalesce(a.cs, []), lambda c: NOT list_contains(w.taken, c.l)) AS open
+                    FROM walk w JOIN cl a ON a.i = w.i + 1)))),
+    promoted AS (SELECT right_id, near[1].l AS left_id, near[1].s AS score, near[1].r || ' (promoted)' AS reason FROM walk WHERE ok),
+    waiting AS (SELECT right_id, unnest(near).l AS left_id, unnest(near).s AS score, unnest(near).r AS reason FROM walk WHERE NOT ok AND i > 0),
+    """
 
 
 _STOP = ", ".join(f"'{w}'" for w in cand.QUERY_STOP_WORDS)
@@ -232,7 +308,7 @@ def link_coverage(spark, sf):
     SELECT n_nationkey, n_name, string_agg(filename, ' || ' ORDER BY filename, c_custkey) AS filename,
            arg_min(c_custkey * 10, filename) AS size, max(score) AS _match_confidence,
            CASE WHEN count(*) > 1 THEN 'c' || arg_min(c_custkey, -score * 1000000 + c_custkey / 1000000.0) || ' (' || count(*) || ' pages merged)'
-                ELSE 'c' || max(c_custkey) END AS _match_reason, 0 AS _match_part
+                ELSE 'c' || max(c_custkey) END AS _match_reason
     FROM nation JOIN m ON c_nationkey = n_nationkey GROUP BY 1, 2
     """,
 )
@@ -255,40 +331,105 @@ def _ports(spark, sf):
     return ports.ports(left, right, "doc_id", "item_id", found, checkpointed(decided), 0.7, 0.15)
 
 
+_PORTS = f"""
+    WITH RECURSIVE {_CANDIDATES}, listed AS (SELECT right_id, left_id, score, 'keyword' AS reason FROM candidates),
+    {_walk("listed")}
+    merged AS (SELECT left_id, count(*) AS n, max(score) AS best, arg_min(right_id, 'item ' || right_id || '.txt') AS page,
+               string_agg('item ' || right_id || '.txt', ' || ' ORDER BY 'item ' || right_id || '.txt') AS image FROM settled GROUP BY 1),
+    matched AS (SELECT left_id, page AS right_id, best AS score, 'keyword' || CASE WHEN n > 1 THEN ' (' || n || ' pages merged)' ELSE '' END AS reason, n, image FROM merged
+                UNION ALL SELECT left_id, right_id, score, reason, 1, 'item ' || right_id || '.txt' FROM promoted)
+"""
+
+
 @register(
     "link_matched",
-    f"""
-    WITH {_CANDIDATES}, m AS (SELECT left_id, count(*) AS n, max(score) AS best FROM decided WHERE status = 'matched' GROUP BY 1)
-    SELECT left_id AS doc_id, n AS pages, round(best, 6) AS confidence FROM m
-    """,
+    f"{_PORTS} SELECT left_id AS doc_id, right_id AS item_id, n AS pages, round(score, 6) AS confidence, reason, image FROM matched",
 )
 def link_matched(spark, sf):
-    """Rows matched at once; promotions follow the order of rows and are checked in the tests."""
-    matched = _ports(spark, sf)["matched"].filter(~F.col("_match_reason").endswith("(promoted)"))
-    pages = F.size(F.split("filename", r" \|\| ")).cast("bigint")
-    return matched.select("doc_id", pages.alias("pages"), F.round("_match_confidence", 6).alias("confidence"))
+    """Rows matched at once, with their pages merged, and rows promoted by the second look."""
+    matched = _ports(spark, sf)["matched"]
+    pages = F.size(F.split("_matched_image", r" \|\| ")).cast("bigint")
+    return matched.select(
+        "doc_id", "item_id", pages.alias("pages"), F.round("_match_confidence", 6).alias("confidence"),
+        F.col("_match_reason").alias("reason"), F.col("_matched_image").alias("image"))
 
 
-@register("link_ports")
+@register(
+    "link_ports",
+    f"""{_PORTS}, review AS (SELECT left_id, right_id, score, reason, row_number() OVER (PARTITION BY right_id ORDER BY score DESC, left_id) AS rank FROM waiting),
+    rows AS (
+        SELECT 'matched' AS port, left_id, CAST(right_id AS VARCHAR) AS item_id, score, reason, NULL::BIGINT AS rank, NULL::VARCHAR AS grp FROM matched
+        UNION ALL SELECT 'ambiguous', left_id, CASE WHEN rank = 1 THEN CAST(right_id AS VARCHAR) ELSE '' END, score, reason, rank, 'item ' || right_id || '.txt' FROM review
+        UNION ALL SELECT 'unmatched_left', doc_id, NULL, NULL, NULL, NULL, NULL FROM documents WHERE doc_id NOT IN (SELECT left_id FROM matched UNION ALL SELECT left_id FROM waiting)
+        UNION ALL SELECT 'unmatched_right', NULL, CAST(item_id AS VARCHAR), NULL, NULL, NULL, NULL FROM benchmark
+            WHERE item_id NOT IN (SELECT right_id FROM settled UNION ALL SELECT right_id FROM promoted UNION ALL SELECT right_id FROM waiting))
+    SELECT port, left_id AS doc_id, item_id, round(score, 6) AS confidence, reason, rank, grp AS review_group FROM rows""",
+)
 def link_ports(spark, sf):
-    """All four ports of the passage matching, labelled."""
-    found = _ports(spark, sf)
-    slim = {name: df.select(*[c for c in ("doc_id", "item_id", "_match_rank", "_match_reason") if c in df.columns])
-            for name, df in found.items()}
-    slim["ambiguous"] = slim["ambiguous"].withColumn("item_id", F.col("item_id").try_cast("bigint"))
+    """All rows of the four ports of the passage matching."""
+    return _slim(_ports(spark, sf), "doc_id", "item_id")
+
+
+def _slim(found, left_id, right_id):
+    """The rows of all ports with their ids, confidence, reason, and place in the review."""
+    null = lambda kind: F.lit(None).cast(kind)
+    slim = {}
+    for name, df in found.items():
+        have = lambda c, kind, df=df: F.col(c).cast(kind) if c in df.columns else null(kind)
+        slim[name] = df.select(
+            have(left_id, "bigint").alias(left_id), have(right_id, "string").alias(right_id),
+            F.round(have("_match_confidence", "double"), 6).alias("confidence"), have("_match_reason", "string").alias("reason"),
+            have("_match_rank", "bigint").alias("rank"), have("_match_group", "string").alias("review_group"))
     return with_port(slim)
 
 
-@register("cross_match_hybrid")
-def cross_match_hybrid(spark, sf):
-    """Catalogue and scans through keys, scores within keys, and fallback search."""
+_HYBRID = _sheets_sql("1.0::DOUBLE").replace("WITH l AS", "WITH RECURSIVE l AS") + f""",
+    sizes AS (SELECT key, count(*) AS n, count(DISTINCT substr(lower(title), 1, 50)) = 1 AS same FROM l GROUP BY 1),
+    listed AS (
+        SELECT right_id, left_id, 0.95::DOUBLE AS score, 'Call Number match: ' || key AS reason FROM r JOIN l USING (key) JOIN sizes USING (key) WHERE n = 1
+        UNION ALL SELECT right_id, left_id, score, reason || CASE WHEN same {{titled}} THEN ' (dup-records auto-select)' ELSE '' END
+        FROM placed JOIN sizes USING (key) WHERE n > 1 AND (place = 1 OR NOT (same {{titled}}))),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY score DESC, left_id) AS rk FROM listed),
+    decided AS (SELECT t.right_id, t.left_id, t.score, t.reason, CASE WHEN t.score < 0.7::DOUBLE THEN 'unmatched_right'
+                WHEN t.score - coalesce(s.score, 0) >= 0.15::DOUBLE THEN 'matched' ELSE 'ambiguous' END AS status
+                FROM ranked t LEFT JOIN ranked s ON s.right_id = t.right_id AND s.rk = 2 WHERE t.rk = 1),
+    {_walk("listed")}
+    merged AS (SELECT left_id, count(*) AS n, max(score) AS best, min(right_id) AS page,
+               arg_min(reason, struct_pack(s := -score, r := right_id)) AS reason FROM decided WHERE status = 'matched' GROUP BY 1),
+    matched AS (SELECT left_id, page AS right_id, best AS score, reason || CASE WHEN n > 1 THEN ' (' || n || ' pages merged)' ELSE '' END AS reason FROM merged
+                UNION ALL SELECT left_id, right_id, score, reason FROM promoted),
+    review AS (SELECT left_id, right_id, score, reason, row_number() OVER (PARTITION BY right_id ORDER BY score DESC, left_id) AS rank FROM waiting),
+    rows AS (
+        SELECT 'matched' AS port, left_id, CAST(right_id AS VARCHAR) AS scan, score, reason, NULL::BIGINT AS rank, NULL::VARCHAR AS grp FROM matched
+        UNION ALL SELECT 'ambiguous', left_id, CASE WHEN rank = 1 THEN CAST(right_id AS VARCHAR) ELSE '' END, score, reason, rank, key || '.tif' FROM review JOIN r USING (right_id)
+        UNION ALL SELECT 'unmatched_left', left_id, NULL, NULL, NULL, NULL, NULL FROM l WHERE left_id NOT IN (SELECT left_id FROM matched UNION ALL SELECT left_id FROM waiting)
+        UNION ALL SELECT 'unmatched_right', NULL, CAST(right_id AS VARCHAR), NULL, NULL, NULL, NULL FROM r
+            WHERE right_id NOT IN (SELECT right_id FROM settled UNION ALL SELECT right_id FROM promoted UNION ALL SELECT right_id FROM waiting))
+    SELECT port, left_id AS p_partkey, scan, round(score, 6) AS confidence, reason, rank, grp AS review_group FROM rows
+"""
+
+
+def _cross(spark, sf, title):
+    left, right = _sheets(spark, sf)
     found = ports.cross_match(
-        _catalogue(spark, sf), _scans(spark, sf), "p_partkey", "c_custkey",
-        "TITLE, Description ", "filename, text_visible")
-    counts = {
-        name: df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("port"), "rows")
-        for name, df in found.items()}
-    return with_port(counts)
+        left.withColumnRenamed("TITLE", title), right, "p_partkey", "scan", title, "text_visible",
+        embedder=lambda texts: np.ones((len(texts), 1)))
+    return _slim(found, "p_partkey", "scan")
+
+
+@register("cross_match_hybrid", _HYBRID.replace("{titled}", ""))
+def cross_match_hybrid(spark, sf):
+    """Catalogue and scans through keys, scores within keys, second look and review, all rows of all ports."""
+    return _cross(spark, sf, "TITLE")
+
+
+@register(
+    "cross_match_untitled",
+    _HYBRID.replace("len(rt.toks) > 0", "false").replace("len(rt.nums) > 0", "false").replace("{titled}", "AND false"),
+)
+def cross_match_untitled(spark, sf):
+    """The same without a title column: titles neither score nor show that rows are duplicates."""
+    return _cross(spark, sf, "Name")
 
 
 @register(

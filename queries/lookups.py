@@ -129,25 +129,42 @@ def dictionary_hits(spark, sf):
     return substrings.hits(texts, keys.withColumn("value", F.col("ord").cast("string"))).drop("ord")
 
 
-@register("lookup_fuzzy")
+# Runs of one letter: the longest common block of two runs is the shorter one, letters of other runs never meet,
+# and z is in no key, so difflib's ratio is 2 * least(m, n) / (m + n + z).
+_RUNS = """
+    WITH k AS (SELECT repeat(chr(97 + s_nationkey), 3 + s_suppkey % 9) AS key, s_nationkey AS letter, 3 + s_suppkey % 9 AS n,
+               min(s_suppkey) AS ord FROM supplier GROUP BY ALL),
+    t AS (SELECT c_custkey, c_nationkey AS letter, 2 + c_custkey % 11 AS m, c_custkey % 4 AS z,
+          repeat(chr(97 + c_nationkey), 2 + c_custkey % 11) || repeat('z', c_custkey % 4) AS typo FROM customer),
+    r AS (SELECT c_custkey, typo, key, ord, (2 * least(m, n))::DOUBLE / (m + z + n) AS ratio FROM t JOIN k USING (letter)),
+    best AS (SELECT * FROM r WHERE ratio > 0.7::DOUBLE QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY ratio DESC, ord) = 1)
+"""
+
+
+def _runs(spark, sf):
+    supplier, customer = table(spark, sf, "supplier"), table(spark, sf, "customer")
+    keys = supplier.select(F.expr("repeat(char(97 + s_nationkey), cast(3 + s_suppkey % 9 as int))").alias("key"), "s_suppkey")
+    keys = keys.groupBy("key").agg(F.min("s_suppkey").alias("ord"))
+    typo = F.expr("repeat(char(97 + c_nationkey), cast(2 + c_custkey % 11 as int)) || repeat('z', cast(c_custkey % 4 as int))")
+    return customer.select("c_custkey", typo.alias("typo")), keys
+
+
+@register(
+    "lookup_fuzzy",
+    f"{_RUNS} SELECT c_custkey, t.typo, coalesce(key, '') AS found FROM t LEFT JOIN best USING (c_custkey)",
+)
 def lookup_fuzzy(spark, sf):
-    """Part names with a letter dropped or swapped, against the distinct names."""
-    part = table(spark, sf, "part")
-    names = part.groupBy(F.col("p_name").alias("key")).agg(F.min("p_partkey").alias("ord")).withColumn(
-        "value", F.col("key"))
-    typo = F.when(F.col("p_partkey") % 3 == 0, F.regexp_replace("p_name", "e", "")).when(
-        F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit("s"))).otherwise(F.reverse("p_name"))
-    df = part.select("p_partkey", typo.alias("typo"))
-    return lookup(df, names, "typo", "found", "fuzzy").select("p_partkey", "typo", "found")
+    """Texts with letters dropped, repeated or appended, against a dictionary."""
+    df, keys = _runs(spark, sf)
+    return lookup(df, keys.withColumn("value", F.col("key")), "typo", "found", "fuzzy")
 
 
-@register("lookup_fuzzy_blocks")
+@register("lookup_fuzzy_blocks", f"{_RUNS} SELECT DISTINCT typo AS text, 'k' || ord AS value FROM best")
 def lookup_fuzzy_blocks(spark, sf):
     """The way taken for large dictionaries: block by block, best key per text."""
-    names = table(spark, sf, "supplier").select(
-        F.lower("s_name").alias("key"), F.col("s_suppkey").cast("string").alias("value"), F.col("s_suppkey").alias("ord"))
-    texts = table(spark, sf, "customer").select(F.lower("c_name").alias("text")).distinct()
-    return fuzzy.best_keys(texts, names)
+    df, keys = _runs(spark, sf)
+    keys = keys.withColumn("value", F.concat(F.lit("k"), "ord"))
+    return fuzzy.best_keys(df.select(F.col("typo").alias("text")).distinct(), keys, block_rows=100)
 
 
 # ── Places ───────────────────────────────────────────────────────────────────

@@ -116,11 +116,10 @@ def text_vector_search(spark, sf):
 
 def _lists(spark, sf, top_k=5):
     queries, corpus = _queries(spark, sf), _corpus(spark, sf)
-    keyword = fusion.as_hits(bm25.search(queries, corpus, top_k), corpus, "bm25")
-    # A second list with other hits: documents that share the query's rarest vocabulary only.
-    short = corpus.withColumn("text", F.substring("text", 1, 1_000_000))
-    ranked = bm25.search(queries, short, 2 * top_k).filter(F.col("rank") % 2 == 0).withColumn(
-        "rank", (F.col("rank") / 2).cast("int"))
+    found = bm25.search(queries, corpus, 2 * top_k)
+    keyword = fusion.as_hits(found.filter(F.col("rank") <= top_k), corpus, "bm25")
+    # A second list of other length and order: every second hit of the same search.
+    ranked = found.filter(F.col("rank") % 2 == 0).withColumn("rank", (F.col("rank") / 2).cast("int"))
     web = fusion.external_hits(
         ranked.join(corpus, "doc_id").select(
             "query_id", F.concat(F.lit("  "), "text").alias("text"), "rank",

@@ -68,7 +68,7 @@ def csv_round_trip(spark, sf):
         "item_id", "text", F.when(F.col("item_id") % 3 != 0, F.col("item_id") * 1.5).alias("amount"),
         F.when(F.col("item_id") % 2 == 0, 'say "hi"; ok').alias("note"))
     sinks.write_csv(df, path, "utf-8-sig", ";")
-    return files.read_csv(spark, path, "utf-8-sig", ";")
+    return files.read_csv(spark, path, "utf-8-sig", ";", multi_line=True)
 
 
 @register("json_round_trip", "SELECT conv_id, turn, role, text FROM conversations")

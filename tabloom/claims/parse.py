@@ -23,9 +23,9 @@ def _members(v: Column) -> Column:
     return v.try_cast("map<string,variant>")
 
 
-def _short_text(v: Column, size: int, default: str = "") -> Column:
+def _text(v: Column, default: str = "", size: int | None = None) -> Column:
     text = F.coalesce(v.try_cast("string"), F.to_json(v))
-    return F.when(_truthy(v), F.substring(text, 1, size)).otherwise(F.lit(default))
+    return F.when(_truthy(v), F.substring(text, 1, size) if size else text).otherwise(F.lit(default))
 
 
 def _value_text(v: Column) -> Column:
@@ -42,7 +42,7 @@ def _value_text(v: Column) -> Column:
 
 def _free_entry(e: Column) -> Column:
     prefixed = e["key"].startswith("ts_")
-    name = F.when(prefixed, F.substring(e["key"], 4, 1_000_000)).otherwise(e["key"])
+    name = F.when(prefixed, F.substr(e["key"], F.lit(4))).otherwise(e["key"])
     return F.struct(
         prefixed.cast("int").alias("rank"), F.concat(F.lit(TYPE_SPECIFIC), name).alias("field"),
         e["value"].alias("entry"),
@@ -87,8 +87,8 @@ def flatten_claims(parsed: DataFrame) -> DataFrame:
         "doc_id", "field", "_order",
         _value_text(F.col("_value")).alias("value"),
         F.col("_evidence_bbox").try_cast("array<double>").alias("_box"),
-        _short_text(F.col("_evidence_text"), 500).alias("evidence_text"),
-        _short_text(F.col("_evidence_kind"), 500, "direct_quote").alias("evidence_kind"),
+        _text(F.col("_evidence_text"), size=500).alias("evidence_text"),
+        _text(F.col("_evidence_kind"), "direct_quote").alias("evidence_kind"),
     ).select(
         "doc_id", "field", "_order",
         F.struct("value", sanitize_box(F.col("_box")).alias("evidence_bbox"), "evidence_text", "evidence_kind")

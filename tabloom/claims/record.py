@@ -15,8 +15,6 @@ from tabloom.functions.evidence import dcmi_box, iso_language, scale_source
 from tabloom.functions.text import clean_cell, join_nonempty
 from tabloom.operators.columns import reorder_type_specific
 
-MAX_EXTRA_COLUMNS = 2_000
-
 
 def _coerced(field: str, value: Column) -> Column:
     if field in NUMERIC_FIELDS:
@@ -26,15 +24,11 @@ def _coerced(field: str, value: Column) -> Column:
     return F.when(absent, F.lit("N/A")).otherwise(clean_cell(value))
 
 
-def type_specific_keys(claims: DataFrame, limit: int = MAX_EXTRA_COLUMNS) -> list[str]:
-    """The observed free field names; an error when they are too many for columns."""
-    names = (
-        claims.filter(F.col("field").startswith(TYPE_SPECIFIC)).select("field").distinct()
-        .limit(limit + 1).collect()
-    )
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} type-specific fields")
-    return sorted(r["field"] for r in names)
+def type_specific_keys(claims: DataFrame) -> list[str]:
+    """The observed free field names. They become columns, so their number is that of the schema;
+    :func:`extra_fields_long` keeps any number of them as rows."""
+    names = claims.filter(F.col("field").startswith(TYPE_SPECIFIC)).select("field").distinct()
+    return sorted(r["field"] for r in names.collect())
 
 
 def wide_records(

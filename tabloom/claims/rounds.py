@@ -222,4 +222,4 @@ def audit(
 
 def output_name(field: Column) -> Column:
     """``ts_`` column name of a type-specific field."""
-    return F.concat(F.lit("ts_"), F.substring(field, len(TYPE_SPECIFIC) + 1, 1_000_000))
+    return F.concat(F.lit("ts_"), F.substr(field, F.lit(len(TYPE_SPECIFIC) + 1)))

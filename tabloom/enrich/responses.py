@@ -23,47 +23,62 @@ def clean_response(c: Column) -> Column:
     return F.regexp_replace(text, r",\s*([}\]])", "$1")
 
 
-class _Scan:
-    """Where a cut JSON text stands: open containers, and whether inside a string."""
-
-    def __init__(self, text: str):
-        self.open: list[str] = []
-        self.in_string = escaped = False
-        for ch in text:
-            if escaped:
-                escaped = False
-            elif ch == "\\":
-                escaped = True
-            elif ch == '"':
-                self.in_string = not self.in_string
-            elif not self.in_string and ch in "{[":
-                self.open.append(ch)
-            elif not self.in_string and ch in "}]" and self.open:
-                self.open.pop()
-
-
-# What a cut JSON text may end in, and escapes JSON does not know.
-_LOOSE_ENDS = (
-    re.compile(r"[,:\s]+$"),  # dangling separators
-    re.compile(r',\s*"[^"]*"\s*$'),  # a later key without value, or a last list item
-    re.compile(r'(?<=\{)\s*"[^"]*"\s*$'),  # a first key without value
-)
-_BAD_ESCAPE = re.compile(r'\\(?!["\\/bfnrtu])')
+_TOKEN = re.compile(r'\s+|[{}\[\],:]|"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[^\s{}\[\],:"]+', re.DOTALL)
+_ESCAPE = re.compile(r'\\(u[0-9a-fA-F]{4}|["\\/bfnrt])|\\')
+_SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity")
+
+
+def _whole_string(token: str) -> tuple[str, bool]:
+    """A string token with valid escapes and a closing quote, and whether it had one."""
+    closed = len(token) > 1 and token.endswith('"') and _TOKEN.fullmatch(token[:-1] + 'x"') is not None
+    body = token[1:-1] if closed else token[1:].removesuffix("\\" if (len(token) - len(token.rstrip("\\"))) % 2 else "\0")
+    return '"' + _ESCAPE.sub(lambda m: m[0] if m[1] else "\\\\", body) + '"', closed
 
 
 def close_cut_json(text: str) -> str:
-    """Complete a JSON text that stops early: finish the string, drop loose ends,
-    close the containers from the inside out."""
-    text = _BAD_ESCAPE.sub(r"\\\\", text)
-    if _Scan(text).in_string:
-        text += '"'
-    for _ in range(3):
-        before = text
-        for pattern in _LOOSE_ENDS:
-            text = pattern.sub("", text)
-        if text == before:
+    """Complete a JSON text that stops early.
+
+    One pass reads the text by its grammar. Each open container remembers where its last complete entry
+    ended; at the end of the text everything behind that is cut off, and the containers are closed from the
+    inside out. A text value that was being received in an object is kept as far as it came; a key without
+    value and an unfinished list item are not.
+    """
+    out: list[str] = []
+    stack: list[list] = []  # closing bracket, pieces up to the last complete entry, waiting for a key
+    received = False
+    for m in _TOKEN.finditer(text):
+        token, last = m[0], m.end() == len(text)
+        if token in ("{", "["):
+            out.append(token)
+            stack.append(["}" if token == "{" else "]", len(out), token == "{"])
+            continue
+        if token[0] == '"':
+            token, closed = _whole_string(token)
+            if not closed and (not stack or stack[-1][0] == "]" or stack[-1][2]):
+                break
+        elif last and received and stack and token not in ("}", "]", ",", ":") and not token.isspace() and not _SCALAR.fullmatch(token):
             break
-    return text + "".join("}" if ch == "{" else "]" for ch in reversed(_Scan(text).open))
+        out.append(token)
+        if token.isspace():
+            continue
+        if token in ("}", "]"):
+            if stack:
+                stack.pop()
+            if not stack:
+                return "".join(out)
+        elif token == ",":
+            if stack:
+                stack[-1][2] = stack[-1][0] == "}"
+            continue
+        elif token == ":":
+            if stack:
+                stack[-1][2] = False
+            continue
+        if stack and not stack[-1][2]:
+            stack[-1][1], received = len(out), True
+    if stack:
+        del out[stack[-1][1] :]
+    return "".join(out) + "".join(closing for closing, _, _ in reversed(stack))
 
 
 def recover_json(cleaned: str) -> str | None:

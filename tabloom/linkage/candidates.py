@@ -22,9 +22,10 @@ from tabloom.linkage.keys import (
 from tabloom.linkage.scoring import block_candidates
 from tabloom.retrieval import bm25, vectors
 from tabloom.retrieval.corpus import build_corpus
-from tabloom.session import small_rows, work_partitions
+from tabloom.session import work_partitions
 
 UNIQUE_KEY_SCORE = 0.95
+BLOCK_BYTES = 8 * 1024 * 1024
 W_VECTOR, W_KEYWORD = 0.70, 0.30
 # Query words of the fallback search that match almost anything.
 QUERY_STOP_WORDS = (
@@ -36,7 +37,7 @@ NOTE_COLUMNS = ("Description ", "Description", "description")
 
 
 def prepare_left(left: DataFrame, left_id: str, match_columns, embedder) -> DataFrame:
-    """(left_id, key, title, note, text, vector)."""
+    """(left_id, key, title, titled, note, text, vector); titled: the table has titles."""
     key, title = find_key_column(left), find_title_column(left)
     notes = [F.when(col(c).isNotNull(), cell_text(left, c)) for c in NOTE_COLUMNS if c in left.columns]
     named = left.select(
@@ -44,6 +45,7 @@ def prepare_left(left: DataFrame, left_id: str, match_columns, embedder) -> Data
         (normalize_key(cell_text(left, key)) if key else F.lit(None).cast("string")).alias("key"),
         (F.when(col(title).isNotNull(), cell_text(left, title)) if title else F.lit(None).cast("string"))
         .alias("title"),
+        F.lit(title is not None).alias("titled"),
         (F.coalesce(*notes, F.lit("")) if notes else F.lit("")).alias("note"),
         F.concat_ws(
             " ", *[F.when(col(c).isNotNull(), cell_text(left, c)) for c in match_columns]
@@ -70,11 +72,15 @@ def prepare_right(right: DataFrame, right_id: str, match_columns, embedder) -> D
 
 
 def key_sizes(lefts: DataFrame) -> DataFrame:
-    """Per key: number of left rows, one of them, and whether they share one title."""
-    title = F.nullif(F.substring(F.lower(strip(F.coalesce("title", F.lit("")))), 1, 50), F.lit(""))
+    """Per key: number of left rows, one of them, and whether they share one title.
+
+    Without a title column nothing is known to be the same. A blank title says nothing; a null one is a
+    title of its own.
+    """
+    title = F.nullif(F.substring(F.lower(strip(F.coalesce("title", F.lit("nan")))), 1, 50), F.lit(""))
     return lefts.filter("key is not null").groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.min("left_id").alias("one_left"),
-        F.coalesce(F.min(title).eqNullSafe(F.max(title)), F.lit(True)).alias("same_title"),
+        (F.bool_and("titled") & F.min(title).eqNullSafe(F.max(title))).alias("same_title"),
     )
 
 
@@ -152,7 +158,8 @@ def fallback(lefts: DataFrame, rights: DataFrame, top_k: int = 5, block_rows: in
         F.col("right_id").alias("query_id"), F.array_join(useful, " ").alias("query"), "vector"
     )
     total = queries.count()
-    blocks = max(1, -(-total // block_rows))
+    width = rights.agg(F.max(F.size("vector"))).first()[0] or 1
+    blocks = max(1, -(-total // max(1, min(block_rows, BLOCK_BYTES // (8 * width)))))
     documents = lefts.select("left_id", "vector").repartition(work_partitions(lefts.sparkSession), "left_id")
     kinds = (
         rights.schema["right_id"].dataType.simpleString(),
@@ -162,9 +169,8 @@ def fallback(lefts: DataFrame, rights: DataFrame, top_k: int = 5, block_rows: in
     result = None
     for block in range(blocks):
         some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = small_rows(some.select("query_id", "vector"), max_rows=4 * block_rows)
-        if rows is None:
-            raise ValueError("query block above the broadcast bound")
+        # a block has some ``block_rows`` rows and BLOCK_BYTES bytes of vectors, whatever their width
+        rows = some.select("query_id", "vector").collect()
         if not rows:
             continue
         scored = bm25.scores(some, index)

@@ -60,14 +60,16 @@ def _joined(df: DataFrame, table: DataFrame, match_mode: str) -> DataFrame:
         )
         return df.join(best, F.col("_text") == F.col("_key"), "left")
     hits = substrings.hits(texts, table).groupBy("digest").agg(
-        F.min(F.struct("ord", "value")).alias("_hit")
+        F.min(F.struct("ord", "key", "value")).alias("_hit")
     )
     # An empty key is contained in every text and competes by its order.
-    empty = table.filter("key = ''").agg(F.min(F.struct("ord", "value")).alias("e")).first()["e"]
+    empty = table.filter("key = ''").agg(F.min(F.struct("ord", "key", "value")).alias("e")).first()["e"]
     hit = F.col("_hit")
     if empty is not None:
         kind = table.schema["ord"].dataType
-        always = F.struct(F.lit(empty["ord"]).cast(kind).alias("ord"), F.lit(empty["value"]).alias("value"))
+        always = F.struct(
+            F.lit(empty["ord"]).cast(kind).alias("ord"), F.lit("").alias("key"), F.lit(empty["value"]).alias("value")
+        )
         hit = F.least(hit, always)
     joined = df.join(hits, F.md5("_text") == F.col("digest"), "left")
     return joined.withColumn("_value", hit["value"]).drop("digest", "_hit")

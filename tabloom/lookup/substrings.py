@@ -7,7 +7,7 @@ dictionary of any size is matched by an equi join on key beginnings.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,13 +48,13 @@ def _automaton(pairs: Sequence[tuple[str, str]], best: str):
     table = list(pairs)
 
     @F.pandas_udf("string")
-    def scan(texts: pd.Series) -> pd.Series:
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 
         machine = ahocorasick.Automaton()
         ranks: dict[str, tuple] = {}
         for position, (key, value) in enumerate(table):
-            rank = (-position,) if best == "first" else (len(key), value)
+            rank = (-position,) if best == "first" else (len(key), value is not None, value or "")
             if key not in ranks or rank > ranks[key][0]:
                 ranks[key] = (rank, value)
         for key, entry in ranks.items():
@@ -71,7 +71,8 @@ def _automaton(pairs: Sequence[tuple[str, str]], best: str):
                 hits.append(empty)
             return max(hits)[1] if hits else None
 
-        return texts.map(pick, na_action="ignore")
+        for texts in batches:
+            yield texts.map(pick, na_action="ignore")
 
     return scan
 

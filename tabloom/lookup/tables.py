@@ -88,7 +88,7 @@ def ordered_pairs(dictionary: DataFrame) -> list[tuple[str, str]] | None:
     rows = small_rows(dictionary.select("key", "value", "ord"))
     if rows is None:
         return None
-    return [(r["key"], r["value"]) for r in sorted(rows, key=lambda r: r["ord"])]
+    return [(r["key"], r["value"]) for r in sorted(rows, key=lambda r: (r["ord"], r["key"], r["value"] or ""))]
 
 
 def numbered(dictionary: DataFrame) -> DataFrame:

@@ -27,12 +27,36 @@ Ports = dict[str, DataFrame]
 Operator = Callable[[Ports, dict], Ports]
 
 
+WHOLE = {"count", "seed", "min_match_length", "batch_size", "max_tokens", "top_k", "max_rows", "max_images"}
+REAL = {"percent", "confidence_threshold", "ambiguity_gap"}
+TRUTH = {"batch_mode", "only_fill_empty", "case_sensitive", "include_index", "scan_subfolders", "multi_line"}
+# Settings whose empty text says something; elsewhere it means that nothing was chosen.
+EMPTY_SPEAKS = {"fill_value", "no_match_value", "value", "system_prompt", "formula"}
+
+
+def typed(config: dict) -> dict:
+    """The settings of a node with numbers and truth values in their types, however they were written."""
+    out = {}
+    for name, value in config.items():
+        if value is None or (isinstance(value, str) and not value.strip() and name not in EMPTY_SPEAKS):
+            continue
+        if name in WHOLE:
+            value = int(float(value))
+        elif name in REAL:
+            value = float(value)
+        elif name in TRUTH and isinstance(value, str):
+            value = value.strip().lower() not in ("false", "0", "no", "off", "none")
+        elif name in TRUTH:
+            value = bool(value)
+        out[name] = value
+    return out
+
+
 def _one(fn: Callable[..., DataFrame], *names: str) -> Operator:
     """An operator with one input and one output that takes the named settings."""
 
     def run(inputs: Ports, config: dict) -> Ports:
-        known = {k: v for k, v in config.items() if k in names and v not in (None, "")}
-        return {"output": fn(inputs["input"], **known)}
+        return {"output": fn(inputs["input"], **{k: v for k, v in config.items() if k in names})}
 
     return run
 
@@ -51,7 +75,7 @@ def _lookup(inputs: Ports, config: dict) -> Ports:
         "output": lookup(
             inputs["input"], config.get("dictionary") or config.get("builtin_name"),
             config["source_column"], config["output_column"], config.get("match_mode") or "exact",
-            bool(config.get("case_sensitive", False)), config.get("no_match_value") or "",
+            config.get("case_sensitive", False), config.get("no_match_value") or "",
         )
     }
 
@@ -60,8 +84,8 @@ def _cross(inputs: Ports, config: dict) -> Ports:
     return cross_match(
         inputs["left"], inputs["right"], config["left_id"], config["right_id"],
         config["left_match_columns"], config["right_match_columns"],
-        config.get("match_mode") or "hybrid", float(config.get("confidence_threshold", 0.7)),
-        float(config.get("ambiguity_gap", 0.15)), int(config.get("top_k", 5)),
+        config.get("match_mode") or "hybrid", config.get("confidence_threshold", 0.7),
+        config.get("ambiguity_gap", 0.15), config.get("top_k", 5),
         predict=config.get("predict"), responses=config.get("responses"),
     )
 
@@ -132,7 +156,7 @@ def _read(spark: SparkSession, kind: str, config: dict) -> DataFrame:
     if kind == "input_csv":
         return files.read_csv(
             spark, config["path"], config.get("encoding") or "utf-8-sig", config.get("delimiter") or ",",
-            int(config.get("max_rows") or 0),
+            config.get("max_rows", 0), multi_line=config.get("multi_line", True),
         )
     if kind == "input_json":
         return files.read_json(
@@ -141,13 +165,20 @@ def _read(spark: SparkSession, kind: str, config: dict) -> DataFrame:
     if kind == "input_images":
         if config.get("folder_path"):
             return images.read_folder(
-                spark, config["folder_path"], bool(int(config.get("scan_subfolders") or 0)),
-                int(config.get("max_images") or 0),
+                spark, config["folder_path"], config.get("scan_subfolders", False), config.get("max_images", 0),
             )
-        return images.read_archives(spark, config["path"], int(config.get("max_images") or 0))
+        return images.read_archives(spark, config["path"], config.get("max_images", 0))
     raise ValueError(f"{kind} needs a table in 'sources'")
 
 
+def _given(table: DataFrame, kind: str, config: dict) -> DataFrame:
+    """A table handed in for a source. For ``input_api`` one text column is the payloads that the service
+    answered with; they are opened along ``json_path``."""
+    if kind == "input_api" and len(table.columns) == 1 and table.dtypes[0][1] == "string":
+        return files.flatten_payloads(table, table.columns[0], config.get("json_path", ""), config.get("orient", "auto"))
+    return table
+
+
 def run_pipeline(
     spark: SparkSession, spec: dict, sources: dict[str, DataFrame] | None = None
 ) -> dict[tuple[str, str], DataFrame]:
@@ -169,7 +200,7 @@ def run_pipeline(
     results: dict[tuple[str, str], DataFrame] = {}
     for node_id in order:
         node = nodes[node_id]
-        kind, config = node["type"], node.get("data", {}).get("config", {})
+        kind, config = node["type"], typed(node.get("data", {}).get("config", {}))
         fed: dict[str, list[DataFrame]] = {}
         for edge in edges:
             if edge["target"] == node_id:
@@ -179,7 +210,7 @@ def run_pipeline(
                 fed.setdefault(edge.get("targetHandle") or "input", []).append(results[port])
         inputs = {p: t[0] if len(t) == 1 else rows.union_inputs(t) for p, t in fed.items()}
         if node_id in sources:
-            outputs = {"output": sources[node_id]}
+            outputs = {"output": _given(sources[node_id], kind, config)}
         elif kind in SOURCES:
             outputs = {"output": _read(spark, kind, config)}
         elif kind in SINKS:
@@ -198,13 +229,13 @@ def write_sinks(spec: dict, results: dict[tuple[str, str], DataFrame], folder: s
     for node in spec["nodes"]:
         if node["type"] not in SINKS:
             continue
-        config = node.get("data", {}).get("config", {})
+        config = typed(node.get("data", {}).get("config", {}))
         path = f"{folder}/{config.get('filename') or node['id']}"
         table = results[(node["id"], "input")]
         if node["type"] == "output_csv":
             sinks.write_csv(
                 table, path, config.get("encoding") or "utf-8", config.get("delimiter") or ",",
-                bool(config.get("include_index", False)), config.get("order_by"),
+                config.get("include_index", False), config.get("order_by"),
             )
         elif node["type"] == "output_json":
             sinks.write_json(table, path, config.get("orient") or "records")

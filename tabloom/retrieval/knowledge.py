@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.session import SMALL_BYTES, SMALL_ROWS, small_rows
-
 HEADER = "═══ REFERENCE KNOWLEDGE BASE ═══"
 
 
@@ -21,17 +19,20 @@ def knowledge_sections(entries: DataFrame, phase: str) -> DataFrame:
     )
 
 
+def _one_text(entries: DataFrame, phase: str, order_by: str) -> DataFrame:
+    """One row with the whole reference text of a phase, its sections in order."""
+    sections = knowledge_sections(entries, phase).select(F.col("id").alias(order_by), "section")
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order_by), F.col("section"))))
+    listed = F.transform(ordered, lambda e: e["section"])
+    text = F.array_join(F.concat(F.array(F.lit(HEADER), F.lit("")), listed), "\n")
+    return sections.agg(F.when(F.count(F.lit(1)) > 0, text).otherwise("").alias("_knowledge"))
+
+
 def knowledge_text(entries: DataFrame, phase: str, order_by: str = "id") -> str:
-    """The whole reference text of a phase; it becomes part of every prompt, so
-    it has to be small and is refused beyond the broadcast bound."""
-    rows = small_rows(knowledge_sections(entries, phase).withColumnRenamed("id", order_by))
-    if rows is None:
-        raise ValueError(f"knowledge text above {SMALL_ROWS} entries or {SMALL_BYTES} bytes")
-    if not rows:
-        return ""
-    ordered = sorted(rows, key=lambda r: r[order_by])
-    return "\n".join([HEADER, "", *[r["section"] for r in ordered]])
+    """The whole reference text of a phase, to read."""
+    return _one_text(entries, phase, order_by).first()["_knowledge"]
 
 
 def add_knowledge(df: DataFrame, entries: DataFrame, phase: str, output: str = "knowledge") -> DataFrame:
-    return df.withColumn(output, F.lit(knowledge_text(entries, phase)))
+    """The reference text of a phase on every row; it is one row and never passes through the driver."""
+    return df.crossJoin(_one_text(entries, phase, "id")).withColumnRenamed("_knowledge", output)

@@ -44,14 +44,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary folder is used only where that is unset (local runs, tests).
+    temporary folder is used only where that is unset on a local master (tests).
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
-            prefix="spark-tabloom-"
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="spark-tabloom-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 

@@ -69,12 +69,12 @@ def read_csv(
     max_rows: int = 0,
     order_by=None,
     schema: T.StructType | str | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read CSV files, drop rows whose cells are all missing, keep the first n.
 
-    ``multi_line`` accepts line breaks inside quoted cells; switch it off for
-    very large single files without such cells, so they can be split. With a
+    ``multi_line`` accepts line breaks inside quoted cells; such a file cannot be
+    split and is one task, so it has to be asked for. With a
     ``schema`` no inference pass is made. ``max_rows`` needs ``order_by``
     unless any n rows will do.
     """

@@ -11,7 +11,6 @@ from tabloom.operators.ordering import with_row_index
 from tabloom.sources.files import _encoding
 
 BOM = "﻿"
-COLUMN_LAYOUT_ROWS = 10_000
 
 
 def write_csv(
@@ -41,24 +40,18 @@ def write_csv(
 
 
 def write_json(df: DataFrame, path: str, orient: str = "records", mode: str = "overwrite") -> None:
-    """Records: one JSON object per line. Columns: one object of lists, for small tables only."""
+    """Records: one JSON object per line. Columns: a folder per column with its cells, one per line, and their
+    row numbers (rows in the order of their cells), so that a table of any size is written by all tasks."""
     if orient == "records":
         df.write.mode(mode).option("ignoreNullFields", False).json(path)
         return
     if orient != "columns":
         raise ValueError(f"unknown orient: {orient}")
-    if df.limit(COLUMN_LAYOUT_ROWS + 1).count() > COLUMN_LAYOUT_ROWS:
-        raise ValueError(f"column layout is limited to {COLUMN_LAYOUT_ROWS} rows")
-    order = F.struct(*[F.to_json(F.struct(col(c))) for c in df.columns])
-    rows = F.transform(
-        F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct("*").alias("r")))), lambda x: x["r"]
-    )
-    packed = df.agg(rows.alias("rows"))
-
-    def cells(name: str):
-        return F.transform("rows", lambda r: r.getField(name)).alias(name)
-
-    packed.select(*[cells(c) for c in df.columns]).write.mode(mode).option("ignoreNullFields", False).json(path)
+    numbered = with_row_index(df.select(F.struct(*map(col, df.columns)).alias("r")), [F.to_json("r")], "row")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.to_json(F.struct(F.col("r").getField(c).alias("value")), {"ignoreNullFields": "false"}).alias("cell")) for c in df.columns])
+    long = numbered.select("row", F.inline(cells))
+    line = F.concat(F.lit('{"row":'), F.col("row").cast("string"), F.lit(","), F.substr("cell", F.lit(2)))
+    long.select("column", line.alias("line")).write.mode(mode).partitionBy("column").text(path)
 
 
 def export_columns(df: DataFrame, columns=None) -> DataFrame:
