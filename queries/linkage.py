@@ -304,7 +304,7 @@ def link_coverage(spark, sf):
     "merge_pages",
     """
     WITH m AS (SELECT c_custkey, c_nationkey, 'scan ' || c_mktsegment || ' ' || c_custkey AS filename,
-                      round(0.7 + (c_custkey % 30) / 100.0, 2) AS score FROM customer WHERE c_custkey % 3 <> 0)
+                      round(0.7 + (c_custkey % 30) / 100.0, 2) AS score FROM customer)
     SELECT n_nationkey, n_name, string_agg(filename, ' || ' ORDER BY filename, c_custkey) AS filename,
            arg_min(c_custkey * 10, filename) AS size, max(score) AS _match_confidence,
            CASE WHEN count(*) > 1 THEN 'c' || arg_min(c_custkey, -score * 1000000 + c_custkey / 1000000.0) || ' (' || count(*) || ' pages merged)'
@@ -317,7 +317,7 @@ def merge_pages(spark, sf):
     right = table(spark, sf, "customer").select(
         "c_custkey", F.concat_ws(" ", F.lit("scan"), "c_mktsegment", "c_custkey").alias("filename"),
         (F.col("c_custkey") * 10).alias("size"))
-    matches = table(spark, sf, "customer").filter("c_custkey % 3 <> 0").select(
+    matches = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("right_id"), F.col("c_nationkey").alias("left_id"),
         F.round(0.7 + F.col("c_custkey") % 30 / 100.0, 2).alias("score"),
         F.concat(F.lit("c"), "c_custkey").alias("reason"))

@@ -86,12 +86,12 @@ def lookup_built_in(spark, sf):
 
 def _passages(spark, sf):
     return table(spark, sf, "benchmark").select(
-        F.substring("text", 1, 12).alias("key"), F.col("item_id").cast("string").alias("value"),
+        F.col("text").alias("key"), F.col("item_id").cast("string").alias("value"),
         (-F.col("item_id")).alias("ord"))
 
 
 _CONTAINS_SQL = """
-    WITH d AS (SELECT lower(substr(text, 1, 12)) AS key, arg_max(CAST(item_id AS VARCHAR), -item_id) AS value,
+    WITH d AS (SELECT lower(text) AS key, arg_max(CAST(item_id AS VARCHAR), -item_id) AS value,
                min(-item_id) AS ord FROM benchmark GROUP BY 1)
     SELECT doc_id, coalesce(arg_min(value, ord), 'none') AS item FROM documents LEFT JOIN d ON contains(lower(text), key)
     GROUP BY doc_id
@@ -119,12 +119,12 @@ def lookup_contains_by_join(spark, sf):
     """
     SELECT md5(t) AS digest, key, CAST(item_id AS VARCHAR) AS value
     FROM (SELECT DISTINCT lower(text) AS t FROM documents)
-    JOIN (SELECT lower(substr(text, 20, 9)) AS key, min(item_id) AS item_id FROM benchmark GROUP BY 1) ON contains(t, key)
+    JOIN (SELECT lower(text) AS key, min(item_id) AS item_id FROM benchmark GROUP BY 1) ON contains(t, key)
     """,
 )
 def dictionary_hits(spark, sf):
     texts = table(spark, sf, "documents").select(F.lower("text").alias("text")).distinct()
-    keys = table(spark, sf, "benchmark").groupBy(F.lower(F.substring("text", 20, 9)).alias("key")).agg(
+    keys = table(spark, sf, "benchmark").groupBy(F.lower("text").alias("key")).agg(
         F.min("item_id").alias("ord"))
     return substrings.hits(texts, keys.withColumn("value", F.col("ord").cast("string"))).drop("ord")
 

@@ -31,11 +31,10 @@ def payload_rows(spark, sf):
 
 @register(
     "payload_path_rows",
-    "SELECT o_orderkey, l_linenumber AS line, l_quantity AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey "
-    "WHERE l_linenumber <= 2",
+    "SELECT o_orderkey, l_linenumber AS line, l_quantity AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
 )
 def payload_path_rows(spark, sf):
-    lines = table(spark, sf, "lineitem").filter("l_linenumber <= 2").groupBy("l_orderkey").agg(
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
         F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"))).alias("items"))
     payloads = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
         "o_orderkey", F.to_json(F.struct(F.array(F.struct("items")).alias("data"))).alias("payload"))
@@ -99,13 +98,13 @@ def cleanup(spark, sf):
 
 @register(
     "two_table_merge",
-    "SELECT s_suppkey, s_nationkey, n_name FROM supplier JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON s_nationkey = n_nationkey",
+    "SELECT s_suppkey, s_nationkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey",
 )
 def two_table_merge(spark, sf):
     spec = templates.data_merge("s_nationkey", "s_nationkey", "inner")
     result = run_pipeline(spark, spec, {
         "left": table(spark, sf, "supplier").select("s_suppkey", "s_nationkey"),
-        "right": table(spark, sf, "nation").filter("n_regionkey < 3").select(
+        "right": table(spark, sf, "nation").select(
             F.col("n_nationkey").alias("s_nationkey"), "n_name")})
     return result[("write", "input")]
 

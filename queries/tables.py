@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from queries.common import registry, sql_strip, table, with_port
 from tabloom.operators import columns, grouping, joins, ordering, routing, rows, views
+from tabloom.session import checkpointed
 
 QUERIES, SQL, register = registry()
 
@@ -235,7 +236,7 @@ _NULL_KEYS = """
     l AS (SELECT o_orderkey, o_orderstatus AS tag, CASE WHEN o_orderkey % 1000 = 0 THEN NULL ELSE o_custkey END AS k
           FROM orders),
     r AS (SELECT CASE WHEN c_custkey % 500 = 0 THEN NULL ELSE c_custkey END AS k, c_mktsegment AS tag, c_name
-          FROM customer WHERE c_acctbal > 0)
+          FROM customer)
 """
 
 
@@ -244,7 +245,7 @@ def _merge(how: str, salt: int = 1):
         left = table(spark, sf, "orders").select(
             "o_orderkey", F.col("o_orderstatus").alias("tag"),
             F.when(F.col("o_orderkey") % 1000 != 0, F.col("o_custkey")).alias("k"))
-        right = table(spark, sf, "customer").filter("c_acctbal > 0").select(
+        right = table(spark, sf, "customer").select(
             F.when(F.col("c_custkey") % 500 != 0, F.col("c_custkey")).alias("k"),
             F.col("c_mktsegment").alias("tag"), "c_name")
         return joins.merge(left, right, "k", "k", how, salt)
@@ -593,11 +594,15 @@ def sort_events(spark, sf):
 
 @register(
     "row_count",
-    "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
+    "SELECT o_orderstatus, count(*) AS n, (SELECT count(*) FROM orders) AS passed, (SELECT count(*) FROM orders) || ' rows' AS message "
+    "FROM orders GROUP BY 1",
 )
 def row_count(spark, sf):
-    df, _ = views.observed(table(spark, sf, "orders"), "orders")
-    return df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    """Rows per status, and how many rows were seen passing while they were counted."""
+    df, seen = views.observed(table(spark, sf, "orders"), "orders")
+    counted = checkpointed(df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")))
+    rows = seen.get["rows"]
+    return counted.withColumns({"passed": F.lit(rows).cast("bigint"), "message": F.lit(views.row_message(rows, rows))})
 
 
 # ── Flagship: tiers of orders per market segment ─────────────────────────────

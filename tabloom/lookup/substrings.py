@@ -80,31 +80,23 @@ def _automaton(pairs: Sequence[tuple[str, str]], best: str):
 def hits(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(digest, key, value, ord) for every dictionary key inside a text.
 
-    ``texts`` has one column ``text`` (distinct values). Each text is cut at
-    every position; the cut carries as much text as the longest key needs and
-    is joined on the first characters of the key, then verified.
+    ``texts`` has one column ``text`` (distinct values). The distinct beginnings of
+    keys, at most SEED characters, are looked for among all pieces of that length of a
+    text; only (digest, piece) is exploded and joined. A key whose beginning is met is
+    then compared with the text itself.
     """
     keys = dictionary.withColumn("width", F.least(F.length("key"), F.lit(SEED)))
     keys = keys.filter("width > 0").withColumn("seed", F.substring("key", 1, SEED))
-    shape = keys.agg(F.collect_set("width").alias("w"), F.max(F.length("key")).alias("m")).first()
-    digest = F.md5("text").alias("digest")
-    if not shape["w"]:
-        cuts = texts.select(digest).limit(0)
-        return cuts.crossJoin(keys.select("key", "value", "ord").limit(0))
-    widths = F.array(*[F.lit(int(w)) for w in sorted(shape["w"])])
-    # Every position with the characters that follow it, in one pass over the text.
-    windows = F.regexp_extract_all(
-        F.col("text"), F.lit(rf"(?s)(?=(.{{1,{int(shape['m'])}}}))"), F.lit(1)
-    )
+    widths = sorted(r["width"] for r in keys.select("width").distinct().collect())
+    named = texts.select(F.md5("text").alias("digest"), "text")
+
+    def pieces(width: int) -> Column:
+        every = F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{{width}}}))"), F.lit(1))
+        return F.array_distinct(every)
+
     # Cutting multiplies the rows about a hundredfold, so spread the texts first.
-    width = work_partitions(texts.sparkSession)
-    cuts = (
-        texts.repartition(width)
-        .select(digest, "text")
-        .select("digest", F.explode(F.array_distinct(windows)).alias("tail"))
-        .select("digest", "tail", F.explode(widths).alias("width"))
-        .filter(F.length("tail") >= F.col("width"))
-        .withColumn("seed", F.expr("substring(tail, 1, width)"))
-    )
-    joined = cuts.join(keys, ["width", "seed"]).filter(F.col("tail").startswith(F.col("key")))
-    return joined.select("digest", "key", "value", "ord").distinct()
+    spread = named.repartition(work_partitions(texts.sparkSession))
+    found = F.array_distinct(F.flatten(F.array(*[pieces(w) for w in widths]))) if widths else F.array().cast("array<string>")
+    cuts = spread.select("digest", F.explode(found).alias("seed"))
+    met = cuts.join(keys.drop("width"), "seed").drop("seed").distinct()
+    return met.join(named, "digest").filter(F.col("text").contains(F.col("key"))).select("digest", "key", "value", "ord").distinct()
