@@ -22,7 +22,7 @@ from tabloom.linkage.keys import (
 from tabloom.linkage.scoring import block_candidates
 from tabloom.retrieval import bm25, vectors
 from tabloom.retrieval.corpus import build_corpus
-from tabloom.session import work_partitions
+from tabloom.session import checkpointed, work_partitions
 
 UNIQUE_KEY_SCORE = 0.95
 BLOCK_BYTES = 8 * 1024 * 1024
@@ -173,7 +173,7 @@ def fallback(lefts: DataFrame, rights: DataFrame, top_k: int = 5, block_rows: in
         rows = some.select("query_id", "vector").collect()
         if not rows:
             continue
-        scored = bm25.scores(some, index)
+        scored = checkpointed(bm25.scores(some, index))
         highest = scored.groupBy("query_id").agg(F.max("score").alias("_top"))
         shared = scored.join(highest, "query_id").select(
             "doc_id", "query_id",

@@ -1,51 +1,63 @@
 """Okapi BM25 over a table of documents.
 
-Documents are placed by their id once; term counts, scoring and the local part
-of the top-k all happen where a document lies, so neither common words nor
-query-document pairs are ever shuffled.
+The words of a document are counted inside its row and written once, next to its id; texts never leave
+the task that reads them. A search sends the words of the queries to the documents, in blocks of bounded size,
+scores each batch of documents as one sparse product and reports only the best of the batch, so neither
+common words nor query-document pairs are shuffled. Every further block of queries reads the written counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tabloom._columns import words
-from tabloom.session import SMALL_ROWS, checkpointed, work_partitions
+from tabloom.session import SMALL_ROWS, checkpointed, written
 
 # Parameters of the Okapi formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+# Documents scored together, and pairs of a document word and a query that ask for it expanded at a time.
+BATCH_DOCS = 2000
 
 
 @dataclass
 class Bm25Index:
-    """Term counts per document and weights per term.
+    """Written word counts of each document, and weights per term."""
 
-    The vocabulary is written once while building, the totals are one row; the counts
-    are computed where they are used, or can be written to parquet as well.
-    """
-
-    counts: DataFrame  # doc_id, length, term, tf; placed by doc_id
+    documents: DataFrame  # doc_id, length, terms: array of (term, tf)
     terms: DataFrame  # term, df, idf
     docs: int
     mean_length: float
 
+    @property
+    def counts(self) -> DataFrame:
+        """doc_id, length, term, tf"""
+        return self.documents.select("doc_id", "length", F.inline("terms"))
 
-def build_index(corpus: DataFrame) -> Bm25Index:
-    # Texts are placed first and cut into words there, by all tasks. The length
-    # is a column of its own before the words are spread, so it is computed once.
-    tokens = words(F.lower(F.coalesce("text", F.lit(""))))
-    placed = corpus.select("doc_id", "text").repartition(work_partitions(corpus.sparkSession), "doc_id")
-    sized = placed.select("doc_id", F.size(tokens).alias("length"), "text")
-    counts = (
-        sized.select("doc_id", "length", F.explode(tokens).alias("term"))
-        .groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+def _counted(corpus: DataFrame) -> DataFrame:
+    """Words counted inside the row: sorted, equal words are neighbours, and a count is the distance of two starts."""
+    tokens = corpus.select("doc_id", F.array_sort(words(F.lower(F.coalesce("text", F.lit(""))))).alias("w"))
+    new = lambda x, i: F.when((i == 0) | (x != F.get("w", i - 1)), i)
+    starts = tokens.select("doc_id", "w", F.filter(F.transform("w", new), lambda i: i.isNotNull()).alias("at"))
+    terms = F.transform(
+        "at", lambda i, j: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get("at", j + 1), F.size("w")) - i).cast("long").alias("tf"))
     )
-    totals = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length")).first()
+    return starts.select("doc_id", F.size("w").alias("length"), terms.alias("terms"))
+
+
+def build_index(corpus: DataFrame) -> Bm25Index:
+    documents = written(_counted(corpus))
+    totals = documents.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length")).first()
     docs, mean_length = totals["docs"], totals["mean_length"] or 1.0
-    seen = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    seen = documents.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = checkpointed(seen).select(
         "term", "df", (F.log(F.lit(docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")
     )
@@ -53,7 +65,7 @@ def build_index(corpus: DataFrame) -> Bm25Index:
     terms = raw.select(
         "term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf")
     )
-    return Bm25Index(counts, terms, docs, mean_length)
+    return Bm25Index(documents, terms, docs, mean_length)
 
 
 def query_weights(queries: DataFrame, index: Bm25Index) -> DataFrame:
@@ -110,6 +122,69 @@ def keep_top(scored: DataFrame, top_k: int) -> DataFrame:
     )
 
 
-def search(queries: DataFrame, corpus: DataFrame, top_k: int = 10, index: Bm25Index | None = None) -> DataFrame:
-    """Top documents per query: (query_id, doc_id, score, rank)."""
-    return keep_top(scores(queries, index or build_index(corpus)), top_k)
+def _best_of_batches(weights: list, docs: DataFrame, mean_length: float, top_k: int, kind: str) -> DataFrame:
+    """The best documents of every batch for each of the given queries (rows query_id, term, weight)."""
+    names = sorted({r["query_id"] for r in weights})
+    place = {q: i for i, q in enumerate(names)}
+    asked: dict[str, list] = {}
+    for r in weights:
+        asked.setdefault(r["term"], []).append((place[r["query_id"]], r["weight"]))
+    number = {t: i for i, t in enumerate(asked)}
+    sizes = np.array([len(v) for v in asked.values()])
+    first = np.cumsum(sizes) - sizes
+    query = np.array([q for v in asked.values() for q, _ in v])
+    weight = np.array([w for v in asked.values() for _, w in v])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), BATCH_DOCS):
+                batch = whole.slice(start, BATCH_DOCS)
+                terms = batch.column(2)
+                lengths = terms.value_lengths().to_numpy(zero_copy_only=False)
+                flat = terms.flatten()
+                term = np.array([number.get(t, -1) for t in flat.field("term").to_pylist()], int)
+                hit = term >= 0
+                doc = np.repeat(np.arange(len(batch)), lengths)[hit]
+                term, tf = term[hit], flat.field("tf").to_numpy(zero_copy_only=False)[hit]
+                length = batch.column(1).to_numpy(zero_copy_only=False)[doc]
+                impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_length))
+                n = sizes[term]
+                pairs = np.repeat(first[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                total = np.zeros((len(names), len(batch)))
+                np.add.at(total, (query[pairs], np.repeat(doc, n)), weight[pairs] * np.repeat(impact, n))
+                ids = batch.column(0)
+                rank = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"))
+                out_q, out_d, out_s = [], [], []
+                for q, line in enumerate(total):
+                    some = np.flatnonzero(line > 0)
+                    some = some[np.lexsort((rank[some], -line[some].round(TIE_DIGITS)))[:top_k]]
+                    out_q += [names[q]] * len(some)
+                    out_d.append(some)
+                    out_s.append(line[some])
+                places = np.concatenate(out_d) if out_d else np.empty(0, int)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out_q, schema.field(0).type), ids.take(pa.array(places)), pa.array(np.concatenate(out_s))], schema=schema
+                )
+
+    schema = to_arrow_schema(StructType.fromDDL(kind))
+    return docs.select("doc_id", "length", "terms").mapInArrow(score, kind)
+
+
+def search(
+    queries: DataFrame, corpus: DataFrame, top_k: int = 10, index: Bm25Index | None = None, block_rows: int = SMALL_ROWS
+) -> DataFrame:
+    """Top documents per query: (query_id, doc_id, score, rank). Queries go in blocks of some ``block_rows`` words."""
+    index = index or build_index(corpus)
+    weights = checkpointed(query_weights(queries, index))
+    blocks = max(1, -(-weights.count() // block_rows))
+    types = [queries.schema["query_id"].dataType.simpleString(), index.documents.schema["doc_id"].dataType.simpleString()]
+    kind = f"query_id {types[0]}, doc_id {types[1]}, score double"
+    result = None
+    for block in range(blocks):
+        some = weights.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        if some:
+            one = _best_of_batches(some, index.documents, index.mean_length, top_k, kind)
+            result = one if result is None else result.unionAll(one)
+    if result is None:
+        result = queries.sparkSession.createDataFrame([], kind)
+    return keep_top(result, top_k)

@@ -4,6 +4,7 @@ reliable checkpoints and size checks before a broadcast."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write a table to the checkpoint folder as Parquet and read it back; unlike a checkpoint it keeps its
+    columns apart, so later steps read what they need. The files go with the session."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        checkpointed(spark.range(0))
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small_rows(
     df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES
 ) -> list[Row] | None:
