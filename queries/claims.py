@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from queries.common import registry, table
 from tabloom.claims import fields as names
 from tabloom.claims import parse, record, rounds
+from tabloom.claims.analysis import map_analysis as analyse
 from tabloom.session import checkpointed
 
 QUERIES, SQL, register = registry()
@@ -450,3 +453,56 @@ def dublin_core(spark, sf):
         F.lit("112").alias("map_bbox_west"), F.lit(154.0).alias("map_bbox_east"), F.lit(-44.5).alias("map_bbox_south"),
         F.when(size % 3 != 0, "-10").otherwise("N/A").alias("map_bbox_north"))
     return record.dublin_core(df).select("p_partkey", *[F.col(f"`{c}`") for c in names.DUBLIN_CORE])
+
+
+# ── All passes together ──────────────────────────────────────────────────────
+
+def _entry(value):
+    return {"value": value, "evidence_bbox": [1, 2, 30, 40], "evidence_text": "seen"}
+
+
+def _model(request):
+    """A stand-in for the model whose answers depend on the document's number: nine courses that a document can take."""
+    kind, task, payload = request["doc_id"] % 9, request["task"], request["payload"]
+    answer = {}
+    if task == "extract":
+        answer = {"fields": {"title": _entry(payload), "country": _entry("Here, There")}}
+    elif task == "review":
+        title = next((c["value"] for c in json.loads(payload) if c["field"] == "title"), "")
+        wrong = kind in (2, 3, 4, 6) or (kind == 1 and not title.startswith("mended "))
+        answer = {"verdicts": {"title": {"ok": not wrong, "issue": "unlike", "what_you_see": "blurred"}, "country": {"ok": True}}}
+    elif task == "correct" and kind != 6:
+        value = json.loads(payload)[0]["your_value"]
+        answer = {"fields": {"title": _entry(f"mended {value}" if kind == 1 else value)}}
+    elif task == "reread":
+        answer = {"value": "read again", "confident": kind == 4, "verbatim_text": "AGAIN"}
+    elif task == "presence":
+        answer = {"visible": request["name"] == "Here" or kind != 5}
+    elif task == "rescue":
+        answer = {"value": "rescued", "confident": kind == 3, "reasoning": "r"}
+    text = "I see nothing" if task == "extract" and kind == 7 else json.dumps(answer)
+    return {"text": text, "input_tokens": 10, "output_tokens": 2}
+
+
+@register(
+    "map_analysis",
+    """
+    WITH p AS (SELECT p_partkey, p_name, p_partkey % 9 AS kind, [5, 8, 13, 13, 12, 5, 7, 1, 0][p_partkey % 9 + 1] AS calls FROM part)
+    SELECT p_partkey, CASE kind WHEN 0 THEN p_name WHEN 1 THEN 'mended ' || p_name WHEN 3 THEN 'rescued' WHEN 4 THEN 'read again' WHEN 5 THEN p_name ELSE '' END AS map_title,
+           CASE WHEN kind >= 7 THEN '' WHEN kind = 5 THEN 'Here' ELSE 'Here, There' END AS map_country,
+           CASE WHEN kind = 1 THEN 'title' ELSE '' END AS map_review_fields_uncertain, CASE WHEN kind = 2 THEN 'title' ELSE '' END AS map_review_fields_demoted,
+           CASE WHEN kind = 3 THEN 'title' ELSE '' END AS map_review_fields_rescued, CASE WHEN kind = 4 THEN 'title' ELSE '' END AS map_review_fields_rereaded,
+           CASE WHEN kind = 5 THEN 'country' ELSE '' END AS map_review_fields_presence_pruned,
+           CAST(10 * calls AS BIGINT) AS map_input_tokens, CAST(2 * calls AS BIGINT) AS map_output_tokens,
+           CASE kind WHEN 7 THEN 'failed' WHEN 8 THEN 'skipped' ELSE 'done' END AS map_state,
+           CASE kind WHEN 0 THEN p_name WHEN 1 THEN 'mended ' || p_name WHEN 3 THEN 'rescued' WHEN 4 THEN 'read again' WHEN 5 THEN p_name ELSE '' END AS "dc:title"
+    FROM p
+    """,
+)
+def map_analysis(spark, sf):
+    """Extraction with review, correction, second reading, presence, demotion and rescue, from image to Dublin Core."""
+    part = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 9 != 8, F.col("p_name")).alias("image"))
+    found = analyse(part, "p_partkey", "image", predict=_model, dublin_core_export=True)
+    return found.select(
+        "p_partkey", "map_title", "map_country", "map_review_fields_uncertain", "map_review_fields_demoted", "map_review_fields_rescued",
+        "map_review_fields_rereaded", "map_review_fields_presence_pruned", "map_input_tokens", "map_output_tokens", "map_state", "dc:title")

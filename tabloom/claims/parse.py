@@ -130,8 +130,8 @@ def parse_verdicts(parsed: DataFrame, sent: DataFrame) -> DataFrame:
     )
     verdicts = taken.select(
         *keys, "field", (F.col("_ok").isNull() | _truthy(F.col("_ok"))).alias("ok"),
-        _short_text(F.col("_issue"), 400).alias("issue"),
-        _short_text(F.col("_what_you_see"), 400).alias("what_you_see"),
+        _text(F.col("_issue"), size=400).alias("issue"),
+        _text(F.col("_what_you_see"), size=400).alias("what_you_see"),
     )
     sent_keys = route_claims(sent).select(*keys, "field").distinct()
     return verdicts.join(sent_keys, [*keys, "field"], "left_semi").select(

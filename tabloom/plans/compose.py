@@ -13,6 +13,7 @@ from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabloom.claims.analysis import map_analysis
 from tabloom.enrich import operators as enrichment
 from tabloom.functions.registry import register_function
 from tabloom.linkage.ports import cross_match
@@ -27,9 +28,10 @@ Ports = dict[str, DataFrame]
 Operator = Callable[[Ports, dict], Ports]
 
 
-WHOLE = {"count", "seed", "min_match_length", "batch_size", "max_tokens", "top_k", "max_rows", "max_images"}
+WHOLE = {"count", "seed", "min_match_length", "batch_size", "max_tokens", "top_k", "max_rows", "max_images", "max_correction_rounds"}
 REAL = {"percent", "confidence_threshold", "ambiguity_gap"}
-TRUTH = {"batch_mode", "only_fill_empty", "case_sensitive", "include_index", "scan_subfolders", "multi_line"}
+TRUTH = {"batch_mode", "only_fill_empty", "case_sensitive", "include_index", "scan_subfolders", "multi_line", "enable_reread", "enable_rescue",
+         "dublin_core_export"}
 # Settings whose empty text says something; elsewhere it means that nothing was chosen.
 EMPTY_SPEAKS = {"fill_value", "no_match_value", "value", "system_prompt", "formula"}
 
@@ -138,6 +140,10 @@ OPERATORS: dict[str, Operator] = {
         "json_field_mapping", "predict", "responses", "files", "system_prompt", "max_tokens",
     ),
     "ai_cross_match": _cross,
+    "ai_map_analysis": _one(
+        map_analysis, "row_id", "image_column", "predict", "responses", "max_correction_rounds", "enable_reread",
+        "enable_rescue", "dublin_core_export", "store",
+    ),
 }
 SINKS = ("output_csv", "output_json", "output_xlsx")
 SOURCES = ("input_csv", "input_json", "input_images", "input_api", "input_xlsx")
