@@ -23,18 +23,11 @@ def clean_response(c: Column) -> Column:
     return F.regexp_replace(text, r",\s*([}\]])", "$1")
 
 
-_TOKEN = re.compile(r'\s+|[{}\[\],:]|"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[^\s{}\[\],:"]+', re.DOTALL)
+_TOKEN = re.compile(r'\s+|[{}\[\],:]|"(?:[^"\\]|\\.)*(?P<close>")?|[^\s{}\[\],:"]+', re.DOTALL)
 _ESCAPE = re.compile(r'\\(u[0-9a-fA-F]{4}|["\\/bfnrt])|\\')
 _SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity")
 
 
-def _whole_string(token: str) -> tuple[str, bool]:
-    """A string token with valid escapes and a closing quote, and whether it had one."""
-    closed = len(token) > 1 and token.endswith('"') and _TOKEN.fullmatch(token[:-1] + 'x"') is not None
-    body = token[1:-1] if closed else token[1:].removesuffix("\\" if (len(token) - len(token.rstrip("\\"))) % 2 else "\0")
-    return '"' + _ESCAPE.sub(lambda m: m[0] if m[1] else "\\\\", body) + '"', closed
-
-
 def close_cut_json(text: str) -> str:
     """Complete a JSON text that stops early.
 
@@ -53,8 +46,11 @@ def close_cut_json(text: str) -> str:
             stack.append(["}" if token == "{" else "]", len(out), token == "{"])
             continue
         if token[0] == '"':
-            token, closed = _whole_string(token)
-            if not closed and (not stack or stack[-1][0] == "]" or stack[-1][2]):
+            token = _ESCAPE.sub(lambda e: e[0] if e[1] else "\\\\", token)
+            if not m["close"]:
+                if stack and stack[-1][0] == "}" and not stack[-1][2]:
+                    out.append(token + '"')
+                    stack[-1][1] = len(out)
                 break
         elif last and received and stack and token not in ("}", "]", ",", ":") and not token.isspace() and not _SCALAR.fullmatch(token):
             break

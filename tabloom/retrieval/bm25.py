@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tabloom._columns import words
-from tabloom.session import SMALL_ROWS, checkpointed, written
+from tabloom.session import SMALL_ROWS, checkpointed, work_partitions, written
 
 # Parameters of the Okapi formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -87,7 +87,9 @@ def scores(queries: DataFrame, index: Bm25Index, block_rows: int = SMALL_ROWS) -
     """
     norm = F.lit(K1) * (1 - B + B * F.col("length") / F.lit(index.mean_length))
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    postings = index.counts.select("doc_id", "term", impact.alias("impact"))
+    # The counts are placed by document, so the sums over its words need no shuffle of pairs.
+    placed = index.documents.repartition(work_partitions(queries.sparkSession), "doc_id")
+    postings = placed.select("doc_id", "length", F.inline("terms")).select("doc_id", "term", impact.alias("impact"))
     weights = query_weights(queries, index)
     size = queries.agg(
         F.sum(F.size(words(F.lower(F.coalesce("query", F.lit("")))))).alias("n")

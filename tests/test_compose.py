@@ -105,14 +105,14 @@ def test_pivot_keeps_an_empty_fill_value(spark):
     spec = {"nodes": [{"id": "a", "type": "input_csv"}, {"id": "p", "type": "transform_pivot", "data": {"config": {
         "index": "k", "pivot_column": "c", "value_column": "v", "agg_func": "sum", "fill_value": ""}}}], "edges": [{"source": "a", "target": "p"}]}
     df = spark.createDataFrame([("x", "a", 1), ("y", "b", 2)], "k string, c string, v int")
-    out = run_pipeline(spark, spec, {"a": df})[("p", "output")]
+    out = compose.run_pipeline(spark, spec, {"a": df})[("p", "output")]
     assert sorted(map(tuple, out.collect())) == [("x", "1", ""), ("y", "", "2")]
 
 
 def test_payloads_of_a_service_are_opened_along_the_path(spark):
     spec = {"nodes": [{"id": "a", "type": "input_api", "data": {"config": {"json_path": "data.items"}}}], "edges": []}
     df = spark.createDataFrame([('{"data": {"items": [{"n": 1}, {"n": 2}]}}',)], "body string")
-    assert sorted(r.n for r in run_pipeline(spark, spec, {"a": df})[("a", "output")].collect()) == [1, 2]
+    assert sorted(r.n for r in compose.run_pipeline(spark, spec, {"a": df})[("a", "output")].collect()) == [1, 2]
 
 
 def test_map_analysis_from_a_spec(spark):
@@ -122,5 +122,5 @@ def test_map_analysis_from_a_spec(spark):
     config = {"row_id": "id", "image_column": "path", "responses": responses, "max_correction_rounds": "1", "dublin_core_export": "true"}
     spec = {"nodes": [{"id": "a", "type": "input_csv"}, {"id": "m", "type": "ai_map_analysis", "data": {"config": config}}], "edges": [{"source": "a", "target": "m"}]}
     df = spark.createDataFrame([(1, "x.tif"), (2, "y.tif"), (3, None)], "id int, path string")
-    rows = {r.id: r for r in run_pipeline(spark, spec, {"a": df})[("m", "output")].collect()}
+    rows = {r.id: r for r in compose.run_pipeline(spark, spec, {"a": df})[("m", "output")].collect()}
     assert [(rows[i].map_title, rows[i].map_state, rows[i]["dc:title"]) for i in (1, 2, 3)] == [("T", "done", "T"), ("", "failed", ""), ("", "skipped", "")]

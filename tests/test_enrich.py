@@ -26,6 +26,11 @@ def test_malformed_responses(spark):
         '{"a": {"x": ["p", "q"], "y": [{"z": 1': ("repaired", {"a": {"x": ["p", "q"], "y": [{"z": 1}]}}),
         '{"a": "bad \\S escape", "b": 2': ("repaired", {"a": "bad \\S escape", "b": 2}),
         '{"a": "line\nbreak"}': ("repaired", {"a": "line\nbreak"}),
+        '{"names": ["x","y","z"': ("repaired", {"names": ["x", "y", "z"]}),
+        '{"k": ["a","b","c","d","e': ("repaired", {"k": ["a", "b", "c", "d"]}),
+        '{"a": 1, "b": {"c": [1, {"d": "par': ("repaired", {"a": 1, "b": {"c": [1, {"d": "par"}]}}),
+        '{"a": 1, "b": tru': ("repaired", {"a": 1}),
+        '{"a": "x\\': ("repaired", {"a": "x"}),
         "no json": ("failed", None), "": ("failed", None), '{"a": tru': ("failed", None), None: ("failed", None),
     }
     assert parse(spark, list(cases)) == list(cases.values())

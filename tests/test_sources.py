@@ -41,7 +41,7 @@ def test_csv_sink(spark, tmp_path, encoding):
     raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part*")))
     assert raw.startswith(b"\xef\xbb\xbf") == (encoding == "utf-8-sig")
     assert '""x""' in raw.decode(encoding) and "150000000.0" in raw.decode(encoding)
-    back = files.read_csv(spark, str(tmp_path / "out"), encoding)
+    back = files.read_csv(spark, str(tmp_path / "out"), encoding, multi_line=True)
     assert [r[1:3] for r in back.orderBy("i").collect()] == [(1, None), (2, 'é "x",\ny')]
     assert [r[0] for r in back.orderBy("i").collect()] == [0, 1]
 
