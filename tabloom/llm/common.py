@@ -41,6 +41,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def sample_by_hash(df: DataFrame, size: int, *keys: str) -> DataFrame:
+    """About ``size`` rows of a written table, chosen by a hash of their keys: the same on every run, found without a
+    sort, and not more than twice as many even where one key fills the table."""
+    steps = 1 << 40
+    share = min(1.0, size / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(steps)) < int(share * steps)).limit(2 * size)
+
+
 def spread(n_rows: int, per_group: int) -> int:
     """How many groups ``n_rows`` are dealt to so that each stays near ``per_group`` rows."""
     return max(1, -(-n_rows // per_group))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import runs, sound_vector, spread, stored, vector_matrix
+from tabloom.llm.common import runs, sample_by_hash, sound_vector, spread, stored, vector_matrix
 
 CENTROIDS = 128
 SAMPLE = 20_000
@@ -118,7 +118,7 @@ def search(
         "vec_id", F.xxhash64(F.lit(1), v).alias("h1"), F.xxhash64(F.lit(2), v).alias("h2"), v
     )
     entries = stored(_entries(rows.dropDuplicates(["vec_id", "h1", "h2"]), k))
-    fitted = entries.orderBy(F.xxhash64("id")).limit(sample).select("vector").toArrow().column(0)
+    fitted = sample_by_hash(entries, sample, "id").select("vector").toArrow().column(0)
     points = vector_matrix(fitted)
     half = dim // 2
     books = [fit_half(points[:, :half], centroids), fit_half(points[:, half:], centroids)]
