@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import stored
 
-#: Words sent to every task with their counts.
+#: Words sent to every task with their counts, at most.
 FREQUENT = 300_000
 #: Weight of the corpus-wide distribution against the words a text has used before, in words.
 PRIOR = 1000.0
@@ -153,6 +153,18 @@ def piece_counts(counts: DataFrame, path: str) -> np.ndarray:
     return out
 
 
+def _most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """The words with the highest counts, as many whole classes of counts as hold at most ``most`` words. A class is an
+    eighth of a power of two wide, so there are a few hundred of them and no word has to be sorted."""
+    kind = F.floor(F.log2("c") * 8)
+    found = 0
+    for r in table.groupBy(kind.alias("kind")).count().orderBy(F.desc("kind")).collect():
+        found += r["count"]
+        if found > most:
+            return table.where(kind > r["kind"])
+    return table
+
+
 def _urn(first: float, tf: int) -> float:
     """Sum of log10(first + j) for j below tf."""
     if tf == 1:
@@ -198,7 +210,7 @@ def score(
             "p", F.greatest("p", F.lit(1e-300))
         )
     )
-    top = table.orderBy(F.desc("c"), "word").limit(frequent).toArrow()
+    top = _most_frequent(table, frequent).toArrow()
     sent = docs.sparkSession.sparkContext.broadcast(
         (top.column("word").to_pylist(), top.column("c").to_numpy(), top.column("p").to_numpy())
     )
