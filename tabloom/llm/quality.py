@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import stored
+from tabloom.llm.common import sample_by_hash, stored
 from tabloom.session import broadcast_if_small
 
-#: Labelled documents that the classifier is fitted on, those with the smallest hash of their id.
+#: About how many labelled documents the classifier is fitted on, chosen by a hash of their id.
 SAMPLE = 20_000
 BINS = 16
 RIDGE = 1.0
@@ -133,8 +133,11 @@ def classify(
     )
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
     known = known.where("y IS NOT NULL AND doc_id IS NOT NULL")
-    rows = known.join(measured, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample).select("x", "y").toPandas()
+    some = sample_by_hash(known, sample, "doc_id")
+    rows = some.join(measured.select("doc_id", "x"), "doc_id").select("x", "y").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(STATISTICS))
+    order = np.lexsort([rows["y"].to_numpy(), *x.T])  # the sums of the fit do not depend on how rows arrive
+    x, rows = x[order], rows.iloc[order]
     edges, weights, odds = fit(x, rows["y"].to_numpy(float))
 
     @F.pandas_udf("double")
