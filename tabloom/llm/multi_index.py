@@ -8,8 +8,9 @@ carries that one number and not a list of cells.
 
 Cells are laid out in order and cut into blocks of bounded size; a query goes to the blocks that hold cells
 it has seen. Equal vectors are one entry with their smallest ids, as many as a result can show, so that a
-vector that a third of all rows hold is one entry too. The codebook is fitted on a bounded sample; only it and the
-sizes of its cells (at most the square of its centroids) pass through the driver.
+vector that a third of all rows hold is one entry too. What the seen cells must hold is a share of the index, and the
+cells grow with the square root of its entries, the sample for the codebook with its centroids; only these and the
+sizes of the cells (at most the square of the centroids) pass through the driver.
 """
 
 from __future__ import annotations
@@ -24,13 +25,18 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import runs, sample_by_hash, sound_vector, spread, stored, vector_matrix
 
+#: For up to EVEN entries; more have centroids by the fourth root, so that cells grow by the square root.
 CENTROIDS = 128
+EVEN = 51_200
 SAMPLE = 20_000
-#: Entries that the cells seen by a query must hold. For 51,282 vectors spread evenly in 64 dimensions this
-#: reaches a recall of 0.96; vectors that lie in fewer dimensions need less.
+#: Entries that the cells seen by a query must hold: this share of the index, and CANDIDATES at least. Vectors spread evenly
+#: in 64 dimensions need about half of a small index, and less of a larger one; those in fewer dimensions need less.
+SHARE = 0.5
 CANDIDATES = 24_000
 BLOCK = 4096
 _CHUNK = 512
+#: Pairs of query and block held before they are sent.
+_HELD = 100_000
 _RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -48,7 +54,15 @@ def fit_half(sample: np.ndarray, centroids: int, rounds: int = 12) -> np.ndarray
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((c**2).sum(1) - 2 * (x @ c.T)).argmin(1)
+    size = (c**2).sum(1)
+    parts = [(size - 2 * (x[at : at + BLOCK] @ c.T)).argmin(1) for at in range(0, len(x), BLOCK)]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
+def budget(entries: int) -> tuple[int, int, int]:
+    """Centroids a half, candidates a query and vectors to fit on for an index of that many entries."""
+    centroids = int(CENTROIDS * max(1.0, entries / EVEN) ** 0.25)
+    return centroids, max(CANDIDATES, int(SHARE * entries)), SAMPLE * centroids // CENTROIDS
 
 
 def last_sum(a: np.ndarray, b: np.ndarray, counts: np.ndarray, enough: int) -> float:
@@ -94,8 +108,8 @@ def _entries(rows: DataFrame, k: int) -> DataFrame:
 
 
 def search(
-    vectors: DataFrame, every: int = 20, k: int = 20, centroids: int = CENTROIDS, candidates: int = CANDIDATES,
-    sample: int = SAMPLE,
+    vectors: DataFrame, every: int = 20, k: int = 20, centroids: int | None = None, candidates: int | None = None,
+    sample: int | None = None,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose vec_id is divisible by ``every``.
 
@@ -103,7 +117,8 @@ def search(
     hold null or non-finite components, rows without id, and vectors of another length than most (the longer
     on a tie) take no part. Rows that share id and vector are one; a query id with several vectors gets the
     nearest of any of them. Ties go to the smaller id; where fewer candidates exist all are returned. Other columns are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result. ``centroids``, ``candidates`` and ``sample`` follow the number of
+    distinct vectors (``budget``) where they are not given.
     """
     spark = vectors.sparkSession
     v = F.col("embedding")
@@ -118,6 +133,8 @@ def search(
         "vec_id", F.xxhash64(F.lit(1), v).alias("h1"), F.xxhash64(F.lit(2), v).alias("h2"), v
     )
     entries = stored(_entries(rows.dropDuplicates(["vec_id", "h1", "h2"]), k))
+    by_size = budget(entries.count())
+    centroids, candidates, sample = (b if a is None else a for a, b in zip((centroids, candidates, sample), by_size))
     fitted = sample_by_hash(entries, sample, "id").select("vector").toArrow().column(0)
     points = vector_matrix(fitted)
     half = dim // 2
@@ -138,8 +155,8 @@ def _reranked(
 
     cells = stored(entries.select("id", "vector").mapInArrow(assign, "id long, cell int"))
     counts = np.zeros(len(books[0]) * wide, np.int64)
-    for r in cells.groupBy("cell").count().collect():
-        counts[r["cell"]] = r["count"]
+    sizes = cells.groupBy("cell").count().toArrow()
+    counts[sizes.column("cell").to_numpy()] = sizes.column("count").to_numpy()
     # cells in order fill blocks of about BLOCK entries; a larger cell gets blocks of its own
     first, parts = np.zeros(len(counts), np.int32), np.ones(len(counts), np.int32)
     block = filled = 0
@@ -156,10 +173,23 @@ def _reranked(
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, counts, first, parts = table.value
         full = np.flatnonzero(counts.ravel())
+
+        def sent(batch: pa.RecordBatch, at: list, to: list, least: list) -> Iterator[pa.RecordBatch]:
+            at, to, least = np.concatenate(at), np.concatenate(to).astype(np.int32), np.concatenate(least)
+            for start in range(0, len(at), 10_000):
+                part = pa.array(at[start : start + 10_000])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(to[start : start + 10_000]), batch.column(0).take(part),
+                        pa.array(least[start : start + 10_000]), batch.column(1).take(part),
+                    ],
+                    names=["block", "id", "least", "vector"],
+                )
+
         for batch in batches:
             x = vector_matrix(batch.column(1))
             a, b = x[:, :half] @ books[0].T, x[:, half:] @ books[1].T
-            at, to, least = [], [], []
+            at, to, least, held = [], [], [], 0
             for r in range(len(x)):
                 low = last_sum(a[r], b[r], counts, candidates)
                 low -= 1e-9 * (1 + abs(low)) if np.isfinite(low) else 0
@@ -170,22 +200,17 @@ def _reranked(
                 at.append(np.full(len(blocks), r))
                 to.append(blocks)
                 least.append(np.full(len(blocks), low))
-            at, to, least = np.concatenate(at), np.concatenate(to).astype(np.int32), np.concatenate(least)
-            for start in range(0, len(at), 10_000):
-                part = at[start : start + 10_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(to[start : start + 10_000]), batch.column(0).take(pa.array(part)),
-                        pa.array(least[start : start + 10_000]), batch.column(1).take(pa.array(part)),
-                    ],
-                    names=["block", "id", "least", "vector"],
-                )
+                held += len(blocks)
+                if held > _HELD:
+                    yield from sent(batch, at, to, least)
+                    at, to, least, held = [], [], [], 0
+            if at:
+                yield from sent(batch, at, to, least)
 
     kind = queries.schema["embedding"].dataType.simpleString()
     seekers = queries.select("vec_id", "embedding").mapInArrow(deal, f"block int, id long, least double, vector {kind}")
-    layout = spark.createDataFrame(
-        [(int(c), int(first[c]), int(parts[c])) for c in np.flatnonzero(counts)], "cell int, first int, parts int"
-    )
+    full = np.flatnonzero(counts).astype(np.int32)
+    layout = spark.createDataFrame(pa.table({"cell": full, "first": first[full], "parts": parts[full]}))
     members = cells.join(F.broadcast(layout), "cell").join(entries.select("id", "vector"), "id")
     members = members.withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
     columns = ["block", "side", "role", "id", "cell", "least", "vector"]

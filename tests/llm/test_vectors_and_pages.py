@@ -3,6 +3,7 @@
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabloom.llm import lattice, multi_index
@@ -113,6 +114,25 @@ def test_multi_index_recall_with_few_candidates(spark):
     assert len(rows) == total and hits / total >= 0.9
 
 
+def test_multi_index_recall_above_the_least_budget(spark):
+    """Evenly spread unit vectors, five times as many as the smallest budget of candidates."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, 64, dtype=np.int32), x.ravel())
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": flat}))
+    found = {}
+    for r in multi_index.search(df, every=2000).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), 2000):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(found[q] & set(np.argpartition(-scores, 20)[:20].tolist()))
+    print("recall", hits / 1200)
+    assert sum(map(len, found.values())) == 1200 and hits / 1200 >= 0.94
+
+
 def test_heap_order_is_that_of_sorted_sums():
     rng = np.random.default_rng(3)
     for _ in range(30):
