@@ -6,7 +6,8 @@ them, and consecutive strings of a text mostly share theirs. Suffixes are theref
 
 1. Texts are cut into strings and anchors; anchors are dealt by their hash, and those met once are dropped.
 2. The others are dealt back to their texts and fetch the bytes of all strings that have this anchor: up to
-   ``least - 40`` before it and ``least`` from it on.
+   ``least - 40`` before it and ``least`` from it on. Of anchors with equal bytes all round a task sends the earliest
+   only; the others are repeats as they are.
 3. Dealt by their hash again, the suffixes of one anchor are sorted, and the tree of their common-prefix intervals is
    scanned for maximal repeats. Each has all its occurrences; all but the earliest are repeats.
 4. What is repeated goes back to the texts, which lose it.
@@ -207,16 +208,39 @@ def _by_row(records: np.ndarray, buckets: int, kind: int = 0) -> pa.RecordBatch:
 
 
 def _met_again(buckets: int) -> Callable:
+    """Anchors whose hash is met more than once in its bucket. A bucket is read piece by piece: what stays are its
+    distinct hashes, not their occurrences."""
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, 1):
-            found = _blocks(group, _ANCHORS, 0)
+        bucket, size = None, 0
+        met, once, held = np.empty(0, np.uint64), np.empty(0, _ANCHORS), []
+
+        def sifted() -> Iterator[pa.RecordBatch]:
+            nonlocal met, once
+            found = np.concatenate([once, *held])
             order = np.argsort(found["hash"], kind="stable")
             h = found["hash"][order]
             same = np.concatenate([[False], h[1:] == h[:-1], [False]])
-            found = found[order[same[1:] | same[:-1]]]
+            again = same[1:] | same[:-1] | np.isin(h, met)
+            met, once, found = np.union1d(met, h[again]), found[order[~again]], found[order[again]]
             if len(found):
                 yield _by_row(found, buckets)
 
+        for batch in batches:
+            for b, n, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "data")), strict=True):
+                if b != bucket:
+                    if held:
+                        yield from sifted()
+                    bucket, size = b, 0
+                    met, once, held = np.empty(0, np.uint64), np.empty(0, _ANCHORS), []
+                held.append(_unpacked(data, n, _ANCHORS))
+                size += held[-1].nbytes
+                if size > max(4 * FLUSH, once.nbytes + met.nbytes):
+                    yield from sifted()
+                    held, size = [], 0
+        if held:
+            yield from sifted()
+
     return keep
 
 
@@ -268,8 +292,33 @@ def _texts_with(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[
             yield records, *_open_texts(data, n)
 
 
-def _fetch(buckets: int, least: int) -> Callable:
-    """Anchors with the bytes around them, dealt by hash."""
+def _collapsed(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest suffix of each context (anchor and bytes all round), and the spans of the others, which it makes
+    repeats over all their bytes."""
+    words = np.array(_words(s["bytes"]))
+    odd = np.random.default_rng(12).integers(1, 2**63, len(words) + 2, dtype=np.uint64) | np.uint64(1)
+    digest = s["hash"] + s["before"] * odd[0] + s["after"] * odd[1]
+    for word, by in zip(words, odd[2:]):
+        digest += _mixed(word * by)
+    order = np.lexsort([s["at"], s["row"], s["doc"], digest])
+    digest = digest[order]
+    near = np.flatnonzero(digest[1:] == digest[:-1])
+    a, b = order[near], order[near + 1]
+    same = (s["bytes"][a] == s["bytes"][b]).all(1)
+    for name in ("hash", "before", "after"):
+        same &= s[name][a] == s[name][b]
+    # in the order of the texts, which presses best
+    later = np.zeros(len(s), bool)
+    later[b[same]] = True
+    spans = np.empty(int(later.sum()), _SPANS)
+    own = s[later]
+    spans["row"], spans["start"], spans["end"] = own["row"], own["at"] - own["before"], own["at"] + own["after"]
+    return s[~later], spans
+
+
+def _fetch(buckets: int, least: int, collapse: bool) -> Callable:
+    """Anchors with the bytes around them, dealt by hash; with ``collapse`` the earliest of each context, and spans of the
+    others (kind 1) dealt by row."""
     left, width, kind = least - ANCHOR, 2 * least - ANCHOR, _suffixes(least)
     reach = np.arange(width)
 
@@ -295,10 +344,23 @@ def _fetch(buckets: int, least: int) -> Callable:
                 held.append(out)
                 size += near.nbytes
                 if size > FLUSH:
-                    yield _by_hash(np.concatenate(held), buckets)
-                    held, size = [], 0
+                    whole = np.concatenate(held)
+                    if collapse:
+                        whole, spans = _collapsed(whole)
+                        if len(spans):
+                            yield _by_row(spans, buckets, 1)
+                    held, size = [whole], whole["bytes"].nbytes
+                    # contexts met again and again stay, so that they go out once
+                    if not collapse or 2 * size > FLUSH:
+                        yield _by_hash(whole, buckets)
+                        held, size = [], 0
         if held:
-            yield _by_hash(np.concatenate(held), buckets)
+            whole = np.concatenate(held)
+            if collapse:
+                whole, spans = _collapsed(whole)
+                if len(spans):
+                    yield _by_row(spans, buckets, 1)
+            yield _by_hash(whole, buckets)
 
     return fetch
 
@@ -417,11 +479,12 @@ def _grouped(blocks: DataFrame, buckets: int, *more: str) -> DataFrame:
     return blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket", *more)
 
 
-def _all_suffixes(numbered: DataFrame, texts: DataFrame, buckets: int, least: int) -> DataFrame:
-    """Blocks of repeated anchors with their bytes, grouped by hash."""
+def _all_suffixes(numbered: DataFrame, texts: DataFrame, buckets: int, least: int, collapse: bool = True) -> DataFrame:
+    """Blocks of repeated anchors with their bytes, grouped by hash (kind 0); with ``collapse`` the earliest of each context
+    a task met, and blocks of the others' spans by row (kind 1)."""
     found = numbered.select("row", "text").mapInArrow(_cut(buckets, least), _BLOCK_SQL)
     again = _grouped(found, buckets).mapInArrow(_met_again(buckets), _BLOCK_SQL)
-    fetched = _grouped(again.unionByName(texts), buckets, "kind").mapInArrow(_fetch(buckets, least), _BLOCK_SQL)
+    fetched = _grouped(again.unionByName(texts), buckets, "kind").mapInArrow(_fetch(buckets, least, collapse), _BLOCK_SQL)
     return _grouped(fetched, buckets)
 
 
@@ -443,7 +506,7 @@ def repeat_groups(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 columns = [pa.array(g["group"].view(np.int64)), ids, *(pa.array(g[c].astype(np.int64)) for c in ("start", "end"))]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    suffixes = _all_suffixes(numbered, _texts(numbered, buckets), buckets, least)
+    suffixes = _all_suffixes(numbered, _texts(numbered, buckets), buckets, least, False)
     return suffixes.mapInArrow(scan, "group long, doc_id long, start long, end long")
 
 
@@ -459,10 +522,28 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, keep_text: bool = False)
     texts = _texts(numbered, buckets)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, 1):
-            spans = _scan(_blocks(group, kind, 0), least)
-            if len(spans):
-                yield _by_row(spans, buckets)
+        bucket, held, size, most = None, [], 0, 4 * FLUSH
+        for batch in batches:
+            through = batch.filter(pa.array(batch.column(1).to_numpy() == 1))
+            if through.num_rows:
+                yield through.set_column(1, _BLOCK.field(1), pa.array(np.zeros(through.num_rows, np.int8)))
+            for b, own, n, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "n", "data")), strict=True):
+                if own == 1:
+                    continue
+                if b != bucket:
+                    if held and len(spans := _scan(np.concatenate(held), least)):
+                        yield _by_row(spans, buckets)
+                    bucket, held, size, most = b, [], 0, 4 * FLUSH
+                held.append(_unpacked(data, n, kind))
+                size += held[-1].nbytes
+                if size > most:
+                    whole, spans = _collapsed(np.concatenate(held))
+                    if len(spans):
+                        yield _by_row(spans, buckets)
+                    held, size = [whole], whole.nbytes
+                    most = max(4 * FLUSH, 2 * size)
+        if held and len(spans := _scan(np.concatenate(held), least)):
+            yield _by_row(spans, buckets)
 
     spans = stored(_all_suffixes(numbered, texts, buckets, least).mapInArrow(scan, _BLOCK_SQL))
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]

@@ -165,6 +165,27 @@ def test_repeats_are_those_of_all_strings(docs, documents, no_docs, null_id_docs
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(null_id_docs).collect()) == [(0, 0, 0), (0, 24, 0), (1, 24, 0)]
 
 
+def test_exact_copies_send_each_context_once_a_task(spark):
+    """300 copies of a text: their anchors meet as one context each, not as 300."""
+    rng = np.random.default_rng(6)
+    text = bytes(rng.integers(97, 123, 3000, dtype=np.uint8)).decode()
+    df = spark.createDataFrame([(i, text) for i in range(300)], "doc_id long, text string").repartition(2)
+    numbered = repeats._numbered(df)
+    sent = repeats._all_suffixes(numbered, repeats._texts(numbered, 8), 8, 100).where("kind = 0").agg(F.sum("n")).first()[0]
+    one = len(repeats.anchors(np.frombuffer(text.encode(), np.uint8), np.array([3000]))[0])
+    assert one > 30 and one <= sent <= 8 * one
+    rows = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.remove_repeats(df).collect()}
+    assert rows == {0: (0, 0)} | {i: (3000, 1) for i in range(1, 300)}
+
+
+def test_repeats_read_piece_by_piece_are_the_same(docs):
+    whole = Counter(map(tuple, repeats.remove_repeats(docs).collect()))
+    for size in (300, 5000):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(repeats, "FLUSH", size)
+            assert Counter(map(tuple, repeats.remove_repeats(docs).collect())) == whole
+
+
 def test_repeat_groups_hold_all_occurrences(docs, documents):
     texts = {r[0]: (r[1] or "").encode() for r in documents}
     groups = defaultdict(set)
