@@ -167,6 +167,30 @@ def lookup_fuzzy_blocks(spark, sf):
     return fuzzy.best_keys(df.select(F.col("typo").alias("text")).distinct(), keys, block_rows=100)
 
 
+# Real names, as many as the tables hold; without a SQL form, checked against difflib in tests/test_lookup.py.
+
+
+@register("lookup_fuzzy_names")
+def lookup_fuzzy_names(spark, sf):
+    """Part names with a letter dropped, appended or all reversed, against the distinct names."""
+    part = table(spark, sf, "part")
+    names = part.groupBy(F.col("p_name").alias("key")).agg(F.min("p_partkey").alias("ord")).withColumn(
+        "value", F.col("key"))
+    typo = F.when(F.col("p_partkey") % 3 == 0, F.regexp_replace("p_name", "e", "")).when(
+        F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit("s"))).otherwise(F.reverse("p_name"))
+    df = part.select("p_partkey", typo.alias("typo"))
+    return lookup(df, names, "typo", "found", "fuzzy").select("p_partkey", "typo", "found")
+
+
+@register("lookup_fuzzy_names_blocks")
+def lookup_fuzzy_names_blocks(spark, sf):
+    """Customer names against supplier names, block by block."""
+    names = table(spark, sf, "supplier").select(
+        F.lower("s_name").alias("key"), F.col("s_suppkey").cast("string").alias("value"), F.col("s_suppkey").alias("ord"))
+    texts = table(spark, sf, "customer").select(F.lower("c_name").alias("text")).distinct()
+    return fuzzy.best_keys(texts, names)
+
+
 # ── Places ───────────────────────────────────────────────────────────────────
 
 _GEO = """

@@ -76,6 +76,35 @@ def test_hits_with_long_keys(spark):
     assert substrings.hits(texts, keys.limit(0)).count() == 0
 
 
+def test_fuzzy_queries_over_real_names_match_difflib(spark):
+    import __spark_entry__ as contract
+
+    folder, queries = "/root/testdata/sf0.001", contract.queries()
+
+    def rows(name, *columns):
+        return [tuple(r) for r in spark.read.parquet(f"{folder}/{name}.parquet").select(*columns).collect()]
+
+    def brute(text, keys):
+        best, found = 0.7, None
+        for key, value in keys:
+            ratio = SequenceMatcher(None, text, key).ratio()
+            if ratio > best:
+                best, found = ratio, value
+        return found
+
+    first = {}
+    for name, i in sorted(rows("part", "p_name", "p_partkey"), key=lambda r: r[1]):
+        first.setdefault(name.lower(), name)
+    got = queries["lookup_fuzzy_names"](spark, folder).collect()
+    assert len(got) == len(rows("part", "p_partkey")) and len({r.typo for r in got}) > 100
+    known = {t: brute(t.lower(), list(first.items())) or "" for t in {r.typo for r in got}}
+    assert {(r.p_partkey, r.found) for r in got} == {(r.p_partkey, known[r.typo]) for r in got}
+    keys = [(n.lower(), str(i)) for n, i in sorted(rows("supplier", "s_name", "s_suppkey"), key=lambda r: r[1])]
+    want = {n.lower(): brute(n.lower(), keys) for (n,) in rows("customer", "c_name")}
+    got = {r.text: r.value for r in queries["lookup_fuzzy_names_blocks"](spark, folder).collect()}
+    assert got == {t: v for t, v in want.items() if v is not None}
+
+
 def test_fuzzy_matches_difflib(spark, monkeypatch):
     random.seed(3)
     keys = [f"nation {i} {random.choice(['north', 'south'])}" for i in range(40)]
