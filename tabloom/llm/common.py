@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +88,22 @@ def vector_matrix(column) -> np.ndarray:
     """Rows of a list column, all of one length and without nulls, in double precision."""
     flat = column.combine_chunks() if hasattr(column, "combine_chunks") else column
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
+
+def text_bytes(column) -> list[bytes]:
+    """The cells of a string or binary column as bytes, null as none."""
+    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+def in_portions(batches, size: int):
+    """Slices of record batches whose second column, the text, holds about ``size`` bytes; a longer text is a slice of its own."""
+    for batch in batches:
+        lengths = np.array([0 if x is None else x for x in pc.binary_length(batch.column(1)).to_pylist()], np.int64)
+        first, held = 0, 0
+        for i, n in enumerate(lengths.tolist()):
+            if held and held + n > size:
+                yield batch.slice(first, i - first)
+                first, held = i, 0
+            held += n
+        if first < len(batch):
+            yield batch.slice(first)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import html_text, lattice, line_dedup, minhash, mixing, multi_index, packing, quality, repeats, subword_lm
+from tabloom.llm import (
+    divergence, html_text, lattice, line_dedup, minhash, mixing, multi_index, packing, quality, repeats, repetition, resample, subword_lm,
+)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -72,3 +74,18 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op4_repeated_passages")
 def op4_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, folder, "documents"))
+
+
+@_register("op11_repetition_rules", repetition.SQL)
+def op11_repetition_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return repetition.rules(_table(spark, folder, "documents")).drop("longest", "n_repeats", "spans")
+
+
+@_register("op12_importance_resample", resample.SQL)
+def op12_importance_resample(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("n_words")
+
+
+@_register("op13_source_divergence", divergence.SQL)
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(_table(spark, folder, "documents"))
