@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -38,6 +40,40 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run):
+    """A function for ``mapInArrow`` whose worker, which later stages use again, gives freed memory back at the end of a
+    partition: Arrow's pool and the C heap both keep what large batches needed."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return tidied
+
+
+class Remembered(dict):
+    """Results of a function of a word, kept for one partition. ``held`` bounds the bytes of words and results that are kept
+    at a time (some 200 bytes of overhead each, included); words of over 64 bytes are not kept."""
+
+    def __init__(self, of, held: int = 16 << 20):
+        super().__init__()
+        self.of, self.held, self.free = of, held, held
+
+    def __missing__(self, word):
+        value = self.of(word)
+        if len(word) <= 64:
+            self.free -= 264 + (len(value) if isinstance(value, bytes) else 0)
+            if self.free < 0:
+                self.clear()
+                self.free = self.held
+            self[word] = value
+        return value
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

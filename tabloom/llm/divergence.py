@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import stored, text_bytes
+from tabloom.llm.common import stored, text_bytes, tidy
 from tabloom.session import broadcast_if_small
 
 LEAST_DOCS = 30
@@ -43,6 +43,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term in a group, and documents that hold it."""
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple[Counter, Counter]] = {}
         terms = size = 0

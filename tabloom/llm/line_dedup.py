@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tabloom._columns import col
 from tabloom.llm import cuckoo
-from tabloom.llm.common import spread, stored
+from tabloom.llm.common import spread, stored, tidy
 
 LEAST = 10
 #: Filters are sent to every task up to this many bytes in all; beyond it postings go straight to the table.
@@ -54,6 +54,7 @@ def postings(docs: DataFrame) -> DataFrame:
     """(high, low, doc_id): one row per document and distinct line key; the key is a 128-bit digest."""
     schema = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("doc_id", pa.int64())])
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             high, low, ids = [], [], []

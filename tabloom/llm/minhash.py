@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import stored
+from tabloom.llm.common import Remembered, stored, tidy
 from tabloom.llm.components import components
 
 ROWS = 5
@@ -34,27 +34,19 @@ MISSED = 1e-4
 HUB_ROUNDS = 3
 #: Members of a bucket compared within one block.
 BLOCK = 256
-REMEMBERED = 1_000_000
 _CHUNK = 2048
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def word_hashes() -> Remembered:
+    return Remembered(xxhash.xxh3_64_intdigest)
 
 
-_words = WordHashes()
-
-
-def shingle_hashes(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; all words as one when there are fewer."""
+def shingle_hashes(text: str | None, k: int, hashes: Remembered) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles; all words as one when there are fewer. ``hashes`` gives a word's."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - k + 1)
     out = h[:n].copy()
     for j in range(1, min(k, len(h))):
@@ -102,11 +94,13 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int = ROWS) -> DataFra
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("bands", pa.list_(pa.int64()))])
     salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
         for batch in batches:
             n, high, low, keys = [], [], [], []
             for text in batch.column(1):
-                own = shingle_hashes(text.as_py(), k)
+                own = shingle_hashes(text.as_py(), k, hashes)
                 digest = xxhash.xxh3_128_digest(own.tobytes())
                 n.append(len(own))
                 high.append(int.from_bytes(digest[:8], "big", signed=True))
@@ -135,9 +129,11 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, n, shingles as sorted little-endian 64-bit numbers) of the documents in ``ids``."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
         for batch in batches:
-            own = [shingle_hashes(t.as_py(), k) for t in batch.column(1)]
+            own = [shingle_hashes(t.as_py(), k, hashes) for t in batch.column(1)]
             columns = [batch.column(0), [len(x) for x in own], [x.tobytes() for x in own]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
 

@@ -27,28 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import spread, stored
+from tabloom.llm.common import Remembered, spread, stored, tidy
 
 CAPACITY = 1024
 GROUPS = 128
 #: Documents numbered together within one length.
 PER_BUCKET = 20_000
-#: Words whose tokens a task remembers at a time.
-REMEMBERED = 300_000
-
-
-class WordTokens(dict):
-    """Tokens of a word as little-endian unsigned 32-bit numbers, remembered per task."""
-
-    def __init__(self, encoding, before: str):
-        self.encoding, self.before = encoding, before
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = np.array(self.encoding.encode_ordinary(self.before + word), "<u4").tobytes()
-        self[word] = ids
-        return ids
 
 
 class ByteBpe:
@@ -65,14 +49,22 @@ class ByteBpe:
         self.encoding = tiktoken.Encoding(
             "bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
-        self.first, self.later = WordTokens(self.encoding, ""), WordTokens(self.encoding, " ")
-        self.line_break = np.array(self.encoding.encode_ordinary("\n"), "<u4").tobytes()
+        self.forget()
+
+    def forget(self) -> None:
+        """Start with no words remembered, as every partition does."""
+        self.first, self.later = Remembered(self._ids), Remembered(lambda word: self._ids(" " + word))
+        self.line_break = self._ids("\n")
+
+    def _ids(self, text: str) -> bytes:
+        """Token ids as little-endian unsigned 32-bit numbers."""
+        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if text.replace("\n", " ").split(" ") != text.split():
-            return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+            return self._ids(text)
         later = self.later.__getitem__
         out = []
         for line in text.split("\n"):
@@ -84,7 +76,7 @@ class ByteBpe:
         return b"".join(out)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _tokenizer(path: str) -> ByteBpe:
     return ByteBpe(path)
 
@@ -107,8 +99,15 @@ def token_pieces(
         fields.append(("ids", pa.list_(pa.int32())))
     schema = pa.schema(fields)
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
+        try:
+            yield from pieces(tokenizer, batches)
+        finally:
+            tokenizer.forget()  # the worker keeps the vocabulary, which has a fixed size, and nothing of the texts
+
+    def pieces(tokenizer: ByteBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

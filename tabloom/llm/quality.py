@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import sample_by_hash, stored
+from tabloom.llm.common import sample_by_hash, stored, tidy
 from tabloom.session import broadcast_if_small
 
 #: About how many labelled documents the classifier is fitted on, chosen by a hash of their id.
@@ -120,6 +120,7 @@ def classify(
     kind = "doc_id long, host string, path string, x array<double>"
     schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("x", pa.list_(pa.float64()))])
 
+    @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [statistics(t.as_py()) for t in batch.column(3)]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import in_portions, text_bytes
+from tabloom.llm.common import in_portions, text_bytes, tidy
 from tabloom.llm.suffix_tree import intervals
 
 #: Words a repeat has to have to count; part of the words, in percent, that repeats may cover; words of the longest. A line
@@ -174,6 +174,7 @@ def rules(
     span = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))
     schema = pa.schema([(c, span if c == "spans" else pa.int64()) for c in fields])
 
+    @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_portions(batches, PORTION):
             texts = text_bytes(part.column(1))

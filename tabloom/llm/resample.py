@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import in_portions, stored, text_bytes
+from tabloom.llm.common import in_portions, stored, text_bytes, tidy
 
 BUCKETS = 10_000
 LONGEST = 1
@@ -111,6 +111,7 @@ def features(docs: DataFrame, longest: int, buckets: int, id_col: str | None = "
     kind = "<u2" if buckets <= 1 << 16 else "<u4"
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("buckets", pa.binary())])
 
+    @tidy
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_portions(batches, PORTION):
             texts = text_bytes(part.column(1))
