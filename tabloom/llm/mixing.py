@@ -1,11 +1,12 @@
 """Mix sources to target weights by Pareto order sampling, in DataFrame operations only.
 
 A source with target T and S words gets ``whole = floor(T / S)`` certain copies of every
-document. The rest of the target is a sample of fixed size: with inclusion probability
-``p`` and a uniform number ``u`` from the document's id, documents are ranked by
-``(u / (1 - u)) / (p / (1 - p))`` and taken in that order while they fit. A document too large for
-what is left is passed over and the draw goes on behind it, a few times; what then is left open is topped up
-by the largest documents that fit.
+document. The rest of the target, R words, is a sample of fixed size in words with unequal probabilities: a document of s
+words is included with probability ``p = min(1, c * s)``, in proportion to what it adds, and c is such that the expected
+words, the sum of p * s, are R. Documents that reach 1 are certain; c is found for the others from the counts per size.
+With a uniform number ``u`` from the document's id, documents are ranked by ``(u / (1 - u)) / (p / (1 - p))``, random odds
+over inclusion odds, and taken in that order while they fit. A document too large for what is left is passed over and
+the draw goes on behind it, a few times; what then is left open is topped up by the largest documents that fit.
 
 The order is cut into buckets. Sums per (source, bucket) are taken first, and only the one
 bucket of a source in which its sample ends is ordered row by row, so that a source with a
@@ -65,6 +66,24 @@ def _uniform(key: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(2**52)
 
 
+def inclusion(sized: DataFrame) -> DataFrame:
+    """(sid, open_size, c) from rows (sid, size, rest): documents above ``open_size`` words are certain, others are included
+    with probability c * size. Sources that have nothing left to draw are not in it.
+
+    A source's distinct sizes are at most the root of twice its words, so its counts per size are a small table.
+    """
+    counts = sized.where("size > 0 AND rest > 0").groupBy("sid", "rest", "size").agg(F.count(F.lit(1)).alias("n"))
+    falling = Window.partitionBy("sid").orderBy(F.desc("size"))
+    above = F.coalesce(F.sum(F.col("n") * F.col("size")).over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    squares = F.sum(F.expr("CAST(n * size AS DECIMAL(20, 0)) * CAST(size AS DECIMAL(12, 0))").cast("decimal(38, 0)")).over(
+        falling.rowsBetween(0, Window.unboundedFollowing)
+    )
+    steps = counts.withColumn("left", F.col("rest") - above.cast("double")).withColumn("squares", squares.cast("double"))
+    free = steps.where(F.col("size") * F.col("left") < F.col("squares"))
+    best = free.groupBy("sid").agg(F.max(F.struct("size", (F.col("left") / F.col("squares")).alias("c"))).alias("b"))
+    return best.select("sid", F.col("b.size").alias("open_size"), F.col("b.c").alias("c"))
+
+
 def _gaps(drawn: DataFrame) -> DataFrame:
     """What is left of each source's sample."""
     gap = F.max("rest") - F.sum(F.col("size") * F.col("extra"))
@@ -114,15 +133,15 @@ def mix(
     small = broadcast_if_small(targets)
     joined = sized.join(small, sized.source.eqNullSafe(small.source)).drop("source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    share = F.col("ratio") - F.col("whole")
-    odds = F.when((share > 0) & (share < 1), share / (1 - share))
+    shared = joined.withColumn("whole", F.floor(ratio)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    p = F.when(F.col("size") > F.col("open_size"), 1.0).otherwise(F.col("c") * F.col("size"))
     u = _uniform(F.col("doc_id"))
+    odds = F.when(p < 1, u / (1 - u) * (1 - p) / p).otherwise(0.0)
     ranked = stored(
-        joined.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio"))
-        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("q", F.when(F.col("size") > 0, u / (1 - u) / odds))
+        shared.join(broadcast_if_small(stored(inclusion(shared))), "sid", "left")
+        .withColumn("q", F.when((F.col("size") > 0) & F.col("c").isNotNull(), odds))
         .withColumn("bucket", F.floor(F.col("q") / (1 + F.col("q")) * BUCKETS))
-        .drop("ratio")
+        .drop("open_size", "c")
     )
     drawn = ranked.withColumn("extra", F.lit(0))
     for _ in range(DRAWS):
@@ -171,8 +190,13 @@ targets AS (SELECT sid, source, source_size, CASE WHEN isfull THEN (3 * source_s
 r1 AS (SELECT sid, doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio,
   (('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
-r2 AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS share, target - floor(ratio) * source_size AS rest FROM r1),
-r3 AS (SELECT *, CASE WHEN size > 0 AND share > 0 AND share < 1 THEN u / (1 - u) / (share / (1 - share)) END AS q FROM r2),
+r2 AS MATERIALIZED (SELECT *, floor(ratio) AS whole, target - floor(ratio) * source_size AS rest FROM r1),
+n1 AS (SELECT sid, rest, size, count(*) AS n FROM r2 WHERE size > 0 AND rest > 0 GROUP BY ALL),
+n2 AS (SELECT sid, size, rest - coalesce(sum(n * size) OVER (PARTITION BY sid ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS open,
+  sum(n::HUGEINT * size * size) OVER (PARTITION BY sid ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS squares FROM n1),
+n3 AS (SELECT sid, size AS open_size, open / squares AS c FROM n2 WHERE size * open < squares QUALIFY row_number() OVER (PARTITION BY sid ORDER BY size DESC) = 1),
+r3 AS (SELECT * EXCLUDE (open_size, c), CASE WHEN size = 0 OR c IS NULL THEN NULL WHEN size > open_size OR c * size >= 1 THEN 0 ELSE u / (1 - u) * (1 - c * size) / (c * size) END AS q
+  FROM r2 LEFT JOIN n3 USING (sid)),
 x0 AS (SELECT *, 0 AS extra FROM r3)
 """
 
