@@ -1,14 +1,13 @@
-"""Language-model scores of texts from a subword lattice, learned from the corpus.
+"""Language-model scores of texts: the marginal probability of a text over all segmentations into subword pieces.
 
-The units are the pieces of an existing vocabulary. Their weights start from the scores that come with it
-and are set by how many different words of the training documents hold each piece: the lattice is
-there for words that training has not seen, and those resemble its distinct words. A word's probability
-is the sum over all its segmentations, by a forward recursion in log space; words that training holds have an
-arc of their own across the lattice, discounted by the share that training leaves to new words.
-A document's probability is the marginal over the documents' own word distributions around these (a
-Dirichlet prior), so that words a text has used before grow likelier in it:
+The units are the pieces of an existing vocabulary. Half of a piece's weight is the share that the vocabulary's own scores
+give it, at every size of the corpus; the other half is its share of the training text. A text is the lattice of all ways to
+spell it in pieces. No piece reaches across the start of a word, so the forward recursion, in log space, runs word by word
+and is shared by all texts that hold the word; the text's marginal is the product over its words and its end. Logarithms
+are kept to the last sum, so words of any length count in full.
 
-    P(text) = prod_i (earlier uses of w_i + a * P(w_i)) / (i - 1 + a)
+A second score gives each word of the training documents an arc of its own across its lattice, discounted by the share that
+training leaves to new words.
 
 Counts are kept in a table of all words. The most frequent words (a fixed number) are sent to all tasks;
 the others are looked up by a join, so that nothing that grows with the corpus is sent.
@@ -25,17 +24,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import stored
+from tabloom.llm.common import stored, tidy
 
-#: Words sent to every task with their counts, at most.
-FREQUENT = 300_000
-#: Weight of the corpus-wide distribution against the words a text has used before, in words.
-PRIOR = 1000.0
-#: Weight of the vocabulary's own scores against the pieces counted, in pieces.
-SCORE_WEIGHT = 1000.0
+#: Words sent to every task with their counts, at most; longer words are looked up by the join.
+FREQUENT, FREQUENT_BYTES = 300_000, 64
+#: Part of a piece's weight that the vocabulary's own scores give, whatever the size of the corpus.
+OWN_SHARE = 0.5
 _HELD = 500_000
 
 
@@ -75,9 +72,11 @@ class PieceLattice:
 
     def __init__(self, path: str, counts: np.ndarray):
         pieces, prior = _pieces(path)
-        share = (counts + SCORE_WEIGHT * prior) / (counts.sum() + SCORE_WEIGHT)
+        usable = counts * (prior > 0)
+        seen = usable.sum()
+        share = OWN_SHARE * prior + (1 - OWN_SHARE) * usable / seen if seen else prior
         self.log = {p: math.log(s) for p, s in zip(pieces, share) if s > 0}
-        self.byte = [self.log.pop(f"<0x{b:02X}>", -20.0) for b in range(256)]
+        self.byte = [self.log.pop(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.log))
 
     def word(self, word: bytes) -> float:
@@ -107,6 +106,7 @@ def word_counts(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
     """(word, c) over the training documents; each task sums its own words first."""
     schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
@@ -132,24 +132,23 @@ def word_counts(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
 
 
 def piece_counts(counts: DataFrame, path: str) -> np.ndarray:
-    """How often each piece occurs in the distinct training words, cut by the existing vocabulary; one number per piece."""
-    schema = pa.schema([("piece", pa.int32()), ("n", pa.float64())])
+    """How often each piece occurs in the training text, its words cut by the existing vocabulary; one number per piece."""
+    schema = pa.schema([("piece", pa.int32()), ("n", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = _processor(path)
-        total = np.zeros(sp.get_piece_size())
+        total = np.zeros(sp.get_piece_size(), np.int64)
         for batch in batches:
-            words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            ids = sp.encode(words, num_threads=1)
-            flat = np.fromiter((i for own in ids for i in own), np.int64)
-            total += np.bincount(flat, minlength=len(total))
+            ids = sp.encode([w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()], num_threads=1)
+            times = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), [len(own) for own in ids])
+            np.add.at(total, np.fromiter((i for own in ids for i in own), np.int64, len(times)), times)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], schema=schema)
 
-    rows = counts.select("word").mapInArrow(cut, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+    rows = counts.select("word", "c").mapInArrow(cut, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     out = np.zeros(len(_pieces(path)[0]))
     for r in rows.collect():
-        out[r["piece"]] = round(r["n"])
+        out[r["piece"]] = r["n"]
     return out
 
 
@@ -165,25 +164,16 @@ def _most_frequent(table: DataFrame, most: int) -> DataFrame:
     return table
 
 
-def _urn(first: float, tf: int) -> float:
-    """Sum of log10(first + j) for j below tf."""
-    if tf == 1:
-        return math.log10(first)
-    return (math.lgamma(first + tf) - math.lgamma(first)) / math.log(10) if first > 1e-6 else (
-        math.log10(first) + (math.lgamma(first + tf) - math.lgamma(first + 1)) / math.log(10)
-    )
-
-
 def score(
-    docs: DataFrame, modulus: int = 7, held_out: int = 2, prior: float = PRIOR, frequent: int = FREQUENT,
-    vocabulary: str | None = None,
+    docs: DataFrame, modulus: int = 7, held_out: int = 2, frequent: int = FREQUENT, vocabulary: str | None = None
 ) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score.
 
-    Documents whose crc32(doc_id as text) mod ``modulus`` is ``held_out`` are scored but not learned from; a row without
-    id is learned from. A null or empty text is the end token alone. Repeated rows are counted and scored one by one.
-    Without training documents the base score is 0 per token and the score rests on the vocabulary's own scores.
-    Other columns are ignored; an empty table gives an empty result; texts are read whole.
+    ``score`` is the log10 marginal of the text in the lattice, ``word_score`` with arcs for known words. Documents whose
+    crc32(doc_id as text) mod ``modulus`` is ``held_out`` are scored but not learned from; a row without id is learned
+    from. A null or empty text is the end token alone. Repeated rows are counted and scored one by one. Without training
+    documents the base score is 0 per token, the end has probability a half, and the lattice has the vocabulary's own
+    scores alone. Other columns are ignored; an empty table gives an empty result; texts are read whole.
     """
     path = vocabulary or default_vocabulary()
     counted = stored(word_counts(docs, modulus, held_out))
@@ -195,78 +185,77 @@ def score(
     ends = docs.where(~held).count()
     total, types = sums["n"] + ends, sums["v"] + (ends > 0)
     discount = min(max(sums["n1"] / (sums["n1"] + 2 * sums["n2"]), 0.1), 0.9) if sums["n1"] else 0.5
-    new = discount * types / total if total else 0.5
-    end = (ends - discount) / total if ends else 0.5
+    # the part of the training words that is left to new ones
+    new = discount * sums["v"] / sums["n"] if sums["n"] else 1.0
+    end = (ends + 1) / (total + 2)
+    log_end, log_word = math.log10(end), math.log10(1 - end)
     divisor = float(total + types + 1)
     pieces = piece_counts(counted, path).tobytes()
 
     @F.pandas_udf("double")
     def lattice(word: pd.Series) -> pd.Series:
         own = _lattice(path, pieces)
-        return pd.Series([math.exp(own.word(bytes(w))) if w is not None else None for w in word], dtype="float64")
+        return pd.Series([own.word(bytes(w)) / math.log(10) if w is not None else None for w in word], dtype="float64")
 
-    table = stored(
-        counted.withColumn("p", (F.col("c") - discount) / max(total, 1) + new * lattice("word")).withColumn(
-            "p", F.greatest("p", F.lit(1e-300))
-        )
-    )
-    top = _most_frequent(table, frequent).toArrow()
-    sent = docs.sparkSession.sparkContext.broadcast(
-        (top.column("word").to_pylist(), top.column("c").to_numpy(), top.column("p").to_numpy())
-    )
-    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, urn double, rare array<struct<word: binary, tf: long>>"
+    # log10 of a word in the lattice, and with its own arc: log10(x + y) from their logarithms
+    table = stored(counted.withColumn("lp", lattice("word")).withColumn("wp", _log_sum(F.log10((F.col("c") - discount) / max(sums["n"], 1)), F.col("lp") + math.log10(new))))
+    top = _most_frequent(table.where(F.octet_length("word") <= FREQUENT_BYTES), frequent).toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast((top.column("word").to_pylist(), *(top.column(x).to_numpy() for x in ("c", "lp", "wp"))))
+    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, lp double, wp double, rare array<struct<word: binary, tf: long>>"
     schema = pa.schema([
         ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-        ("base", pa.float64()), ("urn", pa.float64()),
+        ("base", pa.float64()), ("lp", pa.float64()), ("wp", pa.float64()),
         ("rare", pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))),
     ])
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, c, p = sent.value
-        base = np.log10((c + 1) / divisor).tolist()
-        first = (prior * p).tolist()
-        single = np.log10(prior * p).tolist()
-        place = {w: i for i, w in enumerate(words)}
-        at_end = math.log10((ends + 1) / divisor), math.log10(prior * end)
+        words, c, lp, wp = sent.value
+        values = list(zip(np.log10((c + 1) / divisor).tolist(), lp.tolist(), wp.tolist()))
+        known_words = dict(zip(words, values))
         for whole in batches:
             for start in range(0, len(whole), 1000):
                 batch, rows = whole.slice(start, 1000), []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     tokens = words_of(text.as_py())
-                    known, b, u, rare = int(ends > 0), *at_end, []
+                    known, rare = int(ends > 0), []
+                    base, lattice_sum = math.log10((ends + 1) / divisor), len(tokens) * log_word + log_end
+                    word_sum = lattice_sum
                     for w, tf in Counter(tokens).items():
-                        i = place.get(w)
-                        if i is None:
+                        own = known_words.get(w)
+                        if own is None:
                             rare.append({"word": w, "tf": tf})
                             continue
                         known += tf
-                        b += tf * base[i]
-                        u += single[i] if tf == 1 else _urn(first[i], tf)
-                    n = len(tokens) + 1
-                    u -= (math.lgamma(prior + n) - math.lgamma(prior)) / math.log(10)
-                    rows.append((doc_id, is_held_out(doc_id, modulus, held_out), n, known, b, u, rare))
+                        base += tf * own[0]
+                        lattice_sum += tf * own[1]
+                        word_sum += tf * own[2]
+                    rows.append((doc_id, is_held_out(doc_id, modulus, held_out), len(tokens) + 1, known, base, lattice_sum, word_sum, rare))
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, schema)], schema=schema)
 
     partial = stored(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common, kind)
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(common), kind)
         .withColumn("row", F.monotonically_increasing_id())
     )
     rare = partial.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
     looked = rare.join(table, "word", "left")
-    p = F.coalesce("p", F.greatest(new * lattice(F.when(F.col("c").isNull(), F.col("word"))), F.lit(1e-300)))
-    later = F.when(F.col("tf") == 1, 0.0).otherwise(
-        F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("tf") - 1, F.lit(1))), F.lit(0.0), lambda s, j: s + F.log10(prior * F.col("p") + j))
-    )
-    added = looked.withColumn("p", p).groupBy("row").agg(
+    # a word that training does not hold is spelled here
+    spelled = looked.withColumn("lp", F.coalesce("lp", lattice(F.when(F.col("c").isNull(), F.col("word")))))
+    spelled = spelled.withColumn("wp", F.coalesce("wp", F.col("lp") + math.log10(new)))
+    added = spelled.groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("known"),
         F.sum(F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(divisor))).alias("base_more"),
-        F.sum(F.log10(prior * F.col("p")) + later).alias("urn_more"),
+        F.sum(F.col("tf") * F.col("lp")).alias("lp_more"), F.sum(F.col("tf") * F.col("wp")).alias("wp_more"),
     )
-    zero = F.lit(0.0)
-    return partial.drop("rare").join(added, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_more", zero)).alias("base_score"),
-        (F.col("urn") + F.coalesce("urn_more", zero)).alias("score"),
+    both = partial.drop("rare").join(added, "row", "left").na.fill(0, ["known", "base_more", "lp_more", "wp_more"])
+    return both.select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("known")).cast("long").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("base_more")).alias("base_score"),
+        (F.col("lp") + F.col("lp_more")).alias("score"), (F.col("wp") + F.col("wp_more")).alias("word_score"),
     )
+
+
+def _log_sum(x: Column, y: Column) -> Column:
+    """log10(10**x + 10**y) without leaving the logarithms."""
+    top = F.greatest(x, y)
+    return top + F.log10(1 + F.pow(F.lit(10.0), F.least(x, y) - top))

@@ -326,6 +326,16 @@ def test_mix_reaches_its_targets(docs, documents, no_docs, null_id_docs):
     assert Counter(r.doc_id for r in copies.collect()) == Counter({i: n for i, n in Counter(r.doc_id for r in rows for _ in range(max(x.copies for x in rows if x.doc_id == r.doc_id))).items()})
 
 
+def all_segmentations(lattice, text):
+    """Probability of a text, summed over every way to cut it."""
+    if not text:
+        return 1.0
+    total = sum(np.exp(lattice.log[text[:i]]) * all_segmentations(lattice, text[i:]) for i in range(1, len(text) + 1) if text[:i] in lattice.log)
+    if text[0] not in lattice.log:
+        total += np.exp(sum(lattice.byte[b] for b in text[0].encode())) * all_segmentations(lattice, text[1:])
+    return total
+
+
 def test_scores(docs, documents, no_docs, null_id_docs):
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     words = {r[0]: (r[1] or "").encode().lower().split() for r in documents}
@@ -334,32 +344,50 @@ def test_scores(docs, documents, no_docs, null_id_docs):
     n, v = sum(c.values()) + len(training), len(c) + 1
     few = subword_lm.score(docs, frequent=20).collect()
     many = {r.doc_id: r for r in subword_lm.score(docs).collect()}
+    # the lattice of the training words, and each word's probability in it
+    path = subword_lm.default_vocabulary()
+    sp = subword_lm._processor(path)
+    counts = np.zeros(sp.get_piece_size())
+    for w, k in c.items():
+        for piece in sp.encode(w.decode()):
+            counts[piece] += k
+    lattice = subword_lm.PieceLattice(path, counts)
+    own_log = {w: lattice.word(w) / np.log(10) for w in {x for o in words.values() for x in o}}
+    end = (len(training) + 1) / (n + 2)
     for r in few:
         own = words[r.doc_id]
         base = sum(log10((c[w] + 1) / (n + v + 1)) for w in own) + log10((len(training) + 1) / (n + v + 1))
         assert (r.held_out, r.n_tokens, r.train_tokens) == (held(r.doc_id), len(own) + 1, n)
         assert r.n_known == sum(c[w] > 0 for w in own) + 1
         assert r.base_score == pytest.approx(base) and r.base_score == pytest.approx(many[r.doc_id].base_score)
-        assert r.score == pytest.approx(many[r.doc_id].score) and r.score < 0
+        assert r.score == pytest.approx(sum(own_log[w] for w in own) + len(own) * log10(1 - end) + log10(end))
+        assert r.score == pytest.approx(many[r.doc_id].score) and r.word_score == pytest.approx(many[r.doc_id].word_score)
+        assert r.word_score < 0 and r.score < 0
     assert subword_lm.score(no_docs).collect() == [] and subword_lm.score(null_id_docs).count() == 3
     alone = subword_lm.score(docs.where("doc_id = 4" if held(4) else f"doc_id = {next(i for i in words if held(i))}")).collect()
     assert [(r.train_tokens, r.base_score, r.n_known) for r in alone] == [(0, 0.0, 0)]
 
 
-def test_lattice_sums_all_segmentations():
+def test_long_unknown_words_keep_their_logarithm(spark):
+    rows = [(i, "some words to learn from") for i in range(30)] + [(100 + i, "q" * (60 * 10**i) + "\u4e16" * i) for i in range(4)]
     path = subword_lm.default_vocabulary()
-    lattice = subword_lm.PieceLattice(path, np.zeros(len(subword_lm._pieces(path)[0])))
+    scores = {r.doc_id: r.score for r in subword_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), modulus=1, held_out=9).collect()}
+    assert scores[102] < -500 and scores[103] < 5 * scores[102] and all(np.isfinite(x) for x in scores.values())
+    unknown = [(i, "some words to learn from") for i in range(30)] + [(i, "q" * 6000) for i in range(100, 140)]
+    found = {(r.held_out, round(r.score, 6)) for r in subword_lm.score(spark.createDataFrame(unknown, "doc_id long, text string")).where("doc_id >= 100").collect()}
+    assert len(found) == 2 and all(s < -100 for _, s in found)
+    assert subword_lm.PieceLattice(path, np.zeros(len(subword_lm._pieces(path)[0]))).word(b"q" * 6000) < -1000
 
-    def all_ways(text):
-        if not text:
-            return 1.0
-        total = sum(np.exp(lattice.log[text[:i]]) * all_ways(text[i:]) for i in range(1, len(text) + 1) if text[:i] in lattice.log)
-        if text[0] not in lattice.log:
-            total += np.exp(sum(lattice.byte[b] for b in text[0].encode())) * all_ways(text[1:])
-        return total
 
-    for word in ("a", "nation", "états", "日本x", "\U0001f600b"):
-        assert np.exp(lattice.word(word.encode())) == pytest.approx(all_ways("▁" + word))
+def test_lattice_sums_all_segmentations():
+    path = subword_lm.default_vocabulary()
+    counts = np.zeros(len(subword_lm._pieces(path)[0]))
+    for n in (0.0, 50.0):
+        counts[300:400] = n
+        lattice = subword_lm.PieceLattice(path, counts)
+        for word in ("a", "nation", "états", "日本x", "\U0001f600b"):
+            assert np.exp(lattice.word(word.encode())) == pytest.approx(all_segmentations(lattice, "▁" + word))
+        assert sum(map(np.exp, lattice.log.values())) + sum(map(np.exp, lattice.byte)) == pytest.approx(1)
 
 
 def test_quality_separates_and_shrinks(spark, no_docs):
@@ -386,3 +414,35 @@ def test_quality_separates_and_shrinks(spark, no_docs):
     assert all(r.kept and r.evidence == 0 for r in unknown)
     kept = quality.good_documents(extra, labels)
     assert kept.columns == extra.columns and kept.count() == sum(r.kept for r in out.values())
+
+
+def test_mix_includes_documents_by_their_odds(spark):
+    """Realised rates of inclusion over many documents of a few sizes are p = min(1, c * size) of the rest of the target."""
+    sizes = [4, 10, 25, 60, 4000]
+    rows = [(i, "w " * (sizes[i % 4] if i else 4000), ["a", "b"][i % 9 == 0]) for i in range(18_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs, weights=(5, 2)).toPandas()
+    drawn = 0
+    for _, own in out.assign(source=["b" if i % 9 == 0 else "a" for i in out["doc_id"]]).groupby("source"):
+        s, target = own["size"].to_numpy(float), own["target"].iloc[0]
+        whole = int(target / s.sum())
+        rest = target - whole * s.sum()
+        if rest <= 0:
+            continue
+        certain = np.zeros(len(s), bool)
+        while True:
+            c = (rest - s[certain].sum()) / (s[~certain] ** 2).sum()
+            more = ~certain & (c * s >= 1)
+            if not more.any():
+                break
+            certain |= more
+        extra = own["copies"].to_numpy() - whole
+        assert set(extra) <= {0, 1} and extra[certain].all() and abs((extra * s).sum() - rest) < 60
+        for size in sizes[:4]:
+            at = (s == size) & ~certain
+            if not at.any():
+                continue
+            p = c * size
+            assert abs(extra[at].mean() - p) < 4 * np.sqrt(p * (1 - p) / at.sum()) + 0.01
+            drawn += at.sum() > 100 and 0.02 < p < 0.98
+    assert drawn >= 4
