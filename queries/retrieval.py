@@ -63,7 +63,7 @@ def bm25_search(spark, sf):
     "GROUP BY term",
 )
 def bm25_terms(spark, sf):
-    return bm25.build_index(_corpus(spark, sf)).terms.withColumn("idf", F.round("idf", 8))
+    return bm25.build_index(_corpus(spark, sf)).terms.drop("folder").withColumn("idf", F.round("idf", 8))
 
 
 @register(

@@ -5,12 +5,16 @@ The result of every function is (right_id, left_id, score, reason, cut).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tabloom._columns import as_list, cell_text, col, strip, words
 from tabloom.enrich.calls import infer
@@ -22,10 +26,11 @@ from tabloom.linkage.keys import (
 from tabloom.linkage.scoring import block_candidates
 from tabloom.retrieval import bm25, vectors
 from tabloom.retrieval.corpus import build_corpus
-from tabloom.session import checkpointed, work_partitions
+from tabloom.session import checkpointed
 
 UNIQUE_KEY_SCORE = 0.95
-BLOCK_BYTES = 8 * 1024 * 1024
+#: Vectors of a chunk of right rows, and of a span of left rows, in bytes at the most.
+CHUNK_BYTES, SPAN_BYTES = 8 << 20, 64 << 20
 W_VECTOR, W_KEYWORD = 0.70, 0.30
 # Query words of the fallback search that match almost anything.
 QUERY_STOP_WORDS = (
@@ -113,87 +118,80 @@ def by_key(lefts: DataFrame, rights: DataFrame, keep: float) -> DataFrame:
     return alone.unionByName(single).unionByName(several)
 
 
-def _combine(query_ids, matrix, top_k: int):
-    position = {q: i for i, q in enumerate(query_ids)}
-
-    def run(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            batch = batch.sort_values("left_id")
-            docs = np.array([np.asarray(v, dtype=float) for v in batch["vector"]])
-            cosine = matrix @ docs.T
-            keyword = np.zeros_like(cosine)
-            for column, hits in enumerate(batch["hits"]):
-                if hits is None:
-                    continue
-                for hit in hits:
-                    keyword[position[hit["query_id"]], column] = hit["share"]
-            total = (W_VECTOR * cosine + W_KEYWORD * keyword).round(bm25.TIE_DIGITS)
-            ids = batch["left_id"].to_numpy()
-            rows = []
-            for i, line in enumerate(total):
-                order = vectors.top_positions(line, top_k)
-                rows.extend(
-                    (query_ids[i], ids[j], float(line[j]),
-                     f"Fallback (sem={cosine[i, j]:.2f}, bm25={keyword[i, j]:.2f})")
-                    for j in order if line[j] > 0
-                )
-            yield pd.DataFrame(rows, columns=["query_id", "doc_id", "score", "reason"])
-
-    return run
-
-
-def fallback(lefts: DataFrame, rights: DataFrame, top_k: int = 5, block_rows: int = 1024) -> DataFrame:
+def fallback(lefts: DataFrame, rights: DataFrame, top_k: int = 5, chunk_queries: int = 1024) -> DataFrame:
     """Best left rows over the whole table by 0.70 cosine + 0.30 scaled BM25.
 
-    Left rows stay where their words were counted; queries travel to them in
-    blocks of bounded size and only each block's best leave a task.
+    Right rows go in chunks and left rows in spans of index blocks; both numbers are columns, a task takes one chunk and one
+    span, and only the best of each right row leave it. The highest BM25 score of a right row, by which its scores
+    are scaled, comes from a search of the same index. The plan does not depend on the number of rows.
     """
     index = bm25.build_index(lefts.select(F.col("left_id").alias("doc_id"), "text"))
     useful = F.filter(
         words(F.lower(F.col("text"))), lambda w: ~w.isin(*QUERY_STOP_WORDS) & (F.length(w) >= 2)
     )
-    queries = rights.select(
-        F.col("right_id").alias("query_id"), F.array_join(useful, " ").alias("query"), "vector"
+    queries = rights.select(F.col("right_id").alias("query_id"), F.array_join(useful, " ").alias("query"), "vector")
+    asked = checkpointed(bm25.query_weights(queries, index))
+    highest = bm25.ranked(asked, index, 1).select("query_id", F.col("score").alias("top"))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
+    row_bytes = 8 * (size["width"] or 1)
+    chunks = max(1, math.ceil(size["n"] / max(1, min(chunk_queries, CHUNK_BYTES // row_bytes))))
+    # spans are large, because every chunk of queries is copied to each, but there is one for each core
+    cores = lefts.sparkSession.sparkContext.defaultParallelism
+    spans = min(index.block_count, max(math.ceil(index.docs * row_bytes / SPAN_BYTES), cores))
+
+    def span(block) -> Column:
+        return F.floor(block * spans / index.block_count).cast("int").alias("span")
+
+    every_span = F.explode(F.sequence(F.lit(0), F.lit(spans - 1))).alias("span")
+    every_chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
+    sent = (
+        queries.join(bm25.query_words(asked), "query_id", "left").join(highest, "query_id", "left")
+        .select(bm25.chunk_of("query_id", chunks).alias("chunk"), every_span, "query_id", "vector", "words", "top")
     )
-    total = queries.count()
-    width = rights.agg(F.max(F.size("vector"))).first()[0] or 1
-    blocks = max(1, -(-total // max(1, min(block_rows, BLOCK_BYTES // (8 * width)))))
-    documents = lefts.select("left_id", "vector").repartition(work_partitions(lefts.sparkSession), "left_id")
+    rows = lefts.select(span(bm25.block_of("left_id", index.block_count)), every_chunk, F.col("left_id").alias("doc_id"), "vector")
+    lists = bm25.lists_of(asked, index, chunks).select(span(F.col("block")), "chunk", "term", "docs")
+    placed = rows.unionByName(lists, allowMissingColumns=True)
     kinds = (
         rights.schema["right_id"].dataType.simpleString(),
         lefts.schema["left_id"].dataType.simpleString(),
     )
-    schema = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double, reason string"
-    result = None
-    for block in range(blocks):
-        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        # a block has some ``block_rows`` rows and BLOCK_BYTES bytes of vectors, whatever their width
-        rows = some.select("query_id", "vector").collect()
-        if not rows:
-            continue
-        scored = checkpointed(bm25.scores(some, index))
-        highest = scored.groupBy("query_id").agg(F.max("score").alias("_top"))
-        shared = scored.join(highest, "query_id").select(
-            "doc_id", "query_id",
-            (F.col("score") / F.when(F.col("_top") > 0, F.col("_top")).otherwise(F.lit(1.0))).alias("share"),
-        )
-        per_doc = shared.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "share")).alias("hits"))
-        joined = documents.join(per_doc, F.col("left_id") == F.col("doc_id"), "left").select(
-            "left_id", "vector", "hits"
-        )
-        run = _combine([r["query_id"] for r in rows], np.array([r["vector"] for r in rows]), top_k)
-        one = joined.mapInPandas(run, schema)
-        result = one if result is None else result.unionAll(one)
-    if result is None:
-        result = rights.sparkSession.createDataFrame([], schema)
-    return bm25.keep_top(result, top_k).select(
+    kind = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double, reason string"
+    scored = sent.groupBy("chunk", "span").cogroup(placed.groupBy("chunk", "span")).applyInArrow(_combine(kind, top_k), kind)
+    return bm25.keep_top(scored, top_k).select(
         F.col("query_id").alias("right_id"), F.col("doc_id").alias("left_id"), "score", "reason",
         F.lit(False).alias("cut"),
     )
 
 
+def _combine(kind: str, top_k: int):
+    """Best documents of a span for each query of a chunk; the span's rows are documents (doc_id, vector) and lists of words."""
+    schema = to_arrow_schema(StructType.fromDDL(kind))
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return np.vstack([np.asarray(v, float) for v in column.to_numpy()])
+
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        is_list = pc.is_valid(rows.column("term"))
+        documents = rows.filter(pc.invert(is_list))
+        found = []
+        if len(queries) and len(documents):
+            ids = documents.column("doc_id").combine_chunks()
+            ranks = bm25.id_ranks(ids)
+            lists = bm25.Lists(rows.filter(is_list), ids)
+            cosine = matrix(queries.column("vector")) @ matrix(documents.column("vector")).T
+            names, tops, asked = (queries.column(c).to_pylist() for c in ("query_id", "top", "words"))
+            for i, near in enumerate(cosine):
+                keyword = lists.scores(asked[i] or ()) / (tops[i] or 1.0)
+                total = (W_VECTOR * near + W_KEYWORD * keyword).round(bm25.TIE_DIGITS)
+                for j in bm25.best_places(total, ranks, top_k).tolist():
+                    reason = f"Fallback (sem={near[j]:.2f}, bm25={keyword[j]:.2f})"
+                    found.append((names[i], ids[j].as_py(), float(total[j]), reason))
+        columns = zip(*found, strict=True) if found else [[]] * len(schema)
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return run
+
+
 def hybrid(lefts: DataFrame, rights: DataFrame, top_k: int, keep: float) -> DataFrame:
     """Key candidates where the key is known on the left, fallback search for the rest."""
     keyed = by_key(lefts, rights, keep)

@@ -41,6 +41,14 @@ def work_partitions(spark: SparkSession) -> int:
     )
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Deal an input to all cores where it comes in fewer partitions, as one file does. Inputs of many partitions, that
+    is, all large ones, stay where they are read. Measured without reading any column."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    have = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df if have >= want else df.repartition(want)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
@@ -59,15 +67,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write a table to the checkpoint folder as Parquet and read it back; unlike a checkpoint it keeps its
-    columns apart, so later steps read what they need. The files go with the session."""
+    columns apart, so later steps read what they need. ``by`` names a column whose values become folders, so that a filter
+    on it leaves out the others. The files go with the session."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         checkpointed(spark.range(0))
     path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

@@ -50,22 +50,57 @@ def test_bm25_matches_formula(spark):
         order = sorted(range(len(texts)), key=lambda i: (-round(scores[i], 10), i))[:7]
         want = [(k + 1, i, round(scores[i], 9)) for k, i in enumerate(order) if scores[i] > 0]
         assert sorted(got.get(q, [])) == want
-    # Small blocks of query terms must give the same scores.
-    index = bm25.build_index(corpus)
-    one = {(r.query_id, r.doc_id): round(r.score, 9) for r in bm25.scores(asked, index).collect()}
-    many = {(r.query_id, r.doc_id): round(r.score, 9) for r in bm25.scores(asked, index, block_rows=3).collect()}
-    assert one == many
 
 
-def test_bm25_scoring_stays_in_place(spark):
-    """Neither the postings nor the query-document pairs are shuffled after placement."""
-    texts, queries = make_corpus()
+def test_bm25_blocks_and_chunks_do_not_change_hits(spark, monkeypatch):
+    texts, queries = make_corpus(n=300)
     corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    asked = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
-    plan = bm25.scores(asked, bm25.build_index(corpus))._jdf.queryExecution().executedPlan().toString()
-    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-    assert any("hashpartitioning(doc_id" in line for line in shuffles)
-    assert not any("query_id" in line and "doc_id" in line for line in shuffles)
+    asked = spark.createDataFrame([*enumerate(queries), (7, None), (8, "w1 w29")], "query_id int, query string")
+    whole = {(r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in bm25.search(asked, corpus, 3).collect()}
+    monkeypatch.setattr(bm25, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(bm25, "FOLDER_COUNTS", 100)
+    index = bm25.build_index(corpus)
+    assert index.block_count > 40 and index.folders > 10
+    for chunk in (1, 100):
+        hits = bm25.search(asked, None, 3, index, chunk_queries=chunk).collect()
+        assert {(r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in hits} == whole
+    names = corpus.select(F.concat(F.lit("d"), F.lpad("doc_id", 3, "0")).alias("doc_id"), "text")
+    assert {(r.query_id, int(r.doc_id[1:])) for r in bm25.search(asked, names, 3).collect()} == {x[:2] for x in whole}
+    assert bm25.search(asked, corpus.limit(0), 3).count() == 0 and bm25.search(asked.limit(0), corpus, 3).count() == 0
+
+
+def test_bm25_reads_its_own_words_and_blocks_within_reach(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "BLOCK_DOCS", 20)
+    monkeypatch.setattr(bm25, "FOLDER_COUNTS", 500)
+    rng = random.Random(3)
+    texts = [" ".join(["common", f"rare{i // 4}"] + rng.choices([f"w{j}" for j in range(400)], k=30)) for i in range(800)]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    index = bm25.build_index(corpus)
+    assert index.blocks.count() > 5000
+    one = spark.createDataFrame([(1, "common rare7")], "query_id int, query string")
+    asked = bm25.query_weights(one, index)
+    # the folders of two words, of some fifty
+    scanned = bm25._own_folders(index.blocks, asked)
+    assert len(scanned.inputFiles()) and scanned.count() < 0.2 * index.blocks.count()
+    placed = bm25.bounds(asked, index)
+    assert placed.count() == index.block_count
+    order = bm25.Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+    placed = placed.withColumn("place", F.row_number().over(order))
+    first = bm25._scored(placed.where("place <= 4"), asked, index, 4, 1)
+    rest = bm25.worth_reading(placed.where("place > 4"), first, 4)
+    assert rest.count() <= 2  # 34 blocks hold the common word and cannot reach the fourth score
+    assert {r.doc_id for r in bm25.search(one, None, 4, index).collect()} == {28, 29, 30, 31}
+
+
+def test_bm25_plan_does_not_grow_with_queries(spark):
+    texts, _ = make_corpus()
+    index = bm25.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+
+    def plan(n):
+        asked = spark.range(n).select(F.col("id").alias("query_id"), F.concat(F.lit("w"), F.col("id") % 30).alias("query"))
+        return bm25.search(asked, None, 2, index, chunk_queries=10, few_blocks=0)._jdf.queryExecution().analyzed().toString().count("\n")
+
+    assert plan(5) == plan(2000)
 
 
 def test_vector_paths_agree(spark, monkeypatch):
