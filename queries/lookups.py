@@ -191,6 +191,42 @@ def lookup_fuzzy_names_blocks(spark, sf):
     return fuzzy.best_keys(texts, names)
 
 
+# Names end in a number, and a text is a name with a letter appended or one taken out. A name of the same length that holds
+# all letters of the text in order, or is held by it, has the same ratio, which is the highest; no other name reaches it.
+_CODES = """
+    WITH k AS (SELECT lower(s_name) AS key, min(s_suppkey) AS ord FROM supplier GROUP BY 1),
+    t AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN lower(s_name) || '?' WHEN 1 THEN 's' || lower(s_name)
+          ELSE substr(lower(s_name), 1, length(s_name) - 1) END AS typo FROM supplier),
+    less AS (SELECT DISTINCT ord, substr(key, 1, p - 1) || substr(key, p + 1) AS typo FROM (SELECT key, ord, unnest(range(1, length(key) + 1)) AS p FROM k)),
+    more AS (SELECT DISTINCT s_suppkey, substr(typo, 1, p - 1) || substr(typo, p + 1) AS key FROM (SELECT s_suppkey, typo, unnest(range(1, length(typo) + 1)) AS p FROM t WHERE s_suppkey % 3 < 2)),
+    found AS (SELECT s_suppkey, min(ord) AS ord FROM (SELECT s_suppkey, ord FROM t JOIN less USING (typo) WHERE s_suppkey % 3 = 2
+              UNION ALL SELECT s_suppkey, ord FROM more JOIN k USING (key)) GROUP BY 1)
+"""
+
+
+def _codes(spark, sf):
+    supplier = table(spark, sf, "supplier")
+    name, kind = F.lower("s_name"), F.col("s_suppkey") % 3
+    typo = F.when(kind == 0, F.concat(name, F.lit("?"))).when(kind == 1, F.concat(F.lit("s"), name)).otherwise(
+        F.expr("substr(lower(s_name), 1, length(s_name) - 1)"))
+    keys = supplier.groupBy(name.alias("key")).agg(F.min("s_suppkey").alias("ord"))
+    return supplier.select("s_suppkey", typo.alias("typo")), keys.withColumn("value", F.concat(F.lit("k"), "ord"))
+
+
+@register("lookup_fuzzy_codes", f"{_CODES} SELECT s_suppkey, 'k' || ord AS found FROM found")
+def lookup_fuzzy_codes(spark, sf):
+    """Supplier names with one letter more or less against all supplier names, which differ by their numbers alone."""
+    df, keys = _codes(spark, sf)
+    return lookup(df, keys, "typo", "found", "fuzzy").select("s_suppkey", "found")
+
+
+@register("lookup_fuzzy_codes_blocks", f"{_CODES} SELECT DISTINCT typo AS text, 'k' || ord AS value FROM t JOIN found USING (s_suppkey)")
+def lookup_fuzzy_codes_blocks(spark, sf):
+    """The same, band by band and block by block."""
+    df, keys = _codes(spark, sf)
+    return fuzzy.best_keys(df.select(F.col("typo").alias("text")).distinct(), keys)
+
+
 # ── Places ───────────────────────────────────────────────────────────────────
 
 _GEO = """

@@ -1,37 +1,65 @@
-"""Best fuzzy dictionary key for a text: difflib ratio above 0.7, earliest key on ties."""
+"""Best fuzzy dictionary key for a text: difflib ratio above 0.7, earliest key on ties.
+
+A ratio is 2 * matched / (both lengths), and what matches is at most what both have in common as bags of letters. So a text
+meets only keys of lengths that can pass, which is a join on bands of lengths, and within a task one product over counted
+letters bounds the ratios of a text with all keys at once. Keys are compared from the highest bound downward until no
+bound reaches the best ratio found.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.retrieval.blocks import block_pairs
-
 LIMIT = 0.7
-
-
-def _best(text: str, matchers: Sequence[tuple[SequenceMatcher, int, object]], floor: float):
-    """Highest ratio above the floor; length and letter bounds skip hopeless keys."""
-    best, found = floor, None
-    for matcher, size, payload in matchers:
-        total = len(text) + size
-        if total and 2.0 * min(len(text), size) / total <= best:
-            continue
-        matcher.set_seq1(text)
-        if matcher.quick_ratio() <= best:
-            continue
-        ratio = matcher.ratio()
-        if ratio > best:
-            best, found = ratio, payload
-    return best, found
-
-
-def _matchers(keys) -> list[tuple[SequenceMatcher, int, object]]:
-    return [(SequenceMatcher(None, "", key), len(key), payload) for key, payload in keys]
+#: Lengths of a band grow by this factor.
+BAND = 1.3
+#: Letters are counted by their number modulo this; letters that share a slot can only raise a bound.
+SLOTS = 64
+
+
+def _letters(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.bincount(codes % SLOTS, minlength=SLOTS).astype(np.int32)
+
+
+class Keys:
+    """Keys in the order that decides ties."""
+
+    def __init__(self, keys: Sequence[str]):
+        self.keys = list(keys)
+        self.sizes = np.array([len(k) for k in self.keys], np.int64)
+        self.letters = np.array([_letters(k) for k in self.keys], np.int32).reshape(-1, SLOTS)
+        self.matchers: dict[int, SequenceMatcher] = {}
+        self.compared = 0
+
+    def bounds(self, text: str) -> np.ndarray:
+        """No key's ratio with the text is larger; two empty texts are equal."""
+        common, total = np.minimum(self.letters, _letters(text)).sum(1), self.sizes + len(text)
+        return np.where(total > 0, 2.0 * common / np.maximum(total, 1), 1.0)
+
+    def best(self, text: str) -> tuple[float, int] | None:
+        """Highest ratio above the limit and the place of its first key."""
+        bound = self.bounds(text)
+        some = np.flatnonzero(bound > LIMIT)
+        best, found = LIMIT, None
+        for place in some[np.argsort(-bound[some], kind="stable")].tolist():
+            if bound[place] < best:
+                break
+            if place not in self.matchers:
+                self.matchers[place] = SequenceMatcher(None, "", self.keys[place])
+            self.matchers[place].set_seq1(text)
+            self.compared += 1
+            ratio = self.matchers[place].ratio()
+            if ratio > best or (found is not None and ratio == best and place < found):
+                best, found = ratio, place
+        return None if found is None else (best, found)
 
 
 def best_key(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -40,38 +68,69 @@ def best_key(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
 
     @F.pandas_udf("string")
     def score(texts: pd.Series) -> pd.Series:
-        matchers = _matchers(table)
-        known = {t: _best(t, matchers, LIMIT)[1] for t in texts.dropna().unique()}
+        keys = Keys([k for k, _ in table])
+        known = {}
+        for t in texts.dropna().unique():
+            found = keys.best(t)
+            known[t] = None if found is None else table[found[1]][1]
         return texts.map(known)
 
     return score(text)
 
 
+def _band(length: Column) -> Column:
+    return F.floor(F.log(F.greatest(length, F.lit(1)).cast("double")) / math.log(BAND)).cast("int")
+
+
+def reachable(texts: DataFrame) -> DataFrame:
+    """(text, band): every band of key lengths that the limit leaves to a text; five or six of them."""
+    n = F.length("text")
+    shortest, longest = F.floor(n * (LIMIT / (2 - LIMIT))), F.ceil(n * ((2 - LIMIT) / LIMIT))
+    return texts.select("text", F.explode(F.sequence(_band(shortest), _band(longest))).alias("band"))
+
+
+def _blocks(rows: DataFrame, name: str, block_rows: int) -> DataFrame:
+    """(band, number of blocks): one row per band, of which there are some eighty at the most."""
+    return F.broadcast(rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name)))
+
+
 def best_keys(texts: DataFrame, dictionary: DataFrame, block_rows: int = 2000) -> DataFrame:
-    """(text, value) for a dictionary of any size, block by block.
+    """(text, value) for a dictionary of any size, band by band and within a band block by block.
 
-    Every block pair reports only its best key per text; the best over blocks
+    Every pair of blocks reports only its best key per text; the best over blocks
     is a combining aggregate.
     """
-    keys = dictionary.select("key", "value", "ord")
+    keys = dictionary.select(F.col("key").alias("key"), "value", "ord", _band(F.length("key")).alias("band"))
+    asked = reachable(texts.select("text"))
+    key_blocks, text_blocks = _blocks(keys, "key_blocks", block_rows), _blocks(asked, "text_blocks", block_rows)
+
+    def own(column: str, blocks: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.col(blocks)).cast("int")
+
+    def every(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    # a band without keys, or without texts, meets nothing
+    left = asked.join(key_blocks, "band").join(text_blocks, "band").select(
+        "band", own("text", "text_blocks").alias("i"), every("key_blocks").alias("j"), "text"
+    )
+    right = keys.join(text_blocks, "band").join(key_blocks, "band").select(
+        "band", every("text_blocks").alias("i"), own("key", "key_blocks").alias("j"), "key", "value", "ord"
+    ).toDF("band", "i", "j", "key", "value", "ord")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("ord")
-        matchers = _matchers(
-            (k, (v, o)) for k, v, o in zip(right["key"], right["value"], right["ord"])
-        )
+        right = right.sort_values("ord", ignore_index=True)
+        table = Keys(right["key"])
         rows = []
         for text in left["text"]:
-            ratio, found = _best(text, matchers, LIMIT)
+            found = table.best(text)
             if found is not None:
-                rows.append((text, ratio, *found))
+                rows.append((text, found[0], right["value"][found[1]], right["ord"][found[1]]))
         return pd.DataFrame(rows, columns=["text", "ratio", "value", "ord"])
 
     kind = keys.schema["ord"].dataType.simpleString()
-    scored = block_pairs(
-        texts.select("text"), keys, score,
-        f"text string, ratio double, value string, ord {kind}",
-        left_key="text", right_key="key", left_rows=block_rows, right_rows=block_rows,
+    scored = left.groupBy("band", "i", "j").cogroup(right.groupBy("band", "i", "j")).applyInPandas(
+        score, f"text string, ratio double, value string, ord {kind}"
     )
     best = F.min(F.struct((-F.col("ratio")).alias("r"), "ord", "value"))["value"]
     return scored.groupBy("text").agg(best.alias("value"))

@@ -178,3 +178,22 @@ def test_size_checks(spark):
     assert session.small_rows(big, max_bytes=1000) is None
     assert len(session.small_rows(big)) == 100
     assert "ResolvedHint" not in session.broadcast_if_small(big, max_rows=5)._jdf.queryExecution().analyzed().toString()
+
+
+def test_fuzzy_bounds_leave_few_keys_to_compare(spark):
+    """Letter bounds never cut a key that passes, and leave a small part of all pairs to difflib."""
+    rng = random.Random(8)
+    keys = ["".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(rng.randint(0, 24))) for _ in range(400)] + ["é" * 250, "", "a"]
+    texts = [k[1:] + "x" for k in keys[:60]] + [k.replace("a", "") for k in keys[60:120]] + keys[120:130] + ["é" * 240 + "x", "", "zzzz"]
+    table = fuzzy.Keys(keys)
+    for text in texts:
+        ratios = [SequenceMatcher(None, text, k).ratio() for k in keys]
+        assert all(b >= r for b, r in zip(table.bounds(text), ratios, strict=True))
+        top = max(ratios)
+        assert table.best(text) == ((top, ratios.index(top)) if top > fuzzy.LIMIT else None)
+    assert table.compared < 0.02 * len(texts) * len(keys)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    bands = {(r.text, r.band) for r in fuzzy.reachable(frame).collect()}
+    key_bands = {r.key: r.b for r in spark.createDataFrame([(k,) for k in keys], "key string").select("key", fuzzy._band(F.length("key")).alias("b")).collect()}
+    for text in texts:
+        assert all((text, key_bands[k]) in bands for k in keys if SequenceMatcher(None, text, k).ratio() > fuzzy.LIMIT)
