@@ -114,6 +114,12 @@ def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.select("vec_id", "h1", "h2"), stored(classes)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. They are scaled by a power of two first, which is exact, so that no square overflows or vanishes."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def links(classes: DataFrame, threshold: float, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """(a, b), a < b, each once: distinct vectors found in one cell whose cosine reaches the threshold."""
     schema = pa.schema([("key", pa.int64()), ("role", pa.int8()), ("id", pa.int64())])
@@ -123,9 +129,7 @@ def links(classes: DataFrame, threshold: float, tables: int = TABLES, probes: in
             lengths = whole.column(1).value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(lengths):
                 batch = whole.filter(pa.array(lengths == dim))
-                x = vector_matrix(batch.column(1))
-                x /= np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = unit(vector_matrix(batch.column(1)))
                 ids = batch.column(0).to_numpy()
                 for table in range(tables):
                     home, look = cells(x, table, probes)
@@ -158,8 +162,7 @@ def links(classes: DataFrame, threshold: float, tables: int = TABLES, probes: in
             role, ids = group.column("role").to_numpy(), group.column("id").to_numpy()
             if role[0] != 0 or role[-1] == 0:
                 continue
-            x = vector_matrix(group.column("vector"))
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = unit(vector_matrix(group.column("vector")))
             h = np.searchsorted(role, 1)
             for start in range(h, len(x), BLOCK):
                 s, t = np.nonzero(x[start : start + BLOCK] @ x[:h].T >= threshold)

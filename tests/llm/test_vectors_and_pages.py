@@ -46,6 +46,21 @@ def test_lattice_links_all_near_vectors(spark, vectors):
         assert (r.n_links, r.component_id, r.kept) == (links.get(r.vec_id, 0), root, root == r.vec_id or r.vec_id is None)
 
 
+def test_lattice_links_vectors_of_any_magnitude(spark):
+    """Doubles whose squares overflow or vanish link as the same directions do at length 1."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12, 8))
+    near = base + 0.02 * rng.normal(size=base.shape)
+    scales = [1e200, 1e-200, 1.0, 1e300, 1e-300, 1e-310]
+    x = np.concatenate([base * np.resize(scales, 12)[:, None], near * np.resize(scales[::-1], 12)[:, None]])
+    plain = np.concatenate([base, near])
+    plain /= np.linalg.norm(plain, axis=1, keepdims=True)
+    linked = plain @ plain.T >= 0.9
+    rows = lattice.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: r.n_links for r in rows} == {i: int(linked[i].sum()) - 1 for i in range(24)}
+    assert all(linked[i, i + 12] for i in range(12))
+
+
 def test_lattice_blocks_and_empty_tables(spark, vectors):
     df = spark.createDataFrame(vectors, VECTORS)
     whole = sorted(map(str, lattice.near_vectors(df).collect()))
