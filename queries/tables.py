@@ -265,6 +265,7 @@ register("merge_right", _merge_sql("RIGHT"))(_merge("right"))
 register("merge_inner", _merge_sql("INNER"))(_merge("inner"))
 register("merge_outer", _merge_sql("FULL OUTER"))(_merge("outer"))
 register("merge_salted", _merge_sql("INNER"))(_merge("inner", salt=4))
+register("merge_outer_salted", _merge_sql("FULL"))(_merge("outer", salt=4))
 
 
 @register(

@@ -16,8 +16,9 @@ def merge(
     """Join; null keys match null keys.
 
     A key of the same name becomes one column, other right columns that exist
-    on the left get the suffix ``_right``. ``salt`` > 1 spreads every key of an
-    inner, left or right join over that many tasks by repeating the other side.
+    on the left get the suffix ``_right``. ``salt`` > 1 spreads every key over that
+    many tasks by repeating the other side. An outer join repeats the right side for
+    its left join, and adds the right rows whose key is not among the distinct left keys.
     """
     if not left_key or not right_key:
         raise ValueError("merge needs a key on both sides")
@@ -25,11 +26,18 @@ def merge(
         raise ValueError(f"unknown join type: {how}")
     require(left, [left_key])
     require(right, [right_key])
+    if salt > 1 and how == "outer":
+        known = left.select(col(left_key).alias("_known")).distinct()
+        alone = right.join(known, col(right_key).eqNullSafe(F.col("_known")), "left_anti")
+        # the empty left side gives the columns of a join, with no row that could match
+        return merge(left, right, left_key, right_key, "left", salt).unionByName(
+            merge(left.limit(0), alone, left_key, right_key, "right")
+        )
     names = [f"_r{i}" for i in range(len(right.columns))]
     other = right.select(*[col(c).alias(n) for c, n in zip(right.columns, names, strict=True)])
     right_name = dict(zip(right.columns, names, strict=True))
     on = col(left_key).eqNullSafe(F.col(right_name[right_key]))
-    if salt > 1 and how != "outer":
+    if salt > 1:
         keep_left = how in ("inner", "left")
         # The salt depends on row content only, so a recomputed task repeats it.
         kept = [col(c) for c in left.columns] if keep_left else [F.col(n) for n in names]

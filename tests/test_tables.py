@@ -203,3 +203,17 @@ def test_streaming_rows(spark, tmp_path):
     query = kept.writeStream.format("memory").queryName("kept").trigger(availableNow=True).start()
     query.awaitTermination()
     assert listed(spark.table("kept"), "id") == [(i, "a") for i in range(4)]
+
+
+def test_salted_joins_are_plain_joins(table):
+    left = table("k string, a int", [("x", i) for i in range(30)] + [(None, 1), ("y", 2), ("z", 3)])
+    right = table("k string, a int, b string", [("x", 5, "p"), ("x", 6, "q"), (None, 7, "n"), ("w", 8, "w"), ("w", 9, None)])
+    other = right.withColumnRenamed("k", "key 2")
+    for how in ("inner", "left", "right", "outer"):
+        for side, name in ((right, "k"), (other, "key 2")):
+            plain, salted = (joins.merge(left, side, "k", name, how, salt=n) for n in (1, 4))
+            assert salted.columns == plain.columns and salted.dtypes == plain.dtypes
+            assert sorted(map(repr, salted.collect())) == sorted(map(repr, plain.collect()))
+    outer = joins.merge(left, right, "k", "k", "outer", salt=4)
+    assert outer.count() == 30 * 2 + 1 + 2 + 2
+    assert joins.merge(left.limit(0), right, "k", "k", "outer", salt=3).count() == 5
