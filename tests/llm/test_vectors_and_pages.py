@@ -1,5 +1,6 @@
 """Operators on vectors and pages next to plain versions of what they promise."""
 
+import time
 from itertools import product
 
 import numpy as np
@@ -201,6 +202,152 @@ def test_deep_and_broken_pages_end():
     assert visible_text("word " * 100_000).count("word") == 100_000
 
 
+@pytest.mark.parametrize(
+    "page", ["<table><tr><td>x", "<table><tr><td>x<td>y", "<ul><li>x", "<table><tr><td rowspan=9>x<td colspan=3>", "<p>x<object><b></p>"]
+)
+def test_deep_pages_cost_their_length(page):
+    began = time.perf_counter()
+    text = visible_text(page * 20_000)
+    assert time.perf_counter() - began < 20 and text.count("x") == (1 if "object" in page else 20_000)
+
+
+@pytest.mark.parametrize(
+    "page", ["<tr>" + "<td rowspan=60000>x" * 5000 + "<tr><td>x" * 5000, "<tr><td>" + "w" * 100_000 + "<td>x" + "<tr><td>y<td>x" * 5000]
+)
+def test_padding_stays_in_proportion(page):
+    text = visible_text("<table>" + page)
+    assert text.count("x") == page.count("x") and len(text) < 100 * len(page)
+
+
+def random_tree(rng, depth: int, inline: bool = False) -> list:
+    """Children of an element: texts and (tag, attributes, children)."""
+    out: list = []
+    for _ in range(rng.integers(0, 4)):
+        kind = rng.choice(["text", "b", "br"] if inline or depth <= 0 else ["text", "b", "br", "div", "p", "ul", "ol", "table", "veil", "show"])
+        if kind == "text":
+            out.append(" ".join("abcdefgh"[: rng.integers(1, 8)] for _ in range(rng.integers(1, 4))))
+        elif kind in ("ul", "ol"):
+            out.append((kind, {}, [("li", {}, random_tree(rng, depth - 1)) for _ in range(rng.integers(1, 4))]))
+        elif kind == "table":
+            spans = [1, 1, 1, 2, 3]
+            out.append(("table", {}, [
+                ("tr", {}, [
+                    ("td", {"colspan": int(rng.choice(spans)), "rowspan": int(rng.choice(spans))}, random_tree(rng, depth - 2))
+                    for _ in range(rng.integers(0, 4))
+                ]) for _ in range(rng.integers(1, 4))
+            ]))
+        elif kind in ("veil", "show"):
+            out.append(("span", {"style": f"visibility:{'hidden' if kind == 'veil' else 'visible'}"}, random_tree(rng, 0, True)))
+        else:
+            out.append((kind, {}, [] if kind == "br" else random_tree(rng, depth - 1, inline or kind in ("b", "p"))))
+    return out
+
+
+def as_markup(tree: list) -> str:
+    parts = []
+    for node in tree:
+        if isinstance(node, str):
+            parts.append(node)
+        else:
+            name, attributes, children = node
+            told = "".join(f" {k}='{v}'" for k, v in attributes.items())
+            parts.append(f"<{name}{told}>" + ("" if name == "br" else as_markup(children) + f"</{name}>"))
+    return "".join(parts)
+
+
+def plain_events(tree: list, veiled: bool, nested: bool) -> list:
+    """Texts, breaks, block borders (with or without margin) and finished lines, in order."""
+    out: list = []
+    for node in tree:
+        if isinstance(node, str):
+            out += [] if veiled else [("text", node)]
+            continue
+        name, attributes, children = node
+        if name == "br":
+            out += [] if veiled else [("br", None)]
+        elif name in ("b", "span"):
+            style = attributes.get("style", "")
+            out += plain_events(children, veiled if not style else "hidden" in style, nested)
+        elif name in ("div", "p"):
+            out += [("border", name == "p"), *plain_events(children, veiled, nested), ("border", name == "p")]
+        elif name in ("ul", "ol"):
+            out.append(("border", not nested))
+            for i, item in enumerate(children):
+                lines = plain_lines(plain_events(item[2], veiled, True))
+                mark = f"{i + 1}. " if name == "ol" else "- "
+                marked = [(" " * len(mark) if j else mark) + x if x else x for j, x in enumerate(lines)]
+                out += [("border", False), ("lines", marked), ("border", False)]
+            out.append(("border", not nested))
+        else:
+            rows = [[(plain_lines(plain_events(c[2], veiled, False)), c[1]["colspan"], c[1]["rowspan"]) for c in row[2]] for row in children]
+            out += [("border", True), ("lines", plain_table(rows)), ("border", True)]
+    return out
+
+
+def plain_lines(events: list) -> list[str]:
+    lines: list[str] = []
+    waiting, gap = "", False
+    for kind, value in [*events, ("border", False)]:
+        if kind == "text":
+            waiting += value
+            continue
+        if kind == "br" and not waiting.strip():
+            if lines and lines[-1] != "":
+                lines.append("")
+                gap = False
+            continue
+        fresh = [waiting.strip()] if waiting.strip() else []
+        waiting = ""
+        for block in (fresh, value if kind == "lines" else []):
+            if block:
+                lines += ([""] if gap and lines else []) + block
+                gap = False
+        gap |= kind == "border" and value
+    return lines
+
+
+def plain_table(rows: list) -> list[str]:
+    taken: set = set()
+    cells = []
+    for r, row in enumerate(rows):
+        c = 0
+        for lines, across, down in row:
+            while (r, c) in taken:
+                c += 1
+            taken |= {(y, x) for y in range(r, min(r + down, len(rows))) for x in range(c, c + across)}
+            cells.append((r, c, across, lines))
+            c += across
+    real = sorted({c for _, c, _, _ in cells})
+    if len(real) < 2:
+        return [x for _, _, _, lines in cells for x in lines]
+    start = dict.fromkeys(real, 0)
+    for _ in real:
+        for i, c in enumerate(real[1:], 1):
+            reach = [start[a] + max(map(len, lines), default=0) for _, a, across, lines in cells if real[i - 1] < a + across <= c]
+            start[c] = max([start[real[i - 1]], *reach]) + 3
+    out = []
+    for r in range(len(rows)):
+        mine = [(start[c], lines) for y, c, _, lines in cells if y == r]
+        for i in range(max((len(lines) for _, lines in mine), default=0)):
+            line = ""
+            for at, lines in mine:
+                line = line.ljust(at - 3) + (" | " if at else "") + (lines[i] if i < len(lines) else "")
+            out.append(line.rstrip())
+    return out
+
+
+def test_random_trees_like_the_plain_renderer():
+    rng = np.random.default_rng(11)
+    seen = 0
+    for _ in range(1500):
+        tree = random_tree(rng, 5)
+        page = as_markup(tree)
+        expected = "\n".join(plain_lines(plain_events(tree, False, False))).strip("\n")
+        assert visible_text(page) == expected, page
+        seen += "rowspan" in page and "|" in expected
+    assert seen > 50
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", "<p>a<p>b", "x"), (1, "u", "<p>a<p>b", "x"), (None, None, None, None), (2, None, " ", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
