@@ -400,6 +400,22 @@ def wide_records(spark, sf):
         "map_has_insets", "map_scale_source", "map_not_applicable", "ts_datum", "ts_theme")
 
 
+@register(
+    "wide_records_map",
+    f"""
+    SELECT p_partkey AS doc_id, CASE WHEN {_OK} THEN p_name ELSE '' END AS map_title,
+        CASE WHEN {_OK} AND p_partkey % 3 <> 0 THEN 'ts_datum=7|ts_theme=' || p_type ELSE '' END AS extra
+    FROM part
+    """,
+)
+def wide_records_map(spark, sf):
+    documents = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"))
+    failed = documents.filter(F.col("doc_id") % 50 == 7)
+    wide = record.wide_records(_claims(spark, sf), documents, failed=failed, extra_map=True)
+    entries = F.transform(F.array_sort(F.map_entries("map_extra")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return wide.select("doc_id", "map_title", F.array_join(entries, "|").alias("extra"))
+
+
 @register(
     "extra_fields_long",
     "SELECT p_partkey AS doc_id, unnest(['ts_theme', 'ts_datum']) AS \"column\", unnest([p_type, '7']) AS value FROM part "

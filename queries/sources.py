@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from queries.common import registry, table
+from tabloom.operators import routing
 from tabloom.plans import templates
 from tabloom.plans.compose import run_pipeline
 from tabloom.sources import files, sinks
@@ -20,6 +21,8 @@ def shared_folder(spark) -> str:
     """A new folder below the cluster's checkpoint folder; local only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         return tempfile.mkdtemp(prefix="spark-tabloom-")
     return os.path.join(root, f"tabloom-{uuid.uuid4().hex}")
 
@@ -70,6 +73,28 @@ def csv_round_trip(spark, sf):
     return files.read_csv(spark, path, "utf-8-sig", ";", multi_line=True)
 
 
+@register(
+    "ports_round_trip",
+    """
+    SELECT o_orderkey, o_totalprice, CASE o_orderstatus WHEN 'F' THEN 'route_1' WHEN 'O' THEN 'route_2' ELSE 'default' END AS port
+    FROM orders
+    """,
+)
+def ports_round_trip(spark, sf):
+    """Five ports written in one pass and read again, each from its folder."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    rules = [{"output": f"route_{i}", "conditions": [{"column": "o_orderstatus", "op": "equals", "value": v}]}
+             for i, v in ((1, "f"), (2, "o"))]
+    rows, path = routing.tagged(orders, rules), shared_folder(spark)
+    sinks.write_routed(rows, path)
+    ports = sinks.read_routed(rows, path, routing.ROUTES)
+    whole = None
+    for name, part in ports.items():
+        part = part.drop("o_orderstatus").withColumn("port", F.lit(name))
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
+
+
 @register("json_round_trip", "SELECT conv_id, turn, role, text FROM conversations")
 def json_round_trip(spark, sf):
     path = shared_folder(spark)

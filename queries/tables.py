@@ -409,6 +409,19 @@ def pivot_first(spark, sf):
         table(spark, sf, "events"), "user_id", "event_type", "value", "first", order_by="event_id")
 
 
+@register(
+    "pivot_map",
+    """
+    SELECT l_returnflag, l_suppkey, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem
+    WHERE l_returnflag IS NOT NULL AND l_suppkey IS NOT NULL GROUP BY 1, 2
+    """,
+)
+def pivot_map(spark, sf):
+    """A column for each supplier would grow with the table; the map of a row is shown entry by entry."""
+    wide = grouping.pivot_map(table(spark, sf, "lineitem"), "l_returnflag", "l_suppkey", "l_linenumber")
+    return wide.select("l_returnflag", F.explode("cells").alias("l_suppkey", "lines"))
+
+
 _CALLS = """
     SELECT conv_id AS run_id, turn AS row, CASE role WHEN 'user' THEN length(text) END AS input_tokens,
            CASE role WHEN 'assistant' THEN length(text) END AS output_tokens FROM conversations

@@ -14,6 +14,7 @@ from tabloom.claims.rounds import output_name
 from tabloom.functions.evidence import dcmi_box, iso_language, scale_source
 from tabloom.functions.text import clean_cell, join_nonempty
 from tabloom.operators.columns import reorder_type_specific
+from tabloom.operators.grouping import MOST_COLUMNS, bounded_values
 
 
 def _coerced(field: str, value: Column) -> Column:
@@ -25,23 +26,26 @@ def _coerced(field: str, value: Column) -> Column:
 
 
 def type_specific_keys(claims: DataFrame) -> list[str]:
-    """The observed free field names. They become columns, so their number is that of the schema;
-    :func:`extra_fields_long` keeps any number of them as rows."""
-    names = claims.filter(F.col("field").startswith(TYPE_SPECIFIC)).select("field").distinct()
-    return sorted(r["field"] for r in names.collect())
+    """The observed free field names that become columns, at most ``MOST_COLUMNS``; ``extra_map`` of
+    :func:`wide_records` and :func:`long_extra` take any number of them."""
+    names = claims.filter(F.col("field").startswith(TYPE_SPECIFIC)).select("field")
+    return bounded_values(names, MOST_COLUMNS, "extra_map or long_extra")
 
 
 def wide_records(
-    claims: DataFrame, documents: DataFrame, keys: list[str] | None = None, failed: DataFrame | None = None
+    claims: DataFrame, documents: DataFrame, keys: list[str] | None = None, failed: DataFrame | None = None,
+    extra_map: bool = False,
 ) -> DataFrame:
     """One row per document: fixed ``map_`` columns, ``ts_`` columns from the data.
 
     Missing text is '', missing numbers are null; ``map_not_applicable`` lists
     numeric fields answered with ``N/A``. Documents in ``failed`` (doc_id) keep
-    empty cells.
+    empty cells. With ``extra_map`` the free fields are one column ``map_extra``,
+    a map from ``ts_`` name to text (empty where there is none), so that the
+    schema does not depend on the data and a row holds only its own fields.
     """
     usable = claims if failed is None else claims.join(failed.select("doc_id"), "doc_id", "left_anti")
-    specific = type_specific_keys(usable) if keys is None else keys
+    specific = [] if extra_map else type_specific_keys(usable) if keys is None else keys
 
     def value_of(field: str) -> Column:
         return F.max(F.when(F.col("field") == field, F.coalesce("value", F.lit(""))))
@@ -58,6 +62,12 @@ def wide_records(
         *extra,
     )
     joined = documents.join(wide, "doc_id", "left")
+    if extra_map:
+        free = long_extra(usable).groupBy("doc_id", "column").agg(F.coalesce(F.max("value"), F.lit("")).alias("value"))
+        entries = free.groupBy("doc_id").agg(
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", "value")))).alias("map_extra"))
+        none = F.create_map().cast("map<string,string>")
+        joined = joined.join(entries, "doc_id", "left").withColumn("map_extra", F.coalesce("map_extra", none))
     texts = [
         f.name for f in wide.schema.fields
         if isinstance(f.dataType, T.StringType) and f.name != "doc_id"

@@ -135,10 +135,54 @@ def group_by(df: DataFrame, group_by, aggregations, order_by=None, sort: bool =
     return result.orderBy(*order_columns(result, keys)) if sort and keys else result
 
 
-def pivot_values(df: DataFrame, pivot_column: str) -> list:
-    """The values that become columns. Where they are too many for a schema, :func:`group_by` over both columns
-    gives the same cells as rows."""
-    return sorted(r["v"] for r in df.select(col(pivot_column).alias("v")).filter("v is not null").distinct().collect())
+# More values than this do not become columns; see bounded_values.
+MOST_COLUMNS = 10_000
+
+
+def bounded_values(values: DataFrame, most: int, instead: str) -> list:
+    """The distinct values of a one-column table, in order. The driver gets ``most`` and one more at the most; a table
+    with more of them is refused, and ``instead`` names the operator that takes any number."""
+    found = [row[0] for row in values.distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} values for columns; use {instead}")
+    return sorted(found)
+
+
+def pivot_values(df: DataFrame, pivot_column: str, most: int = MOST_COLUMNS) -> list:
+    """The values that become columns; :func:`pivot_map` takes more than ``most``."""
+    return bounded_values(df.select(col(pivot_column)).filter(col(pivot_column).isNotNull()), most, "pivot_map")
+
+
+def _pivot_cells(df: DataFrame, index: str, pivot_column: str, value_column: str, agg_func: str, order_by) -> DataFrame:
+    """(index, _pivot, _cell): one combining shuffle on both."""
+    require(df, [index, pivot_column, value_column])
+    functions = {"sum": F.sum, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max}
+    present = df.filter(col(index).isNotNull() & col(pivot_column).isNotNull())
+    if agg_func in ("mean", "min", "max", "first"):
+        present = present.filter(col(value_column).isNotNull())
+    if agg_func == "first":
+        if order_by is None:
+            raise ValueError("first needs order_by")
+        cell = F.min_by(col(value_column), _order_struct(df, order_by))
+    elif agg_func == "sum":
+        cell = F.coalesce(F.sum(col(value_column)), F.lit(0))
+    elif agg_func in functions:
+        cell = functions[agg_func](col(value_column))
+    else:
+        raise ValueError(f"unknown aggregate: {agg_func}")
+    return present.groupBy(col(index), col(pivot_column).alias("_pivot")).agg(cell.alias("_cell"))
+
+
+def pivot_map(
+    df: DataFrame, index: str, pivot_column: str, value_column: str, agg_func: str = "sum", order_by=None
+) -> DataFrame:
+    """(index, cells): the cells of :func:`pivot` as a map from pivot value to cell, for any number of pivot values.
+
+    Only cells that occur are held, so a row grows with the values of its own index and not with those of the table;
+    the schema does not depend on the data, and nothing goes through the driver. Null indexes and pivot values drop out.
+    """
+    cells = _pivot_cells(df, index, pivot_column, value_column, agg_func, order_by)
+    return cells.groupBy(col(index)).agg(F.map_from_entries(F.collect_list(F.struct("_pivot", "_cell"))).alias("cells"))
 
 
 def pivot(
@@ -157,25 +201,12 @@ def pivot(
     and count keep it. Missing cells get the fill value; a fill value that is
     not a number turns the cells into text.
     """
-    require(df, [index, pivot_column, value_column])
-    functions = {"sum": F.sum, "mean": F.avg, "count": F.count, "min": F.min, "max": F.max}
-    present = df.filter(col(index).isNotNull() & col(pivot_column).isNotNull())
-    if agg_func in ("mean", "min", "max", "first"):
-        present = present.filter(col(value_column).isNotNull())
+    cells = _pivot_cells(df, index, pivot_column, value_column, agg_func, order_by)
     if values is None:
+        present = df.filter(col(index).isNotNull() & col(pivot_column).isNotNull())
+        if agg_func in ("mean", "min", "max", "first"):
+            present = present.filter(col(value_column).isNotNull())
         values = pivot_values(present, pivot_column)
-    if agg_func == "first":
-        if order_by is None:
-            raise ValueError("first needs order_by")
-        cell = F.min_by(col(value_column), _order_struct(df, order_by))
-    elif agg_func == "sum":
-        cell = F.coalesce(F.sum(col(value_column)), F.lit(0))
-    elif agg_func in functions:
-        cell = functions[agg_func](col(value_column))
-    else:
-        raise ValueError(f"unknown aggregate: {agg_func}")
-    # One combining shuffle on (index, pivot value), one on index.
-    cells = present.groupBy(col(index), col(pivot_column).alias("_pivot")).agg(cell.alias("_cell"))
     wide = cells.groupBy(col(index)).agg(
         *[
             F.max(F.when(F.col("_pivot") == F.lit(v), F.col("_cell"))).alias(str(v))

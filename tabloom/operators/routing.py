@@ -104,6 +104,11 @@ def route_column(df: DataFrame, rules) -> Column:
     return F.lit("default") if chosen is None else chosen.otherwise(F.lit("default"))
 
 
+def tagged(df: DataFrame, rules, port: str = "_port") -> DataFrame:
+    """Every row with the name of its port, so that all ports can be read or written in one pass."""
+    return df.withColumn(port, route_column(df, rules))
+
+
 def route(df: DataFrame, rules) -> dict[str, DataFrame]:
     """Five ports; each is a filter on the same row-wise expression, no shuffle."""
     chosen = route_column(df, rules)

@@ -66,7 +66,25 @@ def write_table(df: DataFrame, path: str, columns=None, mode: str = "overwrite")
     export_columns(df, columns).write.mode(mode).parquet(path)
 
 
+def write_routed(df: DataFrame, path: str, port: str = "_port", kind: str = "parquet", mode: str = "overwrite") -> None:
+    """Write all ports of a tagged table (``routing.tagged``) in one pass over it: a folder ``_port=name`` for each.
+
+    The parent is computed once, however many ports there are. Rows without a port are refused.
+    """
+    named = F.coalesce(col(port), F.raise_error(F.lit("a row without a port")).cast("string"))
+    df.withColumn(port, named).write.mode(mode).partitionBy(port).format(kind).save(path)
+
+
+def read_routed(like: DataFrame, path: str, names, port: str = "_port", kind: str = "parquet") -> dict[str, DataFrame]:
+    """The ports in ``path`` as tables with the columns of ``like``; a port that got no row is empty."""
+    fields = [f for f in like.schema.fields if f.name != port]
+    schema = T.StructType([*fields, T.StructField(port, T.StringType())])
+    table = like.sparkSession.read.format(kind).schema(schema).load(path)
+    return {name: table.filter(col(port) == name).drop(port) for name in names}
+
+
 def write_ports(ports: dict[str, DataFrame], paths: dict[str, str], write=write_table) -> None:
-    """Write each output port to its own place."""
+    """Write tables of different kinds to their own places, one after the other. Ports of one table that differ only in
+    their rows are written in one pass by :func:`write_routed`."""
     for name, path in paths.items():
         write(ports[name], path)

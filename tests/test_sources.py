@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.operators.routing import filter_rows
+from tabloom.operators.routing import ROUTES, filter_rows, tagged
 from tabloom.sources import files, images, sinks
 
 
@@ -114,6 +114,29 @@ def test_archives(spark, tmp_path):
     assert len(cut.disk_filename) == 150 and cut.disk_filename.endswith(".jpeg") and len(got) == 3
 
 
+def test_routed_sink_reads_its_parent_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    df = spark.range(100).selectExpr("id", "CAST(id % 7 AS STRING) AS s").mapInPandas(counted, "id long, s string")
+    rules = [{"output": f"route_{i}", "conditions": [{"column": "s", "value": str(i)}]} for i in (1, 2, 3)]
+    rows = tagged(df, rules)
+    sinks.write_routed(rows, str(tmp_path / "ports"))
+    assert seen.value == 100
+    ports = sinks.read_routed(rows, str(tmp_path / "ports"), ROUTES)
+    want = {name: sorted(i for i in range(100) if (f"route_{i % 7}" if i % 7 in (1, 2, 3) else "default") == name) for name in ROUTES}
+    assert {name: sorted(r.id for r in part.collect()) for name, part in ports.items()} == want
+    assert ports["route_4"].columns == ["id", "s"]
+    with pytest.raises(Exception, match="without a port"):
+        sinks.write_routed(df.withColumn("_port", F.lit(None).cast("string")), str(tmp_path / "none"))
+    sinks.write_routed(rows.limit(0), str(tmp_path / "empty"))
+    assert all(part.isEmpty() for part in sinks.read_routed(rows, str(tmp_path / "empty"), ROUTES).values())
+
+
 def test_ports_sink(spark, tmp_path):
     ports = filter_rows(spark.range(10).withColumn("s", F.lit("x")), "id", "less_than", "4")
     sinks.write_ports(ports, {name: str(tmp_path / name) for name in ports})

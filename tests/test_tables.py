@@ -166,6 +166,19 @@ def test_pivot(table):
     assert listed(grouping.pivot(df, "i", "p", "v", "sum", "none")) == [("x", "1", "0"), ("y", "3", "none")]
 
 
+def test_pivot_of_any_width(spark, table):
+    df = table("i string, p string, v int", [("x", "A", 1), ("x", "B", None), ("y", "A", 3), ("y", "A", 4), (None, "A", 4), ("z", None, 5)])
+    assert listed(grouping.pivot_map(df, "i", "p", "v")) == [("x", {"A": 1, "B": 0}), ("y", {"A": 7})]
+    assert listed(grouping.pivot_map(df, "i", "p", "v", "max")) == [("x", {"A": 1}), ("y", {"A": 4})]
+    assert grouping.pivot_map(df.limit(0), "i", "p", "v").isEmpty()
+    many = spark.range(50_000).selectExpr("id % 3 AS i", "id AS p", "id * 2 AS v")
+    with pytest.raises(ValueError, match="pivot_map"):
+        grouping.pivot(many, "i", "p", "v")
+    got = grouping.pivot_map(many, "i", "p", "v").collect()
+    assert sorted(r.i for r in got) == [0, 1, 2]
+    assert all(r.cells == {p: 2 * p for p in range(r.i, 50_000, 3)} for r in got)
+
+
 def test_merge_names(table):
     left = table("k int, v int", [(1, 10), (None, 11)])
     right = table("k int, v int, w int", [(1, 20, 1), (None, 21, 2), (3, 22, 3)])
