@@ -7,6 +7,7 @@ partitions times ``concurrency`` threads per task.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -68,6 +69,21 @@ def _call(predict: Callable, request: dict, max_attempts: int, base_delay: float
     raise AssertionError("unreachable")
 
 
+def _paced(predict: Callable, per_minute: float) -> Callable:
+    """Calls start at least 60 / ``per_minute`` seconds after one another, whichever thread makes them."""
+    lock, free = threading.Lock(), [time.monotonic()]
+
+    def send(request: dict):
+        with lock:
+            wait = free[0] - time.monotonic()
+            free[0] = max(free[0], time.monotonic()) + 60 / per_minute
+        if wait > 0:
+            time.sleep(wait)
+        return predict(request)
+
+    return send
+
+
 def infer(
     requests: DataFrame,
     predict: Callable[[dict], object],
@@ -75,20 +91,25 @@ def infer(
     max_attempts: int = MAX_ATTEMPTS,
     base_delay: float = BASE_DELAY,
     keep: list[str] | None = None,
+    per_minute: float | None = None,
 ) -> DataFrame:
     """One call per request row; adds response, error, attempts and token counts.
 
     ``keep`` names the request columns of the result (default all); leave large
-    ones such as image bytes out.
+    ones such as image bytes out. ``per_minute`` spaces the calls of one task,
+    further attempts included; tasks run side by side, so a service's own limit
+    is to be divided by the cores of the cluster. The result is lazy: reading it
+    twice calls twice, :func:`ask` with a store does not.
     """
     kept = keep or requests.columns
     schema = T.StructType([requests.schema[c] for c in kept] + _ANSWER.fields)
 
     def run(batches):
+        send = _paced(predict, per_minute) if per_minute else predict
         with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
             for batch in batches:
                 rows = batch.to_dict("records")
-                answers = list(pool.map(lambda r: _call(predict, r, max_attempts, base_delay), rows))
+                answers = list(pool.map(lambda r: _call(send, r, max_attempts, base_delay), rows))
                 extra = pd.DataFrame(answers, columns=_ANSWER.names, index=batch.index)
                 yield pd.concat([batch[kept], extra], axis=1)
 
@@ -96,7 +117,12 @@ def infer(
 
 
 def request_hash(requests: DataFrame, columns: list[str]) -> DataFrame:
-    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]
+    """Add the digest of a request's content; bytes count by their own digest."""
+    kinds = dict(requests.dtypes)
+    cells = [
+        F.coalesce(F.sha2(F.col(f"`{c}`"), 256) if kinds[c] == "binary" else F.col(f"`{c}`").cast("string"), F.lit(""))
+        for c in columns
+    ]
     return requests.withColumn("request_hash", F.sha2(F.concat_ws("\u0001", *cells), 256))
 
 
@@ -127,3 +153,19 @@ def infer_stored(
     )
     joined = keyed.join(best, "request_hash", "left")
     return joined.select(*requests.columns, "request_hash", "_answer.*")
+
+
+def ask(
+    requests: DataFrame, predict: Callable[[dict], object], keep: list[str], store: str | None = None, **options
+) -> DataFrame:
+    """The ``keep`` columns of each request with its answer: how every model operator calls.
+
+    With ``store`` (a folder that all executors share) the answers are committed there before this returns, keyed by
+    what is sent, that is, all columns but ``keep``. The result only reads them, so any number of sinks, a recomputed
+    partition or a rerun costs no further call; equal requests are sent once, and failed ones again on the next run.
+    """
+    if store is None:
+        return infer(requests, predict, keep=keep, **options)
+    content = [c for c in requests.columns if c not in keep]
+    answered = infer_stored(requests, predict, store, content, **options)
+    return answered.select(*[F.col(f"`{c}`") for c in keep], *_ANSWER.names)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom._columns import as_list, cell_text, col, require, strip
-from tabloom.enrich.calls import infer
+from tabloom.enrich.calls import ask
 from tabloom.enrich.requests import pack_requests, render_prompts, row_context
 from tabloom.enrich.responses import get, map_fields, parse_responses, unpack_results, variant_text
 from tabloom.functions.text import clean_cell
@@ -29,7 +29,7 @@ def _responses(requests: DataFrame, predict, responses, row_id: str, **options)
         return responses.select(F.col("row_id").alias("_row"), F.col("response").alias("_response"))
     if predict is None:
         raise ValueError("either predict or responses is required")
-    answered = infer(requests, predict, keep=[row_id], **options)
+    answered = ask(requests, predict, keep=[row_id], **options)
     return answered.select(col(row_id).alias("_row"), F.col("response").alias("_response"))
 
 
@@ -59,7 +59,7 @@ def enrich(
     if responses is None and batch_mode and batch_size > 1:
         requests, members = pack_requests(prompts, row_id, "prompt", batch_size, max_tokens)
         requests = requests.withColumn("system", F.lit(system_prompt))
-        answered = infer(requests, predict, keep=["batch_id"], **options)
+        answered = ask(requests, predict, keep=["batch_id"], **options)
         objects = unpack_results(parse_responses(answered), members)
         answers = objects.select(F.col("row_id").alias("_row"), "json")
     else:
@@ -183,9 +183,10 @@ def answer(
     system_prompt: str = "",
     max_tokens: int = 500,
     options: dict | None = None,
+    store: str | None = None,
     **retrieval,
 ) -> DataFrame:
-    """Retrieval-augmented answer per row with a confidence gate."""
+    """Retrieval-augmented answer per row with a confidence gate; ``options`` and ``store`` go to the calls."""
     context = retrieve_context(df, row_id, query_template, **retrieval)
     prompt = F.concat(
         F.lit("Question: "), "query", F.lit("\n\nSearch Results:\n"), "context",
@@ -195,7 +196,7 @@ def answer(
         F.col("query_id").alias(row_id), prompt.alias("prompt"),
         F.lit(system_prompt).alias("system"), F.lit(int(max_tokens)).alias("max_tokens"),
     )
-    answers = _responses(requests, predict, responses, row_id, **(options or {}))
+    answers = _responses(requests, predict, responses, row_id, store=store, **(options or {}))
     parsed = parse_responses(answers, "_response").drop("_response", "status")
     joined = _attach(df, row_id, parsed.withColumnRenamed("json", "_json"))
     return gate(joined, "_json", output_column, confidence_column, confidence_threshold).drop("_json")

@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tabloom._columns import as_list, cell_text, col, strip, words
-from tabloom.enrich.calls import infer
+from tabloom.enrich.calls import ask
 from tabloom.enrich.requests import pack_requests
 from tabloom.enrich.responses import member, parse_responses, unpack_results
 from tabloom.linkage.keys import (
@@ -251,7 +251,7 @@ def judged(
         )
         requests, members = pack_requests(prompts, "query_id", "prompt", batch_size, max_tokens, title="Image")
         requests = requests.withColumn("system", F.lit(system_prompt))
-        answered = infer(requests, predict, keep=["batch_id", "size"], **options)
+        answered = ask(requests, predict, keep=["batch_id", "size"], **options)
         parsed = unpack_results(parse_responses(answered), members, index_key="image_index")
     else:
         parsed = parse_responses(responses).select("row_id", "json")

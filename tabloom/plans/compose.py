@@ -28,8 +28,8 @@ Ports = dict[str, DataFrame]
 Operator = Callable[[Ports, dict], Ports]
 
 
-WHOLE = {"count", "seed", "min_match_length", "batch_size", "max_tokens", "top_k", "max_rows", "max_images", "max_correction_rounds"}
-REAL = {"percent", "confidence_threshold", "ambiguity_gap"}
+WHOLE = {"count", "seed", "min_match_length", "batch_size", "max_tokens", "top_k", "max_rows", "max_images", "max_correction_rounds", "salt"}
+REAL = {"percent", "per_minute", "confidence_threshold", "ambiguity_gap"}
 TRUTH = {"batch_mode", "only_fill_empty", "case_sensitive", "include_index", "scan_subfolders", "multi_line", "enable_reread", "enable_rescue",
          "dublin_core_export"}
 # Settings whose empty text says something; elsewhere it means that nothing was chosen.
@@ -67,7 +67,7 @@ def _merge(inputs: Ports, config: dict) -> Ports:
     return {
         "output": joins.merge(
             inputs["left"], inputs["right"], config.get("left_key", ""), config.get("right_key", ""),
-            config.get("how") or "left",
+            config.get("how") or "left", salt=config.get("salt") or 1,
         )
     }
 
@@ -89,6 +89,7 @@ def _cross(inputs: Ports, config: dict) -> Ports:
         config.get("match_mode") or "hybrid", config.get("confidence_threshold", 0.7),
         config.get("ambiguity_gap", 0.15), config.get("top_k", 5),
         predict=config.get("predict"), responses=config.get("responses"),
+        **{k: config[k] for k in ("embedder", "store") if config.get(k) is not None},
     )
 
 
@@ -96,7 +97,7 @@ def _search(inputs: Ports, config: dict) -> Ports:
     names = (
         "row_id", "query_template", "predict", "responses", "output_column", "confidence_column",
         "confidence_threshold", "system_prompt", "knowledge_id", "knowledge_columns", "top_k",
-        "external", "embedder",
+        "external", "embedder", "store",
     )
     known = {k: v for k, v in config.items() if k in names}
     return {"output": enrichment.answer(inputs["input"], knowledge=inputs.get("knowledge"), **known)}
@@ -125,19 +126,19 @@ OPERATORS: dict[str, Operator] = {
     ),
     "ai_enrich": _one(
         enrichment.enrich, "row_id", "user_prompt_template", "json_field_mapping", "predict",
-        "responses", "batch_mode", "batch_size", "max_tokens", "system_prompt",
+        "responses", "batch_mode", "batch_size", "max_tokens", "system_prompt", "store", "per_minute",
     ),
     "ai_classify": _one(
-        enrichment.classify, "row_id", "prompt_template", "labels", "output_column", "predict", "responses"
+        enrichment.classify, "row_id", "prompt_template", "labels", "output_column", "predict", "responses", "store", "per_minute"
     ),
     "ai_search": _search,
     "ai_autofill": _one(
         enrichment.fill_missing, "row_id", "fields_to_fill", "query_template", "predict", "responses",
-        "hits", "only_fill_empty", "confidence_threshold", "system_prompt",
+        "hits", "only_fill_empty", "confidence_threshold", "system_prompt", "store", "per_minute",
     ),
     "ai_vision": _one(
         enrichment.enrich_images, "row_id", "image_column", "user_prompt_template",
-        "json_field_mapping", "predict", "responses", "files", "system_prompt", "max_tokens",
+        "json_field_mapping", "predict", "responses", "files", "system_prompt", "max_tokens", "store", "per_minute",
     ),
     "ai_cross_match": _cross,
     "ai_map_analysis": _one(

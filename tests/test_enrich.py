@@ -1,5 +1,7 @@
 import json
 import os
+import time
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -88,6 +90,41 @@ def test_stored_answers_are_not_asked_again(spark, tmp_path):
     assert second == {1: "A", 2: "B", 3: "A", 4: "C"} and len(os.listdir(calls)) == 4
 
 
+def test_stored_answers_cost_each_call_once(spark, tmp_path):
+    """Every operator, read by two sinks and built a second time, sends each request once."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def predict(request):
+        with open(calls / uuid.uuid4().hex, "w") as f:
+            f.write(request["prompt"])
+        return json.dumps({"answer": "x", "v": "x", "fields": {"b": "x"}, "confidence": 90, "results": [{"index": i, "v": "x"} for i in range(2)]})
+
+    df = spark.createDataFrame([(1, "a", ""), (2, "b", ""), (3, "c", "")], "i int, a string, b string")
+    files = spark.createDataFrame([(x, bytearray(b"\xff\xfe")) for x in "abc"], "path string, content binary")
+    runs = {
+        "classify": (lambda s: operators.classify(df, "i", "{{a}}", ["x", "y"], predict=predict, store=s), 3),
+        "enrich": (lambda s: operators.enrich(df, "i", "{{a}}", {"v": "v"}, predict, batch_size=2, store=s), 2),
+        "fill": (lambda s: operators.fill_missing(df, "i", ["b"], "{{a}}", predict, store=s), 3),
+        "answer": (lambda s: operators.answer(df, "i", "{{a}}", predict, store=s), 3),
+        "images": (lambda s: operators.enrich_images(df, "i", "a", "same", {"v": "v"}, predict, files=files, store=s), 3),
+    }
+    expected = 0
+    for name, (build, sent) in runs.items():
+        store = str(tmp_path / name)
+        expected += sent
+        out = build(store)
+        assert out.count() == 3 and len(out.collect()) == 3 and len(build(store).collect()) == 3
+        assert len(os.listdir(calls)) == expected, name
+
+
+def test_calls_are_spaced(spark):
+    df = spark.createDataFrame([(i, str(i)) for i in range(6)], "i int, prompt string").coalesce(1)
+    got = infer(df, lambda r: str(time.monotonic()), per_minute=600).collect()
+    starts = sorted(float(r.response) for r in got)
+    assert all(b - a > 0.07 for a, b in zip(starts, starts[1:]))
+
+
 def test_packing_round_trip(spark):
     df = spark.createDataFrame([(i, f"p{i}") for i in range(13)], "i int, prompt string").repartition(4)
     requests, members = pack_requests(df, "i", "prompt", 5, 100)
