@@ -1,6 +1,8 @@
 """Operators on documents next to plain versions of what they promise."""
 
 import hashlib
+import math
+import random
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -390,6 +392,74 @@ def test_lattice_sums_all_segmentations():
         assert sum(map(np.exp, lattice.log.values())) + sum(map(np.exp, lattice.byte)) == pytest.approx(1)
 
 
+def plain_posteriors(rows, labels):
+    """Classifier, host, path and document posteriors by loops over (doc_id, text, host, path) and (doc_id, quality)."""
+    texts = {i: t for i, t, _, _ in rows}
+    known = [(quality.statistics(texts[i]), float(y)) for i, y in labels if i in texts and y is not None]
+    x, y = np.array([k[0] for k in known]), np.array([k[1] for k in known])
+    cuts = [np.quantile(x[:, j], [b / quality.BINS for b in range(1, quality.BINS)]) for j in range(x.shape[1])]
+
+    def features(values):
+        z = np.zeros(len(cuts) * quality.BINS + 1)
+        for j, v in enumerate(values):
+            z[j * quality.BINS + sum(v >= c for c in cuts[j])] = 1
+        z[-1] = 1
+        return z
+
+    z = np.array([features(v) for v in x])
+    ridge = np.array([quality.RIDGE] * (z.shape[1] - 1) + [1e-6])
+    w = np.zeros(z.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ w))
+        w = w + np.linalg.solve(z.T @ np.diag(p * (1 - p)) @ z + np.diag(ridge), z.T @ (y - p) - ridge * w)
+    odds = math.log(y.mean() / (1 - y.mean()))
+    evidence = [min(max(float(features(quality.statistics(t)) @ w) - odds, -30), 30) for _, t, _, _ in rows]
+    chance = [1 / (1 + math.exp(-(e + odds))) for e in evidence]
+
+    def strength(groups):
+        """From (good, n, prior rate): how far the rates lie apart beyond what chance explains."""
+        between = sum(n * (g / n - r) ** 2 for g, n, r in groups)
+        by_chance, whole = sum(r * (1 - r) for _, _, r in groups), sum(n * r * (1 - r) for _, n, r in groups)
+        share = (between - by_chance) / max(whole - by_chance, 1e-9)
+        return min(max(1 / max(share, 1e-6) - 1, 1.0), 1e6)
+
+    hosts, paths = {}, {}
+    for (_, _, host, path), p in zip(rows, chance):
+        hosts.setdefault(host, []).append(p)
+        paths.setdefault((host, path), []).append(p)
+    rate = sum(chance) / len(chance)
+    k = strength([(sum(v), len(v), rate) for v in hosts.values()])
+    host_rate = {h: (sum(v) + k * rate) / (len(v) + k) for h, v in hosts.items()}
+    m = strength([(sum(v), len(v), host_rate[h]) for (h, _), v in paths.items()])
+    out = {}
+    for (i, _, host, path), e, p in zip(rows, evidence, chance):
+        own = paths[host, path]
+        prior = (sum(own) - p + m * host_rate[host]) / (len(own) - 1 + m)
+        out[i] = (e, host_rate[host], prior, 1 / (1 + math.exp(-(e + math.log(prior / (1 - prior))))))
+    return out
+
+
+def test_quality_like_the_plain_posteriors(spark):
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(240):
+        host, path = rng.choice(["a", "a", "a", "b", "c", None]), rng.choice(["x", "y", None])
+        good = rng.random() < {"a": 0.9, "b": 0.3}.get(host, 0.6)
+        words = [rng.choice("the quick brown fox jumps over a lazy dog".split()) for _ in range(rng.randint(3, 40))]
+        text = " ".join(words) + "." if good or rng.random() < 0.2 else " ".join(["BUY!!", "$$$", *words[:2]] * rng.randint(2, 6))
+        rows.append((i, text if i % 37 else "", host, path))
+        if i % 2:
+            labels.append((i, int(good)))
+    labels += [(1, 1), (10**6, 0), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    want = plain_posteriors(rows, labels)
+    assert len(out) == len(rows) and {r.kept for r in out} == {True, False}
+    for r in out:
+        assert (r.evidence, r.host_rate, r.path_rate, r.quality) == pytest.approx(want[r.doc_id], rel=1e-6, abs=1e-8)
+        assert abs(r.quality - 0.5) < 1e-9 or r.kept == (r.quality > 0.5)
+
+
 def test_quality_separates_and_shrinks(spark, no_docs):
     rng = np.random.default_rng(4)
     rows, marks = [], []
