@@ -4,8 +4,9 @@ Each document gives one posting (key, doc_id) per distinct line key of at least
 The reference table counts the documents of a key and knows the smallest; a key is repeated when
 two documents hold it. Repeated keys are also kept in cuckoo filters, one per shard of keys.
 A posting first asks the filter of its shard; only those that it lets pass are joined with the
-table, which decides. Adding or removing documents adds or removes their postings, adjusts the
-counts, and inserts into or deletes from the filters the keys that became or ceased to be repeated.
+table, which decides. Adding or removing documents adds or passes over their postings, adjusts the
+counts by the difference alone, and inserts into or deletes from the filters the keys that became or
+ceased to be repeated. An index can be saved and loaded.
 
 A line that a third of all documents share is summed before the shuffle; the join behind the
 filter is an ordinary equi-join that adaptive execution can split.
@@ -21,16 +22,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom._columns import col
 from tabloom.llm import cuckoo
 from tabloom.llm.common import spread, stored, tidy
+from tabloom.session import broadcast_if_small
 
 LEAST = 10
-#: Filters are sent to every task up to this many bytes in all; beyond it postings go straight to the table.
+#: Filters are sent to every task up to this many bytes in all; beyond it postings are brought to the filter of their shard.
 FILTER_BYTES = 64 * 1024 * 1024
+#: Postings that meet their filter in one task.
+PIECE = 1_000_000
 _SPACE = " \t\n\x0b\x0c\r"
 _NO_ID = -(2**63)
 POSTING = "high long, low long, doc_id long"
@@ -134,34 +138,72 @@ class LineIndex:
         shards = spread(keys.count(), cuckoo.KEYS_PER_SHARD)
         return cls(rows, table, stored(build_filters(keys, shards)), shards)
 
-    def _changed(self, rows: DataFrame, delta: DataFrame) -> LineIndex:
-        """The index over ``rows``; only keys of ``delta`` are counted anew."""
-        touched = delta.select("high", "low").distinct()
-        fresh = stored(references(rows.join(touched, ["high", "low"], "left_semi")))
-        old = self.table.join(touched, ["high", "low"], "left_semi")
-        table = stored(self.table.join(touched, ["high", "low"], "left_anti").unionByName(fresh))
-        before, after = _repeated(old).drop("first_doc"), _repeated(fresh).drop("first_doc")
+    def _changed(self, rows: DataFrame, table: DataFrame, touched: DataFrame) -> LineIndex:
+        """The index over ``rows`` and ``table``, in which only the keys of ``touched`` differ."""
         n = _repeated(table).count()
-        if spread(n, cuckoo.KEYS_PER_SHARD) > 2 * self.shards:
-            shards = spread(n, cuckoo.KEYS_PER_SHARD)
+        if spread(n, cuckoo.KEYS_PER_SHARD) > self.shards:
+            shards = 2 * spread(n, cuckoo.KEYS_PER_SHARD)
             return LineIndex(rows, table, stored(build_filters(_repeated(table), shards)), shards)
+        before, after = (_repeated(t.join(touched, ["high", "low"], "left_semi")).drop("first_doc") for t in (self.table, table))
         became, ceased = after.join(before, ["high", "low"], "left_anti"), before.join(after, ["high", "low"], "left_anti")
         return LineIndex(rows, table, stored(adjust_filters(self.filters, became, ceased, self.shards)), self.shards)
 
     def add(self, docs: DataFrame) -> LineIndex:
+        """Take documents in: their postings are written beside the others and their counts added to the table.
+
+        An empty table changes nothing. A document that is there already gets further lines; a null id is one
+        document. Columns other than doc_id and text are ignored.
+        """
         new = stored(postings(docs))
-        return self._changed(stored(self.rows.unionByName(new)), new)
+        delta = stored(references(new))
+        table = self.table.unionByName(delta).groupBy("high", "low").agg(
+            F.sum("n").alias("n"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc")
+        )
+        return self._changed(self.rows.unionByName(new), stored(table), delta.select("high", "low"))
 
     def remove(self, doc_ids: DataFrame) -> LineIndex:
-        """Take documents (column doc_id) out again."""
-        ids = doc_ids.select(_doc_id(doc_ids)).distinct()
-        gone = stored(self.rows.join(ids, "doc_id", "left_semi").select(*self.rows.columns))
-        return self._changed(stored(self.rows.join(ids, "doc_id", "left_anti").select(*self.rows.columns)), gone)
+        """Take documents (column doc_id) out again; ids that are not there, or named twice, change nothing more.
+
+        Counts go down by the postings that leave. Only keys whose smallest or largest document leaves are
+        counted anew. Older postings are not rewritten (``compacted`` does that), they are passed over.
+        """
+        ids = stored(doc_ids.select(_doc_id(doc_ids)).distinct())
+        gone = stored(references(self.rows.join(ids, "doc_id", "left_semi")).withColumnsRenamed(
+            {"n": "gone_n", "first_doc": "gone_first", "last_doc": "gone_last"}
+        ))
+        rows = self.rows.join(ids, "doc_id", "left_anti").select(*self.rows.columns)
+        met = stored(self.table.join(gone, ["high", "low"]).where("n > gone_n").withColumn(
+            "anew", F.expr("first_doc = gone_first OR last_doc = gone_last")
+        ))
+        anew = references(rows.join(met.where("anew").select("high", "low"), ["high", "low"], "left_semi"))
+        less = met.where("NOT anew").withColumn("n", F.col("n") - F.col("gone_n")).select(*self.table.columns)
+        touched = gone.select("high", "low")
+        others = self.table.join(touched, ["high", "low"], "left_anti")
+        return self._changed(rows, stored(others.unionByName(less).unionByName(anew)), touched)
+
+    def compacted(self) -> LineIndex:
+        """The same index with its postings in one table, after many additions and removals."""
+        return LineIndex(stored(self.rows), self.table, self.filters, self.shards)
+
+    def save(self, folder: str) -> None:
+        self.rows.write.mode("overwrite").parquet(f"{folder}/rows")
+        self.table.write.mode("overwrite").parquet(f"{folder}/table")
+        self.filters.withColumn("shards", F.lit(self.shards)).write.mode("overwrite").parquet(f"{folder}/filters")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> LineIndex:
+        """An index that ``save`` wrote, in whatever session."""
+        rows, table, filters = (spark.read.parquet(f"{folder}/{part}") for part in ("rows", "table", "filters"))
+        first = filters.first()
+        return cls(rows, table, filters.drop("shards"), first["shards"] if first else 1)
 
     def suspects(self, rows: DataFrame) -> DataFrame:
-        """Postings whose key may be repeated, as the filters have it: none that is repeated is missing."""
+        """Postings whose key may be repeated, as the filters have it: none that is repeated is missing.
+
+        Filters of up to ``FILTER_BYTES`` in all are sent to the postings; larger sets meet them shard by shard.
+        """
         if self.shards * self.filters_bytes > FILTER_BYTES:
-            return rows
+            return self._suspects_by_shard(rows)
         sent = rows.sparkSession.sparkContext.broadcast(
             {r["shard"]: (bytes(r["slots"]), [tuple(w) for w in r["waiting"]]) for r in self.filters.collect()}
         )
@@ -179,6 +221,26 @@ class LineIndex:
 
         return rows.mapInArrow(probe, POSTING)
 
+    def _suspects_by_shard(self, rows: DataFrame) -> DataFrame:
+        """A shard's postings are dealt by document over as many tasks as they need, each with a copy of its filter."""
+        pieces = stored(self.table.groupBy(_shard(self.shards)).agg(
+            F.ceil(F.sum("n") / F.lit(PIECE)).cast("int").alias("pieces")
+        ))
+        dealt = rows.withColumn("shard", _shard(self.shards)).join(broadcast_if_small(pieces), "shard")
+        dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("doc_id"), "pieces").cast("int"))
+        copies = self.filters.join(pieces, "shard").withColumn("piece", F.explode(F.expr("sequence(0, pieces - 1)")))
+
+        def probe(own: pa.Table, asked: pa.Table) -> pa.Table:
+            asked = asked.select(["high", "low", "doc_id"])
+            if not own.num_rows or not asked.num_rows:
+                return asked.slice(0, 0)
+            f = _load(own.to_pylist()[0])
+            return asked.filter(pa.array(f.contains(asked["high"].to_numpy(), asked["low"].to_numpy())))
+
+        return copies.drop("pieces").groupBy("shard", "piece").cogroup(
+            dealt.drop("pieces").groupBy("shard", "piece")
+        ).applyInArrow(probe, POSTING)
+
     filters_bytes = cuckoo.BUCKETS * cuckoo.SLOTS * 2
 
     def drops(self) -> DataFrame:

@@ -127,15 +127,41 @@ def test_line_index_is_reversible(spark, docs):
     assert none_left == sum(np.count_nonzero(np.frombuffer(r.slots, np.uint16)) for r in alone.filters.collect())
 
 
-def test_postings_without_filters_give_the_same(docs):
-    index = line_dedup.LineIndex.of(docs)
-    kept = index.suspects(index.rows)
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(line_dedup, "FILTER_BYTES", 0)
-        assert index.suspects(index.rows) is index.rows
-        plain = {r.doc_id: set(map(tuple, r["keys"])) for r in index.drops().collect()}
-    assert plain == {r.doc_id: set(map(tuple, r["keys"])) for r in index.drops().collect()}
-    assert kept.count() < index.rows.count()
+def test_filters_met_by_shard_pass_the_same_postings(spark, docs, no_docs, monkeypatch):
+    """Sent or met shard by shard in small pieces: the same postings pass, a line in every document included."""
+    hot = docs.select("doc_id", F.concat_ws(
+        "\n", F.lit("A line that all documents share"), F.format_string("Line number %d", F.pmod("doc_id", F.lit(20))), "text").alias("text"))
+    monkeypatch.setattr(cuckoo, "KEYS_PER_SHARD", 7)
+    index = line_dedup.LineIndex.of(hot)
+    assert index.shards > 1
+    sent = sorted(map(tuple, index.suspects(index.rows).collect()))
+    drops = lambda x: {r.doc_id: set(map(tuple, r["keys"])) for r in x.drops().collect()}
+    before = drops(index)
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", 0)
+    monkeypatch.setattr(line_dedup, "PIECE", 20)
+    assert sorted(map(tuple, index.suspects(index.rows).collect())) == sent
+    assert drops(index) == before and len(before) == hot.select("doc_id").distinct().count() - 1 and len(sent) < index.rows.count()
+    assert line_dedup.dedup_lines(no_docs).collect() == []
+
+
+def test_line_index_counts_by_differences(spark, docs, no_docs, tmp_path):
+    """After additions, removals, repeats of both, saving and loading, all is as in an index made anew."""
+    state = lambda x: (sorted(map(tuple, x.table.collect())), sorted((r.doc_id, sorted(map(tuple, r["keys"]))) for r in x.drops().collect()))
+    parts = [docs.where(f"pmod(coalesce(doc_id, 0), 3) = {i}") for i in range(3)]
+    index = line_dedup.LineIndex.of(parts[0]).add(parts[1]).add(no_docs).add(parts[2])
+    assert state(index) == state(line_dedup.LineIndex.of(docs))
+    # The smallest documents leave, so that their keys are counted anew; unknown ids and repeats change nothing.
+    out = parts[0].select("doc_id").unionAll(parts[0].select("doc_id")).unionAll(spark.range(10**9, 10**9 + 2))
+    left = index.remove(out)
+    left.save(str(tmp_path / "index"))
+    again = line_dedup.LineIndex.load(spark, str(tmp_path / "index"))
+    want = state(line_dedup.LineIndex.of(parts[1].unionAll(parts[2])))
+    assert state(left) == state(left.compacted()) == state(again) == want
+    assert state(again.remove(out)) == want
+    assert state(again.add(parts[0])) == state(line_dedup.LineIndex.of(docs))
+    empty = line_dedup.LineIndex.of(no_docs)
+    empty.save(str(tmp_path / "empty"))
+    assert state(line_dedup.LineIndex.load(spark, str(tmp_path / "empty")).add(docs)) == state(line_dedup.LineIndex.of(docs))
 
 
 def test_cuckoo_filter_full_and_emptied():
