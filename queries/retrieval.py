@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.common import registry, sql_words, table
-from tabloom.retrieval import bm25, fusion, knowledge, vectors
+from tabloom.retrieval import bm25, fusion, knowledge, vector_index, vectors
 from tabloom.retrieval.corpus import build_corpus
 
 QUERIES, SQL, register = registry()
@@ -66,22 +66,32 @@ def bm25_terms(spark, sf):
     return bm25.build_index(_corpus(spark, sf)).terms.drop("folder").withColumn("idf", F.round("idf", 8))
 
 
-@register(
-    "vector_search",
-    """
+_VECTORS_SQL = """
     SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (
         SELECT q.vec_id AS query_id, d.vec_id AS doc_id,
                list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS score,
                row_number() OVER (PARTITION BY q.vec_id ORDER BY
                    round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 10) DESC, d.vec_id) AS rank
         FROM embeddings q, embeddings d) WHERE rank <= 5 AND score > 0
-    """,
-)
+"""
+
+
+def _vectors(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    return [rows.select(F.col("vec_id").alias(name), F.col("embedding").alias("vector")) for name in ("query_id", "doc_id")]
+
+
+@register("vector_search", _VECTORS_SQL)
 def vector_search(spark, sf):
-    table_ = table(spark, sf, "embeddings")
-    queries = table_.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    documents = table_.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    return vectors.search(queries, documents, 5).withColumn("score", F.round("score", 6))
+    return vectors.search(*_vectors(spark, sf), 5).withColumn("score", F.round("score", 6))
+
+
+@register("vector_search_clusters", _VECTORS_SQL)
+def vector_search_clusters(spark, sf):
+    """The same through the clustered index, in clusters of about 100 vectors."""
+    queries, documents = _vectors(spark, sf)
+    index = vector_index.build(documents, per_cluster=100)
+    return vector_index.search(queries, index, 5).withColumn("score", F.round("score", 6))
 
 
 _HASHED_SQL = """

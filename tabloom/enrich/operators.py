@@ -148,17 +148,26 @@ def retrieve_context(
     top_k: int = 5,
     external: DataFrame | None = None,
     embedder: vectors.Embedder | None = vectors.hashed_embedder,
+    vector_store: str | None = None,
 ) -> DataFrame:
-    """(query_id, query, context): fused keyword, vector and external hits per row."""
+    """(query_id, query, context): fused keyword, vector and external hits per row.
+
+    With ``vector_store``, a shared folder, texts are embedded once over any number of calls.
+    """
     queries = df.select(col(row_id).alias("query_id"), template(df, query_template).alias("query"))
     lists = []
     if knowledge is not None:
         corpus = build_corpus(knowledge, knowledge_id, knowledge_columns)
         lists.append(as_hits(bm25.search(queries, corpus, top_k), corpus, "bm25"))
         if embedder is not None:
+            def with_vector(rows: DataFrame, text: str) -> DataFrame:
+                if vector_store is not None:
+                    return vectors.embedded(rows, text, vector_store, embedder)
+                return rows.withColumn("vector", vectors.embed(F.col(text), embedder))
+
             near = vectors.search(
-                queries.select("query_id", vectors.embed(F.col("query"), embedder).alias("vector")),
-                corpus.select("doc_id", vectors.embed(F.col("text"), embedder).alias("vector")),
+                with_vector(queries.select("query_id", "query"), "query").select("query_id", "vector"),
+                with_vector(corpus.select("doc_id", "text"), "text").select("doc_id", "vector"),
                 top_k,
             )
             lists.append(as_hits(near, corpus, "vector"))

@@ -97,7 +97,7 @@ def _search(inputs: Ports, config: dict) -> Ports:
     names = (
         "row_id", "query_template", "predict", "responses", "output_column", "confidence_column",
         "confidence_threshold", "system_prompt", "knowledge_id", "knowledge_columns", "top_k",
-        "external", "embedder", "store",
+        "external", "embedder", "store", "vector_store",
     )
     known = {k: v for k, v in config.items() if k in names}
     return {"output": enrichment.answer(inputs["input"], knowledge=inputs.get("knowledge"), **known)}

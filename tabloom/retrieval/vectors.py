@@ -16,6 +16,8 @@ from tabloom.session import small_rows
 
 DIMENSIONS = 384
 QUERY_BLOCK, DOC_BLOCK = 1024, 8192
+#: Documents from which many queries are worth an index.
+INDEX_FROM = 50_000
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -46,6 +48,31 @@ def embed(text: Column, embedder: Embedder = hashed_embedder) -> Column:
     return run(text)
 
 
+def embedded(
+    texts: DataFrame, text_column: str, store: str, embedder: Embedder = hashed_embedder
+) -> DataFrame:
+    """The table with a column ``vector``; vectors live in a folder keyed by the digest of the text.
+
+    Equal texts are embedded once, and later calls embed only texts that the folder does not hold. The folder is
+    shared by all executors and belongs to one embedder; new vectors are committed before this returns. A null text
+    counts as empty.
+    """
+    spark = texts.sparkSession
+    text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
+    keyed = texts.withColumn("_digest", F.sha2(text, 256))
+    todo = keyed.select("_digest", text.alias("_text")).dropDuplicates(["_digest"])
+    schema = "digest string, vector array<double>"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        known = spark.read.schema(schema).parquet(store).select(F.col("digest").alias("_digest"))
+        todo = todo.join(known, "_digest", "left_anti")
+    todo.select(F.col("_digest").alias("digest"), embed(F.col("_text"), embedder).alias("vector")).write.mode("append").parquet(store)
+    # Two jobs that ran at once may both have written a text.
+    known = spark.read.schema(schema).parquet(store).dropDuplicates(["digest"])
+    return keyed.join(known.withColumnRenamed("digest", "_digest"), "_digest", "left").select(
+        *[F.col(f"`{c}`") for c in texts.columns], "vector")
+
+
 def store_vectors(vectors: DataFrame, path: str) -> DataFrame:
     """Write vectors once and read them back, so later searches skip the embedder."""
     vectors.write.mode("overwrite").parquet(path)
@@ -130,6 +157,14 @@ def local_candidates(queries: DataFrame, documents: DataFrame, top_k: int) -> Da
     )
 
 
-def search(queries: DataFrame, documents: DataFrame, top_k: int = 10) -> DataFrame:
-    """Exact top documents per query over unit vectors: (query_id, doc_id, score, rank)."""
+def search(queries: DataFrame, documents: DataFrame, top_k: int = 10, index_from: int = INDEX_FROM) -> DataFrame:
+    """Exact top documents per query by dot product: (query_id, doc_id, score, rank).
+
+    Many queries over ``index_from`` documents or more go through a clustered index, which skips what cannot be near.
+    """
+    from tabloom.retrieval import vector_index
+
+    if small_rows(queries.filter("vector is not null").select("query_id", "vector"), max_rows=QUERY_BLOCK) is None:
+        if documents.filter("vector is not null").count() >= index_from:
+            return vector_index.search(queries, vector_index.build(documents), top_k)
     return keep_top(local_candidates(queries, documents, top_k), top_k)

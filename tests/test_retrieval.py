@@ -4,7 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tabloom.retrieval import bm25, fusion, knowledge, vectors
+from tabloom.retrieval import bm25, fusion, knowledge, vector_index, vectors
 from tabloom.retrieval.corpus import build_corpus
 
 
@@ -127,6 +127,55 @@ def test_vector_paths_agree(spark, monkeypatch):
     assert abs(one - 1) < 1e-9
 
 
+def test_clustered_vectors_give_the_exact_best(spark, monkeypatch):
+    """Clusters, even vectors, ties, a zero and null vectors, long and short ones: as by brute force, with far clusters skipped."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 12)) * 5
+    clustered = centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 12)) * 0.05
+    even = rng.normal(size=(1500, 12)) * rng.uniform(0.1, 3, (1500, 1))
+    monkeypatch.setattr(vector_index, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(vector_index, "QUERY_ROWS", 40)
+    for data, skips in ((clustered, True), (even, False)):
+        data[7], data[11] = data[3], 0.0
+        rows = [(i, v.tolist()) for i, v in enumerate(data)] + [(-1, None)]
+        docs = spark.createDataFrame(rows, "doc_id long, vector array<double>")
+        asked = docs.filter("doc_id % 10 = 0 or doc_id < 12").select(F.col("doc_id").alias("query_id"), "vector")
+        index = vector_index.build(docs, per_cluster=50)
+        assert index.counts.sum() == len(data) and index.documents.count() == len(data)
+        got = {(r.query_id, r.doc_id, r["rank"]) for r in vector_index.search(asked, index, 6).collect()}
+        want = set()
+        for (q,) in asked.filter("vector is not null").select("query_id").collect():
+            scores = (data @ data[q]).round(10)
+            order = sorted(range(len(data)), key=lambda i: (-scores[i], i))[:6]
+            want |= {(q, i, k + 1) for k, i in enumerate(order) if scores[i] > 0}
+        assert got == want
+        _, near, far = vector_index.candidates(asked, index, 6)
+        seen = sum(index.counts[list(r.clusters)].sum() for part in (near, far) for r in part.collect())
+        assert not skips or seen < 0.2 * len(data) * near.count()
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 100)
+    through = vectors.search(asked, docs, 6, index_from=1000)
+    assert {(r.query_id, r.doc_id, r["rank"]) for r in through.collect()} == want
+    none = vector_index.build(docs.filter("doc_id < 0"))
+    assert vector_index.search(asked, none, 6).isEmpty()
+
+
+def test_texts_are_embedded_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting(texts):
+        calls.add(len(texts))
+        return np.array([[float(len(t)), 1.0] for t in texts]).reshape(-1, 2)
+
+    df = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, None), (4, "")], "doc_id int, text string")
+    store = str(tmp_path / "vectors")
+    for rows, total in ((df, 2), (df, 2), (df.unionAll(spark.createDataFrame([(5, "abc")], df.schema)), 3)):
+        out = vectors.embedded(rows, "text", store, counting)
+        got = {r.doc_id: r.vector for r in out.collect()}
+        out.count(), out.collect()
+        assert out.columns == ["doc_id", "text", "vector"] and calls.value == total
+    assert got == {1: [2.0, 1.0], 2: [2.0, 1.0], 3: [0.0, 1.0], 4: [0.0, 1.0], 5: [3.0, 1.0]}
+
+
 def test_embedding(spark, tmp_path):
     df = spark.createDataFrame([("a b a",), ("",), (None,)], "t string")
     out = [np.array(r[0]) for r in df.select(vectors.embed(F.col("t"))).collect()]
