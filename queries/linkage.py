@@ -432,6 +432,99 @@ def cross_match_untitled(spark, sf):
     return _cross(spark, sf, "Name")
 
 
+# ── All layers in one run: known keys, and the fallback search for scans without a key or with an unknown one ──
+
+_LAYERS = f"""
+    WITH RECURSIVE {_FALLBACK_BM25}, {_HASHED_SQL.replace("{k}", "5")},
+    r AS (SELECT item_id AS right_id, CASE item_id % 3 WHEN 0 THEN (1000 + item_id - item_id % 9) || ' a 1900.tif'
+          WHEN 1 THEN 'page ' || item_id || '.tif' ELSE item_id % 7 || ' z 1800.tif' END AS filename FROM benchmark),
+    keyed AS (SELECT right_id, doc_id AS left_id, 0.95::DOUBLE AS score, 'Call Number match: ' || replace(filename, '.tif', '') AS reason
+              FROM r JOIN documents ON right_id % 3 = 0 AND doc_id = right_id - right_id % 9),
+    share AS (SELECT query_id, doc_id, score / nullif(greatest(max(score) OVER (PARTITION BY query_id), 0), 0) AS share FROM bm),
+    total AS (SELECT query_id, doc_id, round(0.7 * coalesce(near.score, 0) + 0.3 * coalesce(share, 0), 10) AS score
+              FROM near FULL JOIN share USING (query_id, doc_id)),
+    searched AS (SELECT query_id AS right_id, doc_id AS left_id, score, 'Fallback' AS reason FROM total
+                 WHERE score > 0 AND query_id NOT IN (SELECT right_id FROM keyed)
+                 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5),
+    listed AS (SELECT * FROM keyed UNION ALL SELECT * FROM searched),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY score DESC, left_id) AS rk FROM listed),
+    decided AS (SELECT t.right_id, t.left_id, t.score, t.reason, CASE WHEN t.score < 0.7::DOUBLE THEN 'unmatched_right'
+                WHEN t.score - coalesce(s.score, 0) >= 0.15::DOUBLE THEN 'matched' ELSE 'ambiguous' END AS status
+                FROM ranked t LEFT JOIN ranked s ON s.right_id = t.right_id AND s.rk = 2 WHERE t.rk = 1),
+    {_walk("listed")}
+    merged AS (SELECT left_id, count(*) AS n, max(score) AS best, arg_min(right_id, struct_pack(f := filename, r := right_id)) AS page,
+               arg_min(reason, struct_pack(s := -score, r := right_id)) AS reason FROM decided JOIN r USING (right_id) WHERE status = 'matched' GROUP BY 1),
+    matched AS (SELECT left_id, page AS right_id, best AS score, reason || CASE WHEN n > 1 THEN ' (' || n || ' pages merged)' ELSE '' END AS reason FROM merged
+                UNION ALL SELECT left_id, right_id, score, reason FROM promoted),
+    review AS (SELECT left_id, right_id, score, reason, row_number() OVER (PARTITION BY right_id ORDER BY score DESC, left_id) AS rank FROM waiting),
+    rows AS (
+        SELECT 'matched' AS port, left_id, CAST(right_id AS VARCHAR) AS item_id, score, reason, NULL::BIGINT AS rank, NULL::VARCHAR AS grp FROM matched
+        UNION ALL SELECT 'ambiguous', left_id, CASE WHEN rank = 1 THEN CAST(right_id AS VARCHAR) ELSE '' END, score, reason, rank, filename FROM review JOIN r USING (right_id)
+        UNION ALL SELECT 'unmatched_left', doc_id, NULL, NULL, NULL, NULL, NULL FROM documents WHERE doc_id NOT IN (SELECT left_id FROM matched UNION ALL SELECT left_id FROM waiting)
+        UNION ALL SELECT 'unmatched_right', NULL, CAST(right_id AS VARCHAR), NULL, NULL, NULL, NULL FROM r
+            WHERE right_id NOT IN (SELECT right_id FROM settled UNION ALL SELECT right_id FROM promoted UNION ALL SELECT right_id FROM waiting))
+    SELECT port, left_id AS doc_id, item_id, round(score, 6) AS confidence, reason, rank, grp AS review_group FROM rows
+"""
+
+
+@register("cross_match_layers", _LAYERS)
+def cross_match_layers(spark, sf):
+    """Passages and documents through keys, the fallback search by words and vectors, second look and review."""
+    left = table(spark, sf, "documents").select(
+        "doc_id", "text", F.concat(1000 + F.col("doc_id"), F.lit(" a 1900")).alias("Call Number"))
+    item = F.col("item_id")
+    name = F.when(item % 3 == 0, F.concat(1000 + item - item % 9, F.lit(" a 1900"))).when(
+        item % 3 == 1, F.concat(F.lit("page "), item)).otherwise(F.concat(item % 7, F.lit(" z 1800")))
+    right = table(spark, sf, "benchmark").select("item_id", "text", F.concat(name, F.lit(".tif")).alias("filename"))
+    slim = _slim(ports.cross_match(left, right, "doc_id", "item_id", "text", "text"), "doc_id", "item_id")
+    # Cosine and share in the reason are rounded texts; the score says the same.
+    return slim.withColumn("reason", F.regexp_replace("reason", r" \(sem=[^)]*\)", ""))
+
+
+@register(
+    "link_key_depth",
+    """
+    WITH c AS (SELECT c_custkey AS id, c_custkey % 4 AS kind, 100 + c_nationkey AS area, 1900 + c_custkey % 3 AS year FROM customer),
+    l AS (SELECT id, id * 4 AS left_id, 0.75::DOUBLE AS score, 1 AS shared FROM c
+          UNION ALL SELECT id, id * 4 + 1, CASE WHEN id % 8 = 0 THEN 0.65::DOUBLE ELSE 0.8::DOUBLE END,
+              CASE kind WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 0 END FROM c
+          UNION ALL SELECT id, id * 4 + 2, 0.7::DOUBLE, CASE WHEN id % 5 = 0 THEN 3 ELSE 0 END FROM c WHERE id % 2 = 0),
+    d AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, score DESC, left_id) AS deep,
+          lead(shared) OVER (PARTITION BY id ORDER BY shared DESC, score DESC, left_id) AS below FROM l),
+    sole AS (SELECT id, left_id, score, below FROM d WHERE deep = 1 AND shared > below)
+    SELECT 'promoted' AS port, id AS right_id, left_id, score,
+           'r (CN-' || CASE below WHEN 0 THEN 'area' WHEN 1 THEN 'subject' WHEN 2 THEN 'date' ELSE 'part' || below END || ' unique)' AS reason
+    FROM sole WHERE score >= 0.7
+    UNION ALL SELECT 'review', id, left_id, score, 'r' FROM sole WHERE score < 0.7
+    UNION ALL SELECT 'review', id, left_id, score, 'r' FROM l WHERE id NOT IN (SELECT id FROM sole)
+    """,
+)
+def link_key_depth(spark, sf):
+    """Ambiguous scans whose candidates are close in score: the only one that shares the most leading key parts is taken."""
+    customer = table(spark, sf, "customer")
+    own, area = F.col("c_custkey"), 100 + F.col("c_nationkey")
+    year = (1900 + own % 3).cast("string")
+    right = customer.select(own.alias("scan"), F.concat(area, F.lit(" a "), year, F.lit(".tif")).alias("filename"))
+    other = F.lit("99 q 1700")
+    second = F.when(own % 4 == 0, F.concat(area, F.lit(" a 1950"))).when(own % 4 == 1, F.concat(area, F.lit(" c 1950"))).when(
+        own % 4 == 2, F.concat(area, F.lit(" a "), year)).otherwise(other)
+    third = F.when(own % 5 == 0, F.concat(area, F.lit(" a "), year)).otherwise(other)
+    rows = customer.select(own.alias("scan"), F.explode(F.array(
+        F.struct((own * 4).alias("id"), F.concat(area, F.lit(" b 1950")).alias("key"), F.lit(0.75).alias("score")),
+        F.struct((own * 4 + 1).alias("id"), second.alias("key"), F.when(own % 8 == 0, 0.65).otherwise(0.8).alias("score")),
+        F.struct((own * 4 + 2).alias("id"), third.alias("key"), F.lit(0.7).alias("score")))).alias("l"))
+    left = rows.select(F.col("l.id").alias("id"), F.col("l.key").alias("Call Number"))
+    found = rows.select(
+        F.col("scan").alias("right_id"), F.col("l.id").alias("left_id"), "l.score", F.lit("r").alias("reason"),
+        F.greatest(F.lit(0.75), F.when(F.col("scan") % 8 != 0, 0.8)).alias("top"))
+    listed = ports.with_key_depth(found, left, right, "id", "scan")
+    # The third row of every other scan was matched before.
+    gone = rows.filter("scan % 2 = 1 AND l.id % 4 = 2").select(F.col("l.id").alias("left_id"))
+    promoted, remaining = ports.reevaluate(listed, gone)
+    both = promoted.withColumn("port", F.lit("promoted")).unionByName(remaining.withColumn("port", F.lit("review")))
+    return both.select("port", "right_id", "left_id", "score", "reason")
+
+
 @register(
     "link_judged",
     f"""
