@@ -21,6 +21,7 @@ from tabloom.operators.routing import has_path, missing_fields
 from tabloom.retrieval import bm25, vectors
 from tabloom.retrieval.corpus import build_corpus
 from tabloom.retrieval.fusion import as_hits, context_blocks, fuse
+from tabloom.sources.images import read_bytes
 
 
 def _responses(requests: DataFrame, predict, responses, row_id: str, **options) -> DataFrame:
@@ -293,6 +294,10 @@ def fill_missing(
     return joined.withColumns(updates).drop("_json", "_parsed", "_fields", "_missing", *helpers)
 
 
+def _with_file(predict: Callable[[dict], object]) -> Callable[[dict], object]:
+    return lambda request: predict({**request, "content": read_bytes(request["_path"])})
+
+
 def enrich_images(
     df: DataFrame,
     row_id: str,
@@ -304,12 +309,14 @@ def enrich_images(
     files: DataFrame | None = None,
     system_prompt: str = "",
     max_tokens: int = 6000,
+    read_files: bool = False,
     **options,
 ) -> DataFrame:
     """Fields read from images: rows with a usable path are sent with the file content.
 
-    ``files`` is a ``binaryFile`` table (path, content). Rows without an image
-    keep their cells.
+    With ``read_files`` the file, or the entry of an archive, is read by the task that asks, just before the call, so
+    that no image is shuffled; a stored answer then belongs to the path. Else ``files`` is a ``binaryFile`` table
+    (path, content). Rows without an image keep their cells.
     """
     require(df, [image_column])
     usable = df.filter(has_path(df, image_column))
@@ -323,6 +330,8 @@ def enrich_images(
         prompts = prompts.join(
             files.select(plain.alias("_file"), "content"), F.col("_path") == F.col("_file"), "left"
         ).drop("_file")
+    elif read_files and predict is not None:
+        predict = _with_file(predict)
     answers = _responses(prompts, predict, responses, row_id, **options)
     parsed = parse_responses(answers, "_response")
     filled = map_fields(parsed, {k: f"_new_{i}" for i, k in enumerate(json_field_mapping)})

@@ -138,7 +138,7 @@ OPERATORS: dict[str, Operator] = {
     ),
     "ai_vision": _one(
         enrichment.enrich_images, "row_id", "image_column", "user_prompt_template",
-        "json_field_mapping", "predict", "responses", "files", "system_prompt", "max_tokens", "store", "per_minute",
+        "json_field_mapping", "predict", "responses", "files", "read_files", "system_prompt", "max_tokens", "store", "per_minute",
     ),
     "ai_cross_match": _cross,
     "ai_map_analysis": _one(

@@ -179,3 +179,22 @@ def test_vision_reads_files(spark, tmp_path):
 
     out = operators.enrich_images(df, "i", "p", "see {i}", {"cap": "cap"}, predict, files=files)
     assert [r.cap for r in out.orderBy("i").collect()] == ["a.tif", "old", ""]
+
+
+def test_images_are_read_by_the_asking_task(spark, tmp_path):
+    """Files and archive entries reach the call as bytes without a column of bytes in the plan; a missing file is none."""
+    import zipfile
+
+    (tmp_path / "a.jpg").write_bytes(b"12")
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("in/b.jpg", b"123")
+    paths = [(1, f"{tmp_path}/a.jpg"), (2, f"{tmp_path}/z.zip!/in/b.jpg"), (3, f"{tmp_path}/none.jpg"), (4, "")]
+    df = spark.createDataFrame(paths, "i int, p string")
+
+    def predict(request):
+        return json.dumps({"n": str(len(request["content"] or b""))})
+
+    for store in (None, str(tmp_path / "answers")):
+        out = operators.enrich_images(df, "i", "p", "see", {"n": "n"}, predict, read_files=True, **({"store": store} if store else {}))
+        assert "content" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert {r.i: r.n for r in out.collect()} == {1: "2", 2: "3", 3: "0", 4: ""}

@@ -100,6 +100,29 @@ def test_image_folder(spark, tmp_path):
         images.read_folder(spark, str(tmp_path / "none"))
 
 
+def test_large_archive_is_listed_by_its_directory(spark, tmp_path):
+    """An archive with a gap of 6 GB before its directory: only the directory is read."""
+    path = tmp_path / "large.zip"
+    with open(path, "wb") as file:
+        with zipfile.ZipFile(file, "w") as z:
+            z.writestr("a.png", b"first")
+            file.seek(6 * 2**30)
+            z.start_dir = file.tell()
+            for i in range(12_000):
+                z.writestr(f"deep/b {i}.jpg", b"x")
+    assert path.stat().st_size > 6 * 2**30
+    got = images.read_archives(spark, str(tmp_path / "*.zip"))
+    assert got.count() == 12_001 and got.select("file_path").distinct().count() == 12_001
+    assert "ReadSchema: struct<path:string>" in got._jdf.queryExecution().executedPlan().toString()
+    paths = sorted(r.file_path for r in got.filter("filename in ('a.png', 'b 7.jpg')").collect())
+    assert [images.read_bytes(p) for p in paths] == [b"first", b"x"]
+    assert images.read_bytes(str(path) + "!/none") is None and images.read_bytes("/no/such/file") is None
+    assert images.read_bytes(None) is None
+    (tmp_path / "broken.zip").write_bytes(b"no archive")
+    with pytest.raises(Exception, match="zip"):
+        images.read_archives(spark, str(tmp_path / "broken.zip")).collect()
+
+
 def test_archives(spark, tmp_path):
     long_name = "x" * 170 + ".jpeg"
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
