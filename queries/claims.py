@@ -10,7 +10,7 @@ from queries.common import registry, table
 from tabloom.claims import fields as names
 from tabloom.claims import parse, record, rounds
 from tabloom.claims.analysis import map_analysis as analyse
-from tabloom.session import checkpointed
+from tabloom.session import checkpointed, grown
 
 QUERIES, SQL, register = registry()
 
@@ -184,13 +184,13 @@ def _rounds(spark, sf):
 
     def review(claims, number):
         if number == 0:
-            return first.join(claims.select("doc_id").distinct(), "doc_id", "left_semi")
+            return first.join(grown(claims.select("doc_id")), "doc_id", "left_semi")
         refused = (F.col("field") == "title") & ~F.col("value").startswith("New")
         return claims.select(
             "doc_id", "field", (~refused).alias("ok"), F.lit("again").alias("issue"), F.lit("x").alias("what_you_see"))
 
     def correct(feedback, number):
-        return fresh.join(feedback.select("doc_id"), "doc_id", "left_semi")
+        return fresh.join(grown(feedback.select("doc_id")), "doc_id", "left_semi")
 
     return rounds.correction_rounds(start, review, correct, 1)
 
@@ -344,7 +344,7 @@ def _rescued(spark, sf):
 )
 def rescue_claims(spark, sf):
     claims, saved, _, _ = _rescued(spark, sf)
-    return claims.join(saved, ["doc_id", "field"], "left_semi").select(
+    return claims.join(grown(saved), ["doc_id", "field"], "left_semi").select(
         "doc_id", "field", "value", F.col("evidence_bbox")[0].alias("x"), "evidence_text")
 
 

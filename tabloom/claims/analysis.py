@@ -20,7 +20,7 @@ from tabloom.claims.record import dublin_core, wide_records
 from tabloom.claims.rounds import apply_rereads, audit, correction_rounds, demote, prune_absent_names, rescue
 from tabloom.enrich.calls import infer, infer_stored
 from tabloom.enrich.responses import FAILED, member, parse_responses, variant_text
-from tabloom.session import checkpointed
+from tabloom.session import checkpointed, grown
 
 REQUEST = ["doc_id", "task", "round", "domain", "field", "name", "payload"]
 _PLACE = ["doc_id", "task", "round", "domain", "field", "name"]
@@ -45,7 +45,7 @@ class _Asker:
         if self.responses is not None:
             table = self.responses
             missing = {c: F.lit(0 if c == "round" else "") for c in _PLACE[2:] if c not in table.columns}
-            answers = rows.join(table.withColumns(missing).select(*_PLACE, "response"), _PLACE, "left")
+            answers = rows.join(grown(table.withColumns(missing).select(*_PLACE, "response")), _PLACE, "left")
             answers = answers.withColumns({"input_tokens": F.lit(0), "output_tokens": F.lit(0)})
         elif self.store:
             answers = infer_stored(rows, self.predict, self.store, REQUEST)
@@ -103,11 +103,11 @@ def map_analysis(
         entry = F.struct("field", "value", "evidence_bbox", "evidence_text", "evidence_kind")
         asked = route_claims(sent).groupBy("doc_id", "domain").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("payload"))
         answers = asker.ask("review", asked, number)
-        return parse_verdicts(answers.filter(F.col("status") != FAILED).select("doc_id", "domain", "json"), sent)
+        return parse_verdicts(checkpointed(answers.filter(F.col("status") != FAILED).select("doc_id", "domain", "json")), sent)
 
     def correct(feedback: DataFrame, number: int) -> DataFrame:
         answers = asker.ask("correct", feedback.select("doc_id", F.col("feedback").alias("payload")), number)
-        return flatten_claims(answers.filter(F.col("status") != FAILED).select("doc_id", "json"))
+        return flatten_claims(checkpointed(answers.filter(F.col("status") != FAILED).select("doc_id", "json")))
 
     seen = correction_rounds(claims, review, correct, max_correction_rounds)
     key = ["doc_id", "field"]
@@ -116,7 +116,7 @@ def map_analysis(
     reread = pruned = rescued = none
     if enable_reread:
         doubted = verdicts.filter(~F.col("ok") & F.col("field").isin(*REREAD_FIELDS)).select(*key)
-        asked = now.join(doubted, key, "left_semi").select(*key, F.to_json("evidence_bbox").alias("payload"))
+        asked = now.join(grown(doubted), key, "left_semi").select(*key, F.to_json("evidence_bbox").alias("payload"))
         answers = asker.ask("reread", asked).select(
             *key, _said("value").alias("value"), _yes("confident").alias("confident"), _said("verbatim_text").alias("verbatim_text")
         )
@@ -129,17 +129,17 @@ def map_analysis(
     now, demoted = map(checkpointed, demote(now, verdicts, checked))
     if enable_rescue:
         notes = verdicts.filter(~F.col("ok") & (strip(F.col("what_you_see")) != ""))
-        asked = notes.join(demoted, key, "left_semi").select(*key, F.col("what_you_see").alias("payload"))
+        asked = notes.join(grown(demoted), key, "left_semi").select(*key, F.col("what_you_see").alias("payload"))
         answers = asker.ask("rescue", asked).select(
             *key, _said("value").alias("value"), _yes("confident").alias("confident"), _said("reasoning").alias("reasoning")
         )
         now, rescued = map(checkpointed, rescue(now, demoted, verdicts, checked, answers))
     result = wide_records(now, known, failed=failed)
     marks = audit(now, seen.flagged, demoted, rescued, reread, pruned)
-    state = pages.select("doc_id").join(failed.withColumn("_failed", F.lit(True)), "doc_id", "left").select(
+    state = pages.select("doc_id").join(grown(failed.withColumn("_failed", F.lit(True))), "doc_id", "left").select(
         "doc_id", F.when(F.col("_failed"), "failed").otherwise("done").alias("map_state")
     )
-    result = result.join(marks, "doc_id", "left").join(asker.tokens(), "doc_id", "left").join(state, "doc_id", "left")
+    result = result.join(grown(marks), "doc_id", "left").join(grown(asker.tokens()), "doc_id", "left").join(grown(state), "doc_id", "left")
     result = result.withColumns(
         {
             **{c: F.coalesce(c, F.lit("")) for c in REVIEW_COLUMNS},

@@ -9,6 +9,7 @@ from tabloom._columns import strip
 from tabloom.claims.fields import GEO_FIELDS, OCR_FIELDS, RECORD_FIELDS, TYPE_SPECIFIC
 from tabloom.enrich.responses import get
 from tabloom.functions.evidence import sanitize_box
+from tabloom.session import dealt, grown
 
 _EMPTY_JSON = ("null", "[]", '""', "0", "0.0", "false", "{}")
 
@@ -56,8 +57,9 @@ def flatten_claims(parsed: DataFrame) -> DataFrame:
     the top level. Unknown fields and entries without value or box are dropped.
     """
     known = list(RECORD_FIELDS)
+    # A task takes a bounded number of responses, whose claims it groups without a further shuffle.
     # Every stage names what the next one uses more than once.
-    top = parsed.select("doc_id", F.try_parse_json("json").alias("_top"))
+    top = dealt(parsed.select("doc_id", "json"), "doc_id").select("doc_id", F.try_parse_json("json").alias("_top"))
     parts = top.select(
         "doc_id", "_top",
         _members(get(F.col("_top"), "fields")).alias("_fields"),
@@ -122,7 +124,7 @@ def parse_verdicts(parsed: DataFrame, sent: DataFrame) -> DataFrame:
     response without JSON gives no verdict.
     """
     keys = ["doc_id", "domain"] if "domain" in parsed.columns else ["doc_id"]
-    top = parsed.select(*keys, F.try_parse_json("json").alias("_top"))
+    top = dealt(parsed.select(*keys, "json"), "doc_id").select(*keys, F.try_parse_json("json").alias("_top"))
     inner = top.select(*keys, F.coalesce(get(F.col("_top"), "verdicts"), F.col("_top")).alias("_inner"))
     rows = inner.select(*keys, F.explode(_members(F.col("_inner"))).alias("field", "entry"))
     taken = rows.filter(_members(F.col("entry")).isNotNull()).select(
@@ -133,8 +135,8 @@ def parse_verdicts(parsed: DataFrame, sent: DataFrame) -> DataFrame:
         _text(F.col("_issue"), size=400).alias("issue"),
         _text(F.col("_what_you_see"), size=400).alias("what_you_see"),
     )
-    sent_keys = route_claims(sent).select(*keys, "field").distinct()
-    return verdicts.join(sent_keys, [*keys, "field"], "left_semi").select(
+    sent_keys = route_claims(sent).select(*keys, "field")
+    return verdicts.join(grown(sent_keys), [*keys, "field"], "left_semi").select(
         "doc_id", "field", "ok", "issue", "what_you_see"
     )
 
@@ -144,7 +146,7 @@ def correction_feedback(claims: DataFrame, verdicts: DataFrame) -> DataFrame:
 
     A document has at most as many entries as it has fields.
     """
-    flagged = verdicts.filter(~F.col("ok")).join(claims, ["doc_id", "field"], "left")
+    flagged = verdicts.filter(~F.col("ok")).join(grown(claims), ["doc_id", "field"], "left")
     entry = F.struct(
         "field", F.col("value").alias("your_value"),
         F.col("evidence_bbox").alias("your_evidence_bbox"),

@@ -15,6 +15,7 @@ from tabloom.functions.evidence import dcmi_box, iso_language, scale_source
 from tabloom.functions.text import clean_cell, join_nonempty
 from tabloom.operators.columns import reorder_type_specific
 from tabloom.operators.grouping import MOST_COLUMNS, bounded_values
+from tabloom.session import grown
 
 
 def _coerced(field: str, value: Column) -> Column:
@@ -44,7 +45,7 @@ def wide_records(
     a map from ``ts_`` name to text (empty where there is none), so that the
     schema does not depend on the data and a row holds only its own fields.
     """
-    usable = claims if failed is None else claims.join(failed.select("doc_id"), "doc_id", "left_anti")
+    usable = claims if failed is None else claims.join(grown(failed.select("doc_id")), "doc_id", "left_anti")
     specific = [] if extra_map else type_specific_keys(usable) if keys is None else keys
 
     def value_of(field: str) -> Column:
@@ -61,13 +62,13 @@ def wide_records(
         .alias("map_not_applicable"),
         *extra,
     )
-    joined = documents.join(wide, "doc_id", "left")
+    joined = documents.join(grown(wide), "doc_id", "left")
     if extra_map:
         free = long_extra(usable).groupBy("doc_id", "column").agg(F.coalesce(F.max("value"), F.lit("")).alias("value"))
         entries = free.groupBy("doc_id").agg(
             F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", "value")))).alias("map_extra"))
         none = F.create_map().cast("map<string,string>")
-        joined = joined.join(entries, "doc_id", "left").withColumn("map_extra", F.coalesce("map_extra", none))
+        joined = joined.join(grown(entries), "doc_id", "left").withColumn("map_extra", F.coalesce("map_extra", none))
     texts = [
         f.name for f in wide.schema.fields
         if isinstance(f.dataType, T.StringType) and f.name != "doc_id"

@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 from tabloom._columns import strip
 from tabloom.claims.fields import PRESENCE_FIELDS, REREAD_FIELDS, TYPE_SPECIFIC
 from tabloom.claims.parse import checkable, correction_feedback
-from tabloom.session import checkpointed
+from tabloom.session import checkpointed, dealt, grown
 
 KEY = ["doc_id", "field"]
 CLAIM = ["value", "evidence_bbox", "evidence_text", "evidence_kind"]
+#: Claims that one task joins.
+CLAIM_ROWS = 100_000
+
+
+def _spread(claims: DataFrame) -> DataFrame:
+    """Claims over as many tasks as their number asks for; what they are joined with follows them."""
+    return dealt(claims, *KEY, rows=CLAIM_ROWS)
 
 
 def merge_corrections(previous: DataFrame, new: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -23,10 +30,10 @@ def merge_corrections(previous: DataFrame, new: DataFrame, verdicts: DataFrame)
     Flagged: the new claim, or nothing when it was not sent again. Accepted: the
     new claim when sent again, else the old one. New field names are ignored.
     """
-    old = previous.select(*KEY, F.struct(*CLAIM).alias("_old"))
+    old = _spread(previous).select(*KEY, F.struct(*CLAIM).alias("_old"))
     fresh = new.select(*KEY, F.struct(*CLAIM).alias("_new"))
     flags = verdicts.select(*KEY, (~F.col("ok")).alias("_flagged"))
-    joined = old.join(fresh, KEY, "left").join(flags, KEY, "left")
+    joined = old.join(grown(fresh), KEY, "left").join(grown(flags), KEY, "left")
     flagged = F.coalesce("_flagged", F.lit(False))
     merged = F.when(flagged, F.col("_new")).otherwise(F.coalesce("_new", "_old"))
     return joined.select(*KEY, merged.alias("_claim")).filter("_claim is not null").select(*KEY, "_claim.*")
@@ -67,9 +74,9 @@ def correction_rounds(
             done.append(active)
             last.append((verdicts, sent))
             break
-        done.append(active.join(docs, "doc_id", "left_anti"))
-        last.append((verdicts.join(docs, "doc_id", "left_anti"), sent.join(docs, "doc_id", "left_anti")))
-        again = active.join(docs, "doc_id", "left_semi")
+        done.append(active.join(grown(docs), "doc_id", "left_anti"))
+        last.append((verdicts.join(grown(docs), "doc_id", "left_anti"), sent.join(grown(docs), "doc_id", "left_anti")))
+        again = active.join(grown(docs), "doc_id", "left_semi")
         fresh = correct(correction_feedback(sent, verdicts), number)
         active = checkpointed(merge_corrections(again, fresh, verdicts))
 
@@ -95,7 +102,7 @@ def _accept(verdicts: DataFrame, keys: DataFrame) -> DataFrame:
     accepted = settled.select(
         *KEY, F.lit(True).alias("ok"), F.lit("").alias("issue"), F.lit("").alias("what_you_see")
     )
-    return verdicts.join(settled, KEY, "left_anti").unionByName(accepted)
+    return verdicts.join(grown(settled), KEY, "left_anti").unionByName(accepted)
 
 
 def apply_rereads(
@@ -108,13 +115,13 @@ def apply_rereads(
     flagged = verdicts.filter(~F.col("ok") & F.col("field").isin(*REREAD_FIELDS)).select(*KEY)
     good = (
         rereads.filter(F.col("confident") & _usable(F.col("value")))
-        .join(flagged, KEY, "left_semi")
-        .join(claims.select(*KEY), KEY, "left_semi")
+        .join(grown(flagged), KEY, "left_semi")
+        .join(grown(claims.select(*KEY)), KEY, "left_semi")
         .select(*KEY, F.col("value").alias("_value"), F.coalesce("verbatim_text", F.lit("")).alias("_seen"))
     )
     text = F.substring(F.concat(F.lit("reread crop: "), F.substring("_seen", 1, 300)), 1, 400)
     taken = F.col("_value").isNotNull()
-    updated = claims.join(good, KEY, "left").select(
+    updated = _spread(claims).join(grown(good), KEY, "left").select(
         *KEY, F.coalesce("_value", "value").alias("value"), "evidence_bbox",
         F.when(taken, text).otherwise(F.col("evidence_text")).alias("evidence_text"), "evidence_kind",
     )
@@ -134,12 +141,12 @@ def prune_absent_names(
         *KEY, F.posexplode(F.split("value", ",")).alias("pos", "name")
     ).withColumn("name", strip(F.col("name")))
     seen = presence.filter(F.col("visible")).select(*KEY, "name").distinct()
-    found = names.filter("name <> ''").join(seen, [*KEY, "name"]).groupBy(*KEY).agg(
+    found = names.filter("name <> ''").join(grown(seen), [*KEY, "name"]).groupBy(*KEY).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda n: n["name"]), ", "
         ).alias("_kept")
     )
-    joined = claims.join(found, KEY, "left").withColumn("_target", target)
+    joined = _spread(claims).join(grown(found), KEY, "left").withColumn("_target", target)
     kept = F.coalesce("_kept", F.lit(""))
     text = F.substring(F.concat(F.lit("presence-verified: "), kept), 1, 400)
     on = F.col("_target")
@@ -155,12 +162,13 @@ def prune_absent_names(
 def demote(claims: DataFrame, verdicts: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove claims that are still flagged and unchanged since they were checked."""
     flagged = verdicts.filter(~F.col("ok")).select(*KEY)
+    claims = _spread(claims)
     before = checked.select(*KEY, F.col("value").alias("_checked"))
     demoted = (
-        claims.join(flagged, KEY, "left_semi").join(before, KEY, "left")
+        claims.join(grown(flagged), KEY, "left_semi").join(grown(before), KEY, "left")
         .filter(F.col("value").eqNullSafe(F.col("_checked"))).select(*KEY)
     )
-    return claims.join(demoted, KEY, "left_anti"), demoted
+    return claims.join(grown(demoted), KEY, "left_anti"), demoted
 
 
 def rescue(
@@ -170,8 +178,8 @@ def rescue(
     noted = verdicts.filter(~F.col("ok") & (strip(F.col("what_you_see")) != "")).select(*KEY)
     good = (
         rescues.filter(F.col("confident") & _usable(F.col("value")))
-        .join(demoted, KEY, "left_semi").join(noted, KEY, "left_semi")
-        .join(checked.select(*KEY, F.col("evidence_bbox").alias("_box")), KEY, "left")
+        .join(grown(demoted), KEY, "left_semi").join(grown(noted), KEY, "left_semi")
+        .join(grown(checked.select(*KEY, F.col("evidence_bbox").alias("_box"))), KEY, "left")
     )
     page = F.array(*[F.lit(v) for v in (0.0, 0.0, 100.0, 100.0)])
     reason = F.substring(F.coalesce("reasoning", F.lit("")), 1, 300)

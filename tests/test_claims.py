@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tabloom import session
 from tabloom.claims import parse, record, rounds
 
 BOX = [1.0, 2.0, 3.0, 4.0]
@@ -129,3 +130,19 @@ def test_feedback(table):
     text = parse.correction_feedback(c, v).first().feedback
     assert text == ('[{"field":"title","your_value":"A","your_evidence_bbox":[1.0,2.0,3.0,4.0],"your_evidence_text":"t",'
                     '"critic_says_wrong_because":"wrong","critic_sees_in_that_bbox":"sees"}]')
+
+
+def test_claims_are_dealt_by_rows_and_never_broadcast(spark, monkeypatch):
+    """A small file of many responses: its tasks follow from the rows, and no side that grows is sent through the driver."""
+    monkeypatch.setattr(session, "DEALT_ROWS", 300)
+    monkeypatch.setattr(rounds, "CLAIM_ROWS", 500)
+    body = '{"fields": {"title": {"value": "a", "evidence_bbox": [1, 2, 3, 4]}, "notes": {"value": "b", "evidence_bbox": [1, 2, 3, 4]}}}'
+    documents = spark.range(4_500).coalesce(1).select(F.col("id").alias("doc_id"), F.lit(body).alias("json"))
+    claims = parse.flatten_claims(documents)
+    assert claims.rdd.getNumPartitions() == 15 and claims.count() == 9_000
+    few = claims.filter("doc_id < 1000")
+    verdicts = few.select("doc_id", "field", F.lit(False).alias("ok"), F.lit("").alias("issue"), F.lit("").alias("what_you_see"))
+    rereads = few.select("doc_id", "field", F.lit("new").alias("value"), F.lit(True).alias("confident"), F.lit("seen").alias("verbatim_text"))
+    now, _, taken = rounds.apply_rereads(claims, verdicts, rereads)
+    assert "Broadcast" not in now._jdf.queryExecution().executedPlan().toString()
+    assert now.filter("value = 'new'").count() == taken.count() == 2000 and now.count() == 9_000
