@@ -6,7 +6,9 @@ there is what every further cluster has to reach by its bound. Nothing is lost:
 
 Centres come from a sample of at most four rows a cluster (``SAMPLE_BYTES`` in all); every row is indexed. What travels to all
 tasks is one centre, radius and count for each of at most ``MOST_CLUSTERS`` clusters. Rows of a cluster lie in pieces of
-``BLOCK_ROWS``, and queries meet them in pieces of ``QUERY_ROWS``, so neither a large cluster nor a popular one fills a task.
+``BLOCK_ROWS``, and pieces in spans of ``SPAN_BYTES``; a query travels once to each span that holds one of its clusters, with
+their list, and a span meets queries in parts of ``QUERY_BYTES``. So neither a large cluster nor a popular one fills a task, and
+what is shuffled and reported follows the spans, not the clusters.
 """
 
 from __future__ import annotations
@@ -19,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.retrieval.bm25 import TIE_DIGITS, keep_top
-from tabloom.retrieval.vectors import _local_top, _matrix
+from tabloom.retrieval.vectors import _matrix, top_positions
 from tabloom.session import checkpointed, work_partitions
 
 PER_CLUSTER = 2048
 MOST_CLUSTERS = 4096
 SAMPLE_BYTES = 32 * 1024 * 1024
 BLOCK_ROWS, QUERY_ROWS = 8192, 1024
+#: Vectors of a span, and of the queries that meet it in one task; a part has ``QUERY_ROWS`` or more, fewer than these bytes
+#: only where there would be too few tasks otherwise. Products of a task at a time.
+SPAN_BYTES, QUERY_BYTES, PRODUCTS = 64 << 20, 32 << 20, 1 << 22
 _HASHES = 1 << 30
 
 
@@ -142,37 +147,81 @@ def _routed(queries: DataFrame, centres: np.ndarray, choose) -> DataFrame:
     return queries.mapInPandas(route, f"query_id {kinds['query_id']}, vector {kinds['vector']}, clusters array<int>")
 
 
+def _visited_top(a: pd.DataFrame, b: pd.DataFrame, known: np.ndarray, top_k: int) -> pd.DataFrame:
+    """Best documents of a span, whose clusters are ``known``, for each query among those it is sent to, ties by document id."""
+    b = b.sort_values("doc_id", kind="stable", ignore_index=True)
+    doc_ids, matrix = b["doc_id"].to_numpy(), _matrix(b["vector"])
+    own = np.searchsorted(known, b["cluster"].to_numpy())
+    bits = np.frombuffer(b"".join(a["clusters"]), np.uint8).reshape(len(a), -1)
+    wanted = np.unpackbits(bits, axis=1, count=len(known)).astype(bool)
+    # Queries of like clusters go together, and documents that none of them is sent to are left out.
+    order = np.argsort(wanted.argmax(1), kind="stable")
+    query_ids, queries = a["query_id"].to_numpy(), _matrix(a["vector"])
+    step = max(1, PRODUCTS // max(1, len(b)))
+    found = []
+    for start in range(0, len(a), step):
+        some = order[start : start + step]
+        docs = np.flatnonzero(wanted[some].any(0)[own])
+        product = (queries[some] @ matrix[docs].T).round(TIE_DIGITS)
+        product[~wanted[some][:, own[docs]]] = -np.inf
+        for row, line in zip(some, product):
+            chosen = top_positions(line, top_k)
+            chosen = chosen[line[chosen] > -np.inf]
+            found.append((np.repeat(query_ids[row], len(chosen)), doc_ids[docs[chosen]], line[chosen]))
+    return pd.DataFrame({name: np.concatenate(column) for name, column in zip(("query_id", "doc_id", "score"), zip(*found))})
+
+
 def visit(routed: DataFrame, index: VectorIndex, top_k: int) -> DataFrame:
-    """(query_id, doc_id, score): the best of each piece of the clusters that a query is sent to."""
-    kinds = dict(routed.dtypes)["query_id"], dict(index.documents.dtypes)["doc_id"]
-    schema = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
+    """(query_id, doc_id, score): the best of each span of the clusters that a query is sent to."""
+    kinds = dict(routed.dtypes)
+    schema = f"query_id {kinds['query_id']}, doc_id {dict(index.documents.dtypes)['doc_id']}, score double"
     spark = routed.sparkSession
-    sent = routed.select("query_id", "vector", F.explode("clusters").alias("cluster"))
-    asked = {r["cluster"]: r["n"] for r in sent.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pieces = index.pieces()
+    cluster = np.repeat(np.arange(len(pieces)), pieces)
+    piece = np.concatenate([np.arange(p) for p in pieces]) if len(pieces) else cluster
+    width = 8 * max(1, index.centres.shape[1])
+    rows = np.cumsum((index.counts / pieces)[cluster])
+    span = (np.maximum(rows - 1, 0) // max(1, SPAN_BYTES // width)).astype(int)
+    known = {s: np.unique(cluster[span == s]) for s in np.unique(span).tolist()}
+
+    def send(batches):
+        for batch in batches:
+            for start in range(0, len(batch), 512):
+                part = batch.iloc[start : start + 512]
+                asked = np.zeros((len(part), len(pieces)), bool)
+                for row, clusters in enumerate(part["clusters"]):
+                    asked[row, np.asarray(clusters, int)] = True
+                for s, own in known.items():
+                    at = np.flatnonzero(asked[:, own].any(1))
+                    if len(at):
+                        bits = np.packbits(asked[np.ix_(at, own)], axis=1)
+                        yield part[["query_id", "vector"]].iloc[at].assign(span=s, clusters=[b.tobytes() for b in bits])
+
+    sent = routed.mapInPandas(send, f"query_id {kinds['query_id']}, vector {kinds['vector']}, span int, clusters binary")
+    sent = checkpointed(sent)
+    asked = {r["span"]: r["n"] for r in sent.groupBy("span").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not asked:
         return spark.createDataFrame([], schema)
-    # At most one row for each cluster.
-    pieces = index.pieces()
+    # Parts are as large as memory allows, since each takes a copy of its span, but there are some for each core.
+    fair = -(-sum(asked.values()) // (2 * spark.sparkContext.defaultParallelism))
+    most = max(1, min(max(QUERY_ROWS, fair), max(QUERY_ROWS, QUERY_BYTES // width)))
+    # At most one row for each piece of a cluster.
     plan = F.broadcast(spark.createDataFrame(
-        [(c, int(pieces[c]), -(-n // QUERY_ROWS)) for c, n in asked.items()], "cluster int, of_docs int, of_queries int"))
-
-    def every(count: str):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    one = sent.join(plan, "cluster").withColumn("part", F.pmod(F.xxhash64("query_id"), "of_queries").cast("int"))
-    one = one.withColumn("piece", every("of_docs")).drop("of_docs", "of_queries")
-    two = index.documents.join(plan, "cluster").withColumn("part", every("of_queries")).drop("of_docs", "of_queries")
-    tasks = max(work_partitions(spark), sum(int(pieces[c]) * -(-n // QUERY_ROWS) for c, n in asked.items()) // 8)
-    keys = ["cluster", "piece", "part"]
-    one, two = one.repartition(tasks, *keys), two.repartition(tasks, *keys)
+        [(int(c), int(p), int(s), -(-asked[s] // most)) for c, p, s in zip(cluster, piece, span.tolist()) if s in asked],
+        "cluster int, piece int, span int, parts int"))
+    parts = F.broadcast(spark.createDataFrame([(s, -(-n // most)) for s, n in asked.items()], "span int, parts int"))
+    one = sent.join(parts, "span").withColumn("part", F.pmod(F.xxhash64("query_id"), "parts").cast("int")).drop("parts")
+    two = index.documents.join(plan, ["cluster", "piece"]).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "piece")
+    tasks = max(work_partitions(spark), 2 * sum(-(-n // most) for n in asked.values()))
+    one, two = one.repartition(tasks, "span", "part"), two.repartition(tasks, "span", "part")
 
     def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        return _local_top(
-            a["query_id"].to_numpy(), _matrix(a["vector"]), b["doc_id"].to_numpy(), _matrix(b["vector"]), top_k)
+        return _visited_top(a, b, known[int(a["span"].iloc[0])], top_k)
 
-    return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(multiply, schema)
+    return one.groupBy("span", "part").cogroup(two.groupBy("span", "part")).applyInPandas(multiply, schema)
 
 
 def search(queries: DataFrame, index: VectorIndex, top_k: int = 10) -> DataFrame:

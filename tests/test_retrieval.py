@@ -159,6 +159,24 @@ def test_clustered_vectors_give_the_exact_best(spark, monkeypatch):
     assert vector_index.search(asked, none, 6).isEmpty()
 
 
+def test_visits_report_by_span_and_not_by_cluster(spark, monkeypatch):
+    """Even vectors are sent to all clusters: what leaves the tasks is the best of each span, and the result is exact."""
+    monkeypatch.setattr(vector_index, "SPAN_BYTES", 8 * 6 * 300)
+    data = np.random.default_rng(6).normal(size=(900, 6))
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "doc_id long, vector array<double>")
+    index = vector_index.build(docs, per_cluster=10)
+    routed = docs.filter("doc_id < 200").select(
+        F.col("doc_id").alias("query_id"), "vector", F.sequence(F.lit(0), F.lit(len(index.counts) - 1)).alias("clusters"))
+    found = vector_index.visit(routed, index, 5).collect()
+    assert 200 * 5 <= len(found) <= 200 * 5 * 4 and len({(r.query_id, r.doc_id) for r in found}) == len(found)
+    best = {}
+    for r in found:
+        best.setdefault(r.query_id, []).append((-r.score, r.doc_id))
+    for q, rows in best.items():
+        scores = (data @ data[q]).round(10)
+        assert [d for _, d in sorted(rows)[:5]] == sorted(range(900), key=lambda i: (-scores[i], i))[:5]
+
+
 def test_texts_are_embedded_once(spark, tmp_path):
     calls = spark.sparkContext.accumulator(0)
 
