@@ -197,3 +197,30 @@ def test_fuzzy_bounds_leave_few_keys_to_compare(spark):
     key_bands = {r.key: r.b for r in spark.createDataFrame([(k,) for k in keys], "key string").select("key", fuzzy._band(F.length("key")).alias("b")).collect()}
     for text in texts:
         assert all((text, key_bands[k]) in bands for k in keys if SequenceMatcher(None, text, k).ratio() > fuzzy.LIMIT)
+
+
+def test_names_that_differ_by_digits_are_told_apart_by_order(spark):
+    """Letters in another order do not reach difflib, and one letter more or less needs no comparison of all keys."""
+    random.seed(5)
+    keys = [f"supplier#{i:06}" for i in random.sample(range(3000), 600)]
+    texts = [f"customer#{i:06}" for i in range(0, 3000, 30)]
+    table = fuzzy.Keys(keys)
+    for text in sorted(texts, key=fuzzy._by_letters):
+        ratios = [SequenceMatcher(None, text, k).ratio() for k in keys]
+        best = max(ratios)
+        assert table.best(text) == ((best, ratios.index(best)) if best > 0.7 else None)
+    assert table.compared < 3 * len(texts)
+    odd = [k + "?" for k in keys[:20]] + ["s" + k for k in keys[20:40]] + [k[:-1] for k in keys[40:60]] + [keys[60], "su", ""]
+    odd += ["abab", "ababa", "aab"]
+    named = [*keys, "ababab", "abaab", "ab", "aaab"]
+    frame = spark.createDataFrame([(k, f"v{i}", i) for i, k in enumerate(named)], "key string, value string, ord int")
+    asked = spark.createDataFrame([(t,) for t in odd], "text string")
+
+    def brute(text):
+        ratios = [SequenceMatcher(None, text, k).ratio() for k in named]
+        return f"v{ratios.index(max(ratios))}" if max(ratios) > 0.7 else None
+
+    want = {t: brute(t) for t in odd if brute(t) is not None}
+    assert {r.text: r.value for r in fuzzy.best_keys(asked, frame, 50).collect()} == want
+    near = {r.text: r.value for r in fuzzy.near_keys(asked, frame).collect()}
+    assert set(odd[:61]) <= set(near) and near.items() <= want.items()
