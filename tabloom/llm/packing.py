@@ -27,18 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Remembered, spread, stored, tidy
+from tabloom.llm.common import spread, stored, tidy
 
 CAPACITY = 1024
 GROUPS = 128
 #: Documents numbered together within one length.
 PER_BUCKET = 20_000
+#: Characters from which a text is encoded without a list of its ids.
+LONG_TEXT = 1 << 20
 
 
 class ByteBpe:
-    """Token ids of a text. Where every gap between words is one space or one line break, words
-    are cut apart before they are looked up: the pattern of this vocabulary never joins what
-    such a gap separates, a space goes with the word after it and a line break stands alone."""
+    """Token ids of a text, each text in one call: real texts hold so many rare words that looking words up one by one costs more."""
 
     def __init__(self, ranks_path: str):
         import public_tokenizers
@@ -49,32 +49,13 @@ class ByteBpe:
         self.encoding = tiktoken.Encoding(
             "bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
-        self.forget()
 
-    def forget(self) -> None:
-        """Start with no words remembered, as every partition does."""
-        self.first, self.later = Remembered(self._ids), Remembered(lambda word: self._ids(" " + word))
-        self.line_break = self._ids("\n")
-
-    def _ids(self, text: str) -> bytes:
+    def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit numbers."""
+        if len(text) > LONG_TEXT:  # four bytes a token; a list of numbers takes ten times that
+            return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text.replace("\n", " ").split(" ") != text.split():
-            return self._ids(text)
-        later = self.later.__getitem__
-        out = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            if out:
-                out.append(self.line_break)
-            out.append(self.first[words[0]])
-            out.extend(map(later, words[1:]))
-        return b"".join(out)
-
 
 @lru_cache(maxsize=1)
 def _tokenizer(path: str) -> ByteBpe:
@@ -102,12 +83,6 @@ def token_pieces(
     @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
-        try:
-            yield from pieces(tokenizer, batches)
-        finally:
-            tokenizer.forget()  # the worker keeps the vocabulary, which has a fixed size, and nothing of the texts
-
-    def pieces(tokenizer: ByteBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -297,6 +297,26 @@ def test_packing_places_every_token_once(docs, documents, no_docs, null_id_docs)
     assert sorted((r.doc_id or 0, r.length) for r in packing.packed_documents(null_id_docs).collect()) == [(0, 1), (0, 8), (1, 8)]
 
 
+def test_a_text_is_encoded_in_one_call(monkeypatch):
+    tokenizer = packing.ByteBpe(packing.default_ranks())
+    plain, calls = tokenizer.encoding, []
+
+    class Counting:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(plain, name)
+
+    tokenizer.encoding = Counting()
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    reference.encode_special_tokens = True
+    texts = [" ".join(f"rare{i}x" for i in range(500)), "a  b\n\n c\td é\u3000 <s>", ""]
+    expected = [struct.pack(f"<{len(ids)}I", *ids) for ids in (reference.encode(t, add_special_tokens=False).ids for t in texts)]
+    assert [tokenizer.encode(t) for t in texts] == expected
+    assert calls == ["encode_ordinary"] * 3
+    monkeypatch.setattr(packing, "LONG_TEXT", 0)
+    assert [tokenizer.encode(t) for t in texts] == expected
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_of_a_histogram(seed):
     rng = np.random.default_rng(seed)
