@@ -131,7 +131,7 @@ def _lists(spark, sf, top_k=5):
     # A second list of other length and order: every second hit of the same search.
     ranked = found.filter(F.col("rank") % 2 == 0).withColumn("rank", (F.col("rank") / 2).cast("int"))
     web = fusion.external_hits(
-        ranked.join(corpus, "doc_id").select(
+        fusion.with_text(ranked, corpus).select(
             "query_id", F.concat(F.lit("  "), "text").alias("text"), "rank",
             F.concat(F.lit("http://x/"), "doc_id").alias("url"), F.lit("t").alias("title")), "bing")
     return queries, [keyword, web]

@@ -24,9 +24,9 @@ from tabloom.linkage.keys import (
     find_key_column, find_title_column, key_from_name, normalize_key, title_from_name,
 )
 from tabloom.linkage.scoring import block_candidates
-from tabloom.retrieval import bm25, vectors
+from tabloom.retrieval import bm25, vectors, word_scan
 from tabloom.retrieval.corpus import build_corpus
-from tabloom.session import SMALL_ROWS, checkpointed, grown
+from tabloom.session import SMALL_ROWS, checkpointed, grown, small_rows
 
 UNIQUE_KEY_SCORE = 0.95
 #: Vectors of a chunk of right rows, and of a span of left rows, in bytes at the most.
@@ -138,13 +138,24 @@ def fallback(lefts: DataFrame, rights: DataFrame, top_k: int = 5, chunk_queries:
 
     Right rows go in chunks and left rows in spans of index blocks; both numbers are columns, a task takes one chunk and one
     span, and only the best of each right row leave it. The highest BM25 score of a right row, by which its scores
-    are scaled, comes from a search of the same index. The plan does not depend on the number of rows.
+    are scaled, comes from a search of the same index. The plan does not depend on the number of rows. Few right rows
+    (measured) travel to the left rows instead, which then are neither indexed nor moved.
     """
-    index = bm25.build_index(lefts.select(F.col("left_id").alias("doc_id"), "text"))
     useful = F.filter(
         words(F.lower(F.col("text"))), lambda w: ~w.isin(*QUERY_STOP_WORDS) & (F.length(w) >= 2)
     )
     queries = rights.select(F.col("right_id").alias("query_id"), F.array_join(useful, " ").alias("query"), "vector")
+    corpus = lefts.select(F.col("left_id").alias("doc_id"), "text", "vector")
+    kinds = (
+        rights.schema["right_id"].dataType.simpleString(),
+        lefts.schema["left_id"].dataType.simpleString(),
+    )
+    kind = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double, reason string"
+    sent = small_rows(queries.select("query_id", "vector"), word_scan.FEW_QUERIES)
+    few = word_scan.few_words(queries) if sent is not None else None
+    if few is not None:
+        return _named(bm25.keep_top(_scan(corpus, few, sent, kinds[0], kind, top_k), top_k))
+    index = bm25.build_index(corpus.select("doc_id", "text"))
     asked = checkpointed(bm25.query_weights(queries, index))
     highest = bm25.ranked(asked, index, 1).select("query_id", F.col("score").alias("top"))
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
@@ -166,18 +177,49 @@ def fallback(lefts: DataFrame, rights: DataFrame, top_k: int = 5, chunk_queries:
     rows = lefts.select(span(bm25.block_of("left_id", index.block_count)), every_chunk, F.col("left_id").alias("doc_id"), "vector")
     lists = bm25.lists_of(asked, index, chunks).select(span(F.col("block")), "chunk", "term", "docs")
     placed = rows.unionByName(lists, allowMissingColumns=True)
-    kinds = (
-        rights.schema["right_id"].dataType.simpleString(),
-        lefts.schema["left_id"].dataType.simpleString(),
-    )
-    kind = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double, reason string"
     scored = sent.groupBy("chunk", "span").cogroup(placed.groupBy("chunk", "span")).applyInArrow(_combine(kind, top_k), kind)
-    return bm25.keep_top(scored, top_k).select(
+    return _named(bm25.keep_top(scored, top_k))
+
+
+def _named(found: DataFrame) -> DataFrame:
+    return found.select(
         F.col("query_id").alias("right_id"), F.col("doc_id").alias("left_id"), "score", "reason",
         F.lit(False).alias("cut"),
     )
 
 
+def _scan(corpus: DataFrame, few: dict, sent: list, query_kind: str, kind: str, top_k: int) -> DataFrame:
+    """Best documents of a batch for each of few queries, whose words and vectors travel to the documents."""
+    counted = word_scan.count_words(corpus, few, "vector")
+    tops = {r["query_id"]: r["score"] for r in word_scan.best(counted, query_kind, 1).collect()}
+    mean_length, terms, asked = counted.mean_length, counted.terms, counted.asked
+    names, vectors_sent = [r["query_id"] for r in sent], [r["vector"] for r in sent]
+    schema = to_arrow_schema(StructType.fromDDL(kind))
+
+    def run(batches):
+        asked_vectors = np.array(vectors_sent, float)
+        for batch in filter(len, batches if names else ()):
+            ids = batch.column("doc_id")
+            ranks, scores = bm25.id_ranks(ids), word_scan.Scores(batch, mean_length, terms)
+            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+            cosine, found = asked_vectors @ flat.reshape(len(batch), -1).T, []
+            for name, near in zip(names, cosine):
+                keyword = scores.of(asked.get(name, ())) / (tops.get(name) or 1.0)
+                found += _best_rows(name, ids, ranks, near, keyword, top_k)
+            columns = zip(*found, strict=True) if found else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return counted.table.mapInArrow(run, kind)
+
+
+def _best_rows(name, ids: pa.Array, ranks: np.ndarray, near: np.ndarray, keyword: np.ndarray, top_k: int) -> list[tuple]:
+    total = (W_VECTOR * near + W_KEYWORD * keyword).round(bm25.TIE_DIGITS)
+    return [
+        (name, ids[j].as_py(), float(total[j]), f"Fallback (sem={near[j]:.2f}, bm25={keyword[j]:.2f})")
+        for j in bm25.best_places(total, ranks, top_k).tolist()
+    ]
+
+
 def _combine(kind: str, top_k: int):
     """Best documents of a span for each query of a chunk; the span's rows are documents (doc_id, vector) and lists of words."""
     schema = to_arrow_schema(StructType.fromDDL(kind))
@@ -197,10 +239,7 @@ def _combine(kind: str, top_k: int):
             names, tops, asked = (queries.column(c).to_pylist() for c in ("query_id", "top", "words"))
             for i, near in enumerate(cosine):
                 keyword = lists.scores(asked[i] or ()) / (tops[i] or 1.0)
-                total = (W_VECTOR * near + W_KEYWORD * keyword).round(bm25.TIE_DIGITS)
-                for j in bm25.best_places(total, ranks, top_k).tolist():
-                    reason = f"Fallback (sem={near[j]:.2f}, bm25={keyword[j]:.2f})"
-                    found.append((names[i], ids[j].as_py(), float(total[j]), reason))
+                found += _best_rows(names[i], ids, ranks, near, keyword, top_k)
         columns = zip(*found, strict=True) if found else [[]] * len(schema)
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

@@ -168,7 +168,11 @@ class Lists:
 def best_places(line: np.ndarray, order: np.ndarray, top_k: int) -> np.ndarray:
     """Places of the largest positive numbers, equal ones in the order of ids; ``order`` is each place's rank among ids."""
     some = np.flatnonzero(line > 0)
-    return some[np.lexsort((order[some], -line[some].round(TIE_DIGITS)))[:top_k]]
+    rounded = line[some].round(TIE_DIGITS)
+    if len(some) > top_k:
+        reach = rounded >= np.partition(rounded, len(some) - top_k)[len(some) - top_k]
+        some, rounded = some[reach], rounded[reach]
+    return some[np.lexsort((order[some], -rounded))[:top_k]]
 
 
 def id_ranks(ids: pa.Array) -> np.ndarray:
@@ -227,10 +231,18 @@ def search(
     queries: DataFrame, corpus: DataFrame | None, top_k: int = 10, index: Bm25Index | None = None,
     chunk_queries: int = CHUNK_QUERIES, first_blocks: int = FIRST_BLOCKS, few_blocks: int = FEW_BLOCKS,
 ) -> DataFrame:
-    """Top documents per query: (query_id, doc_id, score, rank). ``index`` saves building one from ``corpus``.
+    """Top documents per query: (query_id, doc_id, score, rank). ``index`` saves building one from ``corpus``; without it few
+    queries (measured) travel to the documents, which then are not indexed.
 
     Queries without known words have no rows; a null query has none either. Equal scores go by document id.
     """
+    if index is None:
+        from tabloom.retrieval import word_scan
+
+        few = word_scan.few_words(queries)
+        if few is not None:
+            kind = queries.schema["query_id"].dataType.simpleString()
+            return word_scan.best(word_scan.count_words(corpus, few), kind, top_k)
     index = index or build_index(corpus)
     return ranked(checkpointed(query_weights(queries, index)), index, top_k, chunk_queries, first_blocks, few_blocks)
 

@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 from tabloom._columns import strip
 from tabloom.retrieval.bm25 import TIE_DIGITS
+from tabloom.session import broadcast_if_small, checkpointed
 
 NO_RESULTS = "(No search results found)"
 
 
+def with_text(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Ranked documents with their text. Hits are few next to the texts, which stay where they are unless the hits are many."""
+    return corpus.join(broadcast_if_small(checkpointed(ranked)), "doc_id")
+
+
 def as_hits(ranked: DataFrame, corpus: DataFrame, source: str) -> DataFrame:
     """Ranked documents with their text in the common hit layout."""
-    return ranked.join(corpus, "doc_id").select(
+    return with_text(ranked, corpus).select(
         "query_id", F.col("doc_id").cast("string").alias("doc_id"), "text", "score",
         F.lit(source).alias("source"), "rank",
         F.create_map(F.lit("row_index"), F.col("doc_id").cast("string")).alias("metadata"),

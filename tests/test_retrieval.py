@@ -4,7 +4,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tabloom.retrieval import bm25, fusion, knowledge, vector_index, vectors
+from tabloom.linkage import candidates
+from tabloom.retrieval import bm25, fusion, knowledge, vector_index, vectors, word_scan
 from tabloom.retrieval.corpus import build_corpus
 
 
@@ -92,6 +93,41 @@ def test_bm25_reads_its_own_words_and_blocks_within_reach(spark, monkeypatch):
     assert {r.doc_id for r in bm25.search(one, None, 4, index).collect()} == {28, 29, 30, 31}
 
 
+def test_few_queries_need_no_index(spark, monkeypatch):
+    texts, queries = make_corpus(n=200)
+    spaces = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000 and (chr(i).isspace() or chr(i) in "\u180e\u200b\ufeff")]
+    texts += ["W1" + c + "w2" for c in spaces] + ["\u0130x \u03a3\u03a3 w3"]
+    corpus = spark.createDataFrame([*((f"d{i:03}", t) for i, t in enumerate(texts)), ("none", None)], "doc_id string, text string")
+    asked = spark.createDataFrame([*enumerate(queries), (7, None), (8, "i\u0307x w1\u3000w29"), (9, "\u03c3\u03c2")], "query_id int, query string")
+    index = bm25.build_index(corpus)
+
+    def rows(hits):
+        return sorted((r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in hits.collect())
+
+    want = rows(bm25.search(asked, None, 6, index))
+    lefts = corpus.select(F.col("doc_id").alias("left_id"), "text").withColumn("vector", vectors.embed(F.col("text")))
+    rights = asked.select(F.col("query_id").alias("right_id"), F.coalesce("query", F.lit("")).alias("text"))
+    rights = rights.withColumn("vector", vectors.embed(F.col("text")))
+
+    def near():
+        return sorted((r.right_id, r.left_id, round(r.score, 9), r.reason) for r in candidates.fallback(lefts, rights, 4).collect())
+
+    with monkeypatch.context() as m:
+        m.setattr(word_scan, "FEW_WORDS", 0)
+        assert rows(bm25.search(asked, corpus, 6)) == want
+        indexed = near()
+    monkeypatch.setattr(bm25, "build_index", None)
+    monkeypatch.setattr(word_scan, "HELD_WORDS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        assert rows(bm25.search(asked, corpus, 6)) == want and len({r[0] for r in want}) == 5
+        assert near() == indexed and indexed
+        assert bm25.search(asked, corpus.limit(0), 6).count() == 0 and bm25.search(asked.limit(0), corpus, 6).count() == 0
+        assert candidates.fallback(lefts.limit(0), rights).count() == 0 and candidates.fallback(lefts, rights.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_bm25_plan_does_not_grow_with_queries(spark):
     texts, _ = make_corpus()
     index = bm25.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
