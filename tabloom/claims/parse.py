@@ -9,7 +9,10 @@ from tabloom._columns import strip
 from tabloom.claims.fields import GEO_FIELDS, OCR_FIELDS, RECORD_FIELDS, TYPE_SPECIFIC
 from tabloom.enrich.responses import get
 from tabloom.functions.evidence import sanitize_box
-from tabloom.session import dealt, grown
+from tabloom.session import dealt, grown, row_tasks
+
+#: Claims that one task joins.
+CLAIM_ROWS = 100_000
 
 _EMPTY_JSON = ("null", "[]", '""', "0", "0.0", "false", "{}")
 
@@ -135,10 +138,12 @@ def parse_verdicts(parsed: DataFrame, sent: DataFrame) -> DataFrame:
         _text(F.col("_issue"), size=400).alias("issue"),
         _text(F.col("_what_you_see"), size=400).alias("what_you_see"),
     )
-    sent_keys = route_claims(sent).select(*keys, "field")
-    return verdicts.join(grown(sent_keys), [*keys, "field"], "left_semi").select(
-        "doc_id", "field", "ok", "issue", "what_you_see"
-    )
+    # tasks of the join follow the number of claims sent, since their compressed bytes say little about it
+    place = [*keys, "field"]
+    sent_keys = route_claims(sent).select(*place)
+    tasks = row_tasks(sent_keys, CLAIM_ROWS)
+    taken, known = verdicts.repartition(tasks, *place), sent_keys.repartition(tasks, *place)
+    return taken.join(grown(known), place, "left_semi").select("doc_id", "field", "ok", "issue", "what_you_see")
 
 
 def correction_feedback(claims: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 
 from tabloom._columns import strip
 from tabloom.claims.fields import PRESENCE_FIELDS, REREAD_FIELDS, TYPE_SPECIFIC
-from tabloom.claims.parse import checkable, correction_feedback
+from tabloom.claims.parse import CLAIM_ROWS, checkable, correction_feedback
 from tabloom.session import checkpointed, dealt, grown
 
 KEY = ["doc_id", "field"]
 CLAIM = ["value", "evidence_bbox", "evidence_text", "evidence_kind"]
-#: Claims that one task joins.
-CLAIM_ROWS = 100_000
 
 
 def _spread(claims: DataFrame) -> DataFrame:
@@ -210,7 +208,8 @@ def audit(
         one = table.select(*KEY, F.lit(name).alias("mark"))
         marks = one if marks is None else marks.unionByName(one)
     has = {n: F.max(F.col("mark") == n) for n in sources}
-    state = marks.groupBy(*KEY).agg(*[flag.alias(n) for n, flag in has.items()])
+    # one document's marks in one task, and as many tasks as there are marks for
+    state = dealt(marks, "doc_id", rows=CLAIM_ROWS).groupBy(*KEY).agg(*[flag.alias(n) for n, flag in has.items()])
     fixed = F.col("rescued") | F.col("reread") | F.col("pruned")
     lost = F.col("demoted") & ~F.col("rescued")
     columns = {

@@ -146,3 +146,18 @@ def test_claims_are_dealt_by_rows_and_never_broadcast(spark, monkeypatch):
     now, _, taken = rounds.apply_rereads(claims, verdicts, rereads)
     assert "Broadcast" not in now._jdf.queryExecution().executedPlan().toString()
     assert now.filter("value = 'new'").count() == taken.count() == 2000 and now.count() == 9_000
+
+
+def test_verdicts_and_marks_are_dealt_by_rows(spark, monkeypatch):
+    """Few bytes, many rows: by bytes alone each step would be one task."""
+    monkeypatch.setattr(parse, "CLAIM_ROWS", 100)
+    monkeypatch.setattr(rounds, "CLAIM_ROWS", 100)
+    sent = spark.range(3000).select(
+        F.col("id").cast("int").alias("doc_id"), F.lit("title").alias("field"), F.lit("x").alias("value"),
+        F.lit(None).cast("array<double>").alias("evidence_bbox"), F.lit("").alias("evidence_text"), F.lit("").alias("evidence_kind"))
+    parsed = sent.select("doc_id", F.lit('{"verdicts": {"title": {"ok": false, "issue": "i"}}}').alias("json"))
+    verdicts = parse.parse_verdicts(parsed, sent)
+    assert verdicts.count() == 3000 and verdicts.rdd.getNumPartitions() >= 30
+    key = verdicts.select("doc_id", "field")
+    marks = rounds.audit(sent, key, key.limit(0), key.limit(0), key.limit(0), key.limit(0))
+    assert marks.filter("map_review_fields_uncertain = 'title'").count() == 3000 and marks.rdd.getNumPartitions() >= 30
