@@ -10,7 +10,7 @@ from queries.common import registry, table
 from tabloom.claims import fields as names
 from tabloom.claims import parse, record, rounds
 from tabloom.claims.analysis import map_analysis as analyse
-from tabloom.session import checkpointed, grown
+from tabloom.session import checkpointed, dealt, grown
 
 QUERIES, SQL, register = registry()
 
@@ -43,8 +43,14 @@ _PLAIN = f"""
 """
 
 
+def _parts(spark, sf):
+    """Parts dealt while their rows are narrow. Responses are built behind this: a task that wrote the responses of a whole file
+    into a shuffle of more than 200 tasks would hold all of them."""
+    return dealt(table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size"), "p_partkey")
+
+
 def _parsed(spark, sf):
-    table(spark, sf, "part").createOrReplaceTempView("_claims_part")
+    _parts(spark, sf).createOrReplaceTempView("_claims_part")
     df = spark.sql(_RESPONSES.replace("FROM part", "FROM _claims_part"))
     nested = F.concat(F.lit('{"fields": {'), "body", F.lit('}, "type_specific": '), "extra", F.lit("}"))
     return df.select("doc_id", F.when(F.col("flat"), F.concat(F.lit("{"), "body", F.lit("}"))).otherwise(nested).alias("json"))
@@ -52,7 +58,7 @@ def _parsed(spark, sf):
 
 def _claims(spark, sf):
     """Claims are written once, as every later step reads them several times."""
-    return checkpointed(parse.flatten_claims(_parsed(spark, sf)))
+    return checkpointed(parse.flatten_claims(_parsed(spark, sf), placed=True))
 
 
 def _shown(claims):
@@ -67,7 +73,7 @@ _USABLE = "value IS NOT NULL AND upper(trim(value)) NOT IN ('', 'N/A')"
 
 @register("flatten_claims", f"SELECT {_CAST} FROM ({_PLAIN})")
 def flatten_claims(spark, sf):
-    return _shown(parse.flatten_claims(_parsed(spark, sf)))
+    return _shown(parse.flatten_claims(_parsed(spark, sf), placed=True))
 
 
 @register("checkable_claims", f"SELECT {_CAST} FROM ({_PLAIN}) WHERE {_USABLE}")

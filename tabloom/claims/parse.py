@@ -44,6 +44,10 @@ def _value_text(v: Column) -> Column:
     )
 
 
+def _placed(responses: DataFrame, placed: bool) -> DataFrame:
+    return responses if placed else dealt(responses, "doc_id")
+
+
 def _free_entry(e: Column) -> Column:
     prefixed = e["key"].startswith("ts_")
     name = F.when(prefixed, F.substr(e["key"], F.lit(4))).otherwise(e["key"])
@@ -53,16 +57,18 @@ def _free_entry(e: Column) -> Column:
     )
 
 
-def flatten_claims(parsed: DataFrame) -> DataFrame:
+def flatten_claims(parsed: DataFrame, placed: bool = False) -> DataFrame:
     """One row per grounded claim of a response.
 
     The response holds ``fields`` and ``type_specific`` objects, or the fields at
     the top level. Unknown fields and entries without value or box are dropped.
+    With ``placed`` the responses were built from rows ``dealt`` by doc_id, so that
+    their texts need not travel again; the result is the same.
     """
     known = list(RECORD_FIELDS)
     # A task takes a bounded number of responses, whose claims it groups without a further shuffle.
     # Every stage names what the next one uses more than once.
-    top = dealt(parsed.select("doc_id", "json"), "doc_id").select("doc_id", F.try_parse_json("json").alias("_top"))
+    top = _placed(parsed.select("doc_id", "json"), placed).select("doc_id", F.try_parse_json("json").alias("_top"))
     parts = top.select(
         "doc_id", "_top",
         _members(get(F.col("_top"), "fields")).alias("_fields"),

@@ -161,3 +161,18 @@ def test_verdicts_and_marks_are_dealt_by_rows(spark, monkeypatch):
     key = verdicts.select("doc_id", "field")
     marks = rounds.audit(sent, key, key.limit(0), key.limit(0), key.limit(0), key.limit(0))
     assert marks.filter("map_review_fields_uncertain = 'title'").count() == 3000 and marks.rdd.getNumPartitions() >= 30
+
+
+def test_texts_of_responses_do_not_travel(spark, monkeypatch):
+    """Responses built from a small file come dealt by document; only the narrow rows behind them are shuffled, once."""
+    from queries import claims as derived
+
+    monkeypatch.setattr(session, "DEALT_ROWS", 10)
+    parsed = derived._parsed(spark, "/root/testdata/sf0.001")
+    assert parsed.rdd.getNumPartitions() == 20
+    placed, plain = parse.flatten_claims(parsed, placed=True), parse.flatten_claims(parsed)
+    plan = derived.flatten_claims(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(p_partkey") == plan.count("Exchange ") == 1
+    assert placed.count() > 0 and placed.exceptAll(plain).isEmpty() and plain.exceptAll(placed).isEmpty()
+    longs = derived.extra_fields_long(spark, "/root/testdata/sf0.001")
+    assert longs.rdd.getNumPartitions() == 20
