@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabloom._columns import strip
 from tabloom.claims.fields import PRESENCE_FIELDS, REREAD_FIELDS, TYPE_SPECIFIC
 from tabloom.claims.parse import CLAIM_ROWS, checkable, correction_feedback
-from tabloom.session import checkpointed, dealt, grown
+from tabloom.session import checkpointed, dealt, grown, row_tasks
 
 KEY = ["doc_id", "field"]
 CLAIM = ["value", "evidence_bbox", "evidence_text", "evidence_kind"]
@@ -22,6 +22,13 @@ def _spread(claims: DataFrame) -> DataFrame:
     return dealt(claims, *KEY, rows=CLAIM_ROWS)
 
 
+def _alike(*tables: DataFrame) -> list[DataFrame]:
+    """Tables over the same tasks by claim, as many as the longest asks for: what is joined or grouped by claim stays there, and
+    no task first collects the rows of a whole file."""
+    tasks = max(row_tasks(one.select(*KEY), CLAIM_ROWS) for one in tables)
+    return [one.repartition(tasks, *KEY) for one in tables]
+
+
 def merge_corrections(previous: DataFrame, new: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Claims after a correction round.
 
@@ -135,16 +142,11 @@ def prune_absent_names(
     verdicts and the keys that lost names.
     """
     target = F.col("field").isin(*PRESENCE_FIELDS) & (strip(F.coalesce("value", F.lit(""))) != "")
-    names = claims.filter(target).select(
-        *KEY, F.posexplode(F.split("value", ",")).alias("pos", "name")
-    ).withColumn("name", strip(F.col("name")))
-    seen = presence.filter(F.col("visible")).select(*KEY, "name").distinct()
-    found = names.filter("name <> ''").join(grown(seen), [*KEY, "name"]).groupBy(*KEY).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda n: n["name"]), ", "
-        ).alias("_kept")
-    )
-    joined = _spread(claims).join(grown(found), KEY, "left").withColumn("_target", target)
+    claims, presence = _alike(claims, presence.filter(F.col("visible")))
+    seen = presence.groupBy(*KEY).agg(F.collect_set("name").alias("_seen"))
+    names = F.transform(F.split("value", ","), strip)
+    found = F.array_join(F.filter(names, lambda n: (n != "") & F.array_contains("_seen", n)), ", ")
+    joined = claims.join(grown(seen), KEY, "left").withColumns({"_target": target, "_kept": F.when(target, found)})
     kept = F.coalesce("_kept", F.lit(""))
     text = F.substring(F.concat(F.lit("presence-verified: "), kept), 1, 400)
     on = F.col("_target")

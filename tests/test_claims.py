@@ -176,3 +176,21 @@ def test_texts_of_responses_do_not_travel(spark, monkeypatch):
     assert placed.count() > 0 and placed.exceptAll(plain).isEmpty() and plain.exceptAll(placed).isEmpty()
     longs = derived.extra_fields_long(spark, "/root/testdata/sf0.001")
     assert longs.rdd.getNumPartitions() == 20
+
+
+def test_presence_is_dealt_by_rows(spark, monkeypatch):
+    """Answers of a small file: they are grouped by claim over tasks that follow the rows, and meet the claims there."""
+    monkeypatch.setattr(rounds, "CLAIM_ROWS", 100)
+    start = spark.range(1000).select(
+        F.col("id").cast("int").alias("doc_id"), F.lit("city").alias("field"), F.lit(" A,B,, A,C,").alias("value"),
+        F.lit(None).cast("array<double>").alias("evidence_bbox"), F.lit("").alias("evidence_text"), F.lit("").alias("evidence_kind"))
+    start = start.unionByName(start.withColumn("field", F.lit("notes")))
+    names = F.explode(F.array(*[F.lit(n) for n in ("A", "A", "C", "D", "")] + [F.lit(None).cast("string")])).alias("name")
+    answers = session.checkpointed(start.filter("field = 'city' and doc_id % 2 = 0").coalesce(1).select("doc_id", "field", names, F.lit(True).alias("visible")))
+    verdicts = start.select("doc_id", "field", F.lit(False).alias("ok"), F.lit("").alias("issue"), F.lit("").alias("what_you_see"))
+    now, _, pruned = rounds.prune_absent_names(session.checkpointed(start), verdicts, answers)
+    assert {(r.field, r.value, r.n) for r in now.groupBy("field", "value").agg(F.count("*").alias("n")).collect()} == {
+        ("city", "A, A, C", 500), ("notes", " A,B,, A,C,", 1000)}
+    assert pruned.count() == 1000 and pruned.rdd.getNumPartitions() == 30
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan and "Broadcast" not in plan
