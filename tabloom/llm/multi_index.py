@@ -6,8 +6,9 @@ seen hold enough vectors; all vectors in them are reranked by the exact measure
 As pairs come in falling order, the cells seen are those whose sum reaches the last one popped: a query
 carries that one number and not a list of cells.
 
-Cells are laid out in order and cut into blocks of bounded size; a query goes to the blocks that hold cells
-it has seen. Equal vectors are one entry with their smallest ids, as many as a result can show, so that a
+Cells are laid out in order and cut into spans of bounded size, one to a task; a query goes once to each span that holds
+cells it has seen, and there through blocks of the span with its best so far, so that only the best of a span leave
+the task. Equal vectors are one entry with their smallest ids, as many as a result can show, so that a
 vector that a third of all rows hold is one entry too. What the seen cells must hold is a share of the index, and the
 cells grow with the square root of its entries, the sample for the codebook with its centroids; only these and the
 sizes of the cells (at most the square of the centroids) pass through the driver.
@@ -33,10 +34,13 @@ SAMPLE = 20_000
 #: in 64 dimensions need about half of a small index, and less of a larger one; those in fewer dimensions need less.
 SHARE = 0.5
 CANDIDATES = 24_000
+#: Entries and queries that are multiplied at a time.
 BLOCK = 4096
 _CHUNK = 512
-#: Pairs of query and block held before they are sent.
-_HELD = 100_000
+#: Vectors of a span, and of the queries that meet it in one task, in bytes at the most (in double precision).
+SPAN_BYTES = 32 << 20
+#: Pairs of query and entry whose exact products are taken at a time.
+_PAIRS = 16_384
 _RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -67,7 +71,14 @@ def budget(entries: int) -> tuple[int, int, int]:
 
 def last_sum(a: np.ndarray, b: np.ndarray, counts: np.ndarray, enough: int) -> float:
     """Pop centroid pairs by falling a[i] + b[j] until their cells hold ``enough`` entries; the last sum.
-    Minus infinity when all cells were popped."""
+    Minus infinity when all cells were popped. Where most pairs would be popped, they are sorted at once: a heap takes
+    many times as long for the same order."""
+    if enough * 16 > counts.sum():
+        sums = (a[:, None] + b).ravel()
+        order = np.argsort(-sums)
+        held = np.cumsum(counts.ravel()[order])
+        place = int(np.searchsorted(held, enough))
+        return float(sums[order[place]]) if place < len(held) else float("-inf")
     first, second = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
     x, y = a[first].tolist(), b[second].tolist()
     held = counts[np.ix_(first, second)].tolist()
@@ -86,15 +97,52 @@ def last_sum(a: np.ndarray, b: np.ndarray, counts: np.ndarray, enough: int) -> f
     return float("-inf")
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of the finite scores: exact products, falling, ties to the smaller id."""
-    open_ = np.flatnonzero(np.isfinite(scores))
-    if len(open_) > k:
-        edge = np.partition(scores[open_], len(open_) - k)[len(open_) - k]
-        open_ = open_[scores[open_] >= edge - 1e-9 * (1 + abs(edge))]
-    exact = (x[open_] * q).sum(1)
-    order = np.lexsort((ids[open_], -exact))[:k]
-    return ids[open_][order], exact[order]
+def _slack(score: np.ndarray) -> np.ndarray:
+    """A bound that no rounding of a product crosses; the lowest number for none."""
+    with np.errstate(invalid="ignore"):
+        return np.where(np.isfinite(score), score - 1e-9 * (1 + np.abs(score)), np.finfo(float).min)
+
+
+class _Best:
+    """The k best of each query of a chunk: exact products, falling, ties to the smaller id; -inf where fewer were seen."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.scores = np.full((len(queries), k), -np.inf)
+        self.ids = np.full((len(queries), k), np.iinfo(np.int64).max)
+
+    def add(self, near: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Entries of a block by their products ``near``, -inf for entries not seen."""
+        low = _slack(self.scores[:, -1])
+        short = np.flatnonzero(np.isneginf(self.scores[:, -1]))
+        if len(short) and near.shape[1] > self.k:
+            low[short] = _slack(np.partition(near[short], -self.k, axis=1)[:, -self.k])
+        rows, places = np.nonzero(near >= low[:, None])
+        if not len(rows):
+            return
+        exact = np.concatenate([
+            (x[places[at : at + _PAIRS]] * self.queries[rows[at : at + _PAIRS]]).sum(1) for at in range(0, len(rows), _PAIRS)
+        ])
+        rows = np.concatenate([np.repeat(np.arange(len(self.ids)), self.k), rows])
+        scores, ids = np.concatenate([self.scores.ravel(), exact]), np.concatenate([self.ids.ravel(), ids[places]])
+        order = np.lexsort((ids, -scores, rows))
+        n = np.bincount(rows, minlength=len(self.ids))
+        order = order[np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n) < self.k]
+        self.scores, self.ids = scores[order].reshape(-1, self.k), ids[order].reshape(-1, self.k)
+
+
+def laid_out(counts: np.ndarray, span_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first span of each cell and the number of its spans: cells in order fill spans of at most ``span_rows`` entries, a
+    larger cell gets spans of its own."""
+    first, parts = np.zeros(len(counts), np.int32), np.ones(len(counts), np.int32)
+    span = filled = 0
+    for c in np.flatnonzero(counts).tolist():
+        n = int(counts[c])
+        if filled and filled + n > span_rows:
+            span, filled = span + 1, 0
+        first[c], parts[c] = span, spread(n, span_rows)
+        span, filled = span + int(parts[c]) - 1, (filled + n if parts[c] == 1 else span_rows)
+    return first, parts
 
 
 def _entries(rows: DataFrame, k: int) -> DataFrame:
@@ -139,13 +187,13 @@ def search(
     points = vector_matrix(fitted)
     half = dim // 2
     books = [fit_half(points[:, :half], centroids), fit_half(points[:, half:], centroids)]
-    return _reranked(spark, rows.where(F.col("vec_id") % every == 0), entries, books, half, k, candidates)
+    return _reranked(spark, rows.where(F.col("vec_id") % every == 0), entries, books, dim, k, candidates)
 
 
 def _reranked(
-    spark: SparkSession, queries: DataFrame, entries: DataFrame, books: list[np.ndarray], half: int, k: int, candidates: int
+    spark: SparkSession, queries: DataFrame, entries: DataFrame, books: list[np.ndarray], dim: int, k: int, candidates: int
 ) -> DataFrame:
-    wide = len(books[1])
+    half, wide = dim // 2, len(books[1])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,65 +205,54 @@ def _reranked(
     counts = np.zeros(len(books[0]) * wide, np.int64)
     sizes = cells.groupBy("cell").count().toArrow()
     counts[sizes.column("cell").to_numpy()] = sizes.column("count").to_numpy()
-    # cells in order fill blocks of about BLOCK entries; a larger cell gets blocks of its own
-    first, parts = np.zeros(len(counts), np.int32), np.ones(len(counts), np.int32)
-    block = filled = 0
-    for c in np.flatnonzero(counts).tolist():
-        n = int(counts[c])
-        if filled and filled + n > BLOCK:
-            block, filled = block + 1, 0
-        first[c], parts[c] = block, spread(n, BLOCK)
-        block, filled = block + int(parts[c]) - 1, (n if parts[c] == 1 else BLOCK)
-    n_queries = queries.count()
-    sides = spread(n_queries, BLOCK)
+    n_queries, entries_n = queries.count(), int(counts.sum())
+    # spans are large, because queries are copied to each, but there are some for each core
+    cores, most = spark.sparkContext.defaultParallelism, max(BLOCK, SPAN_BYTES // (8 * dim))
+    span_rows, sides = min(most, max(BLOCK, spread(entries_n, 3 * cores))), spread(n_queries, most)
+    first, parts = laid_out(counts, span_rows)
+    spans = int((first + parts).max())
     table = spark.sparkContext.broadcast((books, counts.reshape(-1, wide), first, parts))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, counts, first, parts = table.value
         full = np.flatnonzero(counts.ravel())
-
-        def sent(batch: pa.RecordBatch, at: list, to: list, least: list) -> Iterator[pa.RecordBatch]:
-            at, to, least = np.concatenate(at), np.concatenate(to).astype(np.int32), np.concatenate(least)
-            for start in range(0, len(at), 10_000):
-                part = pa.array(at[start : start + 10_000])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(to[start : start + 10_000]), batch.column(0).take(part),
-                        pa.array(least[start : start + 10_000]), batch.column(1).take(part),
-                    ],
-                    names=["block", "id", "least", "vector"],
-                )
-
-        for batch in batches:
-            x = vector_matrix(batch.column(1))
-            a, b = x[:, :half] @ books[0].T, x[:, half:] @ books[1].T
-            at, to, least, held = [], [], [], 0
-            for r in range(len(x)):
-                low = last_sum(a[r], b[r], counts, candidates)
-                low -= 1e-9 * (1 + abs(low)) if np.isfinite(low) else 0
-                seen = full[(a[r][:, None] + b[r]).ravel()[full] >= low]
-                of_cell = np.repeat(first[seen], parts[seen])
-                starts = np.repeat(np.cumsum(parts[seen]) - parts[seen], parts[seen])
-                blocks = np.unique(of_cell + np.arange(len(of_cell)) - starts)
-                at.append(np.full(len(blocks), r))
-                to.append(blocks)
-                least.append(np.full(len(blocks), low))
-                held += len(blocks)
-                if held > _HELD:
-                    yield from sent(batch, at, to, least)
-                    at, to, least, held = [], [], [], 0
-            if at:
-                yield from sent(batch, at, to, least)
+        last = first + parts - 1
+        for whole in batches:
+            for batch in (whole.slice(start, _CHUNK) for start in range(0, len(whole), _CHUNK)):
+                x = vector_matrix(batch.column(1))
+                a, b = x[:, :half] @ books[0].T, x[:, half:] @ books[1].T
+                low = np.array([last_sum(a[r], b[r], counts, candidates) for r in range(len(x))])
+                low = np.where(np.isfinite(low), low - 1e-9 * (1 + np.abs(low)), low)
+                at, to = [], []
+                for r in range(len(x)):
+                    seen = full[(a[r][:, None] + b[r]).ravel()[full] >= low[r]]
+                    # spans of the cells seen: of each cell the first and the last, and all between
+                    edges = np.zeros(int(last.max()) + 2, np.int64)
+                    np.add.at(edges, first[seen], 1)
+                    np.add.at(edges, last[seen] + 1, -1)
+                    spans = np.flatnonzero(np.cumsum(edges))
+                    at.append(np.full(len(spans), r))
+                    to.append(spans)
+                at, to = np.concatenate(at), np.concatenate(to).astype(np.int32)
+                for start in range(0, len(at), BLOCK):
+                    part = pa.array(at[start : start + BLOCK])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(to[start : start + BLOCK]), batch.column(0).take(part),
+                            pa.array(low[at[start : start + BLOCK]]), batch.column(1).take(part),
+                        ],
+                        names=["span", "id", "least", "vector"],
+                    )
 
     kind = queries.schema["embedding"].dataType.simpleString()
-    seekers = queries.select("vec_id", "embedding").mapInArrow(deal, f"block int, id long, least double, vector {kind}")
+    seekers = queries.select("vec_id", "embedding").mapInArrow(deal, f"span int, id long, least double, vector {kind}")
     full = np.flatnonzero(counts).astype(np.int32)
     layout = spark.createDataFrame(pa.table({"cell": full, "first": first[full], "parts": parts[full]}))
     members = cells.join(F.broadcast(layout), "cell").join(entries.select("id", "vector"), "id")
     members = members.withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
-    columns = ["block", "side", "role", "id", "cell", "least", "vector"]
+    columns = ["span", "side", "role", "id", "cell", "least", "vector"]
     dealt = members.select(
-        (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("block"), "side",
+        (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("span"), "side",
         F.lit(0).cast("byte").alias("role"), "id", "cell", F.lit(None).cast("double").alias("least"), "vector",
     ).unionByName(
         seekers.withColumn("side", F.pmod(F.xxhash64("id"), F.lit(sides)).cast("int"))
@@ -229,25 +266,30 @@ def _reranked(
             m = int(np.searchsorted(role, 1))
             if m in (0, len(role)):
                 continue
-            ids, x = group.column("id").to_numpy(), vector_matrix(group.column("vector"))
-            cell = group.column("cell").slice(0, m).to_numpy()
-            least = group.column("least").slice(m).to_numpy()
+            ids, vectors = group.column("id").to_numpy(), group.column("vector")
+            cell, least = group.column("cell").slice(0, m).to_numpy(), group.column("least").slice(m).to_numpy()
+            x = vector_matrix(vectors.slice(0, m))
+            blocks = [(at, *np.unique(cell[at : at + BLOCK], return_inverse=True)) for at in range(0, m, BLOCK)]
             for start in range(m, len(role), _CHUNK):
-                q = x[start : start + _CHUNK]
-                seen = (q[:, :half] @ books[0].T)[:, cell // wide] + (q[:, half:] @ books[1].T)[:, cell % wide]
-                scores = np.where(seen >= least[start - m : start - m + len(q), None], q @ x[:m].T, -np.inf)
-                out = [_best(scores[r], ids[:m], q[r], x[:m], k + 1) for r in range(len(q))]
-                n = [len(i) for i, _ in out]
+                q = vector_matrix(vectors.slice(start, _CHUNK))
+                a, b = q[:, :half] @ books[0].T, q[:, half:] @ books[1].T
+                low, best = least[start - m : start - m + len(q), None], _Best(q, k + 1)
+                for at, own, place in blocks:
+                    seen = a[:, own // wide] + b[:, own % wide] >= low
+                    if seen.any():
+                        near = q @ x[at : at + BLOCK].T
+                        best.add(np.where(seen[:, place] & np.isfinite(near), near, -np.inf), ids[at : min(at + BLOCK, m)], x[at : at + BLOCK])
+                found = np.isfinite(best.scores)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat(ids[start : start + len(q)], n)), pa.array(np.concatenate([i for i, _ in out])),
-                        pa.array(np.concatenate([s for _, s in out])),
+                        pa.array(np.repeat(ids[start : start + len(q)], found.sum(1))), pa.array(best.ids[found]),
+                        pa.array(best.scores[found]),
                     ],
                     names=["query_id", "id", "score"],
                 )
 
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    grouped = dealt.repartition(tasks, "block", "side").sortWithinPartitions("block", "side", "role", "id")
+    groups = dealt.repartition(max(cores, spans * sides), "span", "side")
+    grouped = groups.sortWithinPartitions("span", "side", "role", "cell", "id")
     found = grouped.mapInArrow(rerank, "query_id long, id long, score double")
     by_entry = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))

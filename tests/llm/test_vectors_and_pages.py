@@ -161,6 +161,35 @@ def test_heap_order_is_that_of_sorted_sums():
             assert multi_index.last_sum(a, b, counts, enough) == expected
 
 
+def test_cells_fill_spans_of_bounded_size():
+    """Cells share a span up to its size and no further; a larger cell is cut into spans of its own."""
+    counts = np.array([3, 0, 4, 2, 5, 0, 1, 25, 2, 9])
+    first, parts = multi_index.laid_out(counts, 10)
+    held = {}
+    for n, at, cut in zip(counts.tolist(), first.tolist(), parts.tolist()):
+        for i in range(cut):
+            held[at + i] = held.get(at + i, 0) + n / cut
+    assert [first[i] for i in (0, 2, 3, 4, 6, 7, 8, 9)] == [0, 0, 0, 1, 1, 2, 5, 6] and parts[7] == 3
+    assert max(held.values()) <= 10 and sum(held.values()) == counts.sum()
+
+
+def test_best_of_blocks_is_the_best_of_all():
+    """Block by block as at once, with many equal products, entries not seen and fewer entries than asked for."""
+    rng = np.random.default_rng(7)
+    for size, k in ((500, 21), (12, 21)):
+        x, q = rng.integers(-2, 3, (size, 6)).astype(float), rng.integers(-2, 3, (9, 6)).astype(float)
+        ids, seen = rng.permutation(size), rng.random((9, size)) < 0.8
+        seen[3] = False
+        best = multi_index._Best(q, k)
+        for at in range(0, size, 64):
+            here = slice(at, at + 64)
+            best.add(np.where(seen[:, here], q @ x[here].T, -np.inf), ids[here], x[here])
+        for r in range(9):
+            expected = sorted((-float((x[i] * q[r]).sum()), int(ids[i])) for i in np.flatnonzero(seen[r]))[:k]
+            found = np.isfinite(best.scores[r])
+            assert list(zip((-best.scores[r][found]).tolist(), best.ids[r][found].tolist())) == expected
+
+
 def test_multi_index_small_tables(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [1.0, 0.0]), (40, [2.0, 1.0]), (60, [3.0]), (80, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
